@@ -172,14 +172,8 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER, table_rows: i
     return dealt.groupBy("__block").cogroup(wanted.groupBy("b")).applyInArrow(far, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, table_rows: int = TABLE_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """docs' columns and perplexity, threshold, kept, a row for each row of docs.
-
-    Trusted are documents labelled quality 1 (and never 0). A null text is empty; an empty one has the perplexity of its
-    language's average. A null language is one of its own; languages with few trusted documents take the threshold over all.
-    Without trusted documents the threshold is null and every row is kept. Repeated rows each have their row; columns of docs
-    that are named like a result are replaced by it."""
-    docs = docs.drop("perplexity", "threshold", "kept")
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, order: int = ORDER, table_rows: int = TABLE_ROWS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
+    """docs' columns and __perplexity, __threshold, __kept; see classify."""
     trusted = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min("quality").alias("q")).where("q = 1")
     scored = written(score(docs, trusted, order, table_rows, text_col, id_col), "perplexity")
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("__lang")
@@ -188,10 +182,26 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, ord
     mean = known.groupBy().agg((F.sum("__nll") / F.sum("__n")).alias("m")).first().m
     joined = scored.select(*docs.columns, "__known", "__nll", "__n", lang).join(small(means), "__lang", "left")
     usual = F.coalesce(F.when(F.col("k") >= ENOUGH, F.col("m")), F.lit(mean), F.lit(0.0))
-    joined = joined.withColumn("perplexity", F.exp((F.col("__nll") + STEADY * usual) / (F.col("__n") + STEADY)))
-    cut = F.percentile_approx("perplexity", quantile, 10_000)
+    joined = joined.withColumn("__perplexity", F.exp((F.col("__nll") + STEADY * usual) / (F.col("__n") + STEADY)))
+    cut = F.percentile_approx("__perplexity", quantile, 10_000)
     trusted_rows = joined.where(F.col("__known") & (F.col("__n") > 0) & held_out(id_col))
     cuts = trusted_rows.groupBy("__lang").agg(F.when(F.count("*") >= ENOUGH, cut).alias("own"))
     overall = trusted_rows.groupBy().agg(cut.alias("t")).first().t
-    out = joined.join(small(cuts), "__lang", "left").withColumn("threshold", F.coalesce("own", F.lit(overall).cast("double")))
-    return out.select(*docs.columns, "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    out = joined.join(small(cuts), "__lang", "left").withColumn("__threshold", F.coalesce("own", F.lit(overall).cast("double")))
+    return out.select(*docs.columns, "__perplexity", "__threshold", F.coalesce(F.col("__perplexity") <= F.col("__threshold"), F.lit(True)).alias("__kept"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """docs' columns and perplexity, threshold, kept, a row for each row of docs. options: those of judge.
+
+    Trusted are documents labelled quality 1 (and never 0). A null text is empty; an empty one has the perplexity of its
+    language's average. A null language is one of its own; languages with few trusted documents take the threshold over all.
+    Without trusted documents the threshold is null and every row is kept. Repeated rows each have their row; columns of docs
+    that are named like a result are replaced by it."""
+    names = {"__" + n: n for n in ("perplexity", "threshold", "kept")}
+    return judge(docs.drop(*names.values()), labels, **options).withColumnsRenamed(names)
+
+
+def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with docs' columns."""
+    return judge(docs, labels, **options).where("__kept").select(*docs.columns)

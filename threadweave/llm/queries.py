@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadweave.llm import chat, decontamination, exact_dedup, jaccard_join, packing, quality, token_counts, token_files, toxicity
+from threadweave.llm import chat, decontamination, exact_dedup, jaccard_join, packing, quality, repeats, token_counts, token_files, toxicity
 from threadweave.llm.common import scratch_path
 from threadweave.llm.tokens import tokenizer_path
 
@@ -46,6 +46,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_tokens(spark, path))
 
 
+def op4_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.mark_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("text")
 
@@ -71,7 +75,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_files, op5_decontamination, op6_exact_dedup, op7_token_counts, op8_packing, op9_toxicity, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_files, op4_repeated_strings, op5_decontamination, op6_exact_dedup, op7_token_counts, op8_packing, op9_toxicity, op10_jaccard_join)}
 
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": r"""
