@@ -29,8 +29,10 @@ SHINGLE, PERCENT = 4, 85
 #: A shingle leading in more sets than OFTEN is frequent; OFTEN is doubled until at most TELL frequent ones are left, which
 #: bounds what is sent to the tasks. The order decides how much work there is, never the result.
 OFTEN, TELL = 8, 1_000_000
+#: Leading shingles that are counted, as a multiple of the prefix: what takes a frequent one's place has been counted too.
+COUNTED = 1.6
 #: Longest list whose pairs are counted; longer ones join their sets in a group. Sets in a block of a large group.
-PAIRED, BLOCK = 8, 2048
+PAIRED, BLOCK = 16, 2048
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,8 +72,8 @@ def prefix_size(n: np.ndarray, percent: int) -> np.ndarray:
     return n + (-percent * n // 100) + 1
 
 
-def leading(values: np.ndarray, bounds: np.ndarray, percent: int, often: tuple[np.ndarray, np.ndarray] | None = None):
-    """Set number, place and value of the prefix shingles of each set, and whether they are frequent."""
+def leading(values: np.ndarray, bounds: np.ndarray, percent: int, often: tuple[np.ndarray, np.ndarray] | None = None, more: float = 1.0):
+    """Set number, place and value of the prefix shingles of each set (`more` times as many), and whether they are frequent."""
     n = np.diff(bounds)
     doc = np.repeat(np.arange(len(n)), n)
     frequent = np.zeros(len(values), bool)
@@ -81,7 +83,7 @@ def leading(values: np.ndarray, bounds: np.ndarray, percent: int, often: tuple[n
         order = np.lexsort((values, np.where(frequent, often[1][k], 0), doc))
         values, frequent = values[order], frequent[order]
     place = np.arange(len(values)) - np.repeat(bounds[:-1], n)
-    keep = place < np.repeat(prefix_size(n, percent), n)
+    keep = place < np.repeat(np.ceil(prefix_size(n, percent) * more), n)
     return doc[keep], place[keep], values[keep], frequent[keep]
 
 
@@ -96,7 +98,7 @@ def described(n: int, percent: int):
                 digest, size = digests(values, bounds), np.diff(bounds)
                 yield table(doc_id=part.column("doc_id"), size=pa.array(size, pa.int64()), digest=pa.array(digest))
                 new = np.array([not (d in seen or seen.add(d)) for d in digest.tolist()], bool)
-                doc, _, lead, _ = leading(values, bounds, percent)
+                doc, _, lead, _ = leading(values, bounds, percent, more=COUNTED)
                 shingle, c = np.unique(lead[new[doc]], return_counts=True)
                 yield table(shingle=pa.array(shingle.view(np.int64)), c=pa.array(c.astype(np.int64)))
 
