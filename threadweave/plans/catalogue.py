@@ -1,6 +1,542 @@
-"""The registered queries of the reference's own operators, bound to the driver's tables, and their DuckDB SQL."""
+"""The registered queries of the engine's operators, bound to the given tables, each with DuckDB SQL for the same rows.
+
+Questions are orders, answers are lines (deduplicated by order and line number; line 1 is the accepted one), tags are parts,
+authors are customers and suppliers, question vectors are embeddings, run history and logs are events."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+import os
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from threadweave.functions import scalars as S
+from threadweave.operators import evaluation as E
+from threadweave.operators import graph as G
+from threadweave.operators import retrieval as R
+from threadweave.operators import sampling, stats
+from threadweave.operators import tables as T
+from threadweave.streaming import events as streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"), F.col("o_totalprice").alias("score"), F.col("o_custkey").alias("uid"), F.col("o_orderdate").alias("created"))
+
+
+def answers(spark: SparkSession, sf: str) -> DataFrame:
+    one = T.first_by(t(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"])
+    return one.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("aid"), F.col("l_orderkey").alias("qid"), F.col("l_linenumber").alias("line"), F.col("l_extendedprice").alias("score"), F.col("l_suppkey").alias("author"), F.col("l_quantity").alias("quantity"))
+
+
+def tagged(spark: SparkSession, sf: str) -> DataFrame:
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("tag"))
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+A = """a AS (SELECT l_orderkey * 8 + l_linenumber AS aid, l_orderkey AS qid, l_linenumber AS line, l_extendedprice AS score, l_suppkey AS author, l_quantity AS quantity
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS rn FROM lineitem) WHERE rn = 1)"""
+TW = f"{A}, w AS (SELECT *, CASE WHEN max(score) OVER p = min(score) OVER p THEN 0.5 ELSE (score - min(score) OVER p) / (max(score) OVER p - min(score) OVER p) END AS weight FROM a WINDOW p AS (PARTITION BY qid))"
+CO = """tg AS (SELECT DISTINCT l_orderkey AS q, l_partkey AS tag FROM lineitem), df AS (SELECT tag, count(*) AS df FROM tg GROUP BY tag),
+inf AS (SELECT q, tag, df FROM tg JOIN df USING (tag) WHERE df <= 200), sz AS (SELECT q, count(*) AS n FROM tg GROUP BY q),
+pr AS (SELECT x.q AS src, y.q AS dst, count(*) AS k FROM inf x JOIN inf y ON x.tag = y.tag AND x.q <> y.q GROUP BY 1, 2),
+sc AS (SELECT src, dst, k / (a.n + b.n - k)::DOUBLE AS jaccard FROM pr JOIN sz a ON src = a.q JOIN sz b ON dst = b.q),
+co AS (SELECT src, dst, jaccard FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY jaccard DESC, dst) AS rn FROM sc WHERE jaccard >= 0.3) WHERE rn <= 20)"""
+
+
+@query(f"WITH {CO} SELECT src, dst, round(jaccard, 6) AS jaccard, 0.6 AS weight FROM co")
+def tag_cooccurrence(spark, sf):
+    return G.tag_cooccurrence(tagged(spark, sf), "q", "tag", threshold=0.3).select("src", "dst", r6(F.col("jaccard"), "jaccard"), "weight")
+
+
+@query("WITH g AS (SELECT l_partkey, count(DISTINCT l_orderkey) AS df FROM lineitem GROUP BY 1) SELECT sum(df * (df - 1))::BIGINT AS max_pairs FROM g WHERE df <= 200")
+def tag_pair_bound(spark, sf):
+    return G.pair_bound(G.informative_tags(tagged(spark, sf), "q", "tag"), "tag")
+
+
+@query(f"WITH {A} SELECT * FROM a")
+def dedup_answers(spark, sf):
+    return answers(spark, sf)
+
+
+def sources(spark, sf):
+    d = t(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return T.union_sources({"english": d.where("lang = 'en'"), "short": d.where("n_chars < 1000").drop("source"), "first": d.where("source IN ('src0', 'src1', 'src2')")})
+
+
+U = """u AS (SELECT doc_id, lang, source, n_chars, 'english' AS match_source FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, lang, NULL, n_chars, 'short' FROM documents WHERE n_chars < 1000
+  UNION ALL SELECT doc_id, lang, source, n_chars, 'first' FROM documents WHERE source IN ('src0', 'src1', 'src2'))"""
+
+
+@query(f"WITH {U} SELECT doc_id, string_agg(DISTINCT match_source, ',' ORDER BY match_source) AS match_source, count(DISTINCT match_source) AS n_sources FROM u GROUP BY doc_id")
+def source_provenance(spark, sf):
+    return T.provenance(sources(spark, sf), "doc_id")
+
+
+@query(f"WITH {U} SELECT count(*) AS n_rows, count(DISTINCT doc_id) AS n_ids, count(*) - count(DISTINCT doc_id) AS n_extra FROM u")
+def duplicate_report(spark, sf):
+    return T.duplicate_report(sources(spark, sf), "doc_id")
+
+
+@query(f"WITH {U} SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY match_source) AS rn FROM u) WHERE rn = 1")
+def dedup_sources(spark, sf):
+    return T.first_by(sources(spark, sf), ["doc_id"], ["match_source"])
+
+
+@query(f"""WITH {A} SELECT count(*) AS n_questions, count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.qid = o_orderkey) THEN o_orderkey END) AS n_answered,
+  count(DISTINCT CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.qid = o_orderkey AND line = 1) THEN o_orderkey END) AS n_accepted FROM orders""")
+def answer_funnel(spark, sf):
+    a = answers(spark, sf).groupBy("qid").agg(F.max((F.col("line") == 1).cast("int")).alias("acc"))
+    return questions(spark, sf).join(a, "qid", "left").agg(F.count("*").alias("n_questions"), F.count("acc").alias("n_answered"), F.count_if(F.col("acc") == 1).alias("n_accepted"))
+
+
+@query("SELECT o_orderkey AS qid, o_totalprice AS score FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def unanswered_questions(spark, sf):
+    return questions(spark, sf).join(t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("qid")), "qid", "left_anti").select("qid", "score")
+
+
+@query(f"WITH {A}, n AS (SELECT o_orderkey, count(aid) AS n_answers FROM orders LEFT JOIN a ON qid = o_orderkey GROUP BY 1) SELECT n_answers, count(*) AS n_questions FROM n GROUP BY 1")
+def answers_per_question(spark, sf):
+    n = questions(spark, sf).join(answers(spark, sf), "qid", "left").groupBy("qid").agg(F.count("aid").alias("n_answers"))
+    return n.groupBy("n_answers").agg(F.count("*").alias("n_questions"))
+
+
+@query("SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m') AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1")
+def monthly_questions(spark, sf):
+    return questions(spark, sf).groupBy(F.date_format("created", "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("score"), 2).alias("total"))
+
+
+@query("SELECT n_questions, count(*) AS n_users FROM (SELECT o_custkey, count(*) AS n_questions FROM orders GROUP BY 1) GROUP BY 1")
+def questions_per_user_histogram(spark, sf):
+    return questions(spark, sf).groupBy("uid").agg(F.count("*").alias("n_questions")).groupBy("n_questions").agg(F.count("*").alias("n_users"))
+
+
+@query("SELECT l_partkey AS tag, count(DISTINCT l_orderkey) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, tag LIMIT 20")
+def top_tags(spark, sf):
+    return tagged(spark, sf).distinct().groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(20)
+
+
+@query("SELECT o_orderstatus, min(o_totalprice) AS low, round(median(o_totalprice), 6) AS mid, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) AS high, round(avg(CASE WHEN o_totalprice < 100000 THEN 100.0 ELSE 0 END), 6) AS pct_low FROM orders GROUP BY 1")
+def score_summary(spark, sf):
+    c = F.col("o_totalprice")
+    return t(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min(c).alias("low"), r6(F.median(c), "mid"), r6(F.percentile(c, F.lit(0.9)), "p90"), F.max(c).alias("high"), r6(F.avg(F.when(c < 100000, 100.0).otherwise(0.0)), "pct_low"))
+
+
+AW = "p AS (SELECT quantile_cont(c_acctbal, 0.99) AS top FROM customer), aw AS (SELECT c_custkey, least(1.0, ln(1 + greatest(c_acctbal, 0)) / ln(1 + top)) AS w FROM customer, p)"
+
+
+def author_weights(spark, sf):
+    c = t(spark, sf, "customer")
+    top = c.agg(F.percentile("c_acctbal", F.lit(0.99)).alias("top")).first().top
+    return c.select("c_custkey", S.norm_log(F.col("c_acctbal"), F.lit(top)).alias("w"))
+
+
+@query(f"WITH {AW} SELECT o_orderkey AS qid, round(w, 6) AS weight FROM orders JOIN aw ON o_custkey = c_custkey")
+def author_trust_edges(spark, sf):
+    return questions(spark, sf).join(author_weights(spark, sf), F.col("uid") == F.col("c_custkey")).select("qid", r6(F.col("w"), "weight"))
+
+
+@query(f"WITH {TW}, s AS (SELECT quantile_cont(score, 0.99) AS top FROM a), {AW} SELECT aid, round(0.5 * least(1.0, ln(1 + score) / ln(1 + top)) + 0.3 * (line = 1)::INT + 0.2 * coalesce(aw.w, 0), 6) AS trust, round(weight, 6) AS weight FROM w CROSS JOIN s LEFT JOIN aw ON author = c_custkey".replace("p AS (SELECT quantile", "pp AS (SELECT quantile").replace("customer, p)", "customer, pp)"))
+def answer_trust(spark, sf):
+    a = answers(spark, sf)
+    top = a.agg(F.percentile("score", F.lit(0.99))).first()[0]
+    rows = G.thread_weights(a, "qid", "score").join(author_weights(spark, sf), F.col("author") == F.col("c_custkey"), "left")
+    return rows.select("aid", r6(S.trust_answer(S.norm_log(F.col("score"), F.lit(top)), F.col("line") == 1, F.col("w")), "trust"), r6(F.col("weight"), "weight"))
+
+
+@query(f"WITH {AW}, s AS (SELECT o_orderkey, o_totalprice / 600000 AS old, w FROM orders JOIN aw ON o_custkey = c_custkey) SELECT round(max(abs(old - greatest(0, least(1, old - 0.1 + 0.2 * w)))), 6) AS max_abs_diff FROM s")
+def trust_correction_difference(spark, sf):
+    old = questions(spark, sf).join(author_weights(spark, sf), F.col("uid") == F.col("c_custkey")).select("qid", (F.col("score") / 600000).alias("trust"), "w")
+    new = old.select("qid", S.corrected_trust(F.col("trust"), F.col("w")).alias("trust"))
+    return T.largest_difference(old.select("qid", "trust"), new, ["qid"], "trust").select(r6(F.col("max_abs_diff"), "max_abs_diff"))
+
+
+def typed_edges(spark, sf):
+    a = answers(spark, sf)
+    acc = a.where("line = 1").select(F.col("qid").alias("src"), F.col("aid").alias("dst"), F.lit("HAS_ACCEPTED_ANSWER").alias("edge_type"))
+    oth = a.where("line <> 1").select(F.col("qid").alias("src"), F.col("aid").alias("dst"), F.lit("HAS_ANSWER").alias("edge_type"))
+    tag = tagged(spark, sf).distinct().select(F.col("q").alias("src"), F.col("tag").alias("dst"), F.lit("TAGGED_WITH").alias("edge_type"))
+    return acc.union(oth).union(tag)
+
+
+@query(f"WITH {A} SELECT CASE WHEN line = 1 THEN 'HAS_ACCEPTED_ANSWER' ELSE 'HAS_ANSWER' END AS edge_type, count(*) AS n FROM a GROUP BY 1 UNION ALL SELECT 'TAGGED_WITH', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+def edge_counts(spark, sf):
+    return typed_edges(spark, sf).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {CO}, e AS (SELECT src AS node FROM co UNION ALL SELECT dst FROM co), d AS (SELECT o_orderkey, count(node) AS degree FROM orders LEFT JOIN e ON node = o_orderkey GROUP BY 1) SELECT round(100.0 * count(*) FILTER (degree = 0) / count(*), 6) AS isolated_pct, round(avg(degree), 6) AS mean_degree, median(degree) AS median_degree, 100.0 * count(*) FILTER (degree = 0) / count(*) <= 30 AND avg(degree) >= 3 AND median(degree) >= 1 AS ok FROM d")
+def degree_report(spark, sf):
+    nodes = questions(spark, sf).select("qid")
+    edges = G.tag_cooccurrence(tagged(spark, sf), "q", "tag", threshold=0.3)
+    out = G.degree_report(G.degrees(nodes, edges, "qid"))
+    return out.select(r6(F.col("isolated_pct"), "isolated_pct"), r6(F.col("mean_degree"), "mean_degree"), "median_degree", "ok")
+
+
+@query("SELECT DISTINCT c_nationkey AS seed, 1000000 + c_custkey AS node FROM customer UNION SELECT c_nationkey, 2000000 + o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey UNION SELECT n_nationkey, 500 + n_regionkey FROM nation UNION SELECT a.n_nationkey, b.n_nationkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey")
+def reachable_in_two(spark, sf):
+    n, c, o = t(spark, sf, "nation"), t(spark, sf, "customer"), t(spark, sf, "orders")
+    cust = F.col("c_custkey") + 1000000
+    e = c.select(F.col("c_nationkey").cast("bigint").alias("src"), cust.alias("dst")).union(o.select((F.col("o_custkey") + 1000000), F.col("o_orderkey") + 2000000)).union(n.select(F.col("n_nationkey").cast("bigint"), (F.col("n_regionkey") + 500).cast("bigint")))
+    return G.within_two(e, n.select(F.col("n_nationkey").cast("bigint").alias("node"))).select(F.col("seed").cast("int").alias("seed"), "node")
+
+
+@query(f"WITH {TW} SELECT qid AS src, aid AS dst, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY weight DESC, aid) AS rn FROM w) WHERE rn <= 2")
+def capped_subgraph(spark, sf):
+    e = G.thread_weights(answers(spark, sf), "qid", "score").select(F.col("qid").alias("src"), F.col("aid").alias("dst"), "weight")
+    return G.capped_neighbours(e, 2).select("src", "dst", r6(F.col("weight"), "weight"))
+
+
+@query(f"WITH {A}, e AS (SELECT qid AS src, aid AS dst, CASE WHEN line = 1 THEN 'HAS_ACCEPTED_ANSWER' ELSE 'HAS_ANSWER' END AS edge_type FROM a) SELECT l_orderkey AS src, l_orderkey * 8 + l_linenumber + 1 AS dst, 'HAS_ANSWER' AS edge_type FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = l_orderkey AND e.dst = l_orderkey * 8 + l_linenumber + 1 AND e.edge_type = 'HAS_ANSWER')")
+def unsupported_path_steps(spark, sf):
+    p = t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("src"), (F.col("l_orderkey") * 8 + F.col("l_linenumber") + 1).alias("dst"), F.lit("HAS_ANSWER").alias("edge_type"))
+    return G.missing_steps(p, typed_edges(spark, sf).where("edge_type <> 'TAGGED_WITH'"))
+
+
+def vectors(spark, sf):
+    return t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+SIM = "sm AS (SELECT x.vec_id AS query, y.vec_id AS id, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id)"
+EX = f"{SIM}, ex AS (SELECT query, id FROM sm WHERE sim >= 0.3 UNION SELECT id, query FROM sm WHERE sim >= 0.3)"
+KN = f"{EX}, an AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rank FROM sm ANTI JOIN ex USING (query, id)) WHERE rank <= 3)"
+
+
+@query(f"WITH {SIM} SELECT query, id, round(sim, 6) AS sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rn FROM sm WHERE sim >= 0.2) WHERE rn <= 10")
+def knn_graph(spark, sf):
+    v = vectors(spark, sf)
+    return R.nearest(v, v, 10, 0.2).select("query", "id", r6(F.col("sim"), "sim"))
+
+
+@query("SELECT x.vec_id AS src, y.vec_id AS dst, round(greatest(0, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[])), 6) AS weight FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1")
+def edge_cosines(spark, sf):
+    v = vectors(spark, sf)
+    b = v.select((F.col("id") - 1).alias("id"), F.col("v").alias("u"))
+    return v.join(b, "id").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"), r6(F.greatest(F.lit(0.0), S.cosine(F.col("v"), F.col("u"))), "weight"))
+
+
+def excluded(spark, sf):
+    v = vectors(spark, sf)
+    near = R.similar_pairs(v, v, 0.3)
+    return near.select("query", "id").union(near.select("id", "query")).distinct()
+
+
+def found(spark, sf):
+    v, out = vectors(spark, sf), excluded(spark, sf)
+    return R.anchors(R.nearest_with_room(v, v, out, 3), out, 3)
+
+
+@query(f"WITH {KN} SELECT query, id, round(sim, 6) AS sim FROM an")
+def leakage_safe_anchors(spark, sf):
+    return found(spark, sf).select("query", "id", r6(F.col("sim"), "sim"))
+
+
+LK = "lk AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders)"
+
+
+def linked(spark, sf):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("uid").orderBy("created", "qid")
+    return questions(spark, sf).select(F.col("qid").alias("a"), F.lead("qid").over(w).alias("b")).where("b IS NOT NULL")
+
+
+@query(f"WITH {LK}, {EX}, r AS (SELECT 'linked' AS mode, a AS query, b AS id FROM lk WHERE b IS NOT NULL UNION SELECT 'linked', b, a FROM lk WHERE b IS NOT NULL UNION SELECT 'neardup', query, id FROM ex), f AS (SELECT * FROM r UNION SELECT mode, query, query FROM r) SELECT query, mode, array_to_string(list_sort(list(DISTINCT id)), ',') AS ids, count(DISTINCT id) AS n FROM f GROUP BY 1, 2")
+def exclusion_sets(spark, sf):
+    near = excluded(spark, sf).select(F.col("query").alias("a"), F.col("id").alias("b"))
+    out = R.exclusion_sets({"linked": linked(spark, sf), "neardup": near})
+    return out.select("query", "mode", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.size("ids").cast("bigint").alias("n"))
+
+
+HOP = f"""{KN}, {TW}, {LK}, nb AS (SELECT a AS src, b AS dst FROM lk WHERE b IS NOT NULL UNION ALL SELECT b, a FROM lk WHERE b IS NOT NULL),
+h1 AS (SELECT query, qid AS via, aid, weight, '1' AS hop FROM an JOIN w ON qid = id),
+h2 AS (SELECT * EXCLUDE (rn) FROM (SELECT an.query, dst AS via, aid, 0.5 * weight AS weight, '2' AS hop, row_number() OVER (PARTITION BY an.query ORDER BY 0.5 * weight DESC, aid, dst) AS rn
+  FROM an JOIN nb ON src = an.id JOIN w ON qid = dst ANTI JOIN ex ON ex.query = an.query AND ex.id = dst) WHERE rn <= 50),
+cd AS (SELECT * FROM h1 UNION ALL SELECT * FROM h2), tr AS (SELECT aid, least(1.0, score / 100000) AS trust FROM a)"""
+
+
+def candidates(spark, sf):
+    a = G.thread_weights(answers(spark, sf), "qid", "score")
+    e = linked(spark, sf)
+    both = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.5).alias("weight")).union(e.select("b", "a", F.lit(0.5)))
+    none = spark.createDataFrame([], "query bigint, id bigint")
+    hits = found(spark, sf)
+    # answers aren't excluded here, only questions
+    ex = excluded(spark, sf)
+    one = R.one_hop(hits, a, none)
+    mid = hits.select("query", F.col("id").alias("src")).join(both.withColumnRenamed("dst", "via").withColumnRenamed("weight", "w"), "src")
+    mid = R.without_excluded(mid, ex, "via")
+    two = mid.join(a.select(F.col("qid").alias("via"), "aid", "weight"), "via").select("query", "via", "aid", (F.col("w") * F.col("weight")).alias("weight"), F.lit("2").alias("hop"))
+    two = T.first_by(two, ["query"], [F.desc("weight"), "aid", "via"], R.TWO_HOP_LIMIT)
+    return one.unionByName(two), a.select("aid", F.least(F.lit(1.0), F.col("score") / 100000).alias("trust"))
+
+
+@query(f"""WITH {HOP}, s AS (SELECT cd.*, 0.7 * least(1.0, weight) + 0.3 * coalesce(trust, 0) AS score FROM cd LEFT JOIN tr USING (aid)),
+b AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY query, aid ORDER BY score DESC, hop, via) AS rn FROM s) WHERE rn = 1)
+SELECT query, aid, hop, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, aid) AS rank FROM b) WHERE rank <= 5""")
+def fused_answers(spark, sf):
+    rows, trust = candidates(spark, sf)
+    return R.fuse_path(rows, trust).select("query", "aid", "hop", r6(F.col("score"), "score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"""WITH {KN}, {A}, c AS (SELECT query, id AS via, aid, sim, least(1.0, score / 100000) AS trust FROM an JOIN a ON qid = id),
+n AS (SELECT *, CASE WHEN max(sim) OVER p = min(sim) OVER p THEN 1.0 ELSE (sim - min(sim) OVER p) / (max(sim) OVER p - min(sim) OVER p) END AS sn FROM c WINDOW p AS (PARTITION BY query)),
+b AS (SELECT *, row_number() OVER (PARTITION BY query, aid ORDER BY 0.5 * sn + 0.5 * trust DESC, via) AS rn FROM n)
+SELECT query, aid, round(0.5 * sn + 0.5 * trust, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(0.5 * sn + 0.5 * trust, 9) DESC, aid) AS rank FROM b WHERE rn = 1) WHERE rank <= 5""")
+def fused_by_similarity(spark, sf):
+    a = answers(spark, sf)
+    rows = found(spark, sf).join(a.select(F.col("qid").alias("id"), "aid"), "id").select("query", F.col("id").alias("via"), "aid", "sim")
+    trust = a.select("aid", F.least(F.lit(1.0), F.col("score") / 100000).alias("trust"))
+    return R.fuse_similarity(rows, trust, 0.5).select("query", "aid", r6(F.col("score"), "score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS qid, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS place FROM orders) SELECT qid, place, CASE WHEN place <= 384 THEN 'test' WHEN place <= 434 THEN 'dev' ELSE 'devlarge' END AS slice FROM p WHERE place <= 584")
+def sample_slices(spark, sf):
+    return sampling.slices(questions(spark, sf).select("qid"), "qid", {"test": 384, "dev": 50, "devlarge": 150})
+
+
+@query("""WITH h AS (SELECT o_orderkey, o_orderpriority, md5('42-' || o_orderkey) AS h FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY h, o_orderkey) > 100 AS topped_up FROM h)
+SELECT o_orderkey, o_orderpriority, topped_up FROM r ORDER BY topped_up, h, o_orderkey LIMIT 600""")
+def stratified_sample(spark, sf):
+    o = t(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    return sampling.stratified(o, "o_orderkey", ["o_orderpriority"], 100, 600)
+
+
+@query("WITH g AS (SELECT DISTINCT source FROM documents), n AS (SELECT count(*) AS n FROM g) SELECT source, (384 // n + CASE WHEN row_number() OVER (ORDER BY source) <= 384 % n THEN 1 ELSE 0 END)::BIGINT AS quota FROM g, n")
+def even_quotas(spark, sf):
+    return sampling.even_split(t(spark, sf, "documents"), "source", 384)
+
+
+@query("""WITH m AS (SELECT quality AS a, toxic AS b, count(*)::DOUBLE AS n FROM labels GROUP BY 1, 2), tt AS (SELECT sum(n) AS t, sum(n * (1 - abs(a - b))) AS ag FROM m),
+c AS (SELECT sum(x.n * y.n) AS ch FROM (SELECT a, sum(n) AS n FROM m GROUP BY 1) x JOIN (SELECT b, sum(n) AS n FROM m GROUP BY 1) y ON a = b)
+SELECT t::BIGINT AS n, round(ag / t, 6) AS p_observed, round(ch / t / t, 6) AS p_chance, round((ag / t - ch / t / t) / (1 - ch / t / t), 6) AS kappa FROM tt, c""")
+def cohens_kappa(spark, sf):
+    k = stats.weighted_kappa(t(spark, sf, "labels"), "quality", "toxic", 2)
+    return k.select("n", *[r6(F.col(c), c) for c in ("p_observed", "p_chance", "kappa")])
+
+
+@query("WITH c AS (SELECT unnest([quality, toxic]) AS c FROM labels), d AS (SELECT DISTINCT c FROM c) SELECT x.c AS a, y.c AS b, (SELECT count(*) FROM labels WHERE quality = x.c AND toxic = y.c) AS n FROM d x, d y")
+def confusion_matrix(spark, sf):
+    return stats.confusion(t(spark, sf, "labels"), "quality", "toxic")
+
+
+RT = "rt AS (SELECT l_orderkey AS item, (l_quantity::INT) % 3 AS label FROM lineitem), k AS (SELECT item, label, count(*)::DOUBLE AS k FROM rt GROUP BY 1, 2), pi AS (SELECT item, sum(k) AS m, sum(k * k) AS sq FROM k GROUP BY 1 HAVING sum(k) > 1)"
+
+
+def ratings(spark, sf):
+    return t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("item"), (F.col("l_quantity").cast("int") % 3).alias("label"))
+
+
+@query(f"WITH {RT}, us AS (SELECT label, sum(k) AS c FROM k SEMI JOIN pi USING (item) GROUP BY 1), o AS (SELECT sum((m * m - sq) / (m - 1)) AS d, sum(m) AS n FROM pi), e AS (SELECT sum(c * c) AS s FROM us) SELECT n::BIGINT AS n, round(1 - (d / n) / ((n * n - s) / (n * (n - 1))), 6) AS alpha FROM o, e")
+def krippendorff_alpha(spark, sf):
+    return stats.krippendorff_nominal(ratings(spark, sf), "item", "label").select("n", r6(F.col("alpha"), "alpha"))
+
+
+@query("WITH r AS (SELECT doc_id AS item, unnest([quality, toxic]) AS label FROM labels), k AS (SELECT item, label, count(*)::DOUBLE AS k FROM r GROUP BY 1, 2), p AS (SELECT sum(k) AS m, sum(k * k) AS sq FROM k GROUP BY item), o AS (SELECT avg((sq - m) / (m * (m - 1))) AS po, sum(m) AS t FROM p), e AS (SELECT sum((c / t) * (c / t)) AS pe FROM (SELECT sum(k) AS c FROM k GROUP BY label), o) SELECT round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / (1 - pe), 6) AS kappa FROM o, e")
+def fleiss_kappa(spark, sf):
+    r = t(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.explode(F.array("quality", "toxic")).alias("label"))
+    return stats.fleiss_kappa(r, "item", "label").select(*[r6(F.col(c), c) for c in ("po", "pe", "kappa")])
+
+
+@query("SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS \"both\", count(*) FILTER (quality = 1 AND toxic = 0) AS only_a, count(*) FILTER (quality = 0 AND toxic = 1) AS only_b, count(*) FILTER (quality = 0 AND toxic = 0) AS neither, round((count(*) FILTER (quality = 1 AND toxic = 0) - count(*) FILTER (quality = 0 AND toxic = 1)) / count(*), 6) AS rate_difference FROM labels")
+def paired_outcomes(spark, sf):
+    out = stats.paired_outcomes(t(spark, sf, "labels"), F.col("quality") == 1, F.col("toxic") == 1)
+    return out.select("both", "only_a", "only_b", "neither", r6(F.col("rate_difference"), "rate_difference"))
+
+
+def rank_sql(value: str, source: str) -> str:
+    return f"(rank() OVER (ORDER BY {value}) + (count(*) OVER (PARTITION BY {value}) - 1) / 2.0)"
+
+
+@query(f"WITH r AS (SELECT {rank_sql('l_quantity', '')} AS rx, {rank_sql('l_extendedprice', '')} AS ry FROM lineitem) SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r")
+def spearman_rho(spark, sf):
+    return stats.spearman(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").select("n", r6(F.col("rho"), "rho"))
+
+
+@query(f"WITH r AS (SELECT l_returnflag = 'R' AS g, {rank_sql('l_quantity', '')} AS r FROM lineitem), s AS (SELECT count(*) FILTER (g) AS n1, count(*) FILTER (NOT g) AS n2, sum(r) FILTER (g) AS r1 FROM r), u AS (SELECT n1, n2, r1 - n1 * (n1 + 1) / 2 AS u1 FROM s), d AS (SELECT *, 2 * u1 / (n1 * n2) - 1 AS d FROM u) SELECT n1, n2, u1::DOUBLE AS u1, round(d, 6) AS cliffs_delta, CASE WHEN abs(d) < 0.147 THEN 'negligible' WHEN abs(d) < 0.33 THEN 'small' WHEN abs(d) < 0.474 THEN 'medium' ELSE 'large' END AS magnitude FROM d")
+def mann_whitney_cliffs(spark, sf):
+    out = stats.mann_whitney(t(spark, sf, "lineitem"), F.col("l_returnflag") == "R", "l_quantity")
+    return out.select("n1", "n2", "u1", r6(F.col("cliffs_delta"), "cliffs_delta"), "magnitude")
+
+
+@query(f"WITH {A}, d AS (SELECT x.quantity - y.quantity AS d FROM a x JOIN a y ON x.qid = y.qid AND x.line = 1 AND y.line = 2 WHERE x.quantity <> y.quantity), r AS (SELECT d, (rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0) AS r FROM d), s AS (SELECT count(*) AS n, sum(r) FILTER (d > 0)::DOUBLE AS w_plus, sum(r) FILTER (d < 0)::DOUBLE AS w_minus FROM r) SELECT n, w_plus, w_minus, round((w_plus - n * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM s")
+def wilcoxon_signed_rank(spark, sf):
+    a = answers(spark, sf)
+    x, y = a.where("line = 1").select("qid", F.col("quantity").alias("x")), a.where("line = 2").select("qid", F.col("quantity").alias("y"))
+    return stats.wilcoxon(x.join(y, "qid"), F.col("x") - F.col("y")).select("n", "w_plus", "w_minus", r6(F.col("z"), "z"))
+
+
+@query("WITH p AS (SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_discount) / 4, 9) AS p FROM lineitem GROUP BY 1, 2, 3), r AS (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY l_returnflag) - row_number() OVER (PARTITION BY l_returnflag ORDER BY p, l_linestatus, l_linenumber) + 1)) AS raw FROM p) SELECT l_returnflag, l_linestatus, l_linenumber, round(max(raw) OVER (PARTITION BY l_returnflag ORDER BY p, l_linestatus, l_linenumber), 6) AS p_holm FROM r")
+def holm_adjusted(spark, sf):
+    p = t(spark, sf, "lineitem").groupBy("l_returnflag", "l_linestatus", "l_linenumber").agg(F.round(F.avg("l_discount") / 4, 9).alias("p"))
+    return stats.holm(p, ["l_returnflag"], "p").select("l_returnflag", "l_linestatus", "l_linenumber", r6(F.col("p_holm"), "p_holm"))
+
+
+@query("WITH g AS (SELECT lang, count(*) AS n, sum(quality)::DOUBLE / count(*) AS p FROM labels JOIN documents USING (doc_id) GROUP BY 1) SELECT lang, n, round(((p + 3.8416 / (2 * n)) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS low, round(((p + 3.8416 / (2 * n)) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) AS high FROM g")
+def wilson_by_language(spark, sf):
+    g = t(spark, sf, "labels").join(t(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").alias("k"))
+    low, high = stats.wilson(F.col("k"), F.col("n"))
+    return g.select("lang", "n", r6(low, "low"), r6(high, "high"))
+
+
+@query("WITH g AS (SELECT event_type, count(*) AS n, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, max(value) AS m FROM events GROUP BY 1), r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r FROM events) SELECT event_type, n, round(p50, 6) AS p50, round(p95, 6) AS p95, m AS max_value, value AS p95_nearest FROM g JOIN r USING (event_type) WHERE r = greatest(1, round_even(n * 0.95, 0)::INT)")
+def latency_percentiles(spark, sf):
+    return E.percentiles(t(spark, sf, "events"), ["event_type"], "value").select("event_type", "n", r6(F.col("p50"), "p50"), r6(F.col("p95"), "p95"), "max_value", "p95_nearest")
+
+
+@query(f"WITH {A} SELECT aid, count(*) OVER p >= 2 AND score < 0.5 * max(score) OVER p AS outlier FROM a WINDOW p AS (PARTITION BY qid)")
+def outlier_answers(spark, sf):
+    return E.outliers(answers(spark, sf), ["qid"], "score").select("aid", "outlier")
+
+
+@query("WITH q AS (SELECT quantile_cont(l_discount, [0.25, 0.5, 0.75]) AS q FROM lineitem WHERE l_discount > 0) SELECT CASE WHEN l_discount <= 0 THEN 'zero' WHEN l_discount <= q[1] THEN 'q1' WHEN l_discount <= q[2] THEN 'q2' WHEN l_discount <= q[3] THEN 'q3' ELSE 'q4' END AS bin, count(*) AS n FROM lineitem, q GROUP BY 1")
+def quartile_bins(spark, sf):
+    return E.binned(t(spark, sf, "lineitem"), "l_discount").groupBy("bin").agg(F.count("*").alias("n"))
+
+
+@query("WITH g AS (SELECT event_type, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 60 MINUTE THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, sum(s)::BIGINT AS n_batches, count(*) AS n FROM g GROUP BY 1")
+def gap_batches(spark, sf):
+    b = G.gap_batches(t(spark, sf, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", 3600)
+    return b.groupBy("event_type").agg(F.max("batch").alias("n_batches"), F.count("*").alias("n"))
+
+
+@query(f"WITH {A}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, aid) AS rank, quantity > 25 AS rel FROM a) SELECT qid, count(*) AS n, round(avg(rel::INT), 6) AS precision, round(coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0), 6) AS reciprocal_rank FROM r GROUP BY 1")
+def rank_metrics(spark, sf):
+    from pyspark.sql import Window
+
+    a = answers(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "aid")))
+    m = E.rank_metrics(a, "qid", "rank", F.col("quantity") > 25)
+    return m.select("qid", "n", r6(F.col("precision"), "precision"), r6(F.col("reciprocal_rank"), "reciprocal_rank"))
+
+
+@query(f"WITH {RT}, v AS (SELECT item, count(*) AS n, list_sort(list(label)) AS v FROM rt GROUP BY 1) SELECT item, n AS n_votes, v[n // 2 + 1] AS verdict FROM v")
+def panel_verdicts(spark, sf):
+    return E.panel_vote(ratings(spark, sf), "item", "label")
+
+
+@query("PIVOT (SELECT o_orderpriority, o_orderstatus FROM orders) ON o_orderstatus IN ('F', 'O', 'P') USING count(*)")
+def status_cross_table(spark, sf):
+    return t(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)")
+def grouped_and_pooled(spark, sf):
+    return t(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
+
+
+@query(r"""WITH s AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis') AS x FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(p|br|div|li|ul|ol|pre|h[1-6]|tr|table|blockquote)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM s),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
+c AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS x FROM e)
+SELECT page_id, length(x)::BIGINT AS n_chars, sha256(CASE WHEN length(x) > 1000 THEN x[:1000] || ' …[truncated]' ELSE x END) AS text_sha256 FROM c""")
+def page_texts(spark, sf):
+    p = t(spark, sf, "pages")
+    whole = S.html_to_text(F.col("html"), 1 << 30)
+    return p.select("page_id", F.length(whole).cast("bigint").alias("n_chars"), F.sha2(S.html_to_text(F.col("html")), 256).alias("text_sha256"))
+
+
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\b(token|api[_-]?key|secret|password)(\s*[=:]\s*)"?[A-Za-z0-9_\-]{16,}"?', '\1\2***', 'gi'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g'), '\b\d{1,3}(\.\d{1,3}){3}\b', '***', 'g')) AS text_sha256 FROM documents""")
+def redacted_documents(spark, sf):
+    return t(spark, sf, "documents").select("doc_id", F.sha2(S.redacted(F.col("text")), 256).alias("text_sha256"))
+
+
+@query("SELECT CASE WHEN regexp_matches(lower(text), 'error|exception|fail|not working|bug') THEN 'Debugging' WHEN regexp_matches(lower(text), 'how (to|do|can)|way to') THEN 'How-to' ELSE 'Conceptual' END AS kind, count(*) AS n FROM documents GROUP BY 1")
+def question_types(spark, sf):
+    return t(spark, sf, "documents").groupBy(S.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("WITH b AS (SELECT item_id, substr(text, i, 50) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 48)) AS i FROM benchmark WHERE length(text) >= 50)), d AS (SELECT doc_id, substr(text, i, 50) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 48)) AS i FROM documents WHERE length(text) >= 50)) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (s)")
+def shared_substrings(spark, sf):
+    b = t(spark, sf, "benchmark").select("item_id", F.explode(S.char_shingles(F.col("text"), 50)).alias("s")).distinct()
+    d = t(spark, sf, "documents").select("doc_id", F.explode(S.char_shingles(F.col("text"), 50)).alias("s"))
+    return d.join(b, "s").select("doc_id", "item_id").distinct()
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def daily_events(spark, sf):
+    return streams.tumbling(streams.once(t(spark, sf, "events"))).select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+SE = "g AS (SELECT event_type, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 10 MINUTE THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), n AS (SELECT *, sum(s) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nr FROM g), se AS (SELECT event_type, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) + 600000000 AS end_us, count(*) AS n FROM n GROUP BY event_type, nr)"
+
+
+@query(f"WITH {SE} SELECT event_type, start_us, end_us, n FROM se")
+def event_sessions(spark, sf):
+    return streams.sessions(t(spark, sf, "events")).select("event_type", F.unix_micros("session_start").alias("start_us"), F.unix_micros("session_end").alias("end_us"), "n")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
+    return os.path.join(base, f"threadweave-{name}-{uuid.uuid4().hex}")
+
+
+@query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2")
+def streamed_daily_events(spark, sf):
+    """The tumbling windows as a stream in append mode, up to those that the watermark has closed."""
+    path = scratch(spark, "daily")
+    days = streams.tumbling(streams.once(streams.event_stream(spark, sf, "events.parquet")))
+    streams.run_once(days, f"{path}/out", f"{path}/state")
+    return spark.read.parquet(f"{path}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("SELECT * EXCLUDE (rn) FROM (SELECT user_id, epoch_us(ts) AS ts_us, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def latest_event_per_user(spark, sf):
+    e = t(spark, sf, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), "event_id", "event_type")
+    return T.latest(e, ["user_id"], "ts_us")
+
+
+@query("SELECT l_orderkey AS k, 'foreign' AS state FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders) GROUP BY 1 UNION ALL SELECT o_orderkey, CASE WHEN n IS NULL THEN 'missing' ELSE 'repeated' END FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey WHERE n IS NULL OR n > 1")
+def key_completeness(spark, sf):
+    return T.key_differences(t(spark, sf, "orders").select(F.col("o_orderkey").alias("k")), t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k")), ["k"])
+
+
+@query("SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_values, min(l_returnflag) AS least, max(l_returnflag) AS greatest FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+def mixed_groups(spark, sf):
+    return T.one_value_guard(t(spark, sf, "lineitem"), ["l_orderkey"], "l_returnflag")
+
+
+@query("SELECT l_returnflag, round(avg((l_discount < 0.03)::INT), 6) AS share_03, round(avg((l_discount < 0.05)::INT), 6) AS share_05, count(*) FILTER (l_discount < 0.08) AS n_08, bool_or(l_discount < 0.01) AS any_01 FROM lineitem GROUP BY 1")
+def exposure(spark, sf):
+    d = F.col("l_discount")
+    return t(spark, sf, "lineitem").groupBy("l_returnflag").agg(r6(F.avg((d < 0.03).cast("int")), "share_03"), r6(F.avg((d < 0.05).cast("int")), "share_05"), F.count_if(d < 0.08).alias("n_08"), F.bool_or(d < 0.01).alias("any_01"))
+
+
+@query("SELECT c_custkey AS uid, 'both' AS side FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) UNION ALL SELECT c_custkey, 'silent' FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def active_and_silent_users(spark, sf):
+    c, o = t(spark, sf, "customer").select(F.col("c_custkey").alias("uid")), t(spark, sf, "orders").select(F.col("o_custkey").alias("uid"))
+    return c.intersect(o).withColumn("side", F.lit("both")).union(c.exceptAll(o.distinct()).withColumn("side", F.lit("silent")))
+
+
+@query("WITH n AS (SELECT o_custkey AS k, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders) SELECT c_custkey AS k, coalesce(v, c_acctbal) AS v FROM customer LEFT JOIN n ON k = c_custkey AND rn = 1")
+def upserted_values(spark, sf):
+    old = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
+    new = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderdate", "o_orderkey")
+    new = T.first_by(new, ["k"], [F.desc("o_orderdate"), "o_orderkey"]).select("k", "v")
+    return T.upsert(old, new, ["k"], ["v"])
+
+
+@query("WITH s AS (SELECT l_orderkey AS q, list_sort(list(DISTINCT l_suppkey)) AS s, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY 1) SELECT q, round(CASE WHEN len(list_distinct(s || p)) = 0 THEN 1.0 ELSE len(list_intersect(s, p)) / len(list_distinct(s || p)) END, 6) AS jaccard FROM s")
+def set_similarity(spark, sf):
+    s = t(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.collect_set("l_suppkey").alias("s"), F.collect_set("l_partkey").alias("p"))
+    return s.select("q", r6(S.jaccard(F.col("s"), F.col("p"), 1.0), "jaccard"))
