@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: Tables of at most so many rows may be broadcast (labels: 12 bytes a row); beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Texts are handled inside a task in slices of about so many bytes, whatever the batch that Spark hands over.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

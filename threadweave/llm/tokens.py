@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from threadweave.llm.common import LOWER, SPACES
 
 #: Pieces that a worker remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
