@@ -3,8 +3,7 @@ documents above their language's quantile of the trusted documents' perplexities
 
 The grams are of ORDER bytes of UTF-8, so that a gram is a number and word formation in any language is modelled. One pass
 counts every gram of every document, and how often it occurs in trusted ones. Count tables of all orders, sharded by
-gram, are joined with each other and with the documents' distinct grams, which gives each gram that occurs its log
-probability; another pass adds these up by document. A model is kinder to the text it was trained on, so every HELD_OUT-th
+gram, are joined with the documents' distinct grams, which gives each gram that occurs its log probability; another pass adds these up by document. A model is kinder to the text it was trained on, so every HELD_OUT-th
 trusted document, by a hash of its id, is left out of the training and the quantiles are taken over those. That table grows with the alphabet rather than with the corpus: up to
 TABLE_ROWS rows it is sent to every task, beyond that its rows are joined to blocks of documents by a shuffle."""
 
@@ -78,43 +77,75 @@ def discounts(n: dict[int, int]) -> tuple[float, float, float]:
     return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1, 2, 3)))  # type: ignore[return-value]
 
 
+def distinct_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(keys, return_counts=True)
+
+
+def levels_of(g: np.ndarray, c: np.ndarray, order: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Grams of each length from `order` down to 2 with their counts: occurrences for the longest, for shorter ones how many
+    different bytes stand before them."""
+    by = np.argsort(g[c > 0])
+    out = {order: (g[c > 0][by], c[c > 0][by])}
+    for n in range(order - 1, 1, -1):
+        out[n] = distinct_counts(out[n + 1][0] & ((1 << 8 * n) - 1))
+    return out
+
+
+def shard_counts(order: int):
+    """Of a shard: how many grams of length n have count c (1 to 4), and, as n = 1, the bytes c that follow its byte."""
+
+    def count(rows: pd.DataFrame) -> pd.DataFrame:
+        out, levels = [], levels_of(rows["g"].to_numpy(), rows["c"].to_numpy(), order)
+        for n, (_, c) in levels.items():
+            out += [(n, k, int((c == k).sum())) for k in (1, 2, 3, 4)]
+        out += [(1, int(b), 1) for b in np.unique(levels[2][0] & 255)]
+        return pd.DataFrame(out, columns=["n", "c", "k"])
+
+    return count
+
+
+def cut_off(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.where(c == 1, d[0], np.where(c == 2, d[1], d[2]))
+
+
+def shard_join(order: int, cuts: dict[int, tuple[float, float, float]], single: np.ndarray):
+    """Joins a shard's grams with its count tables of all lengths, the shortest first: g, lp."""
+
+    def join(rows: pd.DataFrame) -> pd.DataFrame:
+        g = rows["g"].to_numpy()
+        p = single[g & 255]
+        levels = levels_of(g, rows["c"].to_numpy(), order)
+        for n in range(2, order + 1):
+            keys, c = levels[n]
+            if not len(keys):
+                continue
+            off = cut_off(c, cuts[n])
+            contexts, first = np.unique(keys >> 8, return_index=True)
+            total, left = np.add.reduceat(c, first), np.add.reduceat(off, first)
+            x = g & ((1 << 8 * n) - 1)
+            k, h = np.minimum(np.searchsorted(keys, x), len(keys) - 1), np.minimum(np.searchsorted(contexts, x >> 8), len(contexts) - 1)
+            known = np.where(keys[k] == x, c[k] - off[k], 0.0)
+            p = np.where(contexts[h] == x >> 8, (known + left[h] * p) / total[h], p)
+        return pd.DataFrame({"g": g, "lp": np.log(p)})
+
+    return join
+
+
 def log_probabilities(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """g, lp of every gram of `counts` (g, c: occurrences in trusted text, which may be 0)."""
-    levels = {order: counts.where("c > 0")}
-    for n in range(order - 1, 0, -1):  # how many different bytes stand before the shorter gram
-        levels[n] = levels[n + 1].groupBy((F.col("g").bitwiseAND((1 << 8 * n) - 1)).alias("g")).agg(F.count("*").alias("c"))
-    some = None
-    for n, t in levels.items():
-        part = t.where("c <= 4").groupBy("c").agg(F.count("*").alias("k")).select(F.lit(n).alias("n"), "c", "k")
-        some = part if some is None else some.unionByName(part)
-    of: dict[int, dict[int, int]] = {}
-    for r in some.collect():
-        of.setdefault(r.n, {})[r.c] = r.k
-    out = counts.select("g")
-    p, back = {}, {}
-    for n in range(1, order + 1):
-        d1, d2, d3 = discounts(of.get(n, {}))
-        off = F.when(F.col("c") == 1, d1).when(F.col("c") == 2, d2).otherwise(d3)
-        t = levels[n].select("g", "c", F.shiftright("g", 8).alias("h"), off.alias("off"))
-        ctx = t.groupBy("h").agg(F.sum("c").alias("all"), (F.sum("off") / F.sum("c")).alias("rest"))
-        back[n] = ctx.select("h", "rest")
-        t = t.join(ctx, "h").select("g", F.col("g").bitwiseAND((1 << 8 * (n - 1)) - 1).alias("s"), ((F.col("c") - F.col("off")) / F.col("all")).alias("q"), "rest")
-        if n == 1:
-            p[n] = t.select("g", (F.col("q") + F.col("rest") / 256).alias("p"))
-        else:
-            shorter = p[n - 1].select(F.col("g").alias("s"), F.col("p").alias("p0"))
-            p[n] = t.join(shorter, "s").select("g", (F.col("q") + F.col("rest") * F.col("p0")).alias("p"))
-        if n < order:
-            p[n] = written(p[n], f"grams{n}")
-    # from the shortest order up: the probability with what is known so far, times the rest of each unseen longer context
-    out = out.withColumn("p", F.lit(1 / 256))
-    for n in range(1, order + 1):
-        mask = (1 << 8 * n) - 1
-        seen = p[n].select(F.col("g").alias("x"), F.col("p").alias("found"))
-        rest = back[n].select(F.col("h").alias("y"), "rest")
-        keyed = out.select("g", "p", F.col("g").bitwiseAND(mask).alias("x"), F.shiftright(F.col("g").bitwiseAND(mask), 8).alias("y"))
-        out = keyed.join(seen, "x", "left").join(rest, "y", "left").select("g", F.coalesce("found", F.col("p") * F.coalesce("rest", F.lit(1.0))).alias("p"))
-    return out.select("g", F.log("p").alias("lp"))
+    """g, lp of every gram of `counts` (g, c: occurrences in trusted text, which may be 0).
+
+    Shards go by the last byte but one: a gram, its shorter endings and their contexts all share it, so that each shard's count
+    tables are joined in one place. A shard holds distinct grams, whose number doesn't grow with the text."""
+    shard = F.shiftright("g", 8).bitwiseAND(255)
+    told: dict[int, dict[int, int]] = {n: {} for n in range(1, order + 1)}
+    for r in counts.groupBy(shard).applyInPandas(shard_counts(order), "n int, c int, k bigint").groupBy("n", "c").agg(F.sum("k").alias("k")).collect():
+        told[r.n][r.c] = r.k
+    cuts = {n: discounts(told[n]) for n in range(2, order + 1)}
+    follow = np.array([told[1].get(b, 0) for b in range(256)], np.int64)
+    cuts[1] = discounts({k: int((follow == k).sum()) for k in (1, 2, 3, 4)})
+    off = np.where(follow > 0, cut_off(follow, cuts[1]), 0.0)
+    single = (follow - off + off.sum() / 256) / max(1, follow.sum()) if follow.sum() else np.full(256, 1 / 256)
+    return counts.groupBy(shard).applyInPandas(shard_join(order, cuts, single), "g bigint, lp double")
 
 
 def added(table: np.ndarray, lp: np.ndarray, part: pa.RecordBatch, order: int) -> tuple[pa.Array, pa.Array]:
@@ -144,8 +175,9 @@ def score(docs: DataFrame, trusted: DataFrame, order: int = ORDER, table_rows: i
     table = written(log_probabilities(written(counts, "gram-counts"), order), "gram-table")
     schema = T.StructType([*docs.schema.fields, T.StructField("__known", T.BooleanType()), T.StructField("__nll", T.DoubleType()), T.StructField("__n", T.LongType())])
     if table.count() <= table_rows:
-        held = table.toPandas()
-        sent = spark.sparkContext.broadcast((held["g"].to_numpy(), held["lp"].to_numpy()))
+        held = table.toArrow()
+        sent = spark.sparkContext.broadcast((held.column("g").to_numpy(), held.column("lp").to_numpy()))
+        del held
 
         def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
