@@ -17,7 +17,7 @@ from threadweave.functions import scalars as S
 from threadweave.operators import evaluation as E
 from threadweave.operators import graph as G
 from threadweave.operators import retrieval as R
-from threadweave.operators import sampling, stats
+from threadweave.operators import leakage, sampling, stats
 from threadweave.operators import tables as T
 from threadweave.streaming import events as streams
 
@@ -468,9 +468,7 @@ def question_types(spark, sf):
 
 @query("WITH b AS (SELECT item_id, substr(text, i, 50) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 48)) AS i FROM benchmark WHERE length(text) >= 50)), d AS (SELECT doc_id, substr(text, i, 50) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 48)) AS i FROM documents WHERE length(text) >= 50)) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (s)")
 def shared_substrings(spark, sf):
-    b = t(spark, sf, "benchmark").select("item_id", F.explode(S.char_shingles(F.col("text"), 50)).alias("s")).distinct()
-    d = t(spark, sf, "documents").select("doc_id", F.explode(S.char_shingles(F.col("text"), 50)).alias("s"))
-    return d.join(b, "s").select("doc_id", "item_id").distinct()
+    return leakage.shared_substrings(t(spark, sf, "documents"), "doc_id", t(spark, sf, "benchmark"), "item_id")
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
