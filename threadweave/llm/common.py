@@ -3,6 +3,7 @@ columns as bytes, and vectorised word splitting and hashing on those bytes."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 #: Tables of at most so many rows may be broadcast (labels: 12 bytes a row); beyond that they are joined by a shuffle.
 BROADCAST_ROWS = 2_000_000
 #: Texts are handled inside a task in slices of about so many bytes, whatever the batch that Spark hands over.
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +66,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return off - off[0], raw
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: Python workers live on between stages, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of about `most` bytes of text, one row at least."""
     off, _ = text_bytes(batch.column(column))
@@ -73,6 +83,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         end = max(start + 1, int(np.searchsorted(off, off[start] + most, side="right")) - 1)
         yield batch.slice(start, end - start)
         start = end
+    tidy()
 
 
 def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
