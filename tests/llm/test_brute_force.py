@@ -2,6 +2,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,26 @@ def test_toxicity_on_held_out_labels(spark, sf, odd):
     assert toxicity.score_toxicity(odd, model).count() == odd.count()
     none = toxicity.train(docs.limit(0), labels)
     assert toxicity.score_toxicity(odd, none).where("toxic").count() == 0
+
+
+@pytest.mark.parametrize("remembered", [0, 1, 256])
+def test_linked_joins_all_components(remembered):
+    """Drifting sets make components that grow side by side and meet late, whichever is the largest in between."""
+
+    def named(n, links):
+        label = list(range(n))
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = [min(x, y) if z in (x, y) else z for z in label]
+        return label
+
+    for seed in range(200):
+        r, made = np.random.default_rng(seed), []
+        for _ in range(int(r.integers(2, 16))):
+            last = made[-1] if made and r.random() < 0.85 else np.arange(12)
+            made.append(np.unique(np.concatenate((r.choice(last, len(last) - 1, False), r.integers(12, 40, 1)))))
+        made = [made[i] for i in r.permutation(len(made))]
+        truth = [(i, j) for i in range(len(made)) for j in range(i) if 100 * len(np.intersect1d(made[i], made[j])) >= 80 * len(np.union1d(made[i], made[j]))]
+        got = jaccard_join.linked(np.arange(len(made)), made, 80, remembered)
+        assert named(len(made), got) == named(len(made), truth)
+        assert all((a, b) in truth or (b, a) in truth for a, b in got)

@@ -7,9 +7,9 @@
    the pairs left count their common prefix shingles, and a pair with too few is dropped. Lists of frequent shingles make
    no pairs: they only say which sets must be looked at together.
 4. Sets that hang together by candidates form groups. In a group, overlaps of one set with all others are counted
-   through an inverted index, and the answers of one set serve those similar to it: a set found linked to it is in its component and
-   is never looked up itself, as whatever it is linked with outside is found from the other side. Large groups are
-   dealt out in pairs of blocks.
+   through an inverted index. A set linked with one that has been looked up derives its overlaps from that one's, reading only
+   the lists of shingles by which they differ; sets of the group's largest component needn't be looked up at all, as whatever
+   they are linked with outside is found from the other side. Large groups are dealt out in pairs of blocks.
 
 Every link between sets of different components is looked for, so the components are exact."""
 
@@ -33,6 +33,8 @@ OFTEN, TELL = 8, 1_000_000
 COUNTED = 1.6
 #: Longest list whose pairs are counted; longer ones join their sets in a group. Sets in a block of a large group.
 PAIRED, BLOCK = 16, 2048
+#: Sets of a group whose overlaps with all others are remembered at once; the others' are counted from the index.
+REMEMBERED = 256
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,29 +179,56 @@ def listed(percent: int, paired: int):
     return read
 
 
-def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links that join the components of these sets, found with an inverted index; sets known to be in the largest
-    component are not looked up."""
+def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int, remembered: int = REMEMBERED) -> list[tuple[int, int]]:
+    """Links that join the components of these sets. Overlaps come from an inverted index, for a set linked with one whose
+    overlaps are known from those: the lists of the shingles by which the two sets differ are read, no others.
+
+    Sets in the component that is the largest at their turn are put off. Those still outside the largest one at the end are
+    looked up then, so all that are never looked up lie in one component and every link between components is met."""
     size = np.array([len(s) for s in sets])
     values, code = np.unique(np.concatenate(sets), return_inverse=True)
     who = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(code, kind="stable")
     posting, begin = who[order], np.searchsorted(code[order], np.arange(len(values) + 1))
     bounds = np.concatenate(([0], np.cumsum(size)))
-    comp, links = np.arange(len(sets)), []
-    for k, x in enumerate(np.argsort(nodes, kind="stable") if len(sets) < 3 else range(len(sets))):
-        if k and comp[x] == np.bincount(comp).argmax() and (comp == comp[x]).sum() > 1:
-            continue
+    comp, links, later = np.arange(len(sets)), [], []
+    like: dict[int, int] = {}  # of a set, one linked with it whose overlaps are among `known`
+    known: dict[int, np.ndarray] = {}
+
+    def counts(tokens: np.ndarray) -> np.ndarray:
+        lists = [posting[begin[t] : begin[t + 1]] for t in tokens]
+        return np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
+
+    def overlaps(x: int) -> np.ndarray:
         tokens = code[bounds[x] : bounds[x + 1]]
-        tokens = tokens[begin[tokens + 1] - begin[tokens] > 1]
-        if not len(tokens):
-            continue
-        overlap = np.bincount(np.concatenate([posting[begin[t] : begin[t + 1]] for t in tokens]), minlength=len(sets))
-        hit = np.flatnonzero(100 * overlap >= percent * (size + size[x] - overlap))
+        if like.get(x) in known:
+            other = code[bounds[like[x]] : bounds[like[x] + 1]]
+            more, gone = np.setdiff1d(tokens, other, assume_unique=True), np.setdiff1d(other, tokens, assume_unique=True)
+            if len(more) + len(gone) < len(tokens):
+                return known[like[x]] + counts(more) - counts(gone)
+        return counts(tokens)
+
+    def look_up(x: int) -> None:
+        overlap = overlaps(x)
+        hit = np.flatnonzero((overlap > 0) & (100 * overlap >= percent * (size + size[x] - overlap)))
+        if len(hit) > 1 and len(known) < remembered:
+            known[x] = overlap
+            like.update((int(y), x) for y in hit if int(y) not in like)
         for y in hit:
             if comp[y] != comp[x]:
                 links.append((int(nodes[x]), int(nodes[y])))
                 comp[comp == comp[y]] = comp[x]
+
+    for x in range(len(sets)):
+        members = np.bincount(comp)
+        if members[comp[x]] > 1 and comp[x] == members.argmax():
+            later.append(x)
+        else:
+            look_up(x)
+    home = int(np.flatnonzero(comp == np.bincount(comp).argmax())[0])
+    for x in later:
+        if comp[x] != comp[home]:
+            look_up(x)
     return links
 
 
