@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadweave.llm.common import slices, text_bytes, text_of
+from threadweave.llm.common import slices, text_bytes, text_of, written
 from threadweave.llm.tokens import encoder
 
 CACHE = "digest binary, tokenizer string, n_tokens bigint"
@@ -68,6 +68,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, limit: int = 512,
     stored = read_cache(spark, cache, version)
     misses = keyed.select("digest", "text").dropDuplicates(["digest"]) if stored is None else keyed.select("digest", "text").join(stored, "digest", "left_anti").dropDuplicates(["digest"])
     misses.mapInArrow(counted(tokenizer, version), CACHE).write.mode("append").parquet(cache)
-    stored = read_cache(spark, cache, version)
+    # written, so that a digest that very many rows share can be split in the join: no aggregation lies before it
+    stored = written(read_cache(spark, cache, version), "counts")
     sized = keyed.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
     return sized.join(stored, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
