@@ -76,6 +76,16 @@ def test_bootstrap_and_exact_p(spark):
     assert stats.paired_outcomes(pairs, F.col("a"), F.col("b")).first().p_exact == pytest.approx(2 * (1 + 10 + 45) / 1024)
 
 
+def test_krippendorff_ordinal(spark):
+    made = lambda rows: stats.krippendorff_ordinal(spark.createDataFrame(rows, "item long, label int"), "item", "label").first()
+    assert tuple(made([(1, 0), (1, 0), (2, 0), (2, 0)])) == (4, None)  # one label
+    assert tuple(made([(1, 0), (2, 1), (3, None)])) == (0, None)  # no item has two ratings
+    assert made([(1, 0), (1, 0), (2, 2), (2, 2)]).alpha == pytest.approx(1.0)
+    near = made([(1, 0), (1, 1), (2, 0), (2, 0), (3, 2), (3, 2), (4, 1), (4, 1)]).alpha
+    far = made([(1, 0), (1, 2), (2, 0), (2, 0), (3, 2), (3, 2), (4, 1), (4, 1)]).alpha
+    assert far < near < 1
+
+
 def test_tables(spark):
     a = spark.createDataFrame([(1, 2.0), (2, None)], "k long, x double")
     b = spark.createDataFrame([(1, 2.5), (2, 1.0)], "k long, x double")

@@ -54,6 +54,24 @@ def krippendorff_nominal(ratings: DataFrame, item: str, label: str) -> DataFrame
     return both.select(F.col("n").cast("bigint").alias("n"), F.when(d_e > 0, 1 - d_o / d_e).alias("alpha"))
 
 
+def krippendorff_ordinal(ratings: DataFrame, item: str, label: str) -> DataFrame:
+    """The same for labels with an order, their own. The ordinal distance of two labels is that of their mid-ranks among all
+    ratings, so both disagreements are sums of squares of mid-ranks (as shares, around their mean); no pairs are made."""
+    counts = ratings.where(F.col(label).isNotNull()).groupBy(item, label).agg(F.count("*").cast("double").alias("k"))
+    used = counts.withColumn("m", F.sum("k").over(Window.partitionBy(item))).where("m > 1")
+    # a row a label
+    every = Window.partitionBy(F.lit(1))
+    share = used.groupBy(label).agg(F.sum("k").alias("c")).withColumn("n", F.sum("c").over(every))
+    placed = share.select(label, "c", "n", ((F.sum("c").over(every.orderBy(label)) - F.col("c") / 2) / F.col("n") - 0.5).alias("r"))
+    ranked = used.join(F.broadcast(placed.select(label, "r")), label)
+    per = ranked.groupBy(item).agg(F.first("m").alias("m"), F.sum(F.col("k") * F.col("r")).alias("s"), F.sum(F.col("k") * F.col("r") * F.col("r")).alias("q"))
+    observed = per.agg(F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("d_o"))
+    expected = placed.agg(F.max("n").alias("n"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("q"))
+    both = observed.withColumn("j", F.lit(1)).join(F.broadcast(expected.withColumn("j", F.lit(1))), "j")
+    d_o, d_e = F.col("d_o") / F.col("n"), (F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.col("n") * (F.col("n") - 1))
+    return both.select(F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"), F.when(d_e > 1e-15, 1 - d_o / d_e).alias("alpha"))
+
+
 def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """df with rank: ties share the mean of their ranks. Ranks come from counts of distinct values, which is what is sorted."""
     counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))

@@ -353,6 +353,14 @@ def krippendorff_alpha(spark, sf):
     return stats.krippendorff_nominal(ratings(spark, sf), "item", "label").select("n", r6(F.col("alpha"), "alpha"))
 
 
+@query(f"""WITH {RT}, us AS (SELECT label, sum(k) AS c FROM k SEMI JOIN pi USING (item) GROUP BY 1), mid AS (SELECT label, c, sum(c) OVER (ORDER BY label) - c / 2 AS r FROM us),
+o AS (SELECT sum(x.k * y.k / (pi.m - 1) * (a.r - b.r) * (a.r - b.r)) AS d FROM k x JOIN k y USING (item) JOIN pi USING (item) JOIN mid a ON x.label = a.label JOIN mid b ON y.label = b.label),
+e AS (SELECT sum(a.c * b.c * (a.r - b.r) * (a.r - b.r)) AS d FROM mid a, mid b), n AS (SELECT sum(c) AS n FROM us)
+SELECT n::BIGINT AS n, round(1 - (o.d / n) / (e.d / (n * (n - 1))), 6) AS alpha FROM o, e, n""")
+def krippendorff_alpha_ordinal(spark, sf):
+    return stats.krippendorff_ordinal(ratings(spark, sf), "item", "label").select("n", r6(F.col("alpha"), "alpha"))
+
+
 @query("WITH r AS (SELECT doc_id AS item, unnest([quality, toxic]) AS label FROM labels), k AS (SELECT item, label, count(*)::DOUBLE AS k FROM r GROUP BY 1, 2), p AS (SELECT sum(k) AS m, sum(k * k) AS sq FROM k GROUP BY item), o AS (SELECT avg((sq - m) / (m * (m - 1))) AS po, sum(m) AS t FROM p), e AS (SELECT sum((c / t) * (c / t)) AS pe FROM (SELECT sum(k) AS c FROM k GROUP BY label), o) SELECT round(po, 6) AS po, round(pe, 6) AS pe, round((po - pe) / (1 - pe), 6) AS kappa FROM o, e")
 def fleiss_kappa(spark, sf):
     r = t(spark, sf, "labels").select(F.col("doc_id").alias("item"), F.explode(F.array("quality", "toxic")).alias("label"))
