@@ -196,6 +196,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int, remembered:
     known: dict[int, np.ndarray] = {}
 
     def counts(tokens: np.ndarray) -> np.ndarray:
+        tokens = tokens[begin[tokens + 1] - begin[tokens] > 1]  # a shingle of one set joins nothing
         lists = [posting[begin[t] : begin[t + 1]] for t in tokens]
         return np.bincount(np.concatenate(lists), minlength=len(sets)) if lists else np.zeros(len(sets), np.int64)
 
@@ -211,7 +212,8 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int, remembered:
     def look_up(x: int) -> None:
         overlap = overlaps(x)
         hit = np.flatnonzero((overlap > 0) & (100 * overlap >= percent * (size + size[x] - overlap)))
-        if len(hit) > 1 and len(known) < remembered:
+        hit = hit[hit != x]
+        if len(hit) and len(known) < remembered:
             known[x] = overlap
             like.update((int(y), x) for y in hit if int(y) not in like)
         for y in hit:
