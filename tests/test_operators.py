@@ -105,3 +105,36 @@ def test_stream_restarts_without_repeating(spark, sf, tmp_path):
     events.run_once(days(), str(tmp_path / "out"), str(tmp_path / "state"))
     got = [r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert len(got) == len(set(got)) and set(got) <= set(range(1000)) and len(got) > 900
+
+
+def test_token_chunks_make_up_the_text(spark):
+    import public_tokenizers
+
+    from threadweave.functions import chunks
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["", None, "short", "日本語のテキスト 🙂🙂 and words " * 40, "  leading\n\nlines  " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, body string").withColumn("doc", chunks.answer_text(F.lit("why"), F.col("body")))
+    rows = df.select("doc", chunks.token_chunks(F.col("doc"), path, 7).alias("c"), chunks.truncated_text(F.col("doc"), path, 7).alias("t")).collect()
+    for r in rows:
+        n = len(chunks.encoder(path).encode(r.doc, add_special_tokens=False).ids)
+        assert "".join(r.c) == r.doc and len(r.c) == max(1, -(-n // 7))
+        assert r.t.text == r.c[0] and r.t.truncated == (n > 7)
+    assert spark.range(1).select(chunks.token_chunks(F.lit(None).cast("string"), path, 7).alias("c")).first().c == [""]
+
+
+def test_kendall_and_permutation_without_spread(spark):
+    df = spark.createDataFrame([(1, 1, 2.0), (2, 1, 2.0), (3, 1, 2.0)], "k int, x int, v double")
+    assert stats.kendall_tau(df, "x", "v").first().tau is None
+    assert stats.kendall_tau(df.where("k > 9"), "x", "v").first().n == 0
+    assert stats.kendall_tau(df, "k", "k").first().tau == 1.0
+    assert stats.permutation_test(df, "k", F.col("k") == 1, "v", 50).first().p == 1.0
+
+
+def test_high_level_is_filled_until_there_are_enough_answers(spark):
+    from threadweave.operators import dual_level as D
+
+    scored = spark.createDataFrame([(1, v, 1 - v / 10, v) for v in (1, 2, 3, 4)], "query int, via int, score double, place int")
+    answers = spark.createDataFrame([(1, 10), (2, 10), (3, 30), (4, 40)], "qid int, aid int")
+    low = spark.createDataFrame([(1, 99)], "query int, aid int")
+    assert [sorted(r.via for r in D.filled(scored, answers, low, 1, k).collect()) for k in (0, 2, 3, 4, 9)] == [[1], [1], [1, 2, 3], [1, 2, 3, 4], [1, 2, 3, 4]]

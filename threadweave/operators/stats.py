@@ -151,3 +151,42 @@ def bootstrap_mean(df: DataFrame, by: list[str], value: str, resamples: int = 20
     drawn = rows.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__w", weight)
     means = drawn.groupBy(*by, "__r").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
+
+
+def kendall_tau(df: DataFrame, x: str, y: str, most_levels: int = 1000) -> DataFrame:
+    """n, tau (tau-b) of two ordinals with at most `most_levels` values each (checked), from running sums over the grid of values;
+    no pairs of rows are made. Of the pairs, ties follow from the margins and discordant ones are what is left."""
+    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
+    if max(cells.agg(F.count_distinct("x"), F.count_distinct("y")).first()) > most_levels:
+        raise ValueError(f"over {most_levels} values: band them first")
+    levels = cells.agg(F.collect_set("x").alias("xs"), F.collect_set("y").alias("ys"))
+    grid = levels.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
+    full = grid.join(cells, ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("double"))
+    smaller = (Window.unboundedPreceding, -1)
+    full = full.withColumn("row", F.coalesce(F.sum("c").over(Window.partitionBy("x").orderBy("y").rowsBetween(*smaller)), F.lit(0.0)))
+    full = full.withColumn("under", F.coalesce(F.sum("row").over(Window.partitionBy("y").orderBy("x").rowsBetween(*smaller)), F.lit(0.0)))
+    pairs = F.sum(F.col("c") * (F.col("c") - 1) / 2)
+    s = full.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("under")).alias("up"), pairs.alias("txy"))
+    tx = full.groupBy("x").agg(F.sum("c").alias("c")).agg(pairs.alias("tx"))
+    ty = full.groupBy("y").agg(F.sum("c").alias("c")).agg(pairs.alias("ty"))
+    one = [d.withColumn("j", F.lit(1)) for d in (s, tx, ty)]
+    all_pairs = F.col("n") * (F.col("n") - 1) / 2
+    down = all_pairs - F.col("tx") - F.col("ty") + F.col("txy") - F.col("up")
+    free = F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))
+    return one[0].join(F.broadcast(one[1]), "j").join(F.broadcast(one[2]), "j").select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.when(free > 0, (F.col("up") - down) / free).alias("tau"))
+
+
+def permutation_test(df: DataFrame, key: str, group: Column, value: str, permutations: int = 2000, seed: int = 42) -> DataFrame:
+    """difference (mean where `group` holds, less the rest's), p = (permutations at least as far from 0, plus 1) / (permutations + 1).
+
+    Each permutation orders the rows by a hash of their key and gives the first ones to the group, so it is the same on any
+    partitioning. Rows are copied once a permutation: meant for per-question results, a permutation's rows being one task's."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), group.alias("g"), F.col(value).cast("double").alias("v"))
+    means = F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))
+    observed = rows.agg(F.lit(1).alias("j"), F.count_if("g").alias("n1"), means.alias("difference"))
+    drawn = rows.select("key", "v", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("r"))
+    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r").cast("string"), F.col("key").cast("string")))
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy(order, "key"))).withColumn("j", F.lit(1)).join(F.broadcast(observed), "j")
+    per = drawn.withColumn("g", F.col("place") <= F.col("n1")).groupBy("r", "difference").agg(means.alias("d"))
+    far = F.count_if(F.abs("d") >= F.abs("difference") - 1e-9)
+    return per.groupBy("difference").agg(((far + 1) / (permutations + 1)).alias("p"))

@@ -10,10 +10,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from threadweave.functions import scalars as S
+from threadweave.operators import dual_level as D
 from threadweave.operators import evaluation as E
 from threadweave.operators import graph as G
 from threadweave.operators import retrieval as R
@@ -256,8 +257,6 @@ LK = "lk AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custk
 
 
 def linked(spark, sf):
-    from pyspark.sql import Window
-
     w = Window.partitionBy("uid").orderBy("created", "qid")
     return questions(spark, sf).select(F.col("qid").alias("a"), F.lead("qid").over(w).alias("b")).where("b IS NOT NULL")
 
@@ -311,6 +310,96 @@ def fused_by_similarity(spark, sf):
     return R.fuse_similarity(rows, trust, 0.5).select("query", "aid", r6(F.col("score"), "score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+DL = f"""{KN}, {TW}, {LK}, xq AS (SELECT query, id FROM ex UNION SELECT vec_id, vec_id FROM embeddings),
+kn AS (SELECT query AS src, id AS dst, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rn FROM sm) WHERE rn <= 10),
+ed AS (SELECT a AS src, b AS dst, 0.5::DOUBLE AS weight, 'LINKED' AS edge_type FROM lk WHERE b IS NOT NULL UNION ALL SELECT b, a, 0.5, 'LINKED' FROM lk WHERE b IS NOT NULL UNION ALL SELECT src, dst, round(sim, 6), 'EMBED_SIM' FROM kn),
+nn AS (SELECT an.query, dst AS via, an.id AS anchor, an.sim AS anchor_sim, weight, edge_type FROM an JOIN ed ON ed.src = an.id SEMI JOIN a ON a.qid = ed.dst ANTI JOIN xq ON xq.query = an.query AND xq.id = ed.dst),
+sn AS (SELECT c.query, via, sim AS score, row_number() OVER (PARTITION BY c.query ORDER BY round(sim, 9) DESC, via) AS place
+  FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY via) AS rn FROM (SELECT DISTINCT query, via FROM nn)) c JOIN sm ON sm.query = c.query AND sm.id = c.via WHERE c.rn <= 100)"""
+PT = f"""{DL}, pt AS (SELECT query, aid, 1 AS level, id AS anchor, id AS via, 'ANSWER' AS edge_type, sim AS score, sim AS anchor_sim FROM an JOIN a ON qid = id
+UNION ALL SELECT l.query, aid, 2, anchor, l.via, edge_type, sn.score, anchor_sim FROM (SELECT DISTINCT query, via, anchor, anchor_sim, edge_type FROM nn) l JOIN sn ON sn.query = l.query AND sn.via = l.via JOIN a ON qid = l.via WHERE place <= 5),
+bp AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, aid) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query, aid ORDER BY round(score, 9) DESC, level, via, round(anchor_sim, 9) DESC, anchor, edge_type) AS rn FROM pt) WHERE rn = 1)"""
+
+
+def dual_level(spark, sf):
+    """Anchors, links to their neighbours, and answers of the two levels; a question is excluded for itself, too."""
+    v, near = vectors(spark, sf), excluded(spark, sf)
+    out = near.union(v.select("id", F.col("id").alias("query")))
+    hits = found(spark, sf)
+    lk, kn = linked(spark, sf), R.nearest(v, v, 10)
+    e = lk.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(lk.select("b", "a")).select("src", "dst", F.lit(0.5).alias("weight"), F.lit("LINKED").alias("edge_type"))
+    e = e.union(kn.select("query", "id", F.round("sim", 6), F.lit("EMBED_SIM")))
+    a = answers(spark, sf).select("qid", "aid")
+    return v, hits, D.neighbour_links(hits, e, a, out), a, out
+
+
+@query(f"WITH {DL}, g AS (SELECT query, via, weight, edge_type, first(anchor ORDER BY round(anchor_sim, 9) DESC, anchor) AS anchor, count(DISTINCT anchor) - 1 AS n_alternatives FROM nn GROUP BY 1, 2, 3, 4) SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY weight DESC, via, edge_type) AS rn FROM g) WHERE rn <= 5")
+def high_level_by_weight(spark, sf):
+    return D.high_level_by_weight(dual_level(spark, sf)[2])
+
+
+@query(f"WITH {DL}, met AS (SELECT query, aid, min(place) AS place FROM (SELECT query, aid, place FROM sn JOIN a ON qid = via UNION ALL SELECT query, aid, 0 FROM an JOIN a ON qid = id) GROUP BY 1, 2), h AS (SELECT sn.*, (SELECT count(*) FROM met WHERE met.query = sn.query AND met.place < sn.place) AS had FROM sn) SELECT query, via, round(score, 6) AS score, place, had FROM h WHERE place <= 2 OR had < 24")
+def high_level_filled(spark, sf):
+    v, hits, links, a, _ = dual_level(spark, sf)
+    low = hits.select("query", F.col("id").alias("qid")).join(a, "qid").select("query", "aid")
+    rows = D.filled(D.scored_neighbours(links, v), a, low, 2, 24)
+    return rows.select("query", "via", r6(F.col("score"), "score"), F.col("place").cast("bigint").alias("place"), F.col("had").cast("bigint").alias("had"))
+
+
+def dual_paths(spark, sf):
+    v, hits, links, a, _ = dual_level(spark, sf)
+    return D.dual_level_paths(hits, links, D.scored_neighbours(links, v).where(F.col("place") <= D.HIGH_LEVEL), a)
+
+
+@query(f"WITH {PT} SELECT query, aid, level, anchor, via, edge_type, round(score, 6) AS score, rank FROM bp WHERE rank <= 5")
+def dual_level_answers(spark, sf):
+    best = D.best_paths(dual_paths(spark, sf)).where(F.col("rank") <= D.TOP_K)
+    return best.select("query", "aid", "level", "anchor", "via", "edge_type", r6(F.col("score"), "score"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(f"WITH {PT}, o AS (SELECT DISTINCT pt.query, pt.aid, round(pt.score, 9) AS score, pt.level, pt.anchor, pt.via, pt.edge_type FROM pt JOIN bp ON bp.query = pt.query AND bp.aid = pt.aid WHERE bp.rank <= 5 AND (pt.level, pt.anchor, pt.via, pt.edge_type) <> (bp.level, bp.anchor, bp.via, bp.edge_type)) SELECT query, aid, count(*) AS n_alternatives, string_agg(anchor || '>' || via || ':' || edge_type, ' ' ORDER BY score DESC, level, anchor, via, edge_type) AS alternatives FROM o GROUP BY 1, 2")
+def alternative_paths(spark, sf):
+    paths = dual_paths(spark, sf)
+    out = D.alternative_paths(paths, D.best_paths(paths))
+    shown = F.transform("alternatives", lambda p: F.concat(p["anchor"].cast("string"), F.lit(">"), p["via"].cast("string"), F.lit(":"), p["edge_type"]))
+    return out.select("query", "aid", F.size("alternatives").cast("bigint").alias("n_alternatives"), F.array_join(shown, " ").alias("alternatives"))
+
+
+@query(f"WITH {PT} SELECT query, count(*) AS n_not_selected, string_agg(aid::VARCHAR, ' ' ORDER BY rank) FILTER (rank <= 25) AS below_cutoff FROM bp WHERE rank > 5 GROUP BY 1")
+def selection_trace(spark, sf):
+    out = D.selection_trace(D.best_paths(dual_paths(spark, sf)))
+    return out.select("query", "n_not_selected", F.array_join(F.col("below_cutoff").cast("array<string>"), " ").alias("below_cutoff"))
+
+
+@query(f"""WITH {DL}, cn AS (SELECT an.query, an.rank, an.id AS seed, sm.id, sm.sim FROM an JOIN sm ON sm.query = an.id SEMI JOIN a ON a.qid = sm.id ANTI JOIN xq ON xq.query = an.query AND xq.id = sm.id ANTI JOIN an s ON s.query = an.query AND s.id = sm.id),
+e1 AS (SELECT query, seed, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rn FROM cn WHERE rank = 1) WHERE rn <= 2),
+e2 AS (SELECT query, seed, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rn FROM cn ANTI JOIN e1 USING (query, id) WHERE rank = 2) WHERE rn <= 2),
+e3 AS (SELECT query, seed, id, sim FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, id) AS rn FROM cn ANTI JOIN e1 USING (query, id) ANTI JOIN e2 USING (query, id) WHERE rank = 3) WHERE rn <= 2)
+SELECT query, seed, id, round(sim, 6) AS sim FROM (FROM e1 UNION ALL FROM e2 UNION ALL FROM e3)""")
+def semantic_expansion(spark, sf):
+    v, hits, _, a, out = dual_level(spark, sf)
+    w = Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "id")
+    seeds = hits.select("query", "id", F.row_number().over(w).alias("rank"))
+    return D.expanded(seeds, v, a, out, 2).select("query", "seed", "id", r6(F.col("sim"), "sim"))
+
+
+@query("""WITH k AS (SELECT l_quantity AS x, l_discount AS y, count(*)::DOUBLE AS c FROM lineitem GROUP BY 1, 2), n AS (SELECT sum(c) AS n FROM k),
+u AS (SELECT sum(p.c * q.c) AS up FROM k p JOIN k q ON p.x > q.x AND p.y > q.y), d AS (SELECT sum(p.c * q.c) AS down FROM k p JOIN k q ON p.x > q.x AND p.y < q.y),
+tx AS (SELECT sum(c * (c - 1) / 2) AS tx FROM (SELECT sum(c) AS c FROM k GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2) AS ty FROM (SELECT sum(c) AS c FROM k GROUP BY y))
+SELECT n::BIGINT AS n, round((up - down) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM n, u, d, tx, ty""")
+def kendall_tau(spark, sf):
+    return stats.kendall_tau(t(spark, sf, "lineitem"), "l_quantity", "l_discount").select("n", r6(F.col("tau"), "tau"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey < 12 AS g, s_acctbal AS v FROM supplier), o AS (SELECT count(*) FILTER (g) AS n1, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS difference FROM s),
+p AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY md5('42-' || r || '-' || s_suppkey), s_suppkey) <= n1 AS g, difference FROM s, o, range(1, 2001) x(r)),
+m AS (SELECT r, difference, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM p GROUP BY 1, 2)
+SELECT round(difference, 6) AS difference, round((count(*) FILTER (abs(d) >= abs(difference) - 1e-9) + 1) / 2001, 6) AS p FROM m GROUP BY difference""")
+def permutation_test(spark, sf):
+    out = stats.permutation_test(t(spark, sf, "supplier"), "s_suppkey", F.col("s_nationkey") < 12, "s_acctbal")
+    return out.select(r6(F.col("difference"), "difference"), r6(F.col("p"), "p"))
+
+
 @query("WITH p AS (SELECT o_orderkey AS qid, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS place FROM orders) SELECT qid, place, CASE WHEN place <= 384 THEN 'test' WHEN place <= 434 THEN 'dev' ELSE 'devlarge' END AS slice FROM p WHERE place <= 584")
 def sample_slices(spark, sf):
     return sampling.slices(questions(spark, sf).select("qid"), "qid", {"test": 384, "dev": 50, "devlarge": 150})
@@ -431,8 +520,6 @@ def gap_batches(spark, sf):
 
 @query(f"WITH {A}, r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, aid) AS rank, quantity > 25 AS rel FROM a) SELECT qid, count(*) AS n, round(avg(rel::INT), 6) AS precision, round(coalesce(1.0 / min(CASE WHEN rel THEN rank END), 0), 6) AS reciprocal_rank FROM r GROUP BY 1")
 def rank_metrics(spark, sf):
-    from pyspark.sql import Window
-
     a = answers(spark, sf).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "aid")))
     m = E.rank_metrics(a, "qid", "rank", F.col("quantity") > 25)
     return m.select("qid", "n", r6(F.col("precision"), "precision"), r6(F.col("reciprocal_rank"), "reciprocal_rank"))
