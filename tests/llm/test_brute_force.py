@@ -130,6 +130,31 @@ def test_toxicity_on_held_out_labels(spark, sf, odd):
     assert toxicity.score_toxicity(odd, none).where("toxic").count() == 0
 
 
+def test_toxicity_recall_by_language(spark, sf):
+    sf = sf.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    scored = toxicity.score_toxicity(docs, toxicity.train(docs, labels.where("doc_id % 5 <> 0"))).withColumnRenamed("toxic", "called").join(labels.where("doc_id % 5 = 0"), "doc_id").join(docs.select("doc_id", "lang"), "doc_id")
+    got = {r.lang: r for r in scored.groupBy("lang").agg(F.avg(F.when(F.col("toxic") == 1, F.col("called").cast("int"))).alias("recall"), F.count_if((F.col("toxic") == 0) & F.col("called")).alias("wrong")).collect()}
+    assert {k: r.recall >= (0.5 if k == "es" else 0.9) for k, r in got.items()} == dict.fromkeys(("de", "en", "es", "fr"), True)
+    assert sum(r.wrong for r in got.values()) <= 7
+
+
+def test_toxicity_uses_all_telling_words_and_counts_copies_once(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    bad, plain = [word() for _ in range(400)], [word() for _ in range(50)]
+    rows = [(" ".join([*r.choices(plain, k=6), bad[i % 400], str(i)]), 1) for i in range(4000)] + [(" ".join([*r.choices(plain, k=6), str(i)]), 0) for i in range(4000, 16000)]
+    rows += [("zebra tulips here", 1)] * 200
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id bigint, toxic int")
+    model = toxicity.train(docs, labels)
+    tried = spark.createDataFrame([(i, f"{plain[0]} {w}") for i, w in enumerate(bad)] + [(1000, "zebra tulips there")], "doc_id bigint, text string")
+    assert {r.doc_id for r in toxicity.score_toxicity(tried, model).where("toxic").collect()} == set(range(400))
+    # steps summed by jobs
+    other = toxicity.train(docs, labels, local=0)
+    assert np.array_equal(model.known, other.known) and np.allclose(model.weights, other.weights, atol=0.01) and np.allclose(model.cuts, other.cuts, atol=0.01)
+
+
 @pytest.mark.parametrize("remembered", [0, 1, 256])
 def test_linked_joins_all_components(remembered):
     """Drifting sets make components that grow side by side and meet late, whichever is the largest in between."""

@@ -1,15 +1,17 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
-Features are words whose presence sets toxic documents apart, found by counting every labelled document. Grades: 0 for
-documents labelled clean; 1 or 2 for those labelled toxic, by whether they hold fewer telling words than the median of
-such documents. One weight vector serves all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with b_1 < b_2.
+Features are words, and runs of GRAMS bytes of words and their edges, whose presence sets toxic texts apart, found by counting
+every distinct labelled text once. All that are telling are used, however many they are. Grades: 0 for texts labelled clean;
+1 or 2 for those labelled toxic, by whether they hold fewer telling words than the median of such texts. One weight vector
+serves all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with b_1 < b_2.
 The expected severity is the sum of these probabilities; a document is toxic if P(grade >= 1) is at least one half.
 
-The regression is fitted on a bounded sample of the labelled rows, SAMPLE; word counts cover all of them."""
+The regression is fitted to all distinct labelled texts. Up to LOCAL values of their features are fitted in the driver,
+beyond that each step's loss, gradient and curvature are summed by a job."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,54 +19,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadweave.llm.common import small, slices, text_of
+from threadweave.llm.common import RangeHash, mix, slices, small, text_of, written
 from threadweave.llm.decontamination import split
+from threadweave.llm.exact_dedup import normalised
 
-#: Labelled rows the regression is fitted on at most; words used; documents that a word must occur in.
-SAMPLE, FEATURES, SUPPORT = 20_000, 256, 8
-#: Log-likelihood ratio (a chi-squared value of one degree) from which a word is telling.
+#: Texts that a feature must occur in; lengths of the byte runs; values that are fitted in the driver at most.
+SUPPORT, GRAMS, LOCAL = 8, (4, 5), 1_000_000
+#: Cells of a matrix of texts and features that a task fills at once.
+CELLS = 16 << 20
+#: Log-likelihood ratio (a chi-squared value of one degree) from which a feature is telling.
 TELLING = 20.0
+GRADES = 3
 
 
 @dataclass
 class Model:
-    words: np.ndarray  # hashes, ascending
+    known: np.ndarray  # hashes of the features, ascending; even for words, odd for byte runs
     weights: np.ndarray
     cuts: np.ndarray
 
-    def severity(self, x: np.ndarray) -> np.ndarray:
-        """P(grade >= k) of each row, a column for each k."""
-        return 1 / (1 + np.exp(-np.clip((x @ self.weights)[:, None] - self.cuts, -40, 40)))
+    def severity(self, column: pa.Array) -> np.ndarray:
+        """P(grade >= k) of each text, a column for each k."""
+        row, k, c = features(self.known, column)
+        z = np.bincount(row, np.log1p(c) * self.weights[k], len(column))
+        return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts, -40, 40)))
 
 
-def features(known: np.ndarray, column: pa.Array) -> np.ndarray:
-    """log(1 + occurrences) of the known words in each text."""
-    _, _, _, hashes, first = split(column)
-    n = len(first) - 1
-    x = np.zeros((n, len(known)))
-    if len(known) and len(hashes):
-        k = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        at = np.flatnonzero(known[k] == hashes)
-        np.add.at(x, (np.searchsorted(first, at, side="right") - 1, k[at]), 1)
-    return np.log1p(x)
+def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... with n[i] numbers for each i."""
+    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of some texts: the text and the distinct word of each word; the distinct word and the hash of each feature, by word."""
+    data, start, end, hashes, first = split(column)
+    _, at, word = np.unique(hashes, return_index=True, return_inverse=True)
+    # the distinct words one after the other, each between two spaces, which no word holds
+    n = end[at] - start[at]
+    base = np.cumsum(n + 2) - (n + 2)
+    padded = np.full(int((n + 2).sum()), 32, np.uint8)
+    padded[spread(base + 1, n)] = data[spread(start[at], n)]
+    hashed = RangeHash(padded)
+    runs = []
+    for size in GRAMS:
+        runs.append(np.maximum(n + 2 - size, -1) + 1)
+        runs[-1][n + 2 == size] = 0  # the whole word
+    total = 1 + sum(runs)
+    place = np.cumsum(total) - total
+    feature = np.empty(int(total.sum()), np.uint64)
+    feature[place] = hashes[at] & ~np.uint64(1)
+    place += 1
+    for size, r in zip(GRAMS, runs):
+        begin = spread(base, r)
+        feature[spread(place, r)] = mix(hashed(begin, begin + size)) | np.uint64(1)
+        place += r
+    return np.repeat(np.arange(len(first) - 1), np.diff(first)), word, np.repeat(np.arange(len(at)), total), feature
+
+
+def features(known: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, feature and its number of occurrences, for the known features of each text, in order."""
+    none = np.zeros(0, np.int64)
+    if not len(known):
+        return none, none, none
+    doc, word, owner, feature = vocabulary(column)
+    k = np.minimum(np.searchsorted(known, feature), len(known) - 1)
+    hit = known[k] == feature
+    owner, k = owner[hit], k[hit]
+    n = np.bincount(owner, minlength=int(word.max()) + 1 if len(word) else 0)
+    begin, at = np.cumsum(n) - n, np.flatnonzero(n[word])
+    n = n[word[at]]
+    key = np.repeat(doc[at], n) * len(known) + k[spread(begin[word[at]], n)]
+    if len(column) * len(known) <= CELLS:
+        count = np.bincount(key)
+        key = np.flatnonzero(count)
+        count = count[key]
+    else:
+        key, count = np.unique(key, return_counts=True)
+    return key // len(known), key % len(known), count
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents, and toxic ones, that hold each word."""
+    """Texts, and toxic ones, that hold each feature."""
     for batch in batches:
         for part in slices(batch):
-            _, _, _, hashes, first = split(part.column("text"))
+            doc, word, owner, feature = vocabulary(part.column("text"))
             toxic = part.column("toxic").to_numpy(zero_copy_only=False)
-            doc = np.repeat(np.arange(len(toxic)), np.diff(first))
-            order = np.lexsort((doc, hashes))
-            h, d = hashes[order], doc[order]
-            fresh = np.ones(len(h), bool)
-            fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h, d = h[fresh], d[fresh]
-            begin = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-            n = np.diff(np.append(begin, len(h)))
-            bad = np.add.reduceat((toxic[d] > 0).astype(np.int64), begin) if len(h) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"word": pa.array(h[begin].view(np.int64)), "n": pa.array(n.astype(np.int64)), "bad": pa.array(bad)})
+            n_words = int(word.max()) + 1 if len(word) else 0
+            pair = np.unique(doc * max(1, n_words) + word)
+            doc, word = pair // max(1, n_words), pair % max(1, n_words)
+            known, k = np.unique(feature, return_inverse=True)
+            n = np.bincount(owner, minlength=n_words)
+            begin, n = (np.cumsum(n) - n)[word], n[word]
+            total = np.zeros((2, len(known)), np.int64)
+            some = max(1, CELLS // max(1, len(known)))
+            for a in range(0, len(toxic), some):
+                i, j = np.searchsorted(doc, (a, a + some))
+                held = np.zeros((min(some, len(toxic) - a), len(known)), bool)
+                held[np.repeat(doc[i:j] - a, n[i:j]), k[spread(begin[i:j], n[i:j])]] = True
+                total += held.sum(axis=0), held[toxic[a : a + some] > 0].sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(known.view(np.int64)), "n": pa.array(total[0]), "bad": pa.array(total[1])})
 
 
 def likelihood_ratio(docs: int, toxic: int):
@@ -75,58 +128,131 @@ def likelihood_ratio(docs: int, toxic: int):
     return F.when(a * docs > n * toxic, g2).otherwise(-g2)
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, penalty: float = 1.0, steps: int = 60) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and rising cuts by damped Newton steps on the penalised log-likelihood of the cumulative splits."""
-    n, f = x.shape
-    share = [np.clip((grade >= k).mean(), 1e-4, 1 - 1e-4) for k in range(1, grades)]
-    w, b = np.zeros(f), np.array([-np.log(p / (1 - p)) for p in share])
+def slopes(theta: np.ndarray, grade: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The negative log-likelihood of the cumulative splits over these rows; its gradient by theta, weights and cuts; and the
+    diagonal of its second derivatives."""
+    f, x = len(theta) - GRADES + 1, np.log1p(c)
+    z = np.bincount(row, x * theta[k], len(grade))
+    out, pull, bend = np.zeros(2 * len(theta) + 1), np.zeros(len(grade)), np.zeros(len(grade))
+    grad, curve = out[1 : len(theta) + 1], out[len(theta) + 1 :]
+    for j in range(1, GRADES):
+        m, y = z - theta[f + j - 1], grade >= j
+        p = 1 / (1 + np.exp(-np.clip(m, -40, 40)))
+        out[0] += np.logaddexp(0, np.where(y, -m, m)).sum()
+        grad[f + j - 1], curve[f + j - 1] = (y - p).sum(), (p * (1 - p)).sum()
+        pull += p - y
+        bend += p * (1 - p)
+    grad[:f], curve[:f] = np.bincount(k, x * pull[row], f), np.bincount(k, x * x * bend[row], f)
+    return out
+
+
+def minimum(sums: Callable[[np.ndarray], np.ndarray], theta: np.ndarray, penalty: np.ndarray, steps: int = 200, near: float = 1e-3, gain: float = 1e-6) -> np.ndarray:
+    """Where sums' first value plus penalty.theta^2 / 2 is least: limited-memory BFGS steps from the diagonal of the second
+    derivatives, halved until the value falls, until no slope exceeds `near` or a step gains less than `gain` of the value."""
+    n = len(theta)
+
+    def value(t: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        s = sums(t)
+        return s[0] + (penalty * t * t).sum() / 2, s[1 : n + 1] + penalty * t, s[n + 1 :] + penalty
+
+    (at, grad, curve), past = value(theta), []
     for _ in range(steps):
-        grad, hess = penalty * w, penalty * np.eye(f)
-        cross, gb, hb = np.zeros((f, grades - 1)), np.zeros(grades - 1), np.zeros(grades - 1)
-        for k in range(grades - 1):
-            p = 1 / (1 + np.exp(-np.clip(x @ w - b[k], -40, 40)))
-            r, v = p - (grade >= k + 1), np.maximum(p * (1 - p), 1e-9)
-            grad, hess = grad + x.T @ r, hess + (x * v[:, None]).T @ x
-            cross[:, k], gb[k], hb[k] = -(x.T @ v), -r.sum(), v.sum()
-        full = np.block([[hess, cross], [cross.T, np.diag(hb + 1e-6)]])
-        step = np.linalg.solve(full + 1e-6 * np.eye(len(full)), np.concatenate((grad, gb)))
-        step *= min(1.0, 5.0 / max(1e-9, np.abs(step).max()))
-        w, b = w - step[:f], np.maximum.accumulate(b - step[f:])
-        if np.abs(step).max() < 1e-6:
+        if np.abs(grad).max() < near:
+            break
+        way, used = grad.copy(), []
+        for s, y in reversed(past):
+            used.append((s @ way) / (s @ y))
+            way -= used[-1] * y
+        way /= curve
+        for (s, y), a in zip(past, reversed(used)):
+            way += s * (a - (y @ way) / (s @ y))
+        size = min(1.0, 5.0 / max(1e-9, np.abs(way).max()))
+        while True:
+            new = theta - size * way
+            got, slope, bent = value(new)
+            if got <= at - 1e-4 * size * (way @ grad) or size < 1e-6:
+                break
+            size /= 2
+        if got >= at:  # no digits left
+            break
+        if (new - theta) @ (slope - grad) > 0:
+            past = [*past, (new - theta, slope - grad)][-10:]
+        done = at - got < gain * got
+        theta, at, grad, curve = new, got, slope, bent
+        if done:
             break
-    return w, b
+    return theta
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES, support: int = SUPPORT, telling: float = TELLING, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def flat(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
+    """The arguments of slopes from rows (grade, k, c)."""
+    grade, k, c = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in map(batch.column, ("grade", "k", "c")))
+    row = np.repeat(np.arange(len(grade)), np.diff(k.offsets.to_numpy()))
+    return grade.to_numpy(zero_copy_only=False), row, k.flatten().to_numpy(zero_copy_only=False), c.flatten().to_numpy(zero_copy_only=False)
+
+
+def summed(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+    """slopes over a table of rows, by a job for each call."""
+
+    def sums(theta: np.ndarray) -> np.ndarray:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(2 * len(theta) + 1)
+            for b in batches:
+                total += slopes(theta, *flat(b))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(at), "v": pa.array(total[at])})
+
+        got = rows.mapInArrow(some, "at bigint, v double").groupBy("at").agg(F.sum("v").alias("v")).toPandas()
+        out = np.zeros(2 * len(theta) + 1)
+        out[got["at"].to_numpy(int)] = got["v"]
+        return out
+
+    return sums
+
+
+def fit_ordinal(rows: DataFrame, f: int, local: int = LOCAL, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of f features and rising cuts with the least penalised loss over all rows (grade, k, c)."""
+    total = rows.agg(F.count("*").alias("n"), F.sum(F.size("k") + 1).alias("values"), *(F.count_if(F.col("grade") >= j).alias(f"g{j}") for j in range(1, GRADES))).first()
+    if total["values"] <= local:
+        held = flat(rows.toArrow())
+        sums = lambda theta: slopes(theta, *held)
+    else:
+        sums = summed(rows)
+    share = np.clip([total[f"g{j}"] / total["n"] for j in range(1, GRADES)], 1e-4, 1 - 1e-4)
+    theta = minimum(sums, np.concatenate((np.zeros(f), np.log(1 / share - 1))), np.concatenate((np.full(f, penalty), np.full(GRADES - 1, 1e-6))))
+    return theta[:f], np.maximum.accumulate(theta[f:])
+
+
+def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, support: int = SUPPORT, telling: float = TELLING, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents. Labels without a document, null labels and null ids are left out; of several labels
-    of a document the largest counts. Without toxic documents the model has no words and calls nothing toxic."""
+    of a document or of a text the largest counts. Texts that are equal when white-space runs become one space count once.
+    Without toxic documents the model has no features and calls nothing toxic."""
     one = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    texts = docs.select(F.col(id_col).alias("__id"), text_of(text_col).alias("text"))
-    rows = texts.join(small(one), "__id")
+    texts = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("text"))
+    rows = texts.join(small(one), "__id").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
+    rows = written(rows.select("text", "toxic"), "labelled")
     seen = rows.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
     if not seen.bad or seen.bad == seen.n:
-        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(2, 40.0 if not seen.bad else -40.0))
-    counts = rows.select("text", "toxic").mapInArrow(counted, "word bigint, n bigint, bad bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    best = counts.where((F.col("n") >= support) & (F.col("bad") > 0)).select("word", likelihood_ratio(seen.n, seen.bad).alias("g2")).where(F.col("g2") >= telling).orderBy(F.desc("g2"), "word").limit(n_features).collect()
-    known = np.sort(np.array([r.word for r in best], np.int64).view(np.uint64))
+        return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0 if not seen.bad else -40.0))
+    counts = rows.mapInArrow(counted, "feature bigint, n bigint, bad bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    found = counts.where((F.col("n") >= support) & (F.col("bad") > 0)).select("feature", likelihood_ratio(seen.n, seen.bad).alias("g2")).where(F.col("g2") >= telling).select("feature").toPandas()
+    known = np.sort(found["feature"].to_numpy(np.int64).view(np.uint64))
 
-    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                x = features(known, part.column("text"))
-                hits = [np.flatnonzero(r) for r in x]
-                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "k": pa.array([h.tolist() for h in hits], pa.list_(pa.int32())), "x": pa.array([r[h].tolist() for r, h in zip(x, hits)], pa.list_(pa.float64()))})
-
-    share = min(1.0, sample / seen.n)
-    chosen = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0)).select("text", "toxic")
-    got = chosen.mapInArrow(sampled, "toxic int, k array<int>, x array<double>").toPandas()
-    x = np.zeros((len(got), len(known)))
-    for i, (k, v) in enumerate(zip(got["k"], got["x"])):
-        x[i, np.asarray(k, int)] = v
-    bad = got["toxic"].to_numpy() > 0
-    hits = np.rint(np.expm1(x).sum(axis=1))
-    grade = np.where(bad, 1 + (hits >= np.median(hits[bad])), 0) if bad.any() else np.zeros(len(x), int)
-    return Model(known, *fit_ordinal(x, grade, 3))
+                row, k, c = features(known, part.column("text"))
+                first = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                word = known[k] & np.uint64(1) == 0
+                hits = np.bincount(row[word], c[word], part.num_rows).astype(np.int64)
+                k, c = (pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (k, c))
+                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "hits": pa.array(hits), "k": k, "c": c})
+
+    rows = rows.mapInArrow(encoded, "toxic int, hits bigint, k array<int>, c array<int>")
+    rows = written(rows, "encoded")
+    median = rows.where("toxic > 0").agg(F.percentile("hits", F.lit(0.5)).alias("m")).first().m
+    grade = F.when(F.col("toxic") > 0, F.when(F.col("hits") >= median, 2).otherwise(1)).otherwise(0)
+    return Model(known, *fit_ordinal(rows.select(grade.alias("grade"), "k", "c"), len(known), local))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,7 +262,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                p = model.severity(features(model.words, part.column("text")))
+                p = model.severity(part.column("text"))
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "expected_severity": pa.array(p.sum(axis=1)), "p_toxic": pa.array(p[:, 0]), "p_severe": pa.array(p[:, 1]), "toxic": pa.array(p[:, 0] >= 0.5)})
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_of(text_col).alias("text"))
