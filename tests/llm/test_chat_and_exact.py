@@ -64,3 +64,15 @@ def test_index_inserts_deletes_and_resizes(spark):
     without = exact_dedup.update_index(exact_dedup.changes_of(rows.where("doc = 3"), 2, sign=-1), index)
     again = {r.doc_id: r for r in exact_dedup.exact_dedup(more, index=without, n_shards=2).collect()}
     assert again[9].kept and again[9].group_size == 1
+
+
+def test_large_ids_beside_a_null_id(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a"), (big + 2, "a"), (big + 4, "b"), (None, "c")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df, n_shards=1).collect()}
+    assert got == {(big, big, True), (big + 2, big, False), (big + 4, big + 4, True), (None, None, True)}
+    assert {r.doc_id for r in exact_dedup.dedup_documents(df).collect()} == {big, big + 4, None}
+    # ids that an index holds
+    index = exact_dedup.update_index(exact_dedup.changes_of(exact_dedup.digests(df), 1))
+    more = spark.createDataFrame([(big + 8, "b")], "doc_id bigint, text string")
+    assert [r.keep_id for r in exact_dedup.exact_dedup(more, index=index, n_shards=1).collect()] == [big + 4]

@@ -106,3 +106,9 @@ def test_sentencepiece_counts(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = {r.doc_id: r.text or "" for r in odd.collect()}
     assert all(r.n_tokens == len(sp.encode(texts[r.doc_id])) for r in got)
+
+
+def test_packing_keeps_large_ids_beside_a_null_id(spark):
+    big = 2**53 + 1
+    df = spark.createDataFrame([(big, "a b"), (big + 2, "c"), (None, "d")], "doc_id bigint, text string")
+    assert {r.doc_id for r in packing.pack_documents(df, tokenizer_path(queries.WORD_BPE)).collect()} == {big, big + 2, None}

@@ -9,7 +9,7 @@ from the live count and, when none is left, the fingerprint from the filter."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,15 +124,14 @@ def normalised(col: str = "text") -> Column:
     return F.regexp_replace(text_of(col), r"[\x20\x09-\x0D]+", " ")
 
 
-def _changed(index: pd.DataFrame, changes: pd.DataFrame) -> tuple[CuckooFilter, dict, list]:
+def _changed(index: pa.Table, changes: pa.Table) -> tuple[CuckooFilter, dict, list]:
     """Applies one shard's changes (n > 0 inserts rows, n < 0 deletes them) to its keys; the filter, the keys, the decisions."""
     keys: dict[str, list[int]] = {}
-    for r in index.itertuples():
-        keys.update({d: [k, w, s] for d, k, w, s in zip(r.digests, r.keep_ids, r.keep_rows, r.sizes)})
+    for r in index.to_pylist():
+        keys.update({d: [k, w, s] for d, k, w, s in zip(r["digests"], r["keep_ids"], r["keep_rows"], r["sizes"])})
     live = CuckooFilter.of(list(keys))
     told = []
-    for r in changes.itertuples():
-        d, doc, row, n = r.text_sha256, (None if pd.isna(r.doc) else int(r.doc)), int(r.row), int(r.n)
+    for d, doc, row, n in zip(*(changes.column(c).to_pylist() for c in ("text_sha256", "doc", "row", "n"))):
         known = live.contains(d)
         if known:
             keys[d][2] += n
@@ -152,15 +151,19 @@ def _changed(index: pd.DataFrame, changes: pd.DataFrame) -> tuple[CuckooFilter,
     return live, keys, told
 
 
-def _decide(index: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-    out = pd.DataFrame(_changed(index, changes)[2], columns=[c.split()[0] for c in DECISIONS.split(", ")])
-    return out.astype({"keep_id": "Int64", "keep_row": "Int64", "group_size": "int64"})
+def _decide(index: pa.Table, changes: pa.Table) -> pa.Table:
+    columns = list(zip(*_changed(index, changes)[2])) or [()] * 5
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+    return pa.table({c.split()[0]: pa.array(v, t) for c, v, t in zip(DECISIONS.split(", "), columns, types)})
 
 
-def _update(index: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+def _update(index: pa.Table, changes: pa.Table) -> pa.Table:
     live, keys, _ = _changed(index, changes)
-    shard = int((index if len(index) else changes)["shard"].iloc[0])
-    return pd.DataFrame([(shard, live.n, live.table.tobytes(), list(keys), *([v[i] for v in keys.values()] for i in range(3)))], columns=[c.split()[0] for c in INDEX.split(", ")])
+    shard = (index if len(index) else changes).column("shard")[0].as_py()
+    lists = [list(keys), *([v[i] for v in keys.values()] for i in range(3))]
+    types = [pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3]
+    row = (shard, live.n, live.table.tobytes(), *lists)
+    return pa.table({c.split()[0]: pa.array([v], t) for c, v, t in zip(INDEX.split(", "), row, types)})
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,7 +183,7 @@ def changes_of(rows: DataFrame, n_shards: int, sign: int = 1) -> DataFrame:
 def update_index(changes: DataFrame, index: DataFrame | None = None) -> DataFrame:
     """The index after these changes (columns of changes_of, same number of shards), one row a shard."""
     index = changes.sparkSession.createDataFrame([], INDEX) if index is None else index
-    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_update, INDEX)
+    return index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_update, INDEX)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", index: DataFrame | None = None, n_shards: int | None = None) -> DataFrame:
@@ -196,7 +199,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     changes = changes_of(rows, n_shards)
     if index is None:
         index = docs.sparkSession.createDataFrame([], INDEX)
-    told = index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(_decide, DECISIONS)
+    told = index.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_decide, DECISIONS)
     return rows.join(told, "text_sha256").select(F.col("doc").alias("doc_id"), "keep_id", "group_size", (F.col("doc").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))).alias("kept"), "text_sha256", "row")
 
 

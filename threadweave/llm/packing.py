@@ -10,7 +10,6 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -105,27 +104,25 @@ def packed(path: str, end_id: int, window: int, n_open: int, slack: int, keep_id
 
 
 def merged(window: int, keep_ids: bool):
-    def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["sequence_id", "doc_id", "start", "length", "ids_crc32"], kind="stable")
-        group, out, made = int(rows["merge"].iloc[0]), [], 0
-        sizes = [len(x) for x in rows["ids"]]
-        left = int(sum(sizes))
+    def merge(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("sequence_id", "doc_id", "start", "length", "ids_crc32")]).combine_chunks()
+        group, out = rows.column("merge")[0].as_py(), []
+        pieces = rows.column("ids").combine_chunks()
+        flat, bounds = pieces.flatten().to_numpy(), np.concatenate(([0], np.cumsum(pieces.value_lengths().to_numpy()))).astype(np.int64)
+        left = len(flat)
         # the lengths of the sequences: full windows, then the binary digits of what remains
         lengths = [window] * (left // window) + [1 << b for b in range(window.bit_length() - 1, -1, -1) if (left % window) >> b & 1]
         room, at_seq, nr = (lengths[0] if lengths else 0), 0, 0
-        for r, ids in zip(rows.itertuples(), rows["ids"]):
-            at = 0
-            ids = np.asarray(ids, "<u4")
+        for doc, start, total, a, b in zip(*(rows.column(c).to_pylist() for c in ("doc_id", "start", "doc_tokens")), bounds[:-1], bounds[1:]):
+            at, ids = 0, flat[a:b]
             while at < len(ids):
                 take = min(room, len(ids) - at)
-                cut = ids[at : at + take]
-                doc = None if pd.isna(r.doc_id) else int(r.doc_id)
-                out.append((doc, int(r.start) + at, take, zlib.crc32(np.ascontiguousarray(cut)), int(r.doc_tokens), -(group << 33) - nr - 1, at_seq, cut.astype(np.int32) if keep_ids else None))
+                out.append(((doc, start + at, ids[at : at + take], total), -(group << 33) - nr - 1, at_seq))
                 at, room, at_seq = at + take, room - take, at_seq + take
                 if not room:
                     nr, at_seq = nr + 1, 0
                     room = lengths[nr] if nr < len(lengths) else 0
-        return pd.DataFrame(out, columns=NAMES).astype({"doc_id": "Int64"})
+        return pa.Table.from_arrays(table(out, lambda _: keep_ids), NAMES)
 
     return merge
 
@@ -143,5 +140,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id
     rows = written(rows.mapInArrow(packed(tokenizer, end_id, window, n_open, slack, keep_ids), PIECES), "packed")
     full = rows.where("sequence_id >= 0")
     left = rows.where("sequence_id < 0").withColumn("merge", F.expr(f"(-sequence_id - 1) div {MERGED}"))
-    out = full.unionByName(left.groupBy("merge").applyInPandas(merged(window, keep_ids), PIECES))
+    out = full.unionByName(left.groupBy("merge").applyInArrow(merged(window, keep_ids), PIECES))
     return out if keep_ids else out.drop("ids")
