@@ -7,17 +7,20 @@ that can't be relied on (the strings of special tokens, rare white space with th
 
 from __future__ import annotations
 
-import re
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from threadweave.llm.common import LOWER, SPACES
+from threadweave.llm.common import LOWER, SPACES, spread
 
-#: Pieces that a worker remembers; beyond that it starts anew, so its memory is bounded.
-REMEMBERED = 300_000
+#: Pieces in a generation of a worker's memory. A full one becomes the old one, which takes the place of the one before it;
+#: what is met again moves into the new one, so memory is bounded and pieces in use are kept.
+REMEMBERED = 200_000
+#: Pieces that are handed to the library as one text, line by line.
+JOINED = 512
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -27,8 +30,8 @@ _OTHER &= ~_LETTER & ~SPACES
 _FLAT = LOWER.copy()
 _FLAT[[9, 10, 11, 12, 13]] = 32
 _RARE_SPACE = "[\x1c-\x1f\u0085   -     　]"
-_LATIN_LOWER = re.compile("[a-zß-öø-ÿ]+")
-_LATIN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_LATIN_LOWER = "^[a-zß-öø-ÿ]+$"
+_LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
 class Encoder:
@@ -43,32 +46,62 @@ class Encoder:
         self.lowers = self.whole.normalizer is not None
         # the same model for pieces that are one pre-token and that the normalizer leaves alone
         self.plain = Tokenizer(self.whole.model)
-        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        (self.line,) = self.plain.encode("\n", add_special_tokens=False).ids
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ptr = [0]
-        self.ids = np.zeros(1 << 16, np.int32)
-
-    def _remember(self, pieces: list[str]) -> None:
-        if self.lowers:
-            bare = [p.strip(" ") for p in pieces]
-            easy = [bool(_LATIN_LOWER.fullmatch(p)) for p in bare]
-        else:
-            bare = pieces
-            easy = [bool(_LATIN.fullmatch(p)) for p in bare]
-        first = iter(self.plain.encode_batch_fast([p for p, e in zip(bare, easy) if e], add_special_tokens=False))
-        rest = iter(self.whole.encode_batch_fast([p for p, e in zip(pieces, easy) if not e], add_special_tokens=False))
-        got = [next(first if e else rest).ids for e in easy]
-        for p, ids in zip(pieces, got):
-            at, end = self.ptr[-1], self.ptr[-1] + len(ids)
-            while end > len(self.ids):
-                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
-            self.ids[at:end] = ids
-            self.place[p] = len(self.ptr) - 1
-            self.ptr.append(end)
+        """Starts a new generation of the memory, and drops the old one."""
+        none: tuple[dict[str, int], np.ndarray, np.ndarray] = ({}, np.zeros(1, np.int64), np.zeros(0, np.int32))
+        self.old = (self.place, self.ptr, self.ids) if hasattr(self, "place") else none
+        self.place, self.ptr, self.ids = none[0], none[1], none[2]
+
+    def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of pieces that aren't remembered."""
+        bare = pc.utf8_trim(pieces, " ") if self.lowers else pieces
+        easy = pc.match_substring_regex(bare, _LATIN_LOWER if self.lowers else _LATIN).to_numpy(zero_copy_only=False)
+        words = bare.filter(pa.array(easy)).to_pylist()
+        # a line break is a token of its own, which no such piece has: the ids of many pieces come back as one list
+        lines = ["\n".join(words[k : k + JOINED]) + "\n" for k in range(0, len(words), JOINED)]
+        flat = np.array([i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int32)
+        stop = np.flatnonzero(flat == self.line)
+        rest = [e.ids for e in self.whole.encode_batch_fast(pieces.filter(pa.array(~easy)).to_pylist(), add_special_tokens=False)]
+        size = np.zeros(len(pieces), np.int64)
+        size[easy] = np.diff(stop, prepend=-1) - 1
+        size[~easy] = [len(x) for x in rest]
+        ids = np.zeros(size.sum(), np.int32)
+        of_easy = np.repeat(easy, size)
+        ids[of_easy] = flat[flat != self.line]
+        ids[~of_easy] = [i for x in rest for i in x]
+        return size, ids
+
+    def _remember(self, pieces: list[str], size: np.ndarray, ids: np.ndarray) -> None:
+        self.place.update(zip(pieces, range(len(self.place), len(self.place) + len(pieces))))
+        self.ptr = np.concatenate((self.ptr, self.ptr[-1] + np.cumsum(size)))
+        self.ids = np.concatenate((self.ids, ids))
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where each of these distinct pieces is in the memory, after the unknown ones have been encoded."""
+        if len(self.place) > REMEMBERED:
+            self.forget()
+        names = pieces.to_numpy(zero_copy_only=False).tolist()
+        at = np.array(list(map(self.place.get, names, repeat(-1))), np.int64)
+        new = np.flatnonzero(at < 0)
+        if not len(new):
+            return at
+        at[new] = len(self.place) + np.arange(len(new))
+        names = [names[k] for k in new]
+        place, ptr, ids = self.old
+        was = np.array(list(map(place.get, names, repeat(-1))), np.int64)
+        size = np.where(was >= 0, ptr[was + 1] - ptr[was], 0)
+        size[was < 0], made = self._fresh(pieces.take(pa.array(new[was < 0])))
+        every = np.zeros(size.sum(), np.int32)
+        again = np.repeat(was >= 0, size)
+        every[again] = ids[spread(ptr[was[was >= 0]], size[was >= 0])]
+        every[~again] = made
+        self._remember(names, size, every)
+        return at
 
     def _direct(self, column: pa.Array, data: np.ndarray) -> np.ndarray:
         odd = np.zeros(len(column), bool)
@@ -98,19 +131,11 @@ class Encoder:
         """All ids of the texts one after the other, and where each text's ids begin (one more at the end)."""
         odd = self._direct(column, data)
         at, coded = self.pieces(off, data)
-        distinct = coded.dictionary.to_pylist()
-        if len(self.place) > REMEMBERED:
-            self.forget()
-        new = [p for p in distinct if p not in self.place]
-        if new:
-            self._remember(new)
-        place, ptr = self.place, np.asarray(self.ptr, np.int64)
-        nr = np.fromiter((place[p] for p in distinct), np.int64, len(distinct))
-        nr = nr[coded.indices.to_numpy()] if len(distinct) else nr
-        size = ptr[nr + 1] - ptr[nr]
-        ends = np.concatenate(([0], np.cumsum(size)))
+        nr = self._places(coded.dictionary)
+        lists = pa.ListArray.from_arrays(pa.array(self.ptr.astype(np.int32)), pa.array(self.ids)).take(pa.array(nr))
+        got = pa.LargeListArray.from_arrays(pa.array(lists.offsets.to_numpy().astype(np.int64)), lists.values).take(coded.indices)
+        ids, ends = got.values.to_numpy(), got.offsets.to_numpy()
         bounds = ends[np.searchsorted(at, off)]
-        ids = self.ids[np.repeat(ptr[nr] - ends[:-1], size) + np.arange(ends[-1])]
         if odd.any():
             parts = [ids[bounds[k] : bounds[k + 1]] for k in range(len(column))]
             for k in np.flatnonzero(odd):

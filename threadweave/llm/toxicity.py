@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadweave.llm.common import RangeHash, mix, slices, small, text_of, written
+from threadweave.llm.common import RangeHash, mix, slices, small, spread, text_of, written
 from threadweave.llm.decontamination import split
 from threadweave.llm.exact_dedup import normalised
 
@@ -45,11 +45,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z[:, None] - self.cuts, -40, 40)))
 
 
-def spread(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """begin[i], begin[i] + 1, ... with n[i] numbers for each i."""
-    return np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-
-
 def vocabulary(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of some texts: the text and the distinct word of each word; the distinct word and the hash of each feature, by word."""
     data, start, end, hashes, first = split(column)
