@@ -20,7 +20,7 @@ from threadweave.llm.tokens import encoder, with_end
 
 WINDOW, OPEN, SLACK = 4096, 64, 24
 #: Partitions whose leftovers are merged by one task: at most MERGED * OPEN windows meet there.
-MERGED = 32
+MERGED = 4
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids array<int>"
 #: A document of a partition: which, its number in the partition, ids before the piece, the ids, ids of the document.
 Piece = tuple[int | None, int, np.ndarray, int]
