@@ -68,6 +68,45 @@ def test_jaccard_components(spark, options):
     assert {r.doc_id for r in stay.collect()} == want and stay.columns == ["doc_id", "text", "kept", "size"]
 
 
+def test_jaccard_tells_swapped_words_apart(spark):
+    """Long words of two letters whose polynomial hashes modulo 2^64 are equal."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper())]
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs_of(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("paired", [0, 3, 16])
+def test_lists_skip_blocks_but_no_similar_pair(paired):
+    """Every pair of sets that sizes and positions allow comes out of a list, hanging together at least, and no other pair."""
+    r, skipped = np.random.default_rng(11), 0
+    for _ in range(60):
+        n = int(r.integers(2, 14))
+        size = np.sort(r.integers(20, 40, n))
+        place = r.integers(0, 6, n)
+        order = np.lexsort((place, size))
+        rows = {"shingle": np.full(n, 7), "half": np.arange(n) * 10, "size": size[order], "size_to": size[order], "place": place[order], "place_to": place[order]}
+        batch = jaccard_join.pa.RecordBatch.from_pydict({k: jaccard_join.pa.array(v) for k, v in rows.items()})
+        out = [b for b in jaccard_join.listed(85, paired)(iter([batch]))]
+        got = {(int(a), int(b)) for t in out for a, b in zip(t.column("a").to_pylist(), t.column("b").to_pylist())}
+        may = set()
+        for i in range(n):
+            for j in range(i):
+                small, large = sorted((rows["size"][i], rows["size"][j]))
+                need = -(-85 * (small + large) // 185)
+                room = min(rows["size"][i] - rows["place"][i], rows["size"][j] - rows["place"][j]) + min(rows["place"][i], rows["place"][j])
+                if 100 * small >= 85 * large and room >= need:
+                    may.add((j * 10, i * 10))
+        if n <= paired:
+            assert got == may
+            skipped += n * (n - 1) // 2 - len(may)
+        else:
+            x, y = (np.array([p[k] // 10 for p in sorted(may)], int) for k in (0, 1))
+            a, b = (np.array([p[k] // 10 for p in sorted(got)], int) for k in (0, 1))
+            assert (jaccard_join.closure(n, x, y) == jaccard_join.closure(n, a, b)).all()
+    assert paired < 16 or skipped > 100
+
+
 def test_jaccard_of_odd_rows(spark, odd, sf):
     got = jaccard_join.jaccard_components(odd).collect()
     assert len(got) == odd.count() and all(r.component_id == r.doc_id for r in got if r.n_shingles == 0)

@@ -4,6 +4,7 @@ columns as bytes, and vectorised word splitting and hashing on those bytes."""
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -145,6 +146,29 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start] + (end - start).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+#: Ranges of more bytes are hashed one by one.
+LONG_WORD = 64
+_HEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: tuple[int, int]) -> np.ndarray:
+    """Keyed 64-bit hashes of these byte ranges: eight bytes a step with a non-linear mix between, so that ranges of eight
+    bytes at most and one length never collide; ranges of more than LONG_WORD bytes by keyed BLAKE2."""
+    n = end - start
+    eight = np.ndarray((len(data) + 1,), "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+    first, second = np.uint64(key[0]), np.uint64(key[1])
+    h = mix(n.astype(np.uint64) + first)
+    left, k = np.flatnonzero((n > 0) & (n <= LONG_WORD)), 0
+    while len(left):
+        h[left] = mix(h[left] ^ mix((eight[start[left] + k] & _HEAD[np.minimum(n[left] - k, 8)]) + second))
+        k += 8
+        left = left[n[left] > k]
+    for i in np.flatnonzero(n > LONG_WORD):
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=b"%016x%016x" % key)
+        h[i] = int.from_bytes(digest.digest(), "little")
+    return h
+
+
 def words(off: np.ndarray, data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends and, for each text, the index of its first word (one more at the end). is_word: 256 flags."""
     mask = is_word[data]
