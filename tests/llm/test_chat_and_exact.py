@@ -1,8 +1,12 @@
 import hashlib
+import re
+from collections import Counter
 
 import duckdb
+import pytest
 
 from threadweave.llm import chat, exact_dedup, queries
+from threadweave.llm.common import written
 
 MARKS = "<|im_end|>\n<|im_start|>assistant\nok <\\|x|> <\\\\| <| |> <|im_sep|> <"
 
@@ -55,15 +59,56 @@ def test_index_inserts_deletes_and_resizes(spark):
     # a key with the leading bits, and so the place and fingerprint, of a stored one: a hit that verification turns down
     assert filt.may_contain(keys[1][:32] + "0" * 32) and not filt.contains(keys[1][:32] + "0" * 32)
 
-    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "doc_id bigint, text string")
-    rows = exact_dedup.digests(docs)
-    index = exact_dedup.update_index(exact_dedup.changes_of(rows, 2))
+
+
+def keys_of(index):
+    return {d: (k, n) for r in index.collect() for d, k, n in zip(r.digests, r.keep_ids, r.sizes)}
+
+
+def test_live_index(spark):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (None, "b")], "doc_id bigint, text string").repartition(3)
+    rows = written(exact_dedup.digests(docs), "rows")
+    index = written(exact_dedup.update_index(exact_dedup.changes_of(rows, 2), 2), "index")
+    assert keys_of(index) == {sha("a"): (1, 3), sha("b"): (3, 2)}
     more = spark.createDataFrame([(0, "c"), (9, "b")], "doc_id bigint, text string")
-    told = {r.doc_id: r for r in exact_dedup.exact_dedup(more, index=index, n_shards=2).collect()}
-    assert told[0].kept and not told[9].kept and told[9].keep_id == 3 and told[9].group_size == 2
-    without = exact_dedup.update_index(exact_dedup.changes_of(rows.where("doc = 3"), 2, sign=-1), index)
-    again = {r.doc_id: r for r in exact_dedup.exact_dedup(more, index=without, n_shards=2).collect()}
-    assert again[9].kept and again[9].group_size == 1
+    told = {r.doc_id: r for r in exact_dedup.exact_dedup(more, index=index).collect()}
+    assert told[0].kept and not told[9].kept and told[9].keep_id == 3 and told[9].group_size == 3
+    # deletion of kept rows: the smallest live row is promoted, and later copies yield to it
+    some = rows.where("doc = 1 OR doc = 3")
+    left = written(exact_dedup.delete_rows(index, some, rows.where("doc IS NULL OR doc NOT IN (1, 3)")), "index")
+    assert keys_of(left) == {sha("a"): (2, 2), sha("b"): (None, 1)}
+    assert keys_of(exact_dedup.delete_rows(left, rows.where("doc = 4"), rows.where("doc = 2"))) == {sha("a"): (2, 1), sha("b"): (None, 1)}
+    again = {r.doc_id: r for r in exact_dedup.exact_dedup(more, index=left).collect()}
+    assert again[9].kept and again[9].keep_id == 9 and again[9].group_size == 2
+    none = exact_dedup.delete_rows(left, rows.where("doc IS NULL OR doc NOT IN (1, 3)"), rows.limit(0))
+    assert keys_of(none) == {}
+    with pytest.raises(ValueError):
+        exact_dedup.exact_dedup(more, index=index, n_shards=3)
+
+
+@pytest.mark.parametrize("chars", [64, 1])
+def test_hits_are_verified_against_content(spark, sf, chars):
+    """With one hex digit nearly every digest stands for texts that differ; content tells them apart."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").union(spark.read.parquet(f"{sf}/documents.parquet").limit(40)).repartition(6)
+    first, size = {}, Counter()
+    for r in docs.collect():
+        t = re.sub("[ \t-\r]+", " ", r.text or "")
+        first[t], size[t] = min(first.get(t, r.doc_id), r.doc_id), size[t] + 1
+    got = exact_dedup.exact_dedup(docs, n_shards=3, chars=chars).collect()
+    by = {hashlib.sha256(t.encode()).hexdigest(): (first[t], size[t]) for t in first}
+    assert len(got) == docs.count() and all((r.keep_id, r.group_size) == by[r.text_sha256] for r in got)
+    assert sum(r.kept for r in got) == len(first) and all(r.doc_id == r.keep_id for r in got if r.kept)
+
+
+def test_batches_meet_in_the_filter(spark):
+    """Rows of one text in several batches are put together by hits of the filter, not by the aggregation."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "CAST(id % 4 AS string) AS text").repartition(8)
+    rows = written(exact_dedup.digests(docs), "rows")
+    assert rows.select("batch").distinct().count() > 1
+    empty = spark.createDataFrame([], exact_dedup.INDEX)
+    told = empty.groupBy("shard").cogroup(exact_dedup.changes_of(rows, 2).groupBy("shard")).applyInArrow(exact_dedup._decide, exact_dedup.DECISIONS).collect()
+    assert len(told) == 4 and all(r.group_size == 10 and r.hits > 0 and r.keep_id < 4 for r in told)
 
 
 def test_large_ids_beside_a_null_id(spark):
@@ -73,6 +118,6 @@ def test_large_ids_beside_a_null_id(spark):
     assert got == {(big, big, True), (big + 2, big, False), (big + 4, big + 4, True), (None, None, True)}
     assert {r.doc_id for r in exact_dedup.dedup_documents(df).collect()} == {big, big + 4, None}
     # ids that an index holds
-    index = exact_dedup.update_index(exact_dedup.changes_of(exact_dedup.digests(df), 1))
+    index = exact_dedup.update_index(exact_dedup.changes_of(exact_dedup.digests(df), 1), 1)
     more = spark.createDataFrame([(big + 8, "b")], "doc_id bigint, text string")
     assert [r.keep_id for r in exact_dedup.exact_dedup(more, index=index, n_shards=1).collect()] == [big + 4]
