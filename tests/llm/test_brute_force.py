@@ -32,6 +32,28 @@ def texts(n, seed, words=400, vocabulary=60):
     return out
 
 
+@pytest.mark.parametrize("length", [8, 20, 100])
+def test_longest_previous_factors(length):
+    """The array itself, against comparing every pair of suffixes."""
+    r = np.random.default_rng(4)
+    for letters, n in ((1, 150), (2, 300), (2, 40), (5, 400), (3, 1), (3, 9)):
+        data = r.integers(97, 97 + letters, n).astype(np.uint8)
+        if n > 200:
+            data[150:290] = data[5:145]
+        start = np.arange(n)
+        position = r.permutation(n) if letters == 5 else start // 2 if letters == 3 else start
+        raw = data.tobytes()
+
+        def common(a, b):
+            k = 0
+            while k < length and max(a, b) + k < n and raw[a + k] == raw[b + k]:
+                k += 1
+            return k
+
+        want = [max((common(i, j) for j in range(n) if position[j] < position[i]), default=0) for i in range(n)]
+        assert repeats.previous_factors(data, start, position, length).tolist() == want
+
+
 @pytest.mark.parametrize("hot", [5000, 1])
 def test_repeats(spark, sf, hot):
     rows = texts(60, 1) + [(100, None), (101, ""), (102, "ab" * 5000), (103, "short"), (-5, "é" * 300), (104, "x" * 99)]

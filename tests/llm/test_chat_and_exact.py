@@ -15,7 +15,7 @@ def test_queries_equal_sql(spark, sf):
     con = duckdb.connect()
     for t in ("documents", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
-    for name in ("op2_chat_formatting", "op6_exact_dedup"):
+    for name in ("op2_chat_formatting", "op4_repeated_strings", "op6_exact_dedup", "op10_jaccard_join"):
         want = con.sql(queries.ORACLE[name])
         got = queries.QUERIES[name](spark, sf).select(*want.columns).collect()
         assert sorted(map(tuple, got)) == sorted(want.fetchall())

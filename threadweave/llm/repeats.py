@@ -2,13 +2,15 @@
 starts earlier (smaller document id, or same document and earlier start) goes, the first occurrence stays.
 
 1. Every window of `length` bytes has an anchor, the gram of least hash inside it, which depends on the window's bytes alone. Windows
-   with one anchor are consecutive and together make a context. Equal contexts are settled by their digests: all but
-   the first are repeats. A task settles its own before anything is shuffled.
-2. Anchors with one context only are settled too. Contexts that share an anchor but differ are cut out of the texts and dealt out
-   by anchor, so equal windows meet. Their suffixes are sorted (prefix doubling, up to `length` bytes); in suffix order the
-   previous or next smaller position gives a window's longest previous factor, and those of `length` or more are repeats.
-3. An anchor with more than HOT contexts (the edges of a passage in very many documents) is not sorted in one place: its windows
-   are compared by 128-bit digests, with the first occurrence found by an aggregation that combines on the map side."""
+   with one anchor are consecutive and together make a context. Contexts that are equal as a whole (same anchor, same 64-bit BLAKE2
+   digest) are copies: all but the first are repeats, so that copies of long passages aren't sorted again and again. A task
+   settles its own before anything is shuffled.
+2. An anchor with one distinct context has no further repeats. Distinct contexts that share an anchor are cut out of the texts
+   and dealt out by anchor, so equal windows meet. There their suffixes are sorted by their first `length` bytes (prefix
+   doubling), with the common prefixes of neighbours; the previous and the next smaller position in suffix order give each window's
+   longest previous factor, and windows whose factor is `length` or more are repeats.
+3. An anchor with more than HOT distinct contexts (the edges of a passage in very many documents) is not sorted in one place: its
+   windows are compared by 128-bit digests, with the first occurrence found by an aggregation that combines on the map side."""
 
 from __future__ import annotations
 
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from threadweave.llm.common import RangeHash, mix, runs, slices, small, text_bytes, text_of, written
+from threadweave.llm.common import mix, runs, slices, small, spread, text_bytes, text_of, written
 
 LENGTH, GRAM = 100, 24
 HOT, SORT_BYTES = 5_000, 1 << 20
@@ -60,8 +62,9 @@ def anchors(off: np.ndarray, data: np.ndarray, length: int, gram: int) -> tuple[
     text = np.searchsorted(off, start, side="right") - 1
     cut = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
     first, count = start[cut], np.diff(np.append(cut, len(start)))
-    digest = RangeHash(data)(first, first + count + length - 1)
-    return text[cut], first, count, h[at[cut]].view(np.int64), mix(digest + (at[cut] - first).astype(np.uint64)).view(np.int64)
+    raw = memoryview(data.tobytes())
+    digest = b"".join(hashlib.blake2b(raw[a:b], digest_size=8).digest() for a, b in zip(first.tolist(), (first + count + length - 1).tolist()))
+    return text[cut], first, count, h[at[cut]].view(np.int64), mix(np.frombuffer(digest, np.uint64) + (at[cut] - first).astype(np.uint64)).view(np.int64)
 
 
 def batch_of(h, c, doc, p, n, kind) -> pa.RecordBatch:
@@ -195,36 +198,87 @@ def same(data: bytes, p: int, n: int, c: int, h: int, length: int) -> bool:
     return bool(((first == p) & (count == n) & (hs == h) & (cs == c)).any())
 
 
-def ranked(key: np.ndarray, far: int, width: int) -> np.ndarray:
-    """Ranks of suffixes by their first far + width bytes, from their ranks by `width` bytes."""
+def ranked(key: np.ndarray, far: int) -> np.ndarray:
+    """Ranks of suffixes by their first far + width bytes, from their ranks by `width` bytes, far being at most that width."""
     next_ = np.zeros_like(key)
     next_[: max(0, len(key) - far)] = key[far:] + 1
     return np.unique(key * np.int64(len(key) + 2) + next_, return_inverse=True)[1]
 
 
-def repeats_in(pieces: list[bytes], counts: list[int], length: int) -> np.ndarray:
-    """Flags for the windows of the pieces, one after the other: whether the longest previous factor there is `length` or more."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(x) for x in pieces])
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    n = np.asarray(counts)
-    start = np.repeat(begin - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+def smaller_before(position: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each suffix in order, the common prefix with the nearest one before it that has a smaller position (0: there is none).
+
+    common[k] is the common prefix of suffixes k - 1 and k. Suffixes that are known not to be smaller are jumped over
+    together with those that they have jumped over, all suffixes at once."""
+    to = np.arange(len(position)) - 1
+    shared = common.copy()
+    open_ = np.flatnonzero((to >= 0) & (position[to] >= position))
+    while len(open_):
+        over = to[open_]
+        shared[open_] = np.minimum(shared[open_], shared[over])
+        to[open_] = to[over]
+        open_ = open_[(to[open_] >= 0) & (position[to[open_]] >= position[open_])]
+    shared[to < 0] = 0
+    return shared
+
+
+def previous_factors(data: np.ndarray, start: np.ndarray, position: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor, up to `length`, of each suffix of data that starts at start[k]: the longest prefix that it
+    has in common with a suffix of smaller position (equal positions are no earlier ones)."""
     wide = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     eight = np.zeros(len(data), np.uint64)
     for k in range(8):
         eight = (eight << np.uint64(8)) | wide[k : k + len(data)]
-    rank, width = np.unique(eight, return_inverse=True)[1], 8
+    rank, width, levels = np.unique(eight, return_inverse=True)[1], 8, []
     while 2 * width <= length:
-        rank, width = ranked(rank, width, width), 2 * width
+        levels.append((width, rank))
+        rank, width = ranked(rank, width), 2 * width
+    levels.append((width, rank))
     if width < length:
-        rank = ranked(rank, length - width, width)
-    suffixes = start[np.argsort(rank[start], kind="stable")]  # suffix order, equal ones by position
-    key = rank[suffixes]
-    # where the neighbour before shares `length` bytes, it is the previous smaller position, and the factor is that long
-    long = np.concatenate(([False], key[1:] == key[:-1]))
-    out = np.zeros(len(data), bool)
-    out[suffixes[long]] = True
-    return out[start]
+        rank = ranked(rank, length - width)
+    order = np.lexsort((position, rank[start]))
+    suffix, position = start[order], position[order]
+    # common prefixes of neighbours: by blocks of falling width, then byte by byte
+    a, b, common = suffix[:-1], suffix[1:], np.zeros(len(suffix), np.int64)
+    shared = common[1:]
+    for width, by in reversed(levels):
+        i, j = a + shared, b + shared
+        inside = np.maximum(i, j) + width <= len(data)
+        same = np.zeros(len(a), bool)
+        same[inside] = by[i[inside]] == by[j[inside]]
+        shared[same] += width
+    for _ in range(8):
+        i, j = a + shared, b + shared
+        inside = np.maximum(i, j) < len(data)
+        same = np.zeros(len(a), bool)
+        same[inside] = data[i[inside]] == data[j[inside]]
+        if not same.any():
+            break
+        shared[same] += 1
+    shared[rank[a] == rank[b]] = length
+    np.minimum(common, length, out=common)
+    before = smaller_before(position, common)
+    after = smaller_before(position[::-1], np.append(common[1:], 0)[::-1].copy() if len(common) else common)
+    # read backwards, a suffix's neighbour before it is the next one: its common prefix stands at that neighbour's place
+    out = np.zeros(len(start), np.int64)
+    out[order] = np.maximum(before, after[::-1])
+    return out
+
+
+def repeats_in(pieces: list[bytes], counts: list[int], docs: list[int], places: list[int], length: int) -> np.ndarray:
+    """Flags for the windows of the pieces, one after the other: whether the longest previous factor there is `length` or more.
+    docs, places: the document of each piece and where in it the piece starts."""
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    begin = np.cumsum([0, *map(len, pieces)])[:-1]
+    n = np.asarray(counts)
+    start = spread(begin, n)
+    doc, place = np.repeat(np.asarray(docs, np.int64), n), spread(np.asarray(places, np.int64), n)
+    by = np.lexsort((place, doc))
+    step = np.ones(len(by), np.int64)
+    step[1:] = (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])
+    position = np.empty(len(by), np.int64)
+    position[by] = np.cumsum(step)
+    return previous_factors(data, start, position, length) >= length
 
 
 def sorted_out(length: int):
@@ -232,7 +286,7 @@ def sorted_out(length: int):
 
     def work(h: list, doc: list, p: list, n: list, piece: list) -> Iterator[pa.RecordBatch]:
         if h:
-            flags, at = repeats_in(piece, n, length), 0
+            flags, at = repeats_in(piece, n, doc, p, length), 0
             out = []
             for d, start, k in zip(doc, p, n):
                 out += [(d, start + int(a), int(b - a)) for a, b in zip(*runs(flags[at : at + k]))]
