@@ -80,6 +80,50 @@ def test_odd_texts_equal_the_library(spark, odd, name):
     assert [(r.doc_id, r.n_tokens) for r in token_files.read_lengths(spark, path).orderBy("start").collect()] == [(r.doc_id, len(r.ids)) for r in got]
 
 
+def test_files_are_encoded_and_indexed_as_said(spark, sf):
+    """Footers: encodings, row groups, page indexes; plans: no ids for the lengths, id filters pushed down."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = scratch_path(spark, "tokens")
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
+    token_files.write_tokens(docs, path, tokenizer_path(queries.WORD_BPE))
+    files = sorted(glob.glob(path.removeprefix("file://") + "/part-*.parquet"))
+    chunks = [m.row_group(g).column(c) for m in (pq.ParquetFile(f).metadata for f in files) for g in range(m.num_row_groups) for c in range(m.num_columns)]
+    ids = [c for c in chunks if c.path_in_schema.startswith("ids")]
+    assert ids and all({"RLE_DICTIONARY", "DELTA_BINARY_PACKED"} & set(c.encodings) for c in ids)
+    assert all("DELTA_BINARY_PACKED" in c.encodings or "RLE_DICTIONARY" in c.encodings for c in chunks if c.path_in_schema == "doc_id")
+    assert all(c.has_offset_index and c.has_column_index for c in chunks)
+    assert all(m.row_group(g).total_byte_size <= 2 * token_files.ROW_GROUP_BYTES for m in (pq.ParquetFile(f).metadata for f in files) for g in range(m.num_row_groups))
+    plan = token_files.read_lengths(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan
+    plan = token_files.read_tokens(spark, path).where("doc_id BETWEEN 5 AND 9")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(doc_id,5)" in plan and token_files.read_tokens(spark, path).where("doc_id BETWEEN 5 AND 9").count() == 5
+
+
+def test_parts_go_by_number(spark):
+    """Part 100000 comes after part 99999, whatever their files are called."""
+    path = scratch_path(spark, "parts")
+    rows = [(99999, 1, 0, 2, [7, 2]), (100000, 2, 0, 3, [8, 9, 2]), (100000, 3, 3, 1, [2]), (7, 0, 0, 1, [2])]
+    spark.createDataFrame(rows, token_files.FILE).repartition(3).write.parquet(path)
+    assert {r.doc_id: r.start for r in token_files.read_lengths(spark, path).collect()} == {0: 0, 1: 1, 2: 3, 3: 6}
+
+
+def test_very_many_rows_of_one_id_are_split(spark):
+    df = spark.range(4000).selectExpr("CAST(NULL AS bigint) AS doc_id", "CAST(id AS string) AS text")
+    path = scratch_path(spark, "tokens")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_files.write_tokens(df, path, tokenizer_path(queries.WORD_BPE))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(path).groupBy("part").count().collect()
+    assert len(parts) > 1 and sum(r["count"] for r in parts) == 4000
+    starts = sorted((r.start, r.n_tokens) for r in token_files.read_lengths(spark, path).collect())
+    assert all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:]))
+
+
 def test_packing_of_odd_texts(spark, odd):
     check_pieces(in_order(odd), packing.pack_documents(odd, tokenizer_path(queries.WORD_BPE)).collect())
     some = packing.pack_documents(odd.repartition(5), tokenizer_path(queries.WORD_BPE), window=64, n_open=2, slack=0, keep_ids=True).collect()

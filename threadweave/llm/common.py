@@ -47,6 +47,16 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ..., so that no helper column can clash with them; name_of finds one of them."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
+def name_of(df: DataFrame, col: str) -> str:
+    """The name that numbered gives to df's column col, in whatever case it is written."""
+    return f"c{[c.lower() for c in df.columns].index(col.lower())}"
+
+
 def text_of(col: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
