@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threadweave.llm.common import LOWER, RangeHash, gram_hashes, lookup, mix, slices, text_bytes, words, written
+from threadweave.llm.common import LOWER, RangeHash, gram_hashes, lookup, mix, name_of, numbered, slices, text_bytes, words, written
 
 WINDOW = 13
 #: Bytes of item text whose index is sent to the tasks at once.
@@ -94,7 +94,7 @@ STATE = [("__spans", pa.list_(pa.int64())), ("__items", pa.list_(pa.string()))]
 RESULT = [("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_())]
 
 
-def matched(index, last: bool, text: str, prefix: str):
+def matched(index, last: bool, text: str):
     """A pass of one block of items: adds to the spans and items found so far; the last one makes the result of them."""
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +122,7 @@ def matched(index, last: bool, text: str, prefix: str):
                     n_hit = int((np.cumsum(hit)[:n] > 0).sum()) if spans[d] else 0
                     rows.append((n, n_hit, len(items[d]), hashlib.sha256(",".join(items[d]).encode()).hexdigest(), n_hit > 0 and 20 * n_hit >= n))
                 made = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_pydict(keep | {prefix + n: pa.array(c, t) for (n, t), c in zip(RESULT, made)})
+                yield pa.RecordBatch.from_pydict(keep | {n: pa.array(c, t) for (n, t), c in zip(RESULT, made)})
 
     return match
 
@@ -145,34 +145,37 @@ def counted(vocabulary, text: str):
     return count
 
 
-def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text", prefix: str = "") -> DataFrame:
+def mark_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, item_col: str = "item_id", text_col: str = "text", item_text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs' columns and n_words, n_hit, n_items, items_sha256, contaminated, a row for each row.
 
     Contaminated: n_hit > 0 and 20 * n_hit >= n_words. Null or wordless texts have no words and no hits; items without words
-    or without id match nothing; equal items and repeated rows each count. Without items nothing is contaminated. Columns of
-    docs that are named like a result are replaced by it; prefix goes before the results' names."""
+    or without id match nothing; equal items and repeated rows each count. Without items nothing is contaminated, without
+    documents the result is empty. Columns of docs that are named like a result are replaced by it; prefix goes before the
+    results' names."""
     spark = docs.sparkSession
     base = docs.drop(*[prefix + n for n, _ in RESULT])
-    items = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows, text = numbered(base), name_of(base, text_col)
+    items = benchmark.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("i"), F.col(item_text_col).cast("string").alias("t"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // block_bytes))
-    rows = base.select("*", F.expr("CAST(array() AS array<bigint>)").alias("__spans"), F.expr("CAST(array() AS array<string>)").alias("__items"))
-    fields = [f for f in rows.schema.fields if f.name not in ("__spans", "__items")]
-    result = T.StructType(fields + [T.StructField(prefix + n, t) for n, t in zip([n for n, _ in RESULT], [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()])])
+    fields = rows.schema.fields
+    rows = rows.select("*", F.expr("CAST(array() AS array<bigint>)").alias("__spans"), F.expr("CAST(array() AS array<string>)").alias("__items"))
+    result = T.StructType(fields + [T.StructField(n, t) for n, t in zip([n for n, _ in RESULT], [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()])])
     for k in range(blocks):
         held = [(r.i, r.t) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
         vocabulary = spark.sparkContext.broadcast(np.unique(split(pa.array([t for _, t in held], pa.string()))[3]))
-        counts = rows.select(text_col).mapInArrow(counted(vocabulary, text_col), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+        counts = rows.select(text).mapInArrow(counted(vocabulary, text), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
         rarity = {r.word % (1 << 64): r.n for r in counts}
         index = spark.sparkContext.broadcast(Index(held, rarity, window))
         last = k == blocks - 1
-        rows = rows.mapInArrow(matched(index, last, text_col, prefix), result if last else rows.schema)
+        rows = rows.mapInArrow(matched(index, last, text), result if last else rows.schema)
         if not last:
             rows = written(rows, "decontamination")
-    return rows
+    return rows.toDF(*base.columns, *[prefix + n for n, _ in RESULT])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that are not contaminated, with docs' columns."""
+    """The rows of docs that are not contaminated, with docs' columns. Nulls, empty texts and tables, repeated rows: see
+    mark_contamination; ties don't matter, since each row is judged by itself."""
     marked = mark_contamination(docs, benchmark, prefix="__tw_")
-    return marked.where(~F.col("__tw_contaminated")).select(*docs.columns)
+    return marked.where(~F.col("__tw_contaminated")).drop(*["__tw_" + n for n, _ in RESULT])
