@@ -166,6 +166,60 @@ def test_perplexities(spark, table_rows):
         assert math.isclose(got[i]["__nll"], model(t), rel_tol=1e-9, abs_tol=1e-9) and got[i]["__n"] == len((t or "").encode())
 
 
+def test_thresholds_and_rejection_against_brute_force(spark):
+    """Perplexities, thresholds by language (null is one with rows enough, one has too few) and what is kept."""
+    rows = texts(420, 3, 60)
+    lang = {i: None if i % 3 == 0 else "few" if i in (1, 7) else "a" for i, _ in rows}
+    docs = spark.createDataFrame([(i, t, lang[i], "k", i, "own") for i, t in rows], "doc_id bigint, text string, lang string, k string, m bigint, own string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i, _ in rows] + [(5, 0), (None, 1)], "doc_id bigint, quality int")
+    held = {r.doc_id for r in docs.where(quality.held_out("doc_id")).collect()} - {5}
+    model = brute.kneser_ney([t for i, t in rows if i not in held and i != 5])
+    nll, size = {i: model(t) for i, t in rows}, {i: len(t.encode()) for i, t in rows}
+
+    def mean(ids):
+        return sum(nll[i] for i in ids) / sum(size[i] for i in ids)
+
+    groups = {g: [i for i in held if lang[i] == g] for g in (None, "few", "a")}
+    assert len(groups[None]) >= quality.ENOUGH and len(groups["a"]) >= quality.ENOUGH > len(groups["few"])
+    usual = {g: mean(ids) if len(ids) >= quality.ENOUGH else mean(held) for g, ids in groups.items()}
+    ppl = {i: math.exp((nll[i] + quality.STEADY * usual[lang[i]]) / (size[i] + quality.STEADY)) for i, _ in rows}
+
+    def cut(ids):
+        return sorted(ppl[i] for i in ids)[math.ceil(0.9 * len(ids)) - 1]
+
+    own = {g: cut(ids) if len(ids) >= quality.ENOUGH else cut(held) for g, ids in groups.items()}
+    got = quality.classify(docs, labels, quantile=0.9).collect()
+    assert len(got) == len(rows) and got[0].k == "k" and got[0].own == "own"
+    for r in got:
+        assert math.isclose(r.perplexity, ppl[r.doc_id], rel_tol=1e-9) and math.isclose(r.threshold, own[lang[r.doc_id]], rel_tol=1e-9)
+        assert r.kept == (ppl[r.doc_id] <= own[lang[r.doc_id]] * (1 + 1e-12))
+    assert quality.classify(docs.limit(0), labels).count() == 0
+    stay = quality.reject(docs, labels, quantile=0.9)
+    assert stay.columns == docs.columns and stay.count() == sum(r.kept for r in got) < len(rows)
+
+
+def test_extra_columns_clash_with_nothing(spark):
+    """Every operator and every stage of the pipeline takes tables whose other columns are named like helper columns."""
+    names = ["k", "m", "own", "g", "c", "n", "p", "h", "w", "doc", "row", "digest", "label", "block", "node", "__spans", "__items", "__lang", "__nll", "part", "hash", "toxic", "kept", "contaminated", "n_tokens"]
+    plain = spark.createDataFrame([(i, f"some words {i % 3} and more of them here", "en") for i in range(6)] + [(7, None, None), (8, "", "en")], "doc_id bigint, text string, lang string")
+    docs = plain.select("*", *[F.lit(f"x{k}").alias(v) for k, v in enumerate(names)])
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    bench = spark.createDataFrame([("a", "nothing like it"), ("b", None)], "item_id string, text string")
+    from threadweave.llm import exact_dedup, packing, token_counts, token_files
+    from threadweave.llm.common import scratch_path
+    from threadweave.llm.tokens import tokenizer_path
+
+    word = tokenizer_path(queries.WORD_BPE)
+    assert quality.classify(docs, labels).count() == 8
+    for df in (quality.reject(docs, labels), exact_dedup.dedup_documents(docs), jaccard_join.one_of_each(docs), decontamination.decontaminate(docs, bench)):
+        assert df.columns == docs.columns and all(r["own"] == "x2" for r in df.collect())
+    assert exact_dedup.dedup_documents(docs).count() == 4
+    assert exact_dedup.exact_dedup(docs).count() == repeats.remove_repeats(docs).count() == toxicity.score_toxicity(docs, toxicity.train(docs, labels)).count() == 8
+    token_files.write_tokens(docs, path := scratch_path(spark, "clash"), word)
+    assert token_files.read_tokens(spark, path).count() == token_counts.count_tokens(docs, word, scratch_path(spark, "clash")).count() == 8
+    assert packing.pack_documents(docs, word).select("doc_id").distinct().count() == 8
+
+
 def test_quality_keeps_the_clean(spark, sf, odd):
     sf = sf.replace("0.001", "0.1")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -200,6 +254,46 @@ def test_toxicity_recall_by_language(spark, sf):
     assert sum(r.wrong for r in got.values()) <= 7
 
 
+def test_ordinal_fit_against_the_plain_likelihood(spark):
+    """The gradient against differences of the likelihood written out by grade, and the fit against plain gradient descent."""
+    r = np.random.default_rng(8)
+    n, f = 300, 4
+    x = r.integers(0, 3, (n, f))
+    z = np.log1p(x) @ np.array([1.5, -1.0, 0.5, 0.0]) + r.logistic(size=n)
+    grade = (z > 0.5).astype(int) + (z > 1.8)
+    row, k = np.nonzero(x)
+    c = x[row, k]
+
+    def plain(theta):
+        at = np.log1p(x) @ theta[:f]
+        up = [np.ones(n), *(1 / (1 + np.exp(-(at - b))) for b in theta[f:]), np.zeros(n)]
+        return -sum(math.log(up[g][i] - up[g + 1][i]) for i, g in enumerate(grade))
+
+    theta = np.array([0.3, -0.2, 0.1, 0.4, 0.2, 0.9])
+    got = toxicity.slopes(theta, grade, row, k, c)
+    steps = np.eye(f + 2) * 1e-5
+    assert math.isclose(got[0], plain(theta), rel_tol=1e-9)
+    assert np.allclose(got[1 : f + 3], [(plain(theta + s) - plain(theta - s)) / 2e-5 for s in steps], atol=1e-4)
+    second = [(toxicity.slopes(theta + s, grade, row, k, c)[1 + i] - toxicity.slopes(theta - s, grade, row, k, c)[1 + i]) / 2e-5 for i, s in enumerate(steps)]
+    assert np.allclose(got[f + 3 :], second, rtol=1e-3)
+    rows = spark.createDataFrame([(int(g), [int(j) for j in np.flatnonzero(v)], [int(v[j]) for j in np.flatnonzero(v)]) for g, v in zip(grade, x)], "grade int, k array<int>, c array<int>")
+    w, cuts = toxicity.fit_ordinal(rows, f)
+    slow = np.array([0.0] * f + [0.0, 1.0])
+    for _ in range(4000):
+        grad = toxicity.slopes(slow, grade, row, k, c)[1 : f + 3]
+        slow = slow - 0.002 * (grad + np.array([1.0] * f + [1e-6] * 2) * slow)
+    assert np.allclose(np.concatenate((w, cuts)), slow, atol=0.02) and cuts[0] < cuts[1]
+
+
+def test_grades_of_labels_are_taken(spark):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} {'mud' if i % 4 == 3 else 'sky'} {i}") for i in range(400)] + [(900, None), (901, "")], "doc_id bigint, text string").withColumn("n", F.lit(1)).withColumn("k", F.lit("x"))
+    labels = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS int) AS toxic", "IF(doc_id % 4 = 3, 2, 1) AS severity").where("doc_id < 400")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert len(got) == 402 and got[3].p_severe > 0.5 > got[1].p_severe and got[1].toxic and not got[2].toxic and not got[900].toxic
+    assert math.isclose(got[3].expected_severity, got[3].p_toxic + got[3].p_severe)
+
+
 def test_toxicity_uses_all_telling_words_and_counts_copies_once(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))

@@ -1,10 +1,12 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 Features are words, and runs of GRAMS bytes of words and their edges, whose presence sets toxic texts apart, found by counting
-every distinct labelled text once. All that are telling are used, however many they are. Grades: 0 for texts labelled clean;
-1 or 2 for those labelled toxic, by whether they hold fewer telling words than the median of such texts. One weight vector
-serves all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with b_1 < b_2.
-The expected severity is the sum of these probabilities; a document is toxic if P(grade >= 1) is at least one half.
+every distinct labelled text once. All that are telling are used, however many they are. Grades: 0 for texts labelled clean. Those
+labelled toxic get the `severity` (1 or 2) of their label; where labels have none, 2 if they hold at least the median number of
+telling words, else 1. Which words those are is learnt from the other half of the labelled texts, so that no text's own
+label has a part in its grade. One weight vector serves all thresholds: P(grade >= k) = sigmoid(w.x - b_k) with b_1 < b_2, and
+the likelihood is that of the grades, P(grade = k) = P(grade >= k) - P(grade >= k + 1).
+The expected severity is the sum of P(grade >= k); a document is toxic if P(grade >= 1) is at least one half.
 
 The regression is fitted to all distinct labelled texts. Up to LOCAL values of their features are fitted in the driver,
 beyond that each step's loss, gradient and curvature are summed by a job."""
@@ -16,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadweave.llm.common import RangeHash, mix, slices, small, spread, text_of, written
@@ -93,50 +95,69 @@ def features(known: np.ndarray, column: pa.Array) -> tuple[np.ndarray, np.ndarra
     return key // len(known), key % len(known), count
 
 
+COUNTS = ("n", "bad", "n1", "bad1")
+
+
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts, and toxic ones, that hold each feature."""
+    """Texts, and toxic ones, that hold each feature: all of them, and those of half 1."""
     for batch in batches:
         for part in slices(batch):
             doc, word, owner, feature = vocabulary(part.column("text"))
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False)
+            toxic = part.column("toxic").to_numpy(zero_copy_only=False) > 0
+            half = part.column("half").to_numpy(zero_copy_only=False) == 1
             n_words = int(word.max()) + 1 if len(word) else 0
             pair = np.unique(doc * max(1, n_words) + word)
             doc, word = pair // max(1, n_words), pair % max(1, n_words)
             known, k = np.unique(feature, return_inverse=True)
             n = np.bincount(owner, minlength=n_words)
             begin, n = (np.cumsum(n) - n)[word], n[word]
-            total = np.zeros((2, len(known)), np.int64)
+            total = np.zeros((4, len(known)), np.int64)
             some = max(1, CELLS // max(1, len(known)))
             for a in range(0, len(toxic), some):
                 i, j = np.searchsorted(doc, (a, a + some))
                 held = np.zeros((min(some, len(toxic) - a), len(known)), bool)
                 held[np.repeat(doc[i:j] - a, n[i:j]), k[spread(begin[i:j], n[i:j])]] = True
-                total += held.sum(axis=0), held[toxic[a : a + some] > 0].sum(axis=0)
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(known.view(np.int64)), "n": pa.array(total[0]), "bad": pa.array(total[1])})
+                bad, one = toxic[a : a + some], half[a : a + some]
+                total += held.sum(axis=0), held[bad].sum(axis=0), held[one].sum(axis=0), held[bad & one].sum(axis=0)
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(known.view(np.int64)), **{c: pa.array(t) for c, t in zip(COUNTS, total)}})
 
 
-def likelihood_ratio(docs: int, toxic: int):
-    """2 * sum of observed * log(observed / expected) over the four cells of word and label; negative for words of clean texts."""
-    a, n = F.col("bad"), F.col("n")
+def likelihood_ratio(n: Column, a: Column, docs: int, toxic: int) -> Column:
+    """2 * sum of observed * log(observed / expected) over the four cells of word and label, for words in n texts, a of them
+    toxic; negative for words of clean texts."""
     cells = ((a, n, toxic), (n - a, n, docs - toxic), (F.lit(toxic) - a, F.lit(docs) - n, toxic), (F.lit(docs - toxic) - (n - a), F.lit(docs) - n, docs - toxic))
     g2 = sum((F.when(o > 0, 2 * o * F.log(o * docs / (row * col))).otherwise(0.0) for o, row, col in cells), F.lit(0.0))
     return F.when(a * docs > n * toxic, g2).otherwise(-g2)
 
 
-def slopes(theta: np.ndarray, grade: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The negative log-likelihood of the cumulative splits over these rows; its gradient by theta, weights and cuts; and the
-    diagonal of its second derivatives."""
-    f, x = len(theta) - GRADES + 1, np.log1p(c)
+def slopes(theta: np.ndarray, grade: np.ndarray, row: np.ndarray, k: np.ndarray, c: np.ndarray, grades: int = GRADES) -> np.ndarray:
+    """The negative log-likelihood of these rows' grades; its gradient by theta, weights and cuts; and the diagonal of its second
+    derivatives. Cuts that don't rise are infinitely unlikely.
+
+    A difference of two sigmoids is sigmoid(z - b) * (1 - sigmoid(z - b')) * (1 - exp(b - b')), so that a row of grade g has one
+    logistic term for the cut below its grade, one for the cut above, and one that is about the cuts alone."""
+    f, x = len(theta) - grades + 1, np.log1p(c)
     z = np.bincount(row, x * theta[k], len(grade))
     out, pull, bend = np.zeros(2 * len(theta) + 1), np.zeros(len(grade)), np.zeros(len(grade))
     grad, curve = out[1 : len(theta) + 1], out[len(theta) + 1 :]
-    for j in range(1, GRADES):
-        m, y = z - theta[f + j - 1], grade >= j
+    for j in range(1, grades):
+        m, y, near = z - theta[f + j - 1], grade >= j, (grade == j) | (grade == j - 1)
         p = 1 / (1 + np.exp(-np.clip(m, -40, 40)))
-        out[0] += np.logaddexp(0, np.where(y, -m, m)).sum()
-        grad[f + j - 1], curve[f + j - 1] = (y - p).sum(), (p * (1 - p)).sum()
-        pull += p - y
-        bend += p * (1 - p)
+        out[0] += np.logaddexp(0, np.where(y, -m, m))[near].sum()
+        grad[f + j - 1] += (y - p)[near].sum()
+        curve[f + j - 1] += (p * (1 - p))[near].sum()
+        pull += np.where(near, p - y, 0.0)
+        bend += np.where(near, p * (1 - p), 0.0)
+    for j in range(1, grades - 1):
+        n, gap = (grade == j).sum(), theta[f + j] - theta[f + j - 1]
+        if n and gap <= 0:
+            out[0] = np.inf
+        elif n:
+            less = 1 / np.expm1(gap)
+            out[0] -= n * np.log(-np.expm1(-gap))
+            grad[f + j] -= n * less
+            grad[f + j - 1] += n * less
+            curve[f + j - 1 : f + j + 1] += n * less * (1 + less)
     grad[:f], curve[:f] = np.bincount(k, x * pull[row], f), np.bincount(k, x * x * bend[row], f)
     return out
 
@@ -186,14 +207,14 @@ def flat(batch: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, ...]:
     return grade.to_numpy(zero_copy_only=False), row, k.flatten().to_numpy(zero_copy_only=False), c.flatten().to_numpy(zero_copy_only=False)
 
 
-def summed(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
+def summed(rows: DataFrame, grades: int) -> Callable[[np.ndarray], np.ndarray]:
     """slopes over a table of rows, by a job for each call."""
 
     def sums(theta: np.ndarray) -> np.ndarray:
         def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(2 * len(theta) + 1)
             for b in batches:
-                total += slopes(theta, *flat(b))
+                total += slopes(theta, *flat(b), grades)
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_pydict({"at": pa.array(at), "v": pa.array(total[at])})
 
@@ -206,47 +227,67 @@ def summed(rows: DataFrame) -> Callable[[np.ndarray], np.ndarray]:
 
 
 def fit_ordinal(rows: DataFrame, f: int, local: int = LOCAL, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-    """Weights of f features and rising cuts with the least penalised loss over all rows (grade, k, c)."""
+    """Weights of f features and rising cuts with the least penalised loss over all rows (grade, k, c). A grade that no row has
+    is as good as impossible: its cut is that of the next grade, or beyond all where there is none."""
     total = rows.agg(F.count("*").alias("n"), F.sum(F.size("k") + 1).alias("values"), *(F.count_if(F.col("grade") >= j).alias(f"g{j}") for j in range(1, GRADES))).first()
+    above = [total["n"], *(total[f"g{j}"] for j in range(1, GRADES)), 0]
+    met = [0] + [j for j in range(1, GRADES) if above[j] > above[j + 1]]
+    rows = rows.withColumn("grade", sum((F.when(F.col("grade") >= j, 1).otherwise(0) for j in met[1:]), F.lit(0)))
     if total["values"] <= local:
         held = flat(rows.toArrow())
-        sums = lambda theta: slopes(theta, *held)
+        sums = lambda theta: slopes(theta, *held, len(met))
     else:
-        sums = summed(rows)
-    share = np.clip([total[f"g{j}"] / total["n"] for j in range(1, GRADES)], 1e-4, 1 - 1e-4)
-    theta = minimum(sums, np.concatenate((np.zeros(f), np.log(1 / share - 1))), np.concatenate((np.full(f, penalty), np.full(GRADES - 1, 1e-6))))
-    return theta[:f], np.maximum.accumulate(theta[f:])
+        sums = summed(rows, len(met))
+    share = np.clip([above[j] / total["n"] for j in met[1:]], 1e-4, 1 - 1e-4) * 0.9 ** np.arange(len(met) - 1)
+    theta = minimum(sums, np.concatenate((np.zeros(f), np.log(1 / share - 1))), np.concatenate((np.full(f, penalty), np.full(len(share), 1e-6))))
+    cuts = [next((theta[f + i] for i, g in enumerate(met[1:]) if g >= j), 40.0) for j in range(1, GRADES)]
+    return theta[:f], np.array(cuts)
 
 
 def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, support: int = SUPPORT, telling: float = TELLING, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from labelled documents. Labels without a document, null labels and null ids are left out; of several labels
-    of a document or of a text the largest counts. Texts that are equal when white-space runs become one space count once.
-    Without toxic documents the model has no features and calls nothing toxic."""
-    one = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    """A model from labelled documents. labels: the id, toxic (0 or 1), perhaps severity. Labels without a
+    document, null labels and null ids are left out; of several labels of a document or of a text the largest counts; a null
+    severity is 1. Texts that are equal when white-space runs become one space count once, empty ones too. Without
+    toxic documents, or an empty table, the model has no features and calls nothing toxic."""
+    grade = F.greatest(F.lit(1), F.least(F.col("severity").cast("int"), F.lit(GRADES - 1))) if "severity" in [c.lower() for c in labels.columns] else F.lit(1)
+    one = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(F.col("toxic") > 0, grade).otherwise(0)).alias("toxic"))
     texts = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("text"))
     rows = texts.join(small(one), "__id").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = written(rows.select("text", "toxic"), "labelled")
-    seen = rows.groupBy().agg(F.count("*").alias("n"), F.count_if(F.col("toxic") > 0).alias("bad")).first()
+    rows = written(rows.select("text", "toxic", F.pmod(F.xxhash64("sha"), F.lit(2)).alias("half")), "labelled")
+    bad = F.col("toxic") > 0
+    seen = rows.groupBy().agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(F.col("half") == 1).alias("n1"), F.count_if(bad & (F.col("half") == 1)).alias("bad1")).first()
     if not seen.bad or seen.bad == seen.n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), np.full(GRADES - 1, 40.0 if not seen.bad else -40.0))
-    counts = rows.mapInArrow(counted, "feature bigint, n bigint, bad bigint").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    found = counts.where((F.col("n") >= support) & (F.col("bad") > 0)).select("feature", likelihood_ratio(seen.n, seen.bad).alias("g2")).where(F.col("g2") >= telling).select("feature").toPandas()
-    known = np.sort(found["feature"].to_numpy(np.int64).view(np.uint64))
+    counts = rows.mapInArrow(counted, "feature bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)).groupBy("feature").agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+    def tells(n: Column, a: Column, docs: int, toxic: int, least: int) -> Column:
+        return (n >= least) & (a > 0) & (likelihood_ratio(n, a, docs, toxic) >= telling)
+
+    n, a, n1, a1 = map(F.col, COUNTS)
+    told = [tells(n, a, seen.n, seen.bad, support), tells(n - n1, a - a1, seen.n - seen.n1, seen.bad - seen.bad1, support // 2), tells(n1, a1, seen.n1, seen.bad1, support // 2)]
+    found = counts.select("feature", *[t.alias(c) for t, c in zip(told, ("all", "in0", "in1"))]).where("all OR in0 OR in1").toPandas()
+    feature = found["feature"].to_numpy(np.int64).view(np.uint64)
+    known = np.sort(feature[found["all"].to_numpy(bool)])
+    word = feature & np.uint64(1) == 0
+    # for texts of half 0 the words that half 1 tells, and the other way round
+    other = [np.sort(feature[found[c].to_numpy(bool) & word]) for c in ("in1", "in0")]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 row, k, c = features(known, part.column("text"))
                 first = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
-                word = known[k] & np.uint64(1) == 0
-                hits = np.bincount(row[word], c[word], part.num_rows).astype(np.int64)
                 k, c = (pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (k, c))
+                hits = [np.bincount(r, m, part.num_rows) for r, _, m in (features(o, part.column("text")) for o in other)]
+                hits = np.where(part.column("half").to_numpy(zero_copy_only=False) == 0, *hits).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "hits": pa.array(hits), "k": k, "c": c})
 
-    rows = rows.mapInArrow(encoded, "toxic int, hits bigint, k array<int>, c array<int>")
-    rows = written(rows, "encoded")
-    median = rows.where("toxic > 0").agg(F.percentile("hits", F.lit(0.5)).alias("m")).first().m
-    grade = F.when(F.col("toxic") > 0, F.when(F.col("hits") >= median, 2).otherwise(1)).otherwise(0)
+    rows = written(rows.mapInArrow(encoded, "toxic int, hits bigint, k array<int>, c array<int>"), "encoded")
+    if "severity" in [c.lower() for c in labels.columns]:
+        grade = F.col("toxic")
+    else:
+        median = rows.where("toxic > 0").agg(F.percentile("hits", F.lit(0.5)).alias("m")).first().m
+        grade = F.when(F.col("toxic") > 0, F.when(F.col("hits") >= median, 2).otherwise(1)).otherwise(0)
     return Model(known, *fit_ordinal(rows.select(grade.alias("grade"), "k", "c"), len(known), local))
 
 
