@@ -3,11 +3,9 @@ is keyed by query, so all queries of a batch run as one plan."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave.functions.scalars import min_max
@@ -15,48 +13,67 @@ from threadweave.operators.tables import first_by
 
 # Defaults of retrieval and fusion.
 PATH_WEIGHT, OWN_WEIGHT, EXPANSION_CAP, TOP_K, TWO_HOP_LIMIT = 0.7, 0.3, 0.4, 5, 50
-#: Query vectors that are sent to the tasks at once: 4096 of 384 dimensions are 12 MB.
-QUERY_BLOCK = 4096
-
-
-def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, threshold: float = -1.0, id_col: str = "id", vec_col: str = "v", block: int = QUERY_BLOCK) -> DataFrame:
-    """query, id, sim: each query's k vectors of greatest cosine (all, if k is None), its own id left out, at least `threshold`.
-
-    Vectors stay where they are: each block of queries (bounded, by a hash of their ids) is sent to all tasks, a task keeps its
-    k best for each query by one matrix product a batch, and the shuffle merges k rows a task and query."""
-    spark = vectors.sparkSession
-    n = queries.count()
-    blocks, out = max(1, -(-n // block)), None
-    for b in range(blocks):
-        held = queries.where(F.pmod(F.xxhash64(id_col), F.lit(blocks)) == b).select(id_col, vec_col).collect()
-        if not held:
-            continue
-        ids = np.array([r[0] for r in held], np.int64)
-        q = unit(np.array([r[1] for r in held], np.float64).reshape(len(held), -1))
-        sent = spark.sparkContext.broadcast((ids, q))
-
-        def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, qv = sent.value
-            for batch in batches:
-                vid = batch.column(id_col).to_numpy()
-                lists = batch.column(vec_col)
-                v = unit(np.asarray(lists.flatten(), np.float64).reshape(len(vid), -1))
-                sims = np.einsum("qd,vd->qv", qv, v) if min(qv.shape) < 2 else qv @ v.T
-                sims[qid[:, None] == vid[None, :]] = -np.inf
-                take = len(vid) if k is None else min(k, len(vid))
-                # by similarity, ties by id: rounding makes ties of what is equal but for the last bits
-                keyed = np.lexsort((np.broadcast_to(vid, sims.shape), -np.round(sims, 9)), axis=1)[:, :take]
-                rows = np.repeat(np.arange(len(qid)), take)
-                cols = keyed.ravel()
-                s = sims[rows, cols]
-                ok = s >= threshold
-                yield pa.RecordBatch.from_pydict({"query": pa.array(qid[rows[ok]]), "id": pa.array(vid[cols[ok]]), "sim": pa.array(s[ok])})
-
-        part = vectors.select(id_col, vec_col).mapInArrow(search, "query bigint, id bigint, sim double")
-        out = part if out is None else out.union(part)
-    if out is None:
-        return spark.createDataFrame([], "query bigint, id bigint, sim double")
-    return out if k is None else first_by(out, ["query"], [F.desc(F.round("sim", 9)), "id"], k)
+#: Vectors in a block: a task meets a block of queries and a block of vectors. Cells of similarities that it fills at once.
+BLOCK, CELLS = 8192, 2 << 20
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, threshold: float = -1.0, id_col: str = "id", vec_col: str = "v", block: int = BLOCK) -> DataFrame:
+    """query, id, sim: each query's k vectors of greatest cosine (all, if k is None), its own id left out, at least `threshold`."""
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(k).cast("bigint").alias("k"))
+    return best_of_blocks(asked, vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), threshold, block)
+
+
+def best_of_blocks(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """query, id, sim: each query's own number k of nearest vectors (a null k: all of them), k a column of the queries.
+
+    Queries and vectors are dealt into blocks by a hash of their ids, and each block of queries meets each block of vectors in
+    one task, by matrix products; nothing passes through the driver. A task gives out its best k of each query, which an
+    aggregation by query merges."""
+    nq, nv = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    block_of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    left = queries.withColumn("qb", block_of(nq)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
+    right = vectors.withColumn("vb", block_of(nv)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(asked) and len(held):
+            vid, v = held.column("id").to_numpy(), unit(matrix(held.column("v")))
+            qid, q = asked.column("id").to_numpy(), unit(matrix(asked.column("v")))
+            take = np.minimum(asked.column("k").fill_null(len(vid)).to_numpy(), len(vid))
+            step = max(1, CELLS // len(vid))
+            parts = [closest(qid[a : a + step], q[a : a + step], take[a : a + step], vid, v, threshold) for a in range(0, len(qid), step)]
+            out = [np.concatenate(x) for x in zip(*parts)]
+        return pa.table({n: pa.array(x) for n, x in zip(("query", "id", "sim"), out)})
+
+    found = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInArrow(search, "query bigint, id bigint, sim double")
+    if nv == 1:
+        return found
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("sim", 9)), "id"))
+    limits = queries.select(F.col("id").alias("query"), "k").distinct()
+    return found.withColumn("place", place).join(limits, "query").where("k IS NULL OR place <= k").select("query", "id", "sim")
+
+
+def matrix(lists: pa.ChunkedArray) -> np.ndarray:
+    return np.asarray(lists.combine_chunks().flatten(), np.float64).reshape(len(lists), -1)
+
+
+def closest(qid: np.ndarray, q: np.ndarray, take: np.ndarray, vid: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """query, id, sim of the `take` nearest of each query: by similarity, ties by id. Rounding makes ties of what is equal but for
+    the last bits. Only what reaches a row's last place is sorted."""
+    sims = np.einsum("qd,vd->qv", q, v) if min(q.shape[0], v.shape[0], q.shape[1]) < 2 else q @ v.T
+    sims[qid[:, None] == vid[None, :]] = -np.inf
+    keyed = np.round(sims, 9)
+    floor = np.full(len(qid), -np.inf)
+    for k in np.unique(take):
+        if 0 < k < len(vid):
+            of = np.flatnonzero(take == k)
+            floor[of] = np.partition(keyed[of], len(vid) - k, axis=1)[:, len(vid) - k]
+    row, col = np.nonzero((keyed >= floor[:, None]) & (sims >= threshold) & np.isfinite(sims))
+    order = np.lexsort((vid[col], -keyed[row, col], row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    ok = nth < take[row]
+    return qid[row[ok]], vid[col[ok]], sims[row[ok], col[ok]]
 
 
 def similar_pairs(queries: DataFrame, vectors: DataFrame, threshold: float, **columns: str) -> DataFrame:
@@ -64,10 +81,11 @@ def similar_pairs(queries: DataFrame, vectors: DataFrame, threshold: float, **co
     return nearest(queries, vectors, None, threshold, **columns)
 
 
-def nearest_with_room(queries: DataFrame, vectors: DataFrame, excluded: DataFrame, n: int, **columns: str) -> DataFrame:
-    """As many nearest vectors that n are left of each query whatever is excluded: n and the most ids excluded for a query."""
-    most = excluded.groupBy("query").count().agg(F.max("count")).first()[0] or 0
-    return nearest(queries, vectors, n + most, **columns)
+def nearest_with_room(queries: DataFrame, vectors: DataFrame, excluded: DataFrame, n: int, id_col: str = "id", vec_col: str = "v") -> DataFrame:
+    """As many nearest vectors that n are left of each query whatever is excluded: n and the number of ids excluded for it."""
+    more = excluded.groupBy(F.col("query").alias("id")).agg(F.count("*").alias("more"))
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).join(more, "id", "left").select("id", "v", (F.lit(n) + F.coalesce("more", F.lit(0))).alias("k"))
+    return best_of_blocks(asked, vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), -1.0)
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -123,8 +141,6 @@ def fuse_similarity(candidates: DataFrame, trust: DataFrame, alpha: float, k: in
 
 
 def ranked(best: DataFrame, k: int) -> DataFrame:
-    from pyspark.sql import Window
-
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "aid"))).where(F.col("rank") <= k)
 
 
