@@ -8,8 +8,9 @@ label has a part in its grade. One weight vector serves all thresholds: P(grade
 the likelihood is that of the grades, P(grade = k) = P(grade >= k) - P(grade >= k + 1).
 The expected severity is the sum of P(grade >= k); a document is toxic if P(grade >= 1) is at least one half.
 
-The regression is fitted to all distinct labelled texts. Up to LOCAL values of their features are fitted in the driver,
-beyond that each step's loss, gradient and curvature are summed by a job."""
+Features are counted over all distinct labelled texts. The regression is fitted to SAMPLE values of their features at most: beyond
+that, to a share of the texts by a hash of their content. Up to LOCAL values are fitted in the driver, more of them (with a
+larger sample) by jobs, which sum each step's loss, gradient and curvature."""
 
 from __future__ import annotations
 
@@ -25,13 +26,16 @@ from threadweave.llm.common import RangeHash, mix, slices, small, spread, text_o
 from threadweave.llm.decontamination import split
 from threadweave.llm.exact_dedup import normalised
 
-#: Texts that a feature must occur in; lengths of the byte runs; values that are fitted in the driver at most.
-SUPPORT, GRAMS, LOCAL = 8, (4, 5), 1_000_000
+#: Texts that a feature must occur in; lengths of the byte runs; values (a text's distinct features, of all texts together) that
+#: the fit uses at most, and that are fitted in the driver at most (24 bytes a value).
+SUPPORT, GRAMS, SAMPLE, LOCAL = 8, (4, 5), 2_000_000, 2_000_000
 #: Cells of a matrix of texts and features that a task fills at once.
 CELLS = 16 << 20
 #: Log-likelihood ratio (a chi-squared value of one degree) from which a feature is telling.
 TELLING = 20.0
 GRADES = 3
+#: Shares in which samples are measured.
+SHARES = 1 << 20
 
 
 @dataclass
@@ -111,14 +115,13 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known, k = np.unique(feature, return_inverse=True)
             n = np.bincount(owner, minlength=n_words)
             begin, n = (np.cumsum(n) - n)[word], n[word]
-            total = np.zeros((4, len(known)), np.int64)
+            total, of = np.zeros((4, len(known)), np.int64), np.stack((np.ones(len(toxic)), toxic, half, toxic & half)).astype(np.float32)
             some = max(1, CELLS // max(1, len(known)))
             for a in range(0, len(toxic), some):
                 i, j = np.searchsorted(doc, (a, a + some))
                 held = np.zeros((min(some, len(toxic) - a), len(known)), bool)
                 held[np.repeat(doc[i:j] - a, n[i:j]), k[spread(begin[i:j], n[i:j])]] = True
-                bad, one = toxic[a : a + some], half[a : a + some]
-                total += held.sum(axis=0), held[bad].sum(axis=0), held[one].sum(axis=0), held[bad & one].sum(axis=0)
+                total += (of[:, a : a + some] @ held.astype(np.float32)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"feature": pa.array(known.view(np.int64)), **{c: pa.array(t) for c, t in zip(COUNTS, total)}})
 
 
@@ -244,7 +247,7 @@ def fit_ordinal(rows: DataFrame, f: int, local: int = LOCAL, penalty: float = 1.
     return theta[:f], np.array(cuts)
 
 
-def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, support: int = SUPPORT, telling: float = TELLING, id_col: str = "doc_id", text_col: str = "text") -> Model:
+def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, sample: int = SAMPLE, support: int = SUPPORT, telling: float = TELLING, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from labelled documents. labels: the id, toxic (0 or 1), perhaps severity. Labels without a
     document, null labels and null ids are left out; of several labels of a document or of a text the largest counts; a null
     severity is 1. Texts that are equal when white-space runs become one space count once, empty ones too. Without
@@ -253,7 +256,9 @@ def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, support: int =
     one = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(F.col("toxic") > 0, grade).otherwise(0)).alias("toxic"))
     texts = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("text"))
     rows = texts.join(small(one), "__id").groupBy(F.sha2("text", 256).alias("sha")).agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))
-    rows = written(rows.select("text", "toxic", F.pmod(F.xxhash64("sha"), F.lit(2)).alias("half")), "labelled")
+    # the half by one bit of the content's hash, the place among the samples by others
+    hashed = F.xxhash64("sha")
+    rows = written(rows.select("text", "toxic", F.pmod(hashed, F.lit(2)).alias("half"), F.pmod(F.shiftright(hashed, 1), F.lit(SHARES)).alias("place")), "labelled")
     bad = F.col("toxic") > 0
     seen = rows.groupBy().agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"), F.count_if(F.col("half") == 1).alias("n1"), F.count_if(bad & (F.col("half") == 1)).alias("bad1")).first()
     if not seen.bad or seen.bad == seen.n:
@@ -280,15 +285,17 @@ def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, support: int =
                 k, c = (pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (k, c))
                 hits = [np.bincount(r, m, part.num_rows) for r, _, m in (features(o, part.column("text")) for o in other)]
                 hits = np.where(part.column("half").to_numpy(zero_copy_only=False) == 0, *hits).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "hits": pa.array(hits), "k": k, "c": c})
+                yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "hits": pa.array(hits), "place": part.column("place"), "k": k, "c": c})
 
-    rows = written(rows.mapInArrow(encoded, "toxic int, hits bigint, k array<int>, c array<int>"), "encoded")
+    rows = written(rows.mapInArrow(encoded, "toxic int, hits bigint, place bigint, k array<int>, c array<int>"), "encoded")
+    values = rows.agg(F.sum(F.size("k") + 1)).first()[0]
     if "severity" in [c.lower() for c in labels.columns]:
         grade = F.col("toxic")
     else:
         median = rows.where("toxic > 0").agg(F.percentile("hits", F.lit(0.5)).alias("m")).first().m
         grade = F.when(F.col("toxic") > 0, F.when(F.col("hits") >= median, 2).otherwise(1)).otherwise(0)
-    return Model(known, *fit_ordinal(rows.select(grade.alias("grade"), "k", "c"), len(known), local))
+    fitted = rows.where(F.col("place") < SHARES * sample // values)
+    return Model(known, *fit_ordinal(fitted.select(grade.alias("grade"), "k", "c"), len(known), local))
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
