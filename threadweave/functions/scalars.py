@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Weights of the trust formulas.
 QUESTION_WEIGHTS = (0.7, 0.3)
@@ -68,21 +72,58 @@ def first_tag(col: Column) -> Column:
     return F.nullif(F.regexp_extract(col, "<([^<>]+)>", 1), F.lit(""))
 
 
-# Elements that end a line, and the entities that the cleaned posts hold.
-BLOCK_ELEMENTS = "p|br|div|li|ul|ol|pre|h[1-6]|tr|table|blockquote"
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+# The tags that end a line.
+LINE_ENDS = r"(?i)</(p|div|li|pre|blockquote|h[1-6])\s*>|<br\s*/?>"
+
+
+@F.pandas_udf(StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """Character references decoded; Spark has no function for it."""
+    return texts.map(html.unescape, na_action="ignore")
+
+
+def html_to_text(col: Column, most: int = 4000) -> Column:
+    """Closing block tags and <br> to line breaks, other tags away (their text stays), character references decoded, blanks
+    collapsed, at most one empty line in a row, cut to `most` characters with a mark. A null stays null."""
+    out = F.regexp_replace(F.regexp_replace(col, LINE_ENDS, "\n"), "<[^>]+>", "")
+    out = F.regexp_replace(F.regexp_replace(unescaped(out), "[ \t]+", " "), "\n{3,}", "\n\n")
+    out = F.regexp_replace(out, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
+    cut = F.regexp_replace(F.substring(out, 1, most), r"[\s\u00A0]+$", "")
+    return F.when(F.length(out) > most, F.concat(cut, F.lit(" …[truncated]"))).otherwise(out)
+
+
+# How citations are written. A token is any bracket that begins as one; only digits name a source.
+CITATION, CITATION_TOKEN = r"(?i)\[SO[-: ]?(?:thread\s*)?(\d+)\]", r"(?i)\[SO(?=[-:\s<\]])[^\]]{0,20}\]"
+
+
+def citation_tokens(col: Column) -> Column:
+    """Everything that is written like a citation, placeholders too, repeats too."""
+    return F.regexp_extract_all(F.coalesce(col, F.lit("")), F.lit(CITATION_TOKEN), F.lit(0))
 
 
-def html_to_text(col: Column, most: int = 1000) -> Column:
-    """Block elements to line breaks, other tags away, entities decoded, blanks collapsed, cut to `most` characters with a mark."""
-    out = F.regexp_replace(col, "(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    out = F.regexp_replace(out, f"(?i)</?({BLOCK_ELEMENTS})[^>]*>", "\n")
-    out = F.regexp_replace(out, "<[^>]+>", "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    out = F.regexp_replace(F.regexp_replace(out, "[ \t\r]+", " "), " ?\n[ \n]*", "\n")
-    out = F.trim(out, F.lit(" \n"))
-    return F.when(F.length(out) > most, F.concat(F.substring(out, 1, most), F.lit(" …[truncated]"))).otherwise(out)
+def valid_citations(col: Column, context_ids: Column) -> Column:
+    """The ids of tokens that name one of context_ids, repeats too."""
+    ids = F.transform(citation_tokens(col), lambda x: F.regexp_extract(x, f"^{CITATION}$", 1).try_cast("bigint"))
+    return F.filter(ids, lambda x: F.coalesce(F.array_contains(context_ids, x), F.lit(False)))
+
+
+def sentences(col: Column) -> Column:
+    """Sentences and lines of a text."""
+    return F.filter(F.split(F.coalesce(col, F.lit("")), r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x) != "")
+
+
+def cited_statements(col: Column) -> Column:
+    """Of each sentence with a citation: statement (tokens taken out) and cited ids."""
+    cited = F.filter(sentences(col), lambda x: F.size(citation_tokens(x)) > 0)
+    bare = lambda x: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, CITATION_TOKEN, ""), "[ \t]{2,}", " "), "[ \t]+([,.;:!?])", "$1"))
+    ids = lambda x: F.transform(F.regexp_extract_all(x, F.lit(CITATION), F.lit(1)), lambda i: i.cast("bigint"))
+    return F.transform(cited, lambda x: F.struct(bare(x).alias("statement"), ids(x).alias("ids")))
+
+
+def blinded(col: Column) -> Column:
+    """The text without citations and without a block of sources at its end, so that its origin can't be told."""
+    out = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?is)\n+\s*\**\s*(sources|references)\s*:?\s*\**\s*:?\s*\n.*$", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(out, CITATION_TOKEN, ""), "[ \t]{2,}", " "))
 
 
 def cited_ids(col: Column) -> Column:
@@ -97,10 +138,15 @@ def redacted(col: Column) -> Column:
     return F.regexp_replace(out, r"\b\d{1,3}(\.\d{1,3}){3}\b", "***")
 
 
-def question_type(text: Column) -> Column:
-    """Debugging before How-to before Conceptual."""
-    low = F.lower(text)
-    return F.when(low.rlike("error|exception|fail|not working|bug"), "Debugging").when(low.rlike("how (to|do|can)|way to"), "How-to").otherwise("Conceptual")
+# What tells the kinds of questions apart.
+DEBUGGING = r"(?i)\b(error|exception|bug|fix|fails?|failing|crash|traceback|not working|doesn't work|why (is|does|isn't)|issue|problem)\b"
+HOW_TO = r"(?i)^\s*(how (do|can|to|should)|what('s| is) the best way to)"
+
+
+def question_type(title: Column, body: Column) -> Column:
+    """Debugging (by title or body) before How-to (by the title's beginning) before Conceptual."""
+    text = F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(body, F.lit("")))
+    return F.when(text.rlike(DEBUGGING), "Debugging").when(F.coalesce(title, F.lit("")).rlike(HOW_TO), "How-to").otherwise("Conceptual")
 
 
 def char_shingles(col: Column, n: int) -> Column:

@@ -32,16 +32,17 @@ def pair_bound(informative: DataFrame, tag: str) -> DataFrame:
 def tag_cooccurrence(tagged: DataFrame, item: str, tag: str, max_df: int = MAX_DF, threshold: float = TAG_JACCARD, top_k: int = TAG_TOP_K, weight: float = TAG_WEIGHT, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """src, dst, jaccard, weight: each item's top_k others by Jaccard of tag sets, at least `threshold`.
 
-    Sets have all tags, pairs arise from informative ones. The cap on df bounds each join key's rows, and the query fails where
-    the bound on pairs is beyond most_pairs. A row knows the sizes of its item's set (n) and of its informative part (m), so
+    Sets have all tags, pairs arise from informative ones. The cap on df bounds each join key's rows, and the bound on pairs is
+    checked before the join. A row knows the sizes of its item's set (n) and of its informative part (m), so
     that pairs which can't reach the threshold are dropped inside the join, and nothing has to be joined after it. Pairs are
     made once (a < b) and turned round only after the filter."""
     sets = tagged.groupBy(item).agg(F.collect_set(tag).alias("__tags")).select(F.col(item).alias("a"), F.size("__tags").alias("n"), F.explode("__tags").alias("tag"))
     often = sets.groupBy("tag").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
     short = sets.join(often, "tag").withColumn("m", F.count("*").over(Window.partitionBy("a")))
-    pairs = F.coalesce(F.sum(F.col("df") * (F.col("df") - 1)), F.lit(0))
-    bound = often.agg(F.when(pairs > most_pairs, F.raise_error(F.concat(F.lit("up to "), pairs.cast("string"), F.lit(" pairs; lower max_df")))).otherwise(F.lit(True)).cast("boolean").alias("ok"))
-    short = short.where(bound.scalar()).select("tag", "a", "n", "m")
+    bound = often.agg(F.sum(F.col("df") * (F.col("df") - 1))).first()[0] or 0
+    if bound > most_pairs:
+        raise ValueError(f"up to {bound} pairs; lower max_df")
+    short = short.select("tag", "a", "n", "m")
     other = short.select("tag", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
     reachable = F.least("m", "mb") * (1 + threshold) >= threshold * (F.col("n") + F.col("nb")) - 1e-9
     common = short.join(other, "tag").where((F.col("a") < F.col("b")) & reachable).groupBy("a", "b", "n", "nb").agg(F.count("*").alias("k"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave.functions.scalars import min_max
@@ -140,6 +140,69 @@ def fuse_similarity(candidates: DataFrame, trust: DataFrame, alpha: float, k: in
     return ranked(first_by(rows, ["query", "aid"], [F.desc("score"), "via"]), k)
 
 
+def fuse_uniform(candidates: DataFrame, order: list, k: int = TOP_K) -> DataFrame:
+    """The ablation without scores: each answer as it was first discovered, the first k of each query. order: of discovery."""
+    best = candidates.withColumn("__n", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
+    best = first_by(best, ["query", "aid"], ["__n"])
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("__n"))).where(F.col("rank") <= k).drop("__n")
+
+
+def blended_trust(trust: Column, author: Column, beta: float) -> Column:
+    """An answer's trust with a part of its author's; an unknown author has none."""
+    return (1 - beta) * trust + beta * F.coalesce(author, F.lit(0.0))
+
+
+def refilled(scored: DataFrame, dropped: Column, k: int = TOP_K) -> DataFrame:
+    """The k best of each query (query, aid, sim, score) that aren't dropped; where fewer are left, dropped ones by similarity."""
+    rows = scored.withColumn("dropped", dropped)
+    place = F.row_number().over(Window.partitionBy("query").orderBy("dropped", F.desc(F.round(F.when(F.col("dropped"), F.col("sim")).otherwise(F.col("score")), 9)), "aid"))
+    return rows.withColumn("rank", place).where(F.col("rank") <= k)
+
+
+def answer_level_anchors(hits: DataFrame, n: int, shallow: int = 10, deep: int = 50) -> DataFrame:
+    """query, id, sim: questions by their best answer among a query's first `shallow` answers, or, where those belong to fewer than
+    n questions, its first `deep`. hits: query, aid, qid, sim, place (from 1)."""
+    def questions(most: int) -> DataFrame:
+        best = hits.where(F.col("place") <= most).groupBy("query", F.col("qid").alias("id")).agg(F.max("sim").alias("sim"))
+        return best.withColumn("found", F.count("*").over(Window.partitionBy("query")))
+
+    near, far = questions(shallow).where(F.col("found") >= n), questions(deep)
+    rows = near.unionByName(far.join(near.select("query").distinct(), "query", "left_anti"))
+    return first_by(rows, ["query"], [F.desc(F.round("sim", 9)), "id"], n).drop("found")
+
+
+def mode_name(dup: bool, linked: bool, near: float | None) -> str:
+    """The canonical name of an exclusion mode: thread, or dup with what comes on top; linked and near imply dup."""
+    if not (dup or linked or near is not None):
+        return "thread"
+    return "dup" + "+linked" * linked + (f"+neardup{near:g}" if near is not None else "")
+
+
+def exclusions_of_mode(questions: DataFrame, links: DataFrame, near: DataFrame, answers: DataFrame, dup: bool, linked: bool, threshold: float | None) -> DataFrame:
+    """query, mode, question_ids, answer_ids, n_dup, n_linked, n_near: what a question's own thread and its relatives rule out.
+
+    links: a, b, kind (Duplicate or Linked), of either direction. near: query, id, sim. answers: qid, aid."""
+    both = links.select(F.col("a").alias("query"), F.col("b").alias("id"), "kind").union(links.select("b", "a", "kind")).where("query <> id")
+    rows = both.where(F.lit(dup or linked or threshold is not None) & (F.col("kind") == "Duplicate")).select("query", "id", F.lit("dup").alias("why"))
+    rows = rows.union(both.where(F.lit(linked) & (F.col("kind") == "Linked")).select("query", "id", F.lit("linked")))
+    if threshold is not None:
+        rows = rows.union(near.where((F.col("sim") >= threshold) & (F.col("query") != F.col("id"))).select("query", "id", F.lit("near")))
+    asked = questions.select(F.col("qid").alias("query")).distinct()
+    every = asked.select("query", F.col("query").alias("id"), F.lit("own").alias("why")).union(rows.join(asked, "query", "left_semi")).distinct()
+    n = [F.count_if(F.col("why") == w).alias(f"n_{w}") for w in ("dup", "linked", "near")]
+    sets = every.groupBy("query").agg(F.array_sort(F.collect_set("id")).alias("question_ids"), *n)
+    of = every.select("query", "id").distinct().join(answers.select(F.col("qid").alias("id"), "aid"), "id").groupBy("query").agg(F.array_sort(F.collect_set("aid")).alias("answer_ids"))
+    return sets.join(of, "query", "left").select("query", F.lit(mode_name(dup, linked, threshold)).alias("mode"), "question_ids", F.coalesce("answer_ids", F.array().cast("array<bigint>")).alias("answer_ids"), "n_dup", "n_linked", "n_near")
+
+
+def leakage_audit(items: DataFrame, excluded: DataFrame, wanted: int) -> DataFrame:
+    """One row: queries, shares of those whose items hold an excluded id or fall short of `wanted`, mean of the best similarity.
+    items: query, id, sim."""
+    bad = items.join(excluded.select("query", "id").distinct().withColumn("hit", F.lit(1)), ["query", "id"], "left")
+    per = bad.groupBy("query").agg(F.count("*").alias("n"), F.max(F.coalesce("hit", F.lit(0))).alias("leaked"), F.max("sim").alias("best"))
+    return per.agg(F.count("*").alias("n_queries"), (100 * F.avg("leaked")).alias("leaked_pct"), (100 * F.avg((F.col("n") < wanted).cast("double"))).alias("short_pct"), F.avg("best").alias("mean_best"))
+
+
 def ranked(best: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "aid"))).where(F.col("rank") <= k)
 

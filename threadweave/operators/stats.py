@@ -190,3 +190,60 @@ def permutation_test(df: DataFrame, key: str, group: Column, value: str, permuta
     per = drawn.withColumn("g", F.col("place") <= F.col("n1")).groupBy("r", "difference").agg(means.alias("d"))
     far = F.count_if(F.abs("d") >= F.abs("difference") - 1e-9)
     return per.groupBy("difference").agg(((far + 1) / (permutations + 1)).alias("p"))
+
+
+def point_biserial(df: DataFrame, by: list[str], value: str, flag: Column) -> DataFrame:
+    """n, n_flagged and Pearson's r of a number with a yes/no; null below three rows or without variance."""
+    x, y = F.col(value).cast("double"), F.col("__y")
+    rows = df.withColumn("__y", flag.cast("double")).where(F.col(value).isNotNull() & F.col("__y").isNotNull())
+    fine = (F.count("*") >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).cast("bigint").alias("n_flagged"), F.when(fine, F.corr(x, y)).alias("r"))
+
+
+def drawn_weight(row: Column, draw: Column, seed: int) -> Column:
+    """How often a row is in a resample: the Poisson(1) quantile of a hash of row and resample, the same on any engine with MD5."""
+    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), row.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("double")
+    u = (h + 0.5) / 4294967296.0
+    # fixed values: cumulated probabilities of 0 to 5
+    return sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+
+
+def bootstrap_sums(rows: DataFrame, key: str, sums: dict[str, Column], resamples: int, seed: int) -> DataFrame:
+    """draw and the weighted sums of each resample. A row draws an array of weights, one a resample, and arrays of sums are added
+    up on the map side, so that no row is copied once a resample."""
+    draws = F.sequence(F.lit(1), F.lit(resamples))
+    weights = F.transform(draws, lambda d: drawn_weight(F.col(key), d, seed))
+    wide = rows.select(weights.alias("__w"), *[c.cast("double").alias(n) for n, c in sums.items()])
+    chunks = wide.select(F.posexplode("__w").alias("draw", "__w"), *sums)
+    return chunks.groupBy("draw").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
+
+
+def interval(draws: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """low, high (linear percentiles) and the number of resamples in which the value is defined."""
+    return draws.agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"), F.count(value).alias("n_defined"))
+
+
+def bootstrap_kappa(df: DataFrame, key: str, a: str, b: str, resamples: int = 2000, seed: int = 20261019) -> DataFrame:
+    """Percentile interval of Cohen's kappa of two yes/no ratings over resampled items; undefined resamples are left out. Items
+    with the same pair of ratings are told apart by their key only, so sums of four cells are all that is kept."""
+    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key), F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y"))
+    cells = {f"c{i}{j}": ((F.col("x") == i) & (F.col("y") == j)).cast("int") for i in (0, 1) for j in (0, 1)}
+    s = bootstrap_sums(rows, key, cells, resamples, seed)
+    n = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
+    agree = (F.col("c00") + F.col("c11")) / n
+    chance = ((F.col("c00") + F.col("c01")) * (F.col("c00") + F.col("c10")) + (F.col("c11") + F.col("c01")) * (F.col("c11") + F.col("c10"))) / (n * n)
+    return interval(s.where(n > 0).withColumn("kappa", F.when(chance < 1, (agree - chance) / (1 - chance))), "kappa")
+
+
+def bootstrap_difference(df: DataFrame, key: str, group: Column, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
+    """Percentile interval of the difference of two groups' means (where `group` holds, less the rest's)."""
+    rows = df.where(F.col(value).isNotNull()).select(F.col(key), group.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
+    s = bootstrap_sums(rows, key, {"n1": F.col("g"), "s1": F.col("g") * F.col("v"), "n0": 1 - F.col("g"), "s0": (1 - F.col("g")) * F.col("v")}, resamples, seed)
+    return interval(s.withColumn("d", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0"))), "d")
+
+
+def paired_bootstrap(df: DataFrame, key: str, difference: Column, resamples: int = 10_000, seed: int = 42) -> DataFrame:
+    """Percentile interval of the mean of paired differences, by their key."""
+    rows = df.select(F.col(key), difference.cast("double").alias("d")).where("d IS NOT NULL")
+    s = bootstrap_sums(rows, key, {"n": F.lit(1), "s": F.col("d")}, resamples, seed)
+    return interval(s.withColumn("m", F.when(F.col("n") > 0, F.col("s") / F.col("n"))), "m")

@@ -540,15 +540,14 @@ def grouped_and_pooled(spark, sf):
     return t(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query(r"""WITH s AS (SELECT page_id, regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gis') AS x FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(x, '</?(p|br|div|li|ul|ol|pre|h[1-6]|tr|table|blockquote)[^>]*>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM s),
-e AS (SELECT page_id, replace(replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') AS x FROM b),
-c AS (SELECT page_id, trim(regexp_replace(regexp_replace(x, '[ \t\r]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS x FROM e)
-SELECT page_id, length(x)::BIGINT AS n_chars, sha256(CASE WHEN length(x) > 1000 THEN x[:1000] || ' …[truncated]' ELSE x END) AS text_sha256 FROM c""")
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '</(p|div|li|pre|blockquote|h[1-6])\s*>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
+e AS (SELECT page_id, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS x FROM b),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS x FROM e)
+SELECT page_id, length(x)::BIGINT AS n_chars, sha256(CASE WHEN length(x) > 1000 THEN regexp_replace(x[:1000], '[\s\x{00A0}]+$', '') || ' …[truncated]' ELSE x END) AS text_sha256 FROM c""")
 def page_texts(spark, sf):
     p = t(spark, sf, "pages")
     whole = S.html_to_text(F.col("html"), 1 << 30)
-    return p.select("page_id", F.length(whole).cast("bigint").alias("n_chars"), F.sha2(S.html_to_text(F.col("html")), 256).alias("text_sha256"))
+    return p.select("page_id", F.length(whole).cast("bigint").alias("n_chars"), F.sha2(S.html_to_text(F.col("html"), 1000), 256).alias("text_sha256"))
 
 
 @query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, '\b(token|api[_-]?key|secret|password)(\s*[=:]\s*)"?[A-Za-z0-9_\-]{16,}"?', '\1\2***', 'gi'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '***', 'g'), '\b\d{1,3}(\.\d{1,3}){3}\b', '***', 'g')) AS text_sha256 FROM documents""")
@@ -556,9 +555,11 @@ def redacted_documents(spark, sf):
     return t(spark, sf, "documents").select("doc_id", F.sha2(S.redacted(F.col("text")), 256).alias("text_sha256"))
 
 
-@query("SELECT CASE WHEN regexp_matches(lower(text), 'error|exception|fail|not working|bug') THEN 'Debugging' WHEN regexp_matches(lower(text), 'how (to|do|can)|way to') THEN 'How-to' ELSE 'Conceptual' END AS kind, count(*) AS n FROM documents GROUP BY 1")
+@query(r"""WITH d AS (SELECT coalesce(split_part(text, chr(10), 1), '') AS title, coalesce(text, '') AS text FROM documents) SELECT CASE WHEN regexp_matches(text, '(^|[^\p{L}\p{N}_])(error|exception|bug|fix|fails?|failing|crash|traceback|not working|doesn''t work|why (is|does|isn''t)|issue|problem)($|[^\p{L}\p{N}_])', 'i') THEN 'Debugging'
+  WHEN regexp_matches(title, '^\s*(how (do|can|to|should)|what(''s| is) the best way to)', 'i') THEN 'How-to' ELSE 'Conceptual' END AS kind, count(*) AS n FROM d GROUP BY 1""")
 def question_types(spark, sf):
-    return t(spark, sf, "documents").groupBy(S.question_type(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    title = F.substring_index("text", "\n", 1)
+    return t(spark, sf, "documents").groupBy(S.question_type(title, F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("WITH b AS (SELECT item_id, substr(text, i, 50) AS s FROM (SELECT item_id, text, unnest(range(1, length(text) - 48)) AS i FROM benchmark WHERE length(text) >= 50)), d AS (SELECT doc_id, substr(text, i, 50) AS s FROM (SELECT doc_id, text, unnest(range(1, length(text) - 48)) AS i FROM documents WHERE length(text) >= 50)) SELECT DISTINCT doc_id, item_id FROM d JOIN b USING (s)")
