@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from threadweave.plans import catalogue, judged  # noqa: F401
+from threadweave.plans import catalogue, judged, reports  # noqa: F401
 from tests.conftest import SF_MID, SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
