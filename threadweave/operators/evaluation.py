@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadweave.operators.tables import running_counts
+
 
 def rank_metrics(items: DataFrame, query: str, rank: str, relevant: Column) -> DataFrame:
     """query, precision, reciprocal_rank (0 if nothing is relevant), n."""
@@ -20,13 +24,23 @@ def panel_vote(votes: DataFrame, item: str, level: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """p50 and p95 (linear), p95_nearest (the value of rank round(0.95 n), half to even, at least 1), maximum."""
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.percentile(value, F.lit(0.5)).alias("p50"), F.percentile(value, F.lit(0.95)).alias("p95"), F.max(value).alias("max_value"))
-    place = F.greatest(F.lit(1), F.bround(F.col("n") * 0.95).cast("int"))
-    w = Window.partitionBy(*by).orderBy(value)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("__r", F.row_number().over(w))
-    near = ranked.join(out.select(*by, place.alias("__p")), by).where("__r = __p").select(*by, F.col(value).alias("p95_nearest"))
-    return out.join(near, by, "left")
+    """n, p50 and p95 (linear), max_value, p95_nearest (the value of rank round(0.95 n), half to even, at least 1).
+
+    Values are found by their ranks among counts of distinct values (running_counts), so no task holds a group's values."""
+    placed = running_counts(df, by, value)
+    sizes = placed.groupBy(*by).agg(F.sum("n").alias("__size"))
+    same = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by], F.lit(True))
+    rows = placed.join(F.broadcast(sizes.withColumnsRenamed({c: f"__{c}" for c in by})), same)
+    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
+    size, names, parts = F.col("__size"), [], []
+    for p in (0.5, 0.95):
+        exact = (size - 1) * p
+        parts += [at(F.floor(exact)).alias(f"__lo{p}"), at(F.ceil(exact)).alias(f"__hi{p}"), F.max(exact - F.floor(exact)).alias(f"__part{p}")]
+        low, high, part = (F.col(f"`__{k}{p}`") for k in ("lo", "hi", "part"))
+        names.append((low + (high - low) * part).alias(f"p{round(100 * p)}"))
+    nearest = at(F.greatest(F.lit(1), F.bround(size * 0.95).cast("bigint")) - 1).alias("p95_nearest")
+    out = rows.groupBy(*by).agg(F.max(size).alias("n"), F.max(value).alias("max_value"), nearest, *parts)
+    return out.select(*by, "n", *names, "max_value", "p95_nearest")
 
 
 def outliers(df: DataFrame, by: list[str], value: str, ratio: float = 0.5) -> DataFrame:

@@ -81,8 +81,22 @@ def missing_steps(paths: DataFrame, edges: DataFrame) -> DataFrame:
     return paths.select("src", "dst", "edge_type").distinct().join(both, ["src", "dst", "edge_type"], "left_anti")
 
 
-def gap_batches(df: DataFrame, by: list[str], at: str, seconds: int) -> DataFrame:
-    """df with batch: numbered from 1 in each group, a new one where more than `seconds` lie since the row before."""
-    w = Window.partitionBy(*by).orderBy(at, *[c for c in df.columns if c not in (*by, at)][:1])
-    gap = F.unix_micros(F.col(at).cast("timestamp")) - F.unix_micros(F.lag(at).over(w).cast("timestamp"))
-    return df.withColumn("__new", F.when(gap.isNull() | (gap > seconds * 1_000_000), 1).otherwise(0)).withColumn("batch", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
+def gap_batches(df: DataFrame, by: list[str], at: str, seconds: int, width: int = 86_400) -> DataFrame:
+    """df with batch: numbered from 1 in each group, a new one where more than `seconds` lie since the row before.
+
+    A group is cut into ranges of `width` seconds, each a window of its own; the last row of the range before decides whether a
+    range's first row begins a batch, and the ranges' numbers of batches, a row a range, are added up over the group. Rows of one
+    moment are in one batch, whatever their order."""
+    ts = F.unix_micros(F.col(at).cast("timestamp"))
+    rows = df.withColumn("__t", ts).withColumn("__range", F.floor(ts / (width * 1_000_000)))
+    group, inside = Window.partitionBy(*by), Window.partitionBy(*by, "__range").orderBy("__t")
+    ends = rows.groupBy(*by, "__range").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last"))
+    ends = ends.withColumn("__before", F.lag("__last").over(group.orderBy("__range")))
+    far = lambda now, last: last.isNull() | (now - last > seconds * 1_000_000)
+    begins = rows.withColumn("__prev", F.lag("__t").over(inside)).withColumn("__new", F.when(F.col("__prev").isNotNull() & far(F.col("__t"), F.col("__prev")), 1).otherwise(0))
+    count = begins.groupBy(*by, "__range").agg(F.sum("__new").alias("__within"))
+    ends = ends.join(count, [*by, "__range"]).withColumn("__opens", F.when(far(F.col("__first"), F.col("__before")), 1).otherwise(0))
+    total = F.sum(F.col("__opens") + F.col("__within")).over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0))
+    ends = ends.select(*by, "__range", (total - F.col("__within")).alias("__start"))
+    out = begins.withColumn("__nth", F.sum("__new").over(inside.rangeBetween(Window.unboundedPreceding, 0))).join(ends, [*by, "__range"])
+    return out.select(*df.columns, (F.col("__start") + F.col("__nth")).alias("batch"))

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadweave.operators.tables import running_counts
+
 
 def confusion(df: DataFrame, a: str, b: str) -> DataFrame:
     """a, b, n over the full grid of categories seen on either side."""
@@ -73,10 +75,8 @@ def krippendorff_ordinal(ratings: DataFrame, item: str, label: str) -> DataFrame
 
 
 def average_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """df with rank: ties share the mean of their ranks. Ranks come from counts of distinct values, which is what is sorted."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.withColumn("rank", F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).drop("__n")
+    """df with rank: ties share the mean of their ranks. Ranks come from counts of distinct values, summed in ranges."""
+    placed = running_counts(df, by, value).select(*by, value, (F.col("before") + (F.col("n") + 1) / 2).alias("rank"))
     return df.join(placed, [*by, value])
 
 
@@ -142,17 +142,23 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def bootstrap_mean(df: DataFrame, by: list[str], value: str, resamples: int = 2000, seed: int = 20261019) -> DataFrame:
-    """Percentile interval of the mean from Poisson resampling: each row draws its weight in each resample from its hash,
-    so nothing is collected or sorted, sums combine on the map side, and the result doesn't depend on partitions."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "__r", *by, value, "__id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    # the Poisson(1) quantile function: cumulated probabilities of 0 to 5
-    weight = sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-    rows = df.select(*by, value).withColumn("__id", F.row_number().over(Window.partitionBy(*by, value).orderBy(value)))
-    drawn = rows.withColumn("__r", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__w", weight)
+    """Percentile interval of the mean from Poisson resampling: each row draws its weights in all resamples, as an array, from
+    its hash, so nothing is collected or sorted, arrays of sums are added up on the map side, and the result doesn't depend on
+    partitions. Rows of one group and value are told apart by a number of their own."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("__id", F.row_number().over(Window.partitionBy(*by, value).orderBy(value)))
+    u = lambda d: (F.pmod(F.xxhash64(F.lit(seed), d, *by, value, "__id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    weights = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda d: poisson(u(d)))
+    drawn = rows.select(*by, value, F.posexplode(weights).alias("__r", "__w"))
     means = drawn.groupBy(*by, "__r").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 
+def poisson(u: Column) -> Column:
+    """The Poisson(1) quantile function."""
+    # fixed values: cumulated probabilities of 0 to 5
+    return sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+
+
 def kendall_tau(df: DataFrame, x: str, y: str, most_levels: int = 1000) -> DataFrame:
     """n, tau (tau-b) of two ordinals with at most `most_levels` values each (checked), from running sums over the grid of values;
     no pairs of rows are made. Of the pairs, ties follow from the margins and discordant ones are what is left."""
@@ -203,19 +209,15 @@ def point_biserial(df: DataFrame, by: list[str], value: str, flag: Column) -> Da
 def drawn_weight(row: Column, draw: Column, seed: int) -> Column:
     """How often a row is in a resample: the Poisson(1) quantile of a hash of row and resample, the same on any engine with MD5."""
     h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), row.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("double")
-    u = (h + 0.5) / 4294967296.0
-    # fixed values: cumulated probabilities of 0 to 5
-    return sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
+    return poisson((h + 0.5) / 4294967296.0)
 
 
 def bootstrap_sums(rows: DataFrame, key: str, sums: dict[str, Column], resamples: int, seed: int) -> DataFrame:
-    """draw and the weighted sums of each resample. A row draws an array of weights, one a resample, and arrays of sums are added
-    up on the map side, so that no row is copied once a resample."""
-    draws = F.sequence(F.lit(1), F.lit(resamples))
-    weights = F.transform(draws, lambda d: drawn_weight(F.col(key), d, seed))
-    wide = rows.select(weights.alias("__w"), *[c.cast("double").alias(n) for n, c in sums.items()])
-    chunks = wide.select(F.posexplode("__w").alias("draw", "__w"), *sums)
-    return chunks.groupBy("draw").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
+    """draw and the weighted sums of each resample. Rows are spread by their key and unfolded into resamples inside a task, in
+    front of the map-side sums: what is shuffled then is a row a task and resample."""
+    wide = rows.select(F.col(key).alias("__key"), *[c.cast("double").alias(n) for n, c in sums.items()]).repartition("__key")
+    drawn = wide.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__w", drawn_weight(F.col("__key"), F.col("draw"), seed))
+    return drawn.groupBy("draw").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
 
 
 def interval(draws: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:

@@ -58,3 +58,22 @@ def largest_difference(a: DataFrame, b: DataFrame, keys: list[str], col: str) ->
 def one_value_guard(df: DataFrame, group: list[str], col: str) -> DataFrame:
     """Groups that hold several values of a column that must be one (a configuration, a judge version)."""
     return df.groupBy(*group).agg(F.count_distinct(col).alias("n_values"), F.min(col).alias("least"), F.max(col).alias("greatest")).where("n_values > 1")
+
+
+def running_counts(df: DataFrame, by: list[str], value: str, buckets: int = 200) -> DataFrame:
+    """by, value, n, before: how often each value occurs in its group, and how many rows have a smaller one.
+
+    Values go into ranges by approximate percentiles, so that a group of very many values is summed in many tasks: a window
+    over each range, and the ranges' totals, of which there are at most `buckets` a group, on top."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, [k / buckets for k in range(1, buckets)], 10 * buckets).alias("__cuts"))
+    same = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by], F.lit(True))
+    placed = counts.join(F.broadcast(cuts.withColumnsRenamed({c: f"__{c}" for c in by})), same).drop(*[f"__{c}" for c in by])
+    placed = placed.withColumn("__range", F.size(F.filter("__cuts", lambda c: c < F.col(value)))).drop("__cuts")
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+    earlier = (Window.unboundedPreceding, -1)
+    totals = placed.groupBy(*by, "__range").agg(F.sum("n").alias("__n"))
+    totals = totals.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(group.orderBy("__range").rowsBetween(*earlier)), F.lit(0)).alias("__above"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "__range").orderBy(value).rowsBetween(*earlier)), F.lit(0))
+    out = placed.withColumn("__in", inside).join(F.broadcast(totals), same & (F.col("__range") == F.col("__r")))
+    return out.select(*by, value, "n", (F.col("__above") + F.col("__in")).alias("before"))
