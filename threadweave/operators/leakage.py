@@ -23,7 +23,7 @@ def window_hashes(text: str, n: int) -> np.ndarray:
     points *= np.uint64(0xBF58476D1CE4E5B9)
     points ^= points >> np.uint64(32)
     # windows of doubling width, then the rest of n
-    base, out, width = np.uint64(0xD6E8FEB86659FD93), np.zeros(len(points) - n + 1, np.uint64), 1
+    base, out, width = np.array([0xD6E8FEB86659FD93], np.uint64), np.zeros(len(points) - n + 1, np.uint64), 1
     power, have, done, level = base, points, 0, n
     while level:
         if level & 1:
@@ -32,35 +32,44 @@ def window_hashes(text: str, n: int) -> np.ndarray:
         level >>= 1
         if level:
             have = have[:-width] * power + have[width:]
-            power, width = power * power, 2 * width
+            power, width = np.multiply(power, power, dtype=np.uint64), 2 * width
     return out
 
 
 def hashed_windows(df: DataFrame, key: str, text: str, n: int, only: np.ndarray | None = None) -> DataFrame:
-    """key, h: distinct window hashes of each text, of those in `only` (ascending) if given."""
+    """key, h, w: distinct window hashes of each text; if `only` (ascending) is given, of those in it, with the windows themselves."""
     sent = None if only is None else df.sparkSession.sparkContext.broadcast(only)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            ids, out, held = [], [], []
             for k, t in enumerate(batch.column("t").to_pylist()):
-                h = np.unique(window_hashes(t or "", n))
-                if sent is not None and len(h):
+                h = window_hashes(t or "", n)
+                if sent is None:
+                    h = np.unique(h)
+                    held += [None] * len(h)
+                else:
                     known = sent.value
-                    h = h[known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h] if len(known) else h[:0]
+                    at = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, int)
+                    found = {(int(h[i]), t[i : i + n]) for i in at.tolist()}
+                    h = np.array([x for x, _ in found], np.uint64)
+                    held += [w for _, w in found]
                 ids.append(np.full(len(h), k))
                 out.append(h)
             at, h = np.concatenate(ids) if ids else np.zeros(0, int), np.concatenate(out) if out else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_pydict({key: batch.column(key).take(pa.array(at, pa.int64())), "h": pa.array(h.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({key: batch.column(key).take(pa.array(at, pa.int64())), "h": pa.array(h.view(np.int64)), "w": pa.array(held, pa.string())})
 
     rows = df.select(key, F.col(text).cast("string").alias("t"))
-    return rows.mapInArrow(windows, f"{key} {dict(df.dtypes)[key]}, h bigint")
+    return rows.mapInArrow(windows, f"{key} {dict(df.dtypes)[key]}, h bigint, w string")
 
 
 def shared_substrings(texts: DataFrame, key: str, items: DataFrame, item_key: str, n: int = 50, text: str = "text", sent: int = SENT) -> DataFrame:
-    """Distinct (key, item_key) of texts that share n consecutive characters. Null and shorter texts share nothing."""
-    of_items = hashed_windows(items, item_key, text, n)
-    distinct = of_items.select("h").distinct().limit(sent + 1)
-    held = distinct.toArrow().column("h").to_numpy()
-    only = np.sort(held.view(np.uint64)) if len(held) <= sent else None
-    return hashed_windows(texts, key, text, n, only).join(of_items, "h").select(key, item_key).distinct()
+    """Distinct (key, item_key) of texts that share n consecutive characters. Null and shorter texts share nothing.
+
+    Hashes find the windows in question; those that match are compared as text. Where the items have more than `sent` distinct
+    hashes, those of both sides meet in a join first, and the ones met in both are looked at again."""
+    distinct = hashed_windows(items, item_key, text, n).select("h").distinct()
+    if distinct.limit(sent + 1).count() > sent:
+        distinct = distinct.join(hashed_windows(texts, key, text, n).select("h").distinct(), "h")
+    only = np.sort(distinct.toArrow().column("h").to_numpy().view(np.uint64))
+    return hashed_windows(texts, key, text, n, only).join(hashed_windows(items, item_key, text, n, only), ["h", "w"]).select(key, item_key).distinct()

@@ -50,30 +50,39 @@ def preview(df: DataFrame) -> DataFrame:
     return counts.unpivot(["rows"], df.columns, "column", "nulls").withColumn("type", kinds[F.col("column")])
 
 
+def file_system(df: DataFrame, path: str):
+    """The Hadoop file system of a path, and a function that makes paths."""
+    spark = df.sparkSession
+    as_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return as_path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), as_path
+
+
 def overwrite_verified(df: DataFrame, path: str, backup: str) -> int:
     """Replaces the Parquet table at `path`: the rows are written aside, counted against df's, and only then take its place; what was
-    there goes to `backup`. Returns the rows."""
+    there goes to `backup`, which must not exist. Returns the rows. Should the new table not take its place, the old one is put back."""
     spark = df.sparkSession
     new = f"{path}.new"
     df.write.mode("overwrite").parquet(new)
     n, want = spark.read.parquet(new).count(), df.count()
     if n != want:
         raise ValueError(f"{new} has {n} rows instead of {want}")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(target):
-        fs.rename(target, jvm.org.apache.hadoop.fs.Path(backup))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(new), target)
+    fs, as_path = file_system(df, path)
+    if fs.exists(as_path(backup)):
+        raise FileExistsError(backup)
+    had = fs.exists(as_path(path))
+    if had and not fs.rename(as_path(path), as_path(backup)):
+        raise OSError(f"{path} could not be moved to {backup}")
+    if not fs.rename(as_path(new), as_path(path)):
+        if had:
+            fs.rename(as_path(backup), as_path(path))
+        raise OSError(f"{new} could not be moved to {path}")
     return n
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
     """Appends as JSON lines only rows whose key isn't stored yet, so that a broken-off run can be repeated."""
-    try:
+    fs, as_path = file_system(df, path)
+    if fs.exists(as_path(path)):
         done = df.sparkSession.read.schema(df.select(*keys).schema).option("mode", "DROPMALFORMED").json(path)
         df = df.join(done, keys, "left_anti")
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
     df.dropDuplicates(keys).write.mode("append").json(path)
