@@ -33,6 +33,21 @@ def test_chat_is_reversible_and_merges(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_ties_go_by_role_and_text_as_they_are(spark):
+    """Escaping must not change the order: `<|` comes after `<a` once a backslash stands in it."""
+    df = spark.createDataFrame([(1, 1, "user", "<|"), (1, 1, "user", "<a"), (1, None, "assistant", "first"), (1, 1, "assistant", "x")], "conv_id bigint, turn bigint, role string, text string")
+    made = chat.format_chats(df)
+    row = made.select(chat.read_back(chat.F.col("formatted")).alias("t"), chat.loss_text(chat.F.col("formatted"), chat.F.col("loss_spans")).alias("l")).first()
+    assert [tuple(t) for t in row.t] == [("assistant", "first"), ("assistant", "x"), ("user", "<a"), ("user", "<|")] and row.l == "firstx"
+
+
+def test_long_conversation(spark):
+    df = spark.range(20_000).selectExpr("7L AS conv_id", "id AS turn", "IF(id % 3 = 0, 'user', 'assistant') AS role", "concat('t', id) AS text")
+    made = chat.format_chats(df)
+    row = made.select(chat.F.size(chat.read_back(chat.F.col("formatted"))).alias("n"), chat.loss_text(chat.F.col("formatted"), chat.F.col("loss_spans")).alias("l")).first()
+    assert row.n == 20_000 and row.l == "".join(f"t{i}" for i in range(20_000) if i % 3)
+
+
 def test_exact_dedup_of_odd_rows(spark, odd):
     got = exact_dedup.exact_dedup(odd).collect()
     assert len(got) == odd.count() and sum(r.kept for r in got) == len({r.text_sha256 for r in got})

@@ -1,5 +1,6 @@
-"""Chat formatting with Spark expressions only: turns are collected as structs, sorted, adjacent turns of one role merged by
-array aggregation, and joined to one string with the character spans of the assistant's texts (the loss mask).
+"""Chat formatting with Spark expressions only: a window over each conversation gives every turn its place in the string, turns are
+collected as structs, sorted, cut into runs of one role by array functions, and joined to one string with the character spans
+of the assistant's texts (the loss mask). The work grows with the number of turns, not with its square.
 
 Template: `<|im_start|>ROLE\\nTEXT[<|im_sep|>TEXT...]<|im_end|>\\n` for each run of turns of one role. Inside roles and texts
 `<`, any number of backslashes, `|` gets one more backslash before the bar, so no marker can be forged and the original
@@ -7,7 +8,7 @@ comes back by taking it away again; a line break inside a role becomes `<|nl|>`.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END, SEP, BREAK = "<|im_start|>", "<|im_end|>\n", "<|im_sep|>", "<|nl|>"
@@ -27,37 +28,27 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     Turns go by number; equal numbers by role, then text; a null number first. Null roles and texts are empty, a null
     conv_id is a conversation of its own. An empty table gives an empty result; other columns are ignored. A conversation is
     one row of the result and so has to fit into a task, whatever share of the turns it holds."""
-    head = F.replace(escaped(F.coalesce(F.col(role).cast("string"), F.lit(""))), F.lit("\n"), F.lit(BREAK))
-    body = escaped(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    one = turns.select(F.col(conv).alias("conv_id"), F.struct(F.col(turn).alias("turn"), head.alias("role"), body.alias("text")).alias("t"))
-    got = one.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-
-    def merge(blocks: Column, t: Column) -> Column:
-        last = F.element_at(blocks, -1)
-        longer = F.concat(F.slice(blocks, F.lit(1), F.size(blocks) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        anew = F.concat(blocks, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts"))))
-        return F.when((F.size(blocks) > 0) & (F.try_element_at(blocks, F.lit(-1))["role"] == t["role"]), longer).otherwise(anew)
-
-    none = F.expr("CAST(array() AS array<struct<role:string,texts:array<string>>>)")
-    got = got.select("conv_id", F.aggregate("turns", none, merge).alias("blocks"))
-
-    def block(b: Column) -> Column:
-        return F.concat(F.lit(START), b["role"], F.lit("\n"), F.array_join(b["texts"], SEP), F.lit(END))
-
-    def text_spans(at: Column, spans: Column, b: Column) -> Column:
-        def step(acc: Column, t: Column) -> Column:
-            end = acc["at"] + F.length(t)
-            return F.struct((end + len(SEP)).alias("at"), F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), end.alias("end")))).alias("spans"))
-
-        return F.aggregate(b["texts"], F.struct(at.alias("at"), spans.alias("spans")), step, lambda acc: acc["spans"])
-
-    def spans(acc: Column, b: Column) -> Column:
-        inside = acc["at"] + len(START) + F.length(b["role"]) + 1
-        here = F.when(b["role"] == learn, text_spans(inside, acc["spans"], b)).otherwise(acc["spans"])
-        return F.struct((acc["at"] + F.length(block(b))).alias("at"), here.alias("spans"))
-
-    zero = F.expr("named_struct('at', 0, 'spans', CAST(array() AS array<struct<start:int,end:int>>))")
-    return got.select("conv_id", F.array_join(F.transform("blocks", block), "").alias("formatted"), F.aggregate("blocks", zero, spans, lambda acc: acc["spans"]).alias("loss_spans"))
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    one = turns.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), plain(role).alias("raw_role"), plain(text).alias("raw_text"))
+    one = one.withColumn("role", F.replace(escaped(F.col("raw_role")), F.lit("\n"), F.lit(BREAK))).withColumn("text", escaped(F.col("raw_text")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "raw_role", "raw_text")
+    before = F.lag("role").over(order)
+    opens = before.isNull() | (before != F.col("role"))
+    # what stands in front of a turn's text: the end of the run before and the head of a new one, or a separator
+    front = F.when(opens, F.when(before.isNull(), 0).otherwise(len(END)) + len(START) + F.length("role") + 1).otherwise(len(SEP))
+    one = one.withColumn("nr", F.row_number().over(order)).withColumn("opens", opens).withColumn("front", front)
+    end = F.sum(F.col("front") + F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    got = one.select("conv_id", F.struct("nr", "role", "text", "opens", end.cast("int").alias("end")).alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+
+    # runs of one role: from each turn that opens one to the next
+    starts = F.transform(F.filter("turns", lambda t: t["opens"]), lambda t: t["nr"])
+    got = got.withColumn("starts", starts).withColumn("stops", F.concat(F.slice("starts", 2, F.size("turns")), F.array(F.size("turns") + 1)))
+    run = lambda a, b: F.slice("turns", a, b - a)
+    block = lambda a, b: F.concat(F.lit(START), F.get("turns", a - 1)["role"], F.lit("\n"), F.array_join(F.transform(run(a, b), lambda t: t["text"]), SEP), F.lit(END))
+    formatted = F.array_join(F.zip_with("starts", "stops", block), "")
+    learnt = F.filter("turns", lambda t: t["role"] == learn)
+    spans = F.transform(learnt, lambda t: F.struct((t["end"] - F.length(t["text"])).alias("start"), t["end"].alias("end")))
+    return got.select("conv_id", formatted.alias("formatted"), spans.alias("loss_spans"))
 
 
 def read_back(formatted: Column) -> Column:
