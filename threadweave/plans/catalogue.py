@@ -5,8 +5,6 @@ authors are customers and suppliers, question vectors are embeddings, run histor
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,9 +15,11 @@ from threadweave.functions import scalars as S
 from threadweave.operators import dual_level as D
 from threadweave.operators import evaluation as E
 from threadweave.operators import graph as G
+from threadweave.operators import reports as P
 from threadweave.operators import retrieval as R
 from threadweave.operators import leakage, sampling, stats
 from threadweave.operators import tables as T
+from threadweave.sources.files import kept, shared_folder
 from threadweave.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,8 +150,7 @@ AW = "p AS (SELECT quantile_cont(c_acctbal, 0.99) AS top FROM customer), aw AS (
 
 def author_weights(spark, sf):
     c = t(spark, sf, "customer")
-    top = c.agg(F.percentile("c_acctbal", F.lit(0.99)).alias("top")).first().top
-    return c.select("c_custkey", S.norm_log(F.col("c_acctbal"), F.lit(top)).alias("w"))
+    return c.join(F.broadcast(P.positive_percentile(c, "c_acctbal", 0.99)), F.lit(True)).select("c_custkey", S.norm_log(F.col("c_acctbal"), F.col("top")).alias("w"))
 
 
 @query(f"WITH {AW} SELECT o_orderkey AS qid, round(w, 6) AS weight FROM orders JOIN aw ON o_custkey = c_custkey")
@@ -162,9 +161,8 @@ def author_trust_edges(spark, sf):
 @query(f"WITH {TW}, s AS (SELECT quantile_cont(score, 0.99) AS top FROM a), {AW} SELECT aid, round(0.5 * least(1.0, ln(1 + score) / ln(1 + top)) + 0.3 * (line = 1)::INT + 0.2 * coalesce(aw.w, 0), 6) AS trust, round(weight, 6) AS weight FROM w CROSS JOIN s LEFT JOIN aw ON author = c_custkey".replace("p AS (SELECT quantile", "pp AS (SELECT quantile").replace("customer, p)", "customer, pp)"))
 def answer_trust(spark, sf):
     a = answers(spark, sf)
-    top = a.agg(F.percentile("score", F.lit(0.99))).first()[0]
-    rows = G.thread_weights(a, "qid", "score").join(author_weights(spark, sf), F.col("author") == F.col("c_custkey"), "left")
-    return rows.select("aid", r6(S.trust_answer(S.norm_log(F.col("score"), F.lit(top)), F.col("line") == 1, F.col("w")), "trust"), r6(F.col("weight"), "weight"))
+    rows = G.thread_weights(a, "qid", "score").join(F.broadcast(P.positive_percentile(a, "score", 0.99)), F.lit(True)).join(author_weights(spark, sf), F.col("author") == F.col("c_custkey"), "left")
+    return rows.select("aid", r6(S.trust_answer(S.norm_log(F.col("score"), F.col("top")), F.col("line") == 1, F.col("w")), "trust"), r6(F.col("weight"), "weight"))
 
 
 @query(f"WITH {AW}, s AS (SELECT o_orderkey, o_totalprice / 600000 AS old, w FROM orders JOIN aw ON o_custkey = c_custkey) SELECT round(max(abs(old - greatest(0, least(1, old - 0.1 + 0.2 * w)))), 6) AS max_abs_diff FROM s")
@@ -243,8 +241,8 @@ def excluded(spark, sf):
     return near.select("query", "id").union(near.select("id", "query")).distinct()
 
 
-def found(spark, sf):
-    v, out = vectors(spark, sf), excluded(spark, sf)
+def found(spark, sf, out=None):
+    v, out = vectors(spark, sf), kept(excluded(spark, sf), "excluded") if out is None else out
     return R.anchors(R.nearest_with_room(v, v, out, 3), out, 3)
 
 
@@ -280,9 +278,9 @@ def candidates(spark, sf):
     e = linked(spark, sf)
     both = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(0.5).alias("weight")).union(e.select("b", "a", F.lit(0.5)))
     none = spark.createDataFrame([], "query bigint, id bigint")
-    hits = found(spark, sf)
     # answers aren't excluded here, only questions
-    ex = excluded(spark, sf)
+    ex = kept(excluded(spark, sf), "excluded")
+    hits = kept(found(spark, sf, ex), "anchors")
     one = R.one_hop(hits, a, none)
     mid = hits.select("query", F.col("id").alias("src")).join(both.withColumnRenamed("dst", "via").withColumnRenamed("weight", "w"), "src")
     mid = R.without_excluded(mid, ex, "via")
@@ -323,10 +321,10 @@ bp AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9)
 
 def dual_level(spark, sf):
     """Anchors, links to their neighbours, and answers of the two levels; a question is excluded for itself, too."""
-    v, near = vectors(spark, sf), excluded(spark, sf)
+    v, near = vectors(spark, sf), kept(excluded(spark, sf), "excluded")
     out = near.union(v.select("id", F.col("id").alias("query")))
-    hits = found(spark, sf)
-    lk, kn = linked(spark, sf), R.nearest(v, v, 10)
+    hits = kept(found(spark, sf, near), "anchors")
+    lk, kn = linked(spark, sf), kept(R.nearest(v, v, 10), "neighbours")
     e = lk.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(lk.select("b", "a")).select("src", "dst", F.lit(0.5).alias("weight"), F.lit("LINKED").alias("edge_type"))
     e = e.union(kn.select("query", "id", F.round("sim", 6), F.lit("EMBED_SIM")))
     a = answers(spark, sf).select("qid", "aid")
@@ -581,8 +579,7 @@ def event_sessions(spark, sf):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-", dir="/tmp")
-    return os.path.join(base, f"threadweave-{name}-{uuid.uuid4().hex}")
+    return f"{shared_folder(spark)}/threadweave-{name}-{uuid.uuid4().hex}"
 
 
 @query("WITH m AS (SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM events) SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events, m WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= mark GROUP BY 1, 2")
@@ -626,8 +623,9 @@ def active_and_silent_users(spark, sf):
 def upserted_values(spark, sf):
     old = t(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"))
     new = t(spark, sf, "orders").join(t(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), "o_orderdate", "o_orderkey")
-    new = T.first_by(new, ["k"], [F.desc("o_orderdate"), "o_orderkey"]).select("k", "v")
-    return T.upsert(old, new, ["k"], ["v"])
+    # several new rows a key: the last one wins
+    old = old.withColumns({c: F.lit(None).cast(k) for c, k in new.dtypes if c.startswith("o_")})
+    return T.upsert(old, new, ["k"], [F.desc("o_orderdate"), "o_orderkey"]).select("k", "v")
 
 
 @query("WITH s AS (SELECT l_orderkey AS q, list_sort(list(DISTINCT l_suppkey)) AS s, list_sort(list(DISTINCT l_partkey)) AS p FROM lineitem GROUP BY 1) SELECT q, round(CASE WHEN len(list_distinct(s || p)) = 0 THEN 1.0 ELSE len(list_intersect(s, p)) / len(list_distinct(s || p)) END, 6) AS jaccard FROM s")

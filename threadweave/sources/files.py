@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +89,18 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> None:
         done = df.sparkSession.read.schema(df.select(*keys).schema).option("mode", "DROPMALFORMED").json(path)
         df = df.join(done, keys, "left_anti")
     df.dropDuplicates(keys).write.mode("append").json(path)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which the session has to name; local sessions, as in tests, get a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (path or "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")).rstrip("/")
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again, for a table that a query uses several times."""
+    path = f"{shared_folder(df.sparkSession)}/threadweave-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
