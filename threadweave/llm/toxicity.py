@@ -28,7 +28,7 @@ from threadweave.llm.exact_dedup import normalised
 
 #: Texts that a feature must occur in; lengths of the byte runs; values (a text's distinct features, of all texts together) that
 #: the fit uses at most, and that are fitted in the driver at most (24 bytes a value).
-SUPPORT, GRAMS, SAMPLE, LOCAL = 8, (4, 5), 2_000_000, 2_000_000
+SUPPORT, GRAMS, SAMPLE, LOCAL = 8, (4, 5), 1_500_000, 2_000_000
 #: Cells of a matrix of texts and features that a task fills at once.
 CELLS = 16 << 20
 #: Log-likelihood ratio (a chi-squared value of one degree) from which a feature is telling.
@@ -276,15 +276,20 @@ def train(docs: DataFrame, labels: DataFrame, local: int = LOCAL, sample: int =
     word = feature & np.uint64(1) == 0
     # for texts of half 0 the words that half 1 tells, and the other way round
     other = [np.sort(feature[found[c].to_numpy(bool) & word]) for c in ("in1", "in0")]
+    every = np.unique(feature)
+    place = np.where(np.isin(every, known), np.searchsorted(known, every), -1)
+    counts_as_hit = np.stack([np.isin(every, o) for o in other])
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                row, k, c = features(known, part.column("text"))
+                row, k, c = features(every, part.column("text"))
+                half = part.column("half").to_numpy(zero_copy_only=False).astype(int)
+                hits = np.bincount(row, c * counts_as_hit[half[row], k], part.num_rows).astype(np.int64)
+                used = place[k] >= 0
+                row, k, c = row[used], place[k[used]], c[used]
                 first = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
                 k, c = (pa.ListArray.from_arrays(first, pa.array(v.astype(np.int32))) for v in (k, c))
-                hits = [np.bincount(r, m, part.num_rows) for r, _, m in (features(o, part.column("text")) for o in other)]
-                hits = np.where(part.column("half").to_numpy(zero_copy_only=False) == 0, *hits).astype(np.int64)
                 yield pa.RecordBatch.from_pydict({"toxic": part.column("toxic").cast(pa.int32()), "hits": pa.array(hits), "place": part.column("place"), "k": k, "c": c})
 
     rows = written(rows.mapInArrow(encoded, "toxic int, hits bigint, place bigint, k array<int>, c array<int>"), "encoded")
