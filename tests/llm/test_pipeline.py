@@ -1,3 +1,5 @@
+import re
+
 import corpus_pipeline
 from tests.llm import brute
 from threadweave.llm import queries
@@ -22,3 +24,25 @@ def test_stages_against_brute_force(spark, sf):
     assert {r.doc_id for r in clean.collect()} == {x[0] for x in brute.contamination(left, items) if not x[-1]} and clean.columns == docs.columns
     packed = corpus_pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_stages_of_odd_rows(spark, sf, odd):
+    """Nulls in every column, empty and very long texts, repeated rows, clashing columns and empty tables: each stage keeps what its
+    docstring says, and the columns."""
+    nulls = odd.selectExpr("doc_id", "text", "CAST(IF(doc_id % 2 = 0, 'en', NULL) AS string) AS lang", "CAST(NULL AS string) AS source", "CAST(length(text) AS bigint) AS n_chars", "kept", "text_sha256", "'x' AS k", "1 AS n")
+    docs = nulls.union(nulls.where("doc_id = 5"))
+    n, words = docs.count(), docs.where("text RLIKE '[^ \t-\r]'")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns and stage(spark, docs.limit(0), sf).count() == 0
+        got = out.count()
+        if name in ("quality_classifier", "decontamination"):
+            assert docs.where("text IS NULL OR text = ''").count() == out.where("text IS NULL OR text = ''").count() and got <= n
+        elif name == "exact_dedup":
+            want = {" ".join(re.split("[ \t-\r]+", r.text or "")) for r in docs.collect()}
+            assert got == len(want)
+        else:
+            assert out.where("text IS NULL OR NOT text RLIKE '[^ \t-\r]'").count() == n - words.count()
+            assert out.where("doc_id = 5").count() == 2 and got <= n
+    pieces = corpus_pipeline.pack(spark, docs, sf)
+    assert pieces.where("start = 0").count() == n and corpus_pipeline.pack(spark, docs.limit(0), sf).count() == 0
