@@ -174,3 +174,37 @@ def evenly_probed(df: DataFrame, key: str, group: str, n: int, seed: int = 42) -
     from threadweave.operators.tables import first_by
 
     return first_by(df.withColumn("__h", hash_order(seed, key)), [group], ["__h", key], n).drop("__h")
+
+
+def global_min_max(df: DataFrame, col: str, name: str, constant: float = 0.5) -> DataFrame:
+    """df with the min-max of a column over all rows, `constant` where all are equal: a one-row aggregate, no window over the table."""
+    ends = df.agg(F.min(col).alias("__low"), F.max(col).alias("__high"))
+    spread = F.col("__high") - F.col("__low")
+    scaled = F.when(spread == 0, F.lit(constant)).otherwise((F.col(col) - F.col("__low")) / spread)
+    return df.join(F.broadcast(ends), F.lit(True)).withColumn(name, scaled).drop("__low", "__high")
+
+
+def judged_json(df: DataFrame, col: str, schema: str, rules: dict[str, Column]) -> DataFrame:
+    """df with value (the parsed JSON), and problem: unreadable, or the first rule that isn't kept, or null. Rules are about `value`."""
+    parsed = df.withColumn("value", F.from_json(col, schema, {"mode": "PERMISSIVE"}))
+    broken = F.col(col).isNull() | F.col("value").isNull() | (F.get_json_object(col, "$").isNull())
+    problem = F.when(broken, "unreadable")
+    for name, rule in rules.items():
+        problem = problem.when(~F.coalesce(rule, F.lit(False)), name)
+    return parsed.withColumn("problem", problem)
+
+
+def mode_sensitivity(narrow: DataFrame, wide: DataFrame, near: DataFrame) -> DataFrame:
+    """query, n_more, n_more_similar: what a wider exclusion mode rules out on top, and how much of that is similar to the query. narrow,
+    wide: query, question_ids; near: query, id."""
+    more = wide.join(narrow.select("query", F.col("question_ids").alias("__narrow")), "query", "left").select("query", F.explode(F.array_except("question_ids", F.coalesce("__narrow", F.array().cast("array<bigint>")))).alias("id"))
+    hits = more.join(near.select("query", "id").distinct().withColumn("hit", F.lit(1)), ["query", "id"], "left")
+    return hits.groupBy("query").agg(F.count("*").alias("n_more"), F.count("hit").alias("n_more_similar"))
+
+
+def condition_of_file(path: Column) -> tuple[Column, Column]:
+    """Condition and mode in a file's name, such as b_dup+linked.jsonl; no mode is thread."""
+    name = F.element_at(F.split(path, "/"), -1)
+    condition = F.regexp_extract(name, r"^([A-Za-z]+)", 1)
+    mode = F.regexp_extract(name, r"^[A-Za-z]+_([a-z+0-9.]+?)\.[a-z]+$", 1)
+    return condition, F.when(mode == "", "thread").otherwise(mode)

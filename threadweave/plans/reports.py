@@ -271,3 +271,37 @@ def weighted_kappa(spark, sf):
     a = F.when((F.col("lang") != "en") & (F.col("toxic") == 1), 2).otherwise(F.col("quality"))
     b = F.col("toxic") + ((F.col("quality") == 0) & (F.col("toxic") == 1)).cast("int")
     return rounded(stats.weighted_kappa(g.select(a.alias("a"), b.alias("b")), "a", "b", 3))
+
+
+@query("SELECT o_orderkey, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 9) AS scaled FROM orders")
+def global_min_max(spark, sf):
+    out = P.global_min_max(t(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "scaled")
+    return out.select("o_orderkey", F.round("scaled", 9).alias("scaled"))
+
+
+@query("SELECT CASE WHEN TRY_CAST(json_extract_string(props, '$.k') AS INT) IS NULL THEN 'no_k' WHEN json_extract_string(props, '$.k')::INT >= 50 THEN 'too_large' ELSE 'fine' END AS problem, count(*) AS n FROM events GROUP BY 1")
+def validated_props(spark, sf):
+    k = F.col("value.k")
+    out = P.judged_json(t(spark, sf, "events").drop("value"), "props", "k INT", {"no_k": k.isNotNull(), "too_large": k < 50})
+    return out.groupBy(F.coalesce("problem", F.lit("fine")).alias("problem")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH lk AS (SELECT o_orderkey AS a, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS b FROM orders), l AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM lk WHERE b IS NOT NULL AND a % 3 <> 0 UNION ALL SELECT b, a FROM lk WHERE b IS NOT NULL AND a % 3 <> 0)), d AS (SELECT a, b FROM lk WHERE b IS NOT NULL AND a % 3 = 0 UNION SELECT b, a FROM lk WHERE b IS NOT NULL AND a % 3 = 0),
+m AS (SELECT a AS query, b AS id FROM l WHERE a IN (SELECT vec_id FROM embeddings) AND (a, b) NOT IN (SELECT a, b FROM d)), sm AS (SELECT x.vec_id AS query, y.vec_id AS id FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.2)
+SELECT m.query, count(*) AS n_more, count(sm.id) AS n_more_similar FROM m LEFT JOIN sm ON sm.query = m.query AND sm.id = m.id GROUP BY 1""")
+def linked_sensitivity(spark, sf):
+    from threadweave.plans.judged import kinds_of_links
+
+    v = vectors(spark, sf)
+    near, q, links, a = R.similar_pairs(v, v, 0.2), v.select(F.col("id").alias("qid")), kinds_of_links(spark, sf), answers(spark, sf)
+    narrow, wide = (R.exclusions_of_mode(q, links, near, a, True, linked, None) for linked in (False, True))
+    return P.mode_sensitivity(narrow, wide, near)
+
+
+@query("SELECT 'documents' AS condition, 'thread' AS mode, count(*) AS n FROM documents UNION ALL SELECT 'labels', 'thread', count(*) FROM labels")
+def rows_by_file(spark, sf):
+    both = [t(spark, sf, n).select(F.col("doc_id"), F.col("_metadata.file_path").alias("path")) for n in ("documents", "labels")]
+    # a table may be a file or a folder of files: the table's own name counts
+    table = F.regexp_extract("path", r"([^/]+\.parquet)(/[^/]+)?$", 1)
+    condition, mode = P.condition_of_file(table)
+    return both[0].union(both[1]).groupBy(condition.alias("condition"), mode.alias("mode")).agg(F.count("*").alias("n"))
