@@ -65,7 +65,7 @@ def krippendorff_ordinal(ratings: DataFrame, item: str, label: str) -> DataFrame
     every = Window.partitionBy(F.lit(1))
     share = used.groupBy(label).agg(F.sum("k").alias("c")).withColumn("n", F.sum("c").over(every))
     placed = share.select(label, "c", "n", ((F.sum("c").over(every.orderBy(label)) - F.col("c") / 2) / F.col("n") - 0.5).alias("r"))
-    ranked = used.join(F.broadcast(placed.select(label, "r")), label)
+    ranked = used.join(placed.select(label, "r"), label)
     per = ranked.groupBy(item).agg(F.first("m").alias("m"), F.sum(F.col("k") * F.col("r")).alias("s"), F.sum(F.col("k") * F.col("r") * F.col("r")).alias("q"))
     observed = per.agg(F.sum((F.col("m") * F.col("q") - F.col("s") * F.col("s")) / (F.col("m") - 1)).alias("d_o"))
     expected = placed.agg(F.max("n").alias("n"), F.sum(F.col("c") * F.col("r")).alias("s"), F.sum(F.col("c") * F.col("r") * F.col("r")).alias("q"))
