@@ -20,7 +20,7 @@ from threadweave.llm.common import LOWER, SPACES, spread
 #: what is met again moves into the new one, so memory is bounded and pieces in use are kept.
 REMEMBERED = 200_000
 #: Pieces that are handed to the library as one text, line by line.
-JOINED = 512
+JOINED = 128
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -34,6 +34,22 @@ _LATIN_LOWER = "^[a-zß-öø-ÿ]+$"
 _LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
+def byte_chars() -> np.ndarray:
+    """The character that stands for each byte in byte-level vocabularies: its own where that is printable in Latin-1, else one
+    from 256 on, in order."""
+    own = np.zeros(256, bool)
+    own[33:127] = own[161:173] = own[174:] = True
+    return np.where(own, np.arange(256), 255 + np.cumsum(~own)).astype("<u4")
+
+
+BYTE_CHARS = byte_chars()
+
+
+def byte_level(text: str) -> str:
+    """The characters that stand for a text's bytes, as the library's byte-level step gives them."""
+    return BYTE_CHARS[np.frombuffer(text.encode(), np.uint8)].tobytes().decode("utf-32-le")
+
+
 class Encoder:
     """Encodes columns of texts with one tokenizer file: ids as the library gives them, add_special_tokens=False."""
 
@@ -46,8 +62,8 @@ class Encoder:
         self.lowers = self.whole.normalizer is not None
         # the same model for pieces that are one pre-token and that the normalizer leaves alone
         self.plain = Tokenizer(self.whole.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        (self.line,) = self.plain.encode("\n", add_special_tokens=False).ids
+        self.plain.pre_tokenizer = pre_tokenizers.Split(chr(BYTE_CHARS[10]), "isolated")
+        (self.line,) = self.plain.encode(chr(BYTE_CHARS[10]), add_special_tokens=False).ids
         self.specials = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.forget()
 
@@ -63,7 +79,7 @@ class Encoder:
         easy = pc.match_substring_regex(bare, _LATIN_LOWER if self.lowers else _LATIN).to_numpy(zero_copy_only=False)
         words = bare.filter(pa.array(easy)).to_pylist()
         # a line break is a token of its own, which no such piece has: the ids of many pieces come back as one list
-        lines = ["\n".join(words[k : k + JOINED]) + "\n" for k in range(0, len(words), JOINED)]
+        lines = [byte_level("\n".join(words[k : k + JOINED]) + "\n") for k in range(0, len(words), JOINED)]
         flat = np.array([i for e in self.plain.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.int32)
         stop = np.flatnonzero(flat == self.line)
         rest = [e.ids for e in self.whole.encode_batch_fast(pieces.filter(pa.array(~easy)).to_pylist(), add_special_tokens=False)]
