@@ -265,14 +265,11 @@ def previous_factors(data: np.ndarray, start: np.ndarray, position: np.ndarray,
     return out
 
 
-def repeats_in(pieces: list[bytes], counts: list[int], docs: list[int], places: list[int], length: int) -> np.ndarray:
+def repeats_in(data: np.ndarray, sizes: np.ndarray, n: np.ndarray, docs: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
     """Flags for the windows of the pieces, one after the other: whether the longest previous factor there is `length` or more.
-    docs, places: the document of each piece and where in it the piece starts."""
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    begin = np.cumsum([0, *map(len, pieces)])[:-1]
-    n = np.asarray(counts)
-    start = spread(begin, n)
-    doc, place = np.repeat(np.asarray(docs, np.int64), n), spread(np.asarray(places, np.int64), n)
+    data: the pieces' bytes, of these sizes; n: windows of each; docs, places: its document and where in it the piece starts."""
+    start = spread(np.cumsum(sizes) - sizes, n)
+    doc, place = np.repeat(docs, n), spread(places, n)
     by = np.lexsort((place, doc))
     step = np.ones(len(by), np.int64)
     step[1:] = (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])
@@ -284,29 +281,34 @@ def repeats_in(pieces: list[bytes], counts: list[int], docs: list[int], places:
 def sorted_out(length: int):
     """Rows sorted by h, doc, p: repeats among the pieces of each anchor."""
 
-    def work(h: list, doc: list, p: list, n: list, piece: list) -> Iterator[pa.RecordBatch]:
-        if h:
-            flags, at = repeats_in(piece, n, doc, p, length), 0
-            out = []
-            for d, start, k in zip(doc, p, n):
-                out += [(d, start + int(a), int(b - a)) for a, b in zip(*runs(flags[at : at + k]))]
-                at += k
-            if out:
-                d, s, k = zip(*out)
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(d, pa.int64()), "p": pa.array(s, pa.int64()), "n": pa.array(k, pa.int32())})
+    def work(rows: list[np.ndarray]) -> pa.RecordBatch:
+        _, doc, p, n, size, data = rows
+        flags = repeats_in(data, size, n, doc, p, length)
+        # runs of flags, none of them over two pieces
+        first = np.zeros(len(flags) + 1, bool)
+        first[np.cumsum(n) - n] = True
+        first[-1] = True
+        before = np.concatenate(([False], flags))
+        starts = np.flatnonzero(flags & (first[:-1] | ~before[:-1]))
+        ends = np.flatnonzero(flags & (first[1:] | ~np.concatenate((flags[1:], [False])))) + 1
+        row = np.searchsorted(np.cumsum(n), starts, side="right")
+        return pa.RecordBatch.from_pydict({"doc": pa.array(doc[row]), "p": pa.array(p[row] + starts - (np.cumsum(n) - n)[row]), "n": pa.array((ends - starts).astype(np.int32))})
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, ...] = ([], [], [], [], [])
-        size = 0
+        held: list[np.ndarray] | None = None
         for batch in batches:
-            for row in zip(*(batch.column(k).to_pylist() for k in ("h", "doc", "p", "n", "piece"))):
-                if size > SORT_BYTES and row[0] != held[0][-1]:
-                    yield from work(*held)
-                    held, size = ([], [], [], [], []), 0
-                for x, v in zip(held, row):
-                    x.append(v)
-                size += len(row[4])
-        yield from work(*held)
+            off, data = text_bytes(batch.column("piece"))
+            rows = [*(batch.column(k).to_numpy().astype(np.int64) for k in ("h", "doc", "p", "n")), np.diff(off), data]
+            held = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+            if len(held[-1]) < SORT_BYTES or not len(held[0]):
+                continue
+            cut = int(np.flatnonzero(held[0] == held[0][-1])[0])  # the last anchor's pieces may go on
+            if cut:
+                at = int(held[4][:cut].sum())
+                yield work([x[:cut] for x in held[:5]] + [held[5][:at]])
+                held = [x[cut:] for x in held[:5]] + [held[5][at:]]
+        if held is not None and len(held[0]):
+            yield work(held)
 
     return sort
 
