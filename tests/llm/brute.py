@@ -112,3 +112,68 @@ def kneser_ney(train, order=5, pad=2):
         return (m - cut[n][min(m, 3) - 1] if m else 0) / total + off / total * p(g[1:])
 
     return lambda t: -sum(math.log(p(g)) for g in grams(t))
+
+
+def runs(w, least=12):
+    """(start, length, period) of the runs of a list of words, comparing each word with those after it."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            start = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i > start and i + q - start >= max(least, 2 * q):
+                found.setdefault((start, i + q), q)
+            i += i == start
+    return sorted((a, b - a, q) for (a, b), q in found.items())
+
+
+def periodic(rows, least=12):
+    """(doc_id, runs, text left) of each row (doc_id, text), words numbered from 0."""
+    out = []
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        found = runs(w, least)
+        gone = {k for a, n, q in found for k in range(a + q, a + n)}
+        out.append((i, found, " ".join(x for k, x in enumerate(w) if k not in gone)))
+    return out
+
+
+def repetition(text, grams, window=8):
+    """The measures of one text by name."""
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    out = {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>")}
+    lines, seen = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set()
+    again = [x for x in lines if x in seen or seen.add(x)]
+    out |= {"n_lines": len(lines), "n_dup_lines": len(again), "dup_line_chars": sum(len(re.sub(r"[\x20\x09-\x0D]", "", x)) for x in again)}
+    for n in {*grams, window}:
+        places = defaultdict(list)
+        for k in range(len(w) - n + 1):
+            places[tuple(w[k : k + n])].append(k)
+        later = {k + j for p in places.values() for k in p[1:] for j in range(n)}
+        if n in grams:
+            out[f"dup_chars_{n}"] = sum(len(w[k]) for k in later)
+        if n == window:
+            out["n_repeat_words"] = len({k + j for p in places.values() if len(p) > 1 for k in p for j in range(n)})
+    return out
+
+
+def phrases(rows, least=10, longest=3, inside=50, first=2000):
+    """(lang, rank, phrase, a, l, r, n, score) of rows (lang, text)."""
+    f, total = Counter(), Counter()
+    for lang, text in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            total[lang] += len(w)
+            f.update((lang, tuple(w[k : k + n])) for n in range(1, longest + 1) for k in range(len(w) - n + 1))
+    often = {k: a for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    out = defaultdict(list)
+    for (lang, p), a in often.items():
+        if any(x == lang and len(q) > len(p) and 100 * b >= inside * a and any(q[k : k + len(p)] == p for k in range(len(q))) for (x, q), b in often.items()):
+            continue
+        score, k = min((1_000_000 * a * a // (f[lang, p[:k]] * f[lang, p[k:]]), k) for k in range(1, len(p)))
+        out[lang].append((-score, -a, " ".join(p).encode(), f[lang, p[:k]], f[lang, p[k:]]))
+    return sorted((lang, nr, p.decode(), -a, left, right, total[lang], -s) for lang, x in out.items() for nr, (s, a, p, left, right) in enumerate(sorted(x)[:first], 1))

@@ -204,3 +204,19 @@ def gram_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out * np.uint64(0xD6E8FEB86659FD93) + word_hash[k : k + count]
     return mix(out + np.uint64(n))
+
+
+def joined(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """These words one after the other, a space after each, and where each begins there (one more at the end)."""
+    n = end - start
+    at = np.concatenate(([0], np.cumsum(n + 1)))
+    out = np.full(at[-1], 32, np.uint8)
+    out[spread(at[:-1], n)] = data[spread(start, n)]
+    return out, at
+
+
+def strings(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.StringArray:
+    """These ranges of UTF-8 bytes as an Arrow column."""
+    n = end - start
+    off = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+    return pa.StringArray.from_buffers(len(n), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data[spread(start, n)])))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadweave.llm import chat, decontamination, exact_dedup, jaccard_join, packing, quality, repeats, token_counts, token_files, toxicity
+from threadweave.llm import chat, collocations, decontamination, exact_dedup, jaccard_join, packing, periodic, quality, repeats, repetition, token_counts, token_files, toxicity
 from threadweave.llm.common import scratch_path
 from threadweave.llm.tokens import tokenizer_path
 
@@ -75,7 +75,44 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_files, op4_repeated_strings, op5_decontamination, op6_exact_dedup, op7_token_counts, op8_packing, op9_toxicity, op10_jaccard_join)}
+def op11_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id, text: documents whose checksum ends in 0 go on, from a word that the checksum names, with a period that it names."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    w = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, w).alias("w"), F.floor(h / 10).alias("g")).withColumn("n", F.size("w"))
+    a = F.when(F.col("n") > 0, F.col("g") % F.col("n"))
+    rows = rows.withColumn("a", a).withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    planted = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.get("w", place(i).cast("int"))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    by_length = F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    found = found.withColumn("best", F.array_min(by_length))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        F.col("best.s").alias("start"),
+        (-F.col("best.l")).alias("length"),
+        F.col("best.p").alias("period"),
+        F.floor(-1000 * F.col("best.l") / F.col("best.p")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_quality_classifier, op2_chat_formatting, op3_token_files, op4_repeated_strings, op5_decontamination, op6_exact_dedup, op7_token_counts, op8_packing, op9_toxicity, op10_jaccard_join, op11_repetition_rules, op12_collocations, op13_periodic_runs)}
 
 ORACLE: dict[str, str] = {
     "op2_chat_formatting": r"""
@@ -129,4 +166,47 @@ e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = d.doc_id""",
+    "op11_repetition_rules": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id, line ORDER BY nr) AS k FROM (SELECT doc_id, unnest(str_split(t, chr(10))) AS line, generate_subscripts(str_split(t, chr(10)), 1) AS nr FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ld AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (k > 1) AS n_dup_lines, coalesce(sum(length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g'))) FILTER (k > 1), 0)::BIGINT AS dup_line_chars FROM l GROUP BY doc_id),
+g AS (SELECT doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT unnest([5, 6, 7, 8, 9, 10]) AS n) WHERE len(w) >= n)),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, n, g) AS m FROM g),
+c AS (SELECT doc_id, n, p, max(k > 1) AS again FROM (SELECT doc_id, n, k, unnest(range(i, i + n)) AS p FROM k WHERE m > 1) GROUP BY ALL),
+f AS (SELECT c.doc_id, count(*) FILTER (n = 8) AS n_repeat_words, {shares} FROM c JOIN d USING (doc_id) GROUP BY c.doc_id),
+x AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(dup_line_chars, 0) AS dup_line_chars, {columns} FROM d LEFT JOIN ld USING (doc_id) LEFT JOIN f USING (doc_id))
+SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND 100 * dup_line_chars <= 20 * word_chars AND {fine} AS kept FROM x""".format(
+        shares=", ".join(f"coalesce(sum(length(w[p])) FILTER (n = {n} AND again), 0)::BIGINT AS dup_chars_{n}" for n in repetition.GRAM_PERCENT),
+        columns=", ".join(f"coalesce(dup_chars_{n}, 0) AS dup_chars_{n}" for n in repetition.GRAM_PERCENT),
+        fine=" AND ".join(f"100 * dup_chars_{n} <= {m} * word_chars" for n, m in repetition.GRAM_PERCENT.items()),
+    ),
+    "op12_collocations": r"""
+WITH p AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m) GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, phrase, m, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM g WHERE m > 1),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, c.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM c JOIN g x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1 : k], ' ') JOIN g y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+i AS (SELECT lang, sub AS phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(string_split(phrase, ' ')[1 : 2], ' '), array_to_string(string_split(phrase, ' ')[2 : 3], ' ')]) AS sub FROM g WHERE m = 3) GROUP BY ALL)
+SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank, b.phrase, a, l, r, n, score
+FROM b LEFT JOIN i ON i.lang = b.lang AND i.phrase = b.phrase JOIN t ON t.lang = b.lang WHERE coalesce(100 * i.f < 50 * a, true)
+QUALIFY rank <= 2000""",
+    "op13_periodic_runs": r"""
+WITH ids AS (SELECT doc_id, text, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)) AS b FROM documents),
+h AS (SELECT doc_id, text, xor(list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(b, lambda x: [x::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END), 4294967295::BIGINT) AS h FROM ids),
+w0 AS (SELECT doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM h),
+w1 AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN g % len(w) END AS a FROM w0),
+w2 AS (SELECT *, 1 + (len(w) - a) // (3 + g % 8) AS p FROM w1),
+d AS (SELECT doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(0, len(w)), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS w FROM w2),
+x AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 6], ' ') AS k FROM (SELECT doc_id, w, unnest(range(0, len(w) - 5)) AS i FROM d WHERE len(w) >= 6)),
+m AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.k = b.k AND a.i < b.i),
+e AS (SELECT doc_id, q, min(i) AS start, count(*) + 5 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM e WHERE length >= greatest(12, 2 * q) GROUP BY ALL),
+n AS (SELECT doc_id, count(*) AS n_runs, sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256, list(struct_pack(a := start + period, b := start + length)) AS gone,
+  arg_min(struct_pack(start, length, period), struct_pack(l := -length, s := start, p := period)) AS best FROM r GROUP BY doc_id),
+u AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS s FROM (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d) ANTI JOIN u USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, best.start, best.length, best.period, 1000 * best.length // best.period AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(s, '')) AS collapsed_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id""",
 }
