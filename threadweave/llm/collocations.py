@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +49,8 @@ class Words:
         self.hashes = word_hashes(self.data, self.start, self.end, _KEY)
         ends = np.concatenate(([0], np.cumsum(PIECE_ENDS[self.data])))[self.start]
         self.linked = (text[1:] == text[:-1]) & (ends[1:] == ends[:-1])
-        salt = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs]
-        self.salt = np.array(salt, np.uint64)[self.lang] if salt else np.zeros(0, np.uint64)
+        self.salts = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "little") for x in self.langs], np.uint64)
+        self.salt = self.salts[self.lang] if len(self.salts) else np.zeros(0, np.uint64)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes, which depend on words and language, of all n-grams that stay within a piece."""
@@ -73,6 +74,18 @@ def partition_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending 32-bit keys as compressed gaps, byte by byte."""
+    gaps = np.diff(keys, prepend=np.uint32(0)).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return len(keys).to_bytes(8, "little") + pa.compress(gaps.T.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    gaps = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(gaps.T).view("<u4")[:, 0], dtype=np.uint32)
+
+
 def counted(longest: int, parts: int):
     """Arrow batches of lang and text to rows (part, seq, mass, once, several, counts): for each hash partition its mass (seq 0) and, after
     it, the low halves of hashes that occurred once and of the others with their counts (seq 1)."""
@@ -84,7 +97,7 @@ def counted(longest: int, parts: int):
         for p in np.flatnonzero(np.diff(edge)).tolist():
             k, c = low[edge[p] : edge[p + 1]], count[edge[p] : edge[p + 1]]
             one = c == 1
-            rows += [(p, 0, int(c.sum()), b"", b"", b""), (p, 1, 0, k[one].tobytes(), k[~one].tobytes(), c[~one].astype(np.int64).tobytes())]
+            rows += [(p, 0, int(c.sum()), b"", b"", b""), (p, 1, 0, packed(k[one]), packed(k[~one]), c[~one].astype(np.int64).tobytes())]
         cols = list(zip(*rows)) or [[]] * 6
         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, v, t in zip(("part", "seq", "mass", "once", "several", "counts"), cols, types)})
@@ -171,9 +184,9 @@ def surviving(threshold: int, segment: int):
                     mass += m.as_py()
                     continue
                 summary = summary or Summary(mass // threshold + 1)
-                ones = np.frombuffer(once.as_buffer(), np.uint32)
+                ones = unpacked(once.as_py())
                 summary.add(ones, np.ones(len(ones), np.int64))
-                summary.add(np.frombuffer(several.as_buffer(), np.uint32), np.frombuffer(counts.as_buffer(), np.int64))
+                summary.add(unpacked(several.as_py()), np.frombuffer(counts.as_buffer(), np.int64))
         if now is not None:
             yield row()
         tidy()
@@ -181,9 +194,13 @@ def surviving(threshold: int, segment: int):
     return survive
 
 
-def exact_rows(longest: int, parts: int, segment: int, shared):
-    """Arrow batches of lang and text to (lang, size, phrase, count) for n-grams whose bit is set, each once in so many texts, and a
-    language's number of words (size 0)."""
+def phrase_table(lang, size, phrase, count) -> pa.Table:
+    return pa.table({"lang": lang, "size": size, "phrase": phrase, "count": count})
+
+
+def hit_phrases(longest: int, parts: int, segment: int, shared):
+    """Arrow batches of lang and text to (part, rows): n-grams whose bit is set with their counts, and each language's number of words
+    (size 0), as compressed Arrow tables for each hash partition."""
 
     def merged(rows: list[tuple]) -> tuple:
         key, first, count = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2))
@@ -192,38 +209,75 @@ def exact_rows(longest: int, parts: int, segment: int, shared):
         take = pa.array(at)
         return key, first[at], np.bincount(inverse, count, len(key)).astype(np.int64), lang.take(take), phrase.take(take)
 
-    def batch_of(rows: tuple) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"lang": rows[3], "size": pa.array(rows[1].astype(np.int32)), "phrase": rows[4], "count": pa.array(rows[2])})
-
-    def rows_of(found: Words, most: int, bitmap: np.ndarray) -> Iterator[tuple]:
+    def given(rows: tuple) -> pa.RecordBatch:
+        key, size, count, lang, phrase = rows
+        edge = np.searchsorted(partition_of(key, parts), np.arange(parts + 1))
+        full = np.flatnonzero(np.diff(edge))
+        table = phrase_table(lang, pa.array(size.astype(np.int32)), phrase, pa.array(count))
+        bodies = []
+        for p in full.tolist():
+            part = table.slice(edge[p], edge[p + 1] - edge[p]).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(part.sort_by("phrase"))
+            bodies.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_pydict({"part": pa.array(full.astype(np.int32)), "rows": pa.array(bodies, pa.binary())})
+
+    def rows_of(found: Words, bitmap: np.ndarray) -> Iterator[tuple]:
         norm, at = joined(found.data, found.start, found.end)
-        for n in range(1, most + 1):
+        langs = pa.array(found.langs.tolist(), pa.string())
+        for n in range(1, longest + 1):
             i, key = found.grams(n)
             place = partition_of(key, parts) * segment + ((key & np.uint64(0xFFFFFFFF)) * np.uint64(segment) >> np.uint64(32)).astype(np.int64)
             hit = (bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
             key, where, count = np.unique(key[hit], return_index=True, return_counts=True)
             i = i[hit][where]
-            lang = pa.array(found.langs.tolist(), pa.string()).take(pa.array(found.lang[i]))
-            yield key, np.full(len(key), n), count, lang, strings(norm, at[i], at[i + n] - 1)
-        totals = np.bincount(found.lang, minlength=len(found.langs))
-        yield np.arange(len(totals)).astype(np.uint64), np.zeros(len(totals), np.int64), totals, pa.array(found.langs.tolist(), pa.string()), pa.array([""] * len(totals), pa.string())
+            yield key, np.full(len(key), n), count, langs.take(pa.array(found.lang[i])), strings(norm, at[i], at[i + n] - 1)
+        totals = np.bincount(found.lang, minlength=len(langs))
+        yield found.salts, np.zeros(len(langs), np.int64), totals, langs, pa.array([""] * len(langs), pa.string())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, held, small = np.frombuffer(shared.value, np.uint8), [], []
+        bitmap, held = np.frombuffer(shared.value, np.uint8), []
         for batch in batches:
             for part in slices(batch):
-                for rows in rows_of(Words(part.column("text"), part.column("lang")), longest, bitmap):
-                    (held if rows[1].any() else small).append(rows)
-                for rows in small:
-                    yield batch_of(rows)
-                small = []
+                held += rows_of(Words(part.column("text"), part.column("lang")), bitmap)
                 if sum(len(r[0]) for r in held) > ROWS:
                     held = [merged(held)]
                     if 2 * len(held[0][0]) > ROWS:
-                        yield batch_of(held[0])
+                        yield given(held[0])
                         held = []
         if held:
-            yield batch_of(merged(held))
+            yield given(merged(held))
+        tidy()
+
+    return count
+
+
+def exactly(least: int):
+    """Rows of `hit_phrases`, sorted by part, to (lang, size, phrase, count) of phrases that occur `least` times, and languages' words."""
+
+    def summed_up(tables: list[pa.Table]) -> pa.Table:
+        whole = pa.concat_tables(tables).group_by(["lang", "size", "phrase"]).aggregate([("count", "sum")])
+        return phrase_table(*(whole.column(c) for c in ("lang", "size", "phrase", "count_sum")))
+
+    def given(tables: list[pa.Table]) -> Iterator[pa.RecordBatch]:
+        whole = summed_up(tables)
+        enough = pc.or_(pc.greater_equal(whole.column("count"), least), pc.and_(pc.equal(whole.column("size"), 0), pc.greater(whole.column("count"), 0)))
+        yield from whole.filter(enough).combine_chunks().to_batches()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, tables = None, []
+        for batch in batches:
+            for p, rows in zip(batch.column("part").to_pylist(), batch.column("rows")):
+                if p != now and tables:
+                    yield from given(tables)
+                    tables = []
+                now = p
+                tables.append(pa.ipc.open_stream(rows.as_buffer()).read_all())
+                if sum(map(len, tables[1:])) > max(ROWS, len(tables[0])):
+                    tables = [summed_up(tables)]
+        if tables:
+            yield from given(tables)
         tidy()
 
     return count
@@ -240,11 +294,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     sent = texts.mapInArrow(counted(longest, parts), "part int, seq int, mass bigint, once binary, several binary, counts binary")
     kept = sent.repartition(parts, "part").sortWithinPartitions("part", "seq").mapInArrow(surviving(least, segment), "part int, bits binary")
     bitmap = bytearray(parts * segment // 8)
-    for part, flags in kept.toLocalIterator():
-        bitmap[part * segment // 8 : (part + 1) * segment // 8] = flags
+    held = kept.toArrow()
+    for part, flags in zip(held.column("part").to_pylist(), held.column("bits")):
+        bitmap[part * segment // 8 : (part + 1) * segment // 8] = flags.as_py()
     shared = spark.sparkContext.broadcast(bytes(bitmap))
-    rows = texts.mapInArrow(exact_rows(longest, parts, segment, shared), "lang string, size int, phrase string, count bigint")
-    counts = rows.groupBy("lang", "size", "phrase").agg(F.sum("count").alias("count")).where((F.col("count") >= least) | ((F.col("size") == 0) & (F.col("count") > 0)))
+    rows = texts.mapInArrow(hit_phrases(longest, parts, segment, shared), "part int, rows binary")
+    counts = rows.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(exactly(least), "lang string, size int, phrase string, count bigint")
     return written(counts, "phrases")
 
 
