@@ -123,7 +123,6 @@ def test_periodic_query(spark, sf):
 @pytest.mark.parametrize("bits", [collocations.BITS, 1 << 10])
 def test_collocations(spark, bits, monkeypatch):
     monkeypatch.setattr(collocations, "GATHERED", 500)
-    monkeypatch.setattr(collocations, "HELD", 1500)
     monkeypatch.setattr(collocations, "ROWS", 300)
     r = random.Random(7)
     rows = [(r.choice(["en", "de", None, "und"]), t) for seed in (7, 8, 9) for _, t in made(seed)]

@@ -26,8 +26,8 @@ from threadweave.llm.common import LOWER, gram_hashes, joined, lookup, mix, slic
 LEAST, LONGEST, INSIDE_PERCENT, FIRST = 10, 3, 50, 2000
 #: Text bytes for each hash partition, partitions at most, and bits of the bit map (32 MB), the one thing that passes through the driver.
 PARTITION_BYTES, MOST_PARTITIONS, BITS = 16 << 20, 1 << 16, 1 << 28
-#: Distinct n-grams that a task counts before it gives them out; occurrences that it gathers before it sorts them.
-HELD, GATHERED = 6_000_000, 3_000_000
+#: Occurrences of n-grams that a task sorts and counts at once.
+GATHERED = 8_000_000
 #: Counts that a partition gathers before it merges them, rows of the second pass that a task gathers.
 BUFFERED, ROWS = 1_000_000, 1_000_000
 
@@ -90,42 +90,38 @@ def counted(longest: int, parts: int):
     """Arrow batches of lang and text to rows (part, seq, mass, once, several, counts): for each hash partition its mass (seq 0) and, after
     it, the low halves of hashes that occurred once and of the others with their counts (seq 1)."""
 
-    def given(key: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
-        edge = np.searchsorted(partition_of(key, parts), np.arange(parts + 1))
-        low = (key & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    def given(key: np.ndarray) -> pa.RecordBatch:
+        key.sort()
+        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        count = np.diff(np.append(head, len(key)))
+        key = key[head]
+        first = np.array([-(-(p << 32) // parts) << 32 for p in range(parts)], np.uint64)
+        edge = np.append(np.searchsorted(key, first), len(key))
+        low = key.astype(np.uint32)
         rows = []
         for p in np.flatnonzero(np.diff(edge)).tolist():
             k, c = low[edge[p] : edge[p + 1]], count[edge[p] : edge[p + 1]]
             one = c == 1
-            rows += [(p, 0, int(c.sum()), b"", b"", b""), (p, 1, 0, packed(k[one]), packed(k[~one]), c[~one].astype(np.int64).tobytes())]
-        cols = list(zip(*rows)) or [[]] * 6
+            rows += [(p, 0, int(c.sum()), b"", b"", b""), (p, 1, 0, packed(k[one]), packed(k[~one]), c[~one].tobytes())]
         types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, v, t in zip(("part", "seq", "mass", "once", "several", "counts"), cols, types)})
+        return pa.RecordBatch.from_pydict({n: pa.array(v, t) for n, v, t in zip(("part", "seq", "mass", "once", "several", "counts"), zip(*rows), types)})
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, size, keys, counts = [], 0, [], []
+        held, n = np.empty(GATHERED, np.uint64), 0
         for batch in batches:
             for part in slices(batch):
                 found = Words(part.column("text"), part.column("lang"))
-                fresh = [found.grams(n)[1] for n in range(1, longest + 1)]
-                gathered += fresh
-                size += sum(map(len, fresh))
-                if size < GATHERED:
-                    continue
-                key = np.concatenate(gathered)
-                one = summed([key], [np.ones(len(key), np.int64)])
-                gathered, size = [], 0
-                keys.append(one[0])
-                counts.append(one[1])
-                if sum(map(len, keys)) > HELD:
-                    key, c = summed(keys, counts)
-                    keys, counts = [key], [c]
-                    if 2 * len(key) > HELD:
-                        yield given(key, c)
-                        keys, counts = [], []
-        if gathered or keys:
-            key = np.concatenate(gathered) if gathered else np.zeros(0, np.uint64)
-            yield given(*summed([*keys, key], [*counts, np.ones(len(key), np.int64)]))
+                for size in range(1, longest + 1):
+                    keys = found.grams(size)[1]
+                    while len(keys):
+                        room = min(len(keys), len(held) - n)
+                        held[n : n + room] = keys[:room]
+                        keys, n = keys[room:], n + room
+                        if n == len(held):
+                            yield given(held)
+                            n = 0
+        if n:
+            yield given(held[:n])
         tidy()
 
     return count
