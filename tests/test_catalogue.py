@@ -3,9 +3,11 @@ import math
 import duckdb
 import pytest
 
-from threadweave.plans import catalogue, judged, reports  # noqa: F401
+from threadweave.plans import catalogue, judged, reports, vectors  # noqa: F401
 from tests.conftest import SF_MID, SF_SMALL
 
+#: Queries that SQL can't express; other tests compare them with brute force.
+UNLIKE_SQL = {"ivf_neighbours"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -30,6 +32,9 @@ def duck():
 @pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query_equals_sql(spark, duck, name):
     got = catalogue.QUERIES[name](spark, SF_SMALL)
+    if name not in catalogue.ORACLE:
+        assert name in UNLIKE_SQL and got.count() > 0
+        return
     want = duck.sql(catalogue.ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())

@@ -1,4 +1,4 @@
-"""Search and scope over questions: filters, pages, detail lookups, ego graphs, and negative examples."""
+"""Search and scope over questions: filters, pages, detail lookups, and ego graphs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadweave.functions.scalars import cosine, hash_order, present
+from threadweave.functions.scalars import present
 from threadweave.operators.tables import first_by
 
 # Caps of an ego graph.
@@ -104,41 +104,3 @@ def ego_graph(centres: DataFrame, answers: DataFrame, tagged: DataFrame, related
         edge(far, "aid", F.lit("HAS_ACCEPTED_ANSWER"), one), edge(far_tags, "tag", F.lit("TAGGED_WITH"), none),
     ]
     return reduce(lambda a, b: a.union(b), parts).distinct()
-
-
-def hard_negatives(questions: DataFrame, donors: DataFrame, tagged: DataFrame, linked: DataFrame, vectors: DataFrame, max_df: int = 200) -> DataFrame:
-    """query, donor, sim, n_shared: of the donors that share a tag with a question and aren't linked with it, the most similar.
-
-    Pairs come from tags that at most max_df donors carry, which bounds a join key's rows. vectors: id, v; a question or donor
-    without one has no part."""
-    carried = tagged.select("qid", "tag").distinct()
-    few = carried.join(donors.select("qid"), "qid", "left_semi")
-    few = few.join(few.groupBy("tag").agg(F.count("*").alias("df")).where(F.col("df") <= max_df).select("tag"), "tag", "left_semi")
-    asked = carried.join(questions.select("qid"), "qid", "left_semi").select(F.col("qid").alias("query"), "tag")
-    pairs = asked.join(few.select(F.col("qid").alias("donor"), "tag"), "tag").where("query <> donor").groupBy("query", "donor").agg(F.count("*").alias("n_shared"))
-    barred = linked.select(F.col("a").alias("query"), F.col("b").alias("donor")).union(linked.select("b", "a"))
-    pairs = pairs.join(barred.distinct(), ["query", "donor"], "left_anti")
-    side = lambda name, v: vectors.select(F.col("id").alias(name), F.col("v").alias(v))
-    scored = pairs.join(side("query", "__q"), "query").join(side("donor", "__d"), "donor").withColumn("sim", cosine(F.col("__q"), F.col("__d"))).drop("__q", "__d")
-    return first_by(scored, ["query"], [F.desc(F.round("sim", 9)), "donor"]).select("query", "donor", "sim", "n_shared")
-
-
-def easy_negatives(questions: DataFrame, donors: DataFrame, tagged: DataFrame, tries: int = 8, seed: int = 42) -> DataFrame:
-    """query, donor: a donor that shares no tag with the question, drawn by seeded hashes.
-
-    Donors stand in hash order with a number; each question is sent to `tries` numbers drawn by hash, and the first donor without a
-    common tag is taken. Tags being many and small, few questions are left; those go on along the order until all have one."""
-    tags = tagged.groupBy("qid").agg(F.collect_set("tag").alias("tags"))
-    order = donors.select("qid").distinct().withColumn("__h", hash_order(seed, "qid"))
-    # numbers in hash order without a window over all rows: places within a leading byte, and the bytes' counts
-    part = F.substring("__h", 1, 2)
-    counts = order.groupBy(part.alias("__p")).agg(F.count("*").alias("__c"))
-    before = counts.select("__p", (F.sum("__c").over(Window.orderBy("__p")) - F.col("__c")).alias("__b"))
-    placed = order.withColumn("__p", part).join(F.broadcast(before), "__p").withColumn("n", F.col("__b") + F.row_number().over(Window.partitionBy("__p").orderBy("__h", "qid")) - 1)
-    placed = placed.join(tags, "qid", "left").select("n", F.col("qid").alias("donor"), F.coalesce("tags", F.array().cast("array<bigint>")).alias("dt"))
-    total = donors.select("qid").distinct().agg(F.count("*").alias("total"))
-    asked = questions.select(F.col("qid").alias("query")).distinct().join(F.broadcast(total), F.lit(True)).join(tags.withColumnRenamed("qid", "query"), "query", "left")
-    drawn = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("query").cast("string"), F.col("try").cast("string"))), 1, 8), 16, 10).cast("bigint")
-    sent = asked.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1)))).withColumn("n", drawn % F.col("total"))
-    met = sent.join(placed, "n").where((F.col("query") != F.col("donor")) & ~F.arrays_overlap(F.coalesce("tags", F.array().cast("array<bigint>")), "dt"))
-    return first_by(met, ["query"], ["try", "donor"]).select("query", "donor")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadweave.functions import scalars as S
 from threadweave.operators import judging as J
 from threadweave.operators import retrieval as R
-from threadweave.operators import sampling, search, stats
+from threadweave.operators import negatives, sampling, search, stats
 from threadweave.operators import graph as G
 from threadweave.plans.catalogue import A, KN, LK, QUERIES, SIM, TW, answers, found, linked, query, questions, r6, t, tagged, vectors
 
@@ -296,25 +296,48 @@ def ego_graphs(spark, sf):
     return out.select("centre", "src", "dst", "edge_type", r6(F.col("weight"), "weight"))
 
 
-@query(f"""WITH {LK}, tg AS (SELECT DISTINCT l_orderkey AS qid, l_partkey AS tag FROM lineitem), dn AS (SELECT vec_id AS qid FROM embeddings), fw AS (SELECT * FROM tg SEMI JOIN dn USING (qid)), fq AS (SELECT * FROM fw WHERE tag IN (SELECT tag FROM fw GROUP BY tag HAVING count(*) <= 200)),
-p AS (SELECT x.qid AS query, y.qid AS donor, count(*) AS n_shared FROM tg x JOIN fq y ON x.tag = y.tag AND x.qid <> y.qid WHERE x.qid IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2),
+@query(f"""WITH {LK}, tg AS (SELECT DISTINCT l_orderkey AS qid, l_partkey AS tag FROM lineitem),
+p AS (SELECT x.qid AS query, y.qid AS donor, count(*) AS n_shared FROM tg x JOIN tg y ON x.tag = y.tag AND x.qid <> y.qid WHERE x.qid IN (SELECT vec_id FROM embeddings) AND y.qid IN (SELECT vec_id FROM embeddings) GROUP BY 1, 2),
 s AS (SELECT p.*, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS sim FROM p JOIN embeddings a ON a.vec_id = query JOIN embeddings b ON b.vec_id = donor WHERE NOT EXISTS (SELECT 1 FROM lk WHERE (lk.a = query AND lk.b = donor) OR (lk.b = query AND lk.a = donor)))
 SELECT query, donor, round(sim, 6) AS sim, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, donor) AS rn FROM s) WHERE rn = 1""")
 def hard_negatives(spark, sf):
     v = vectors(spark, sf)
     ids = v.select(F.col("id").alias("qid"))
     tags = tagged(spark, sf).withColumnRenamed("q", "qid")
-    out = search.hard_negatives(ids, ids, tags, linked(spark, sf), v)
+    out = negatives.hard_negatives(ids, ids, tags, linked(spark, sf), v)
     return out.select("query", "donor", r6(F.col("sim"), "sim"), "n_shared")
 
 
-@query("""WITH d AS (SELECT o_orderkey AS qid, md5('42-' || o_orderkey) AS h FROM orders), n AS (SELECT qid, row_number() OVER (ORDER BY h, qid) - 1 AS n, (SELECT count(*) FROM d) AS total FROM d),
-tg AS (SELECT l_orderkey AS qid, list(DISTINCT l_partkey) AS tags FROM lineitem GROUP BY 1), s AS (SELECT o_orderkey AS query, k, ('0x' || substr(md5('42-' || o_orderkey || '-' || k), 1, 8))::BIGINT % (SELECT count(*) FROM d) AS n FROM orders, range(8) r(k)),
-m AS (SELECT s.query, n.qid AS donor, k FROM s JOIN n USING (n) LEFT JOIN tg a ON a.qid = s.query LEFT JOIN tg b ON b.qid = n.qid WHERE s.query <> n.qid AND NOT list_has_any(coalesce(a.tags, []), coalesce(b.tags, [])))
-SELECT query, donor FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY k, donor) AS rn FROM m) WHERE rn = 1""")
+# of all others: the most that share a tag, with priorities as tags that very many carry
+@query(f"""WITH {LK}, tg AS (SELECT o_orderkey AS qid, o_orderpriority AS tag FROM orders UNION SELECT l_orderkey, l_partkey::VARCHAR FROM lineitem),
+s AS (SELECT x.vec_id AS query, y.vec_id AS donor, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim, (SELECT count(*) FROM tg a JOIN tg b USING (tag) WHERE a.qid = x.vec_id AND b.qid = y.vec_id) AS n_shared FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
+f AS (SELECT * FROM s WHERE n_shared > 0 AND NOT EXISTS (SELECT 1 FROM lk WHERE (lk.a = query AND lk.b = donor) OR (lk.b = query AND lk.a = donor)))
+SELECT query, donor, round(sim, 6) AS sim, n_shared FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, donor) AS rn FROM f) WHERE rn = 1""")
+def hard_negatives_of_common_tags(spark, sf):
+    v = vectors(spark, sf)
+    ids = v.select(F.col("id").alias("qid"))
+    tags = tagged(spark, sf).select(F.col("q").alias("qid"), F.col("tag").cast("string").alias("tag")).union(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"))
+    out = negatives.hard_negatives(ids, ids, tags, linked(spark, sf), v, block=64)
+    return out.select("query", "donor", r6(F.col("sim"), "sim"), "n_shared")
+
+
+EN = """n AS (SELECT qid, row_number() OVER (ORDER BY h, qid) - 1 AS n, (SELECT count(*) FROM d) AS total FROM d), g AS (SELECT qid, list(DISTINCT tag) AS tags FROM tg GROUP BY 1),
+q AS (SELECT d.qid AS query, coalesce(tags, []) AS tags, ('0x' || substr(md5('42-' || d.qid || '-0'), 1, 15))::BIGINT % (SELECT count(*) FROM d) AS spot FROM d LEFT JOIN g USING (qid)), p AS (SELECT n.*, coalesce(tags, []) AS tags FROM n LEFT JOIN g USING (qid)),
+m AS (SELECT query, p.qid AS donor, k FROM (SELECT q.*, k, (spot + k) % (SELECT count(*) FROM d) AS n FROM q, range(64) r(k)) q JOIN p USING (n) WHERE query <> p.qid AND NOT list_has_any(q.tags, p.tags)),
+l AS (SELECT query, p.qid AS donor, (p.n - spot + total) % total AS k FROM q ANTI JOIN m USING (query) JOIN p ON query <> p.qid AND NOT list_has_any(q.tags, p.tags)), every AS (SELECT * FROM m UNION ALL SELECT * FROM l)"""
+
+
+@query(f"WITH d AS (SELECT o_orderkey AS qid, md5('42-' || o_orderkey) AS h FROM orders), tg AS (SELECT l_orderkey AS qid, l_partkey AS tag FROM lineitem), {EN} SELECT query, arg_min(donor, k) AS donor FROM every GROUP BY query")
 def easy_negatives(spark, sf):
     q = t(spark, sf, "orders").select(F.col("o_orderkey").alias("qid"))
-    return search.easy_negatives(q, q, tagged(spark, sf).withColumnRenamed("q", "qid"))
+    return negatives.easy_negatives(q, q, tagged(spark, sf).withColumnRenamed("q", "qid"))
+
+
+# nations of suppliers, and a tag that all suppliers but every 50th carry
+@query(f"WITH d AS (SELECT s_suppkey AS qid, md5('42-' || s_suppkey) AS h FROM supplier), tg AS (SELECT s_suppkey AS qid, 'most' AS tag FROM supplier WHERE s_suppkey % 50 <> 0 UNION SELECT s_suppkey, 'n' || s_nationkey FROM supplier), {EN} SELECT query, arg_min(donor, k) AS donor FROM every GROUP BY query")
+def easy_negatives_of_common_tags(spark, sf):
+    s = t(spark, sf, "supplier").select(F.col("s_suppkey").alias("qid"), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")).alias("tag"))
+    return negatives.easy_negatives(s, s, s.union(s.where("qid % 50 <> 0").select("qid", F.lit("most"))))
 
 
 # fusion and anchors
