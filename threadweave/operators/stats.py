@@ -141,111 +141,9 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return middle - half, middle + half
 
 
-def bootstrap_mean(df: DataFrame, by: list[str], value: str, resamples: int = 2000, seed: int = 20261019) -> DataFrame:
-    """Percentile interval of the mean from Poisson resampling: each row draws its weights in all resamples, as an array, from
-    its hash, so nothing is collected or sorted, arrays of sums are added up on the map side, and the result doesn't depend on
-    partitions. Rows of one group and value are told apart by a number of their own."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("__id", F.row_number().over(Window.partitionBy(*by, value).orderBy(value)))
-    u = lambda d: (F.pmod(F.xxhash64(F.lit(seed), d, *by, value, "__id"), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weights = F.transform(F.sequence(F.lit(1), F.lit(resamples)), lambda d: poisson(u(d)))
-    drawn = rows.select(*by, value, F.posexplode(weights).alias("__r", "__w"))
-    means = drawn.groupBy(*by, "__r").agg((F.sum(F.col("__w") * F.col(value)) / F.sum("__w")).alias("m"))
-    return means.groupBy(*by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-
-
-def poisson(u: Column) -> Column:
-    """The Poisson(1) quantile function."""
-    # fixed values: cumulated probabilities of 0 to 5
-    return sum((F.when(u > c, 1).otherwise(0) for c in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)), F.lit(0))
-
-
-def kendall_tau(df: DataFrame, x: str, y: str, most_levels: int = 1000) -> DataFrame:
-    """n, tau (tau-b) of two ordinals with at most `most_levels` values each (checked), from running sums over the grid of values;
-    no pairs of rows are made. Of the pairs, ties follow from the margins and discordant ones are what is left."""
-    cells = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count("*").alias("c"))
-    if max(cells.agg(F.count_distinct("x"), F.count_distinct("y")).first()) > most_levels:
-        raise ValueError(f"over {most_levels} values: band them first")
-    levels = cells.agg(F.collect_set("x").alias("xs"), F.collect_set("y").alias("ys"))
-    grid = levels.select(F.explode("xs").alias("x"), "ys").select("x", F.explode("ys").alias("y"))
-    full = grid.join(cells, ["x", "y"], "left").withColumn("c", F.coalesce("c", F.lit(0)).cast("double"))
-    smaller = (Window.unboundedPreceding, -1)
-    full = full.withColumn("row", F.coalesce(F.sum("c").over(Window.partitionBy("x").orderBy("y").rowsBetween(*smaller)), F.lit(0.0)))
-    full = full.withColumn("under", F.coalesce(F.sum("row").over(Window.partitionBy("y").orderBy("x").rowsBetween(*smaller)), F.lit(0.0)))
-    pairs = F.sum(F.col("c") * (F.col("c") - 1) / 2)
-    s = full.agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("under")).alias("up"), pairs.alias("txy"))
-    tx = full.groupBy("x").agg(F.sum("c").alias("c")).agg(pairs.alias("tx"))
-    ty = full.groupBy("y").agg(F.sum("c").alias("c")).agg(pairs.alias("ty"))
-    one = [d.withColumn("j", F.lit(1)) for d in (s, tx, ty)]
-    all_pairs = F.col("n") * (F.col("n") - 1) / 2
-    down = all_pairs - F.col("tx") - F.col("ty") + F.col("txy") - F.col("up")
-    free = F.sqrt((all_pairs - F.col("tx")) * (all_pairs - F.col("ty")))
-    return one[0].join(F.broadcast(one[1]), "j").join(F.broadcast(one[2]), "j").select(F.coalesce("n", F.lit(0)).cast("bigint").alias("n"), F.when(free > 0, (F.col("up") - down) / free).alias("tau"))
-
-
-def permutation_test(df: DataFrame, key: str, group: Column, value: str, permutations: int = 2000, seed: int = 42) -> DataFrame:
-    """difference (mean where `group` holds, less the rest's), p = (permutations at least as far from 0, plus 1) / (permutations + 1).
-
-    Each permutation orders the rows by a hash of their key and gives the first ones to the group, so it is the same on any
-    partitioning. Rows are copied once a permutation: meant for per-question results, a permutation's rows being one task's."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key).alias("key"), group.alias("g"), F.col(value).cast("double").alias("v"))
-    means = F.avg(F.when(F.col("g"), F.col("v"))) - F.avg(F.when(~F.col("g"), F.col("v")))
-    observed = rows.agg(F.lit(1).alias("j"), F.count_if("g").alias("n1"), means.alias("difference"))
-    drawn = rows.select("key", "v", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("r"))
-    order = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("r").cast("string"), F.col("key").cast("string")))
-    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("r").orderBy(order, "key"))).withColumn("j", F.lit(1)).join(F.broadcast(observed), "j")
-    per = drawn.withColumn("g", F.col("place") <= F.col("n1")).groupBy("r", "difference").agg(means.alias("d"))
-    far = F.count_if(F.abs("d") >= F.abs("difference") - 1e-9)
-    return per.groupBy("difference").agg(((far + 1) / (permutations + 1)).alias("p"))
-
-
 def point_biserial(df: DataFrame, by: list[str], value: str, flag: Column) -> DataFrame:
     """n, n_flagged and Pearson's r of a number with a yes/no; null below three rows or without variance."""
     x, y = F.col(value).cast("double"), F.col("__y")
     rows = df.withColumn("__y", flag.cast("double")).where(F.col(value).isNotNull() & F.col("__y").isNotNull())
     fine = (F.count("*") >= 3) & (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(y).cast("bigint").alias("n_flagged"), F.when(fine, F.corr(x, y)).alias("r"))
-
-
-def drawn_weight(row: Column, draw: Column, seed: int) -> Column:
-    """How often a row is in a resample: the Poisson(1) quantile of a hash of row and resample, the same on any engine with MD5."""
-    h = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), row.cast("string"), draw.cast("string"))), 1, 8), 16, 10).cast("double")
-    return poisson((h + 0.5) / 4294967296.0)
-
-
-def bootstrap_sums(rows: DataFrame, key: str, sums: dict[str, Column], resamples: int, seed: int) -> DataFrame:
-    """draw and the weighted sums of each resample. Rows are spread by their key and unfolded into resamples inside a task, in
-    front of the map-side sums: what is shuffled then is a row a task and resample."""
-    wide = rows.select(F.col(key).alias("__key"), *[c.cast("double").alias(n) for n, c in sums.items()]).repartition("__key")
-    drawn = wide.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("__w", drawn_weight(F.col("__key"), F.col("draw"), seed))
-    return drawn.groupBy("draw").agg(*[F.sum(F.col("__w") * F.col(n)).alias(n) for n in sums])
-
-
-def interval(draws: DataFrame, value: str, low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """low, high (linear percentiles) and the number of resamples in which the value is defined."""
-    return draws.agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"), F.count(value).alias("n_defined"))
-
-
-def bootstrap_kappa(df: DataFrame, key: str, a: str, b: str, resamples: int = 2000, seed: int = 20261019) -> DataFrame:
-    """Percentile interval of Cohen's kappa of two yes/no ratings over resampled items; undefined resamples are left out. Items
-    with the same pair of ratings are told apart by their key only, so sums of four cells are all that is kept."""
-    rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(key), F.col(a).cast("int").alias("x"), F.col(b).cast("int").alias("y"))
-    cells = {f"c{i}{j}": ((F.col("x") == i) & (F.col("y") == j)).cast("int") for i in (0, 1) for j in (0, 1)}
-    s = bootstrap_sums(rows, key, cells, resamples, seed)
-    n = F.col("c00") + F.col("c01") + F.col("c10") + F.col("c11")
-    agree = (F.col("c00") + F.col("c11")) / n
-    chance = ((F.col("c00") + F.col("c01")) * (F.col("c00") + F.col("c10")) + (F.col("c11") + F.col("c01")) * (F.col("c11") + F.col("c10"))) / (n * n)
-    return interval(s.where(n > 0).withColumn("kappa", F.when(chance < 1, (agree - chance) / (1 - chance))), "kappa")
-
-
-def bootstrap_difference(df: DataFrame, key: str, group: Column, value: str, resamples: int = 2000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the difference of two groups' means (where `group` holds, less the rest's)."""
-    rows = df.where(F.col(value).isNotNull()).select(F.col(key), group.cast("int").alias("g"), F.col(value).cast("double").alias("v"))
-    s = bootstrap_sums(rows, key, {"n1": F.col("g"), "s1": F.col("g") * F.col("v"), "n0": 1 - F.col("g"), "s0": (1 - F.col("g")) * F.col("v")}, resamples, seed)
-    return interval(s.withColumn("d", F.when((F.col("n1") > 0) & (F.col("n0") > 0), F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0"))), "d")
-
-
-def paired_bootstrap(df: DataFrame, key: str, difference: Column, resamples: int = 10_000, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean of paired differences, by their key."""
-    rows = df.select(F.col(key), difference.cast("double").alias("d")).where("d IS NOT NULL")
-    s = bootstrap_sums(rows, key, {"n": F.lit(1), "s": F.col("d")}, resamples, seed)
-    return interval(s.withColumn("m", F.when(F.col("n") > 0, F.col("s") / F.col("n"))), "m")

@@ -17,7 +17,7 @@ from threadweave.operators import evaluation as E
 from threadweave.operators import graph as G
 from threadweave.operators import reports as P
 from threadweave.operators import retrieval as R
-from threadweave.operators import leakage, sampling, stats
+from threadweave.operators import leakage, resampling, sampling, stats
 from threadweave.operators import tables as T
 from threadweave.sources.files import kept, shared_folder
 from threadweave.streaming import events as streams
@@ -386,16 +386,7 @@ u AS (SELECT sum(p.c * q.c) AS up FROM k p JOIN k q ON p.x > q.x AND p.y > q.y),
 tx AS (SELECT sum(c * (c - 1) / 2) AS tx FROM (SELECT sum(c) AS c FROM k GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2) AS ty FROM (SELECT sum(c) AS c FROM k GROUP BY y))
 SELECT n::BIGINT AS n, round((up - down) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM n, u, d, tx, ty""")
 def kendall_tau(spark, sf):
-    return stats.kendall_tau(t(spark, sf, "lineitem"), "l_quantity", "l_discount").select("n", r6(F.col("tau"), "tau"))
-
-
-@query("""WITH s AS (SELECT s_suppkey, s_nationkey < 12 AS g, s_acctbal AS v FROM supplier), o AS (SELECT count(*) FILTER (g) AS n1, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS difference FROM s),
-p AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY md5('42-' || r || '-' || s_suppkey), s_suppkey) <= n1 AS g, difference FROM s, o, range(1, 2001) x(r)),
-m AS (SELECT r, difference, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM p GROUP BY 1, 2)
-SELECT round(difference, 6) AS difference, round((count(*) FILTER (abs(d) >= abs(difference) - 1e-9) + 1) / 2001, 6) AS p FROM m GROUP BY difference""")
-def permutation_test(spark, sf):
-    out = stats.permutation_test(t(spark, sf, "supplier"), "s_suppkey", F.col("s_nationkey") < 12, "s_acctbal")
-    return out.select(r6(F.col("difference"), "difference"), r6(F.col("p"), "p"))
+    return resampling.kendall_tau(t(spark, sf, "lineitem"), "l_quantity", "l_discount").select("n", r6(F.col("tau"), "tau"))
 
 
 @query("WITH p AS (SELECT o_orderkey AS qid, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS place FROM orders) SELECT qid, place, CASE WHEN place <= 384 THEN 'test' WHEN place <= 434 THEN 'dev' ELSE 'devlarge' END AS slice FROM p WHERE place <= 584")

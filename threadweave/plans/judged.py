@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadweave.functions import scalars as S
 from threadweave.operators import judging as J
 from threadweave.operators import retrieval as R
-from threadweave.operators import negatives, sampling, search, stats
+from threadweave.operators import negatives, resampling, sampling, search, stats
 from threadweave.operators import graph as G
 from threadweave.plans.catalogue import A, KN, LK, QUERIES, SIM, TW, answers, found, linked, query, questions, r6, t, tagged, vectors
 
@@ -445,29 +445,69 @@ def frozen_sample_check(spark, sf):
     return sampling.out_of_place(now.select("o_orderkey", moved.alias("place")), o, "o_orderkey", 100)
 
 
+def cubic_sql(draws: str, row: str) -> str:
+    """The draw's cubic at the row's number, modulo the prime."""
+    return f"((({draws}.c0 * {row}.x + {draws}.c1) % {M} * {row}.x + {draws}.c2) % {M} * {row}.x + {draws}.c3) % {M}"
+
+
+M = (1 << 31) - 1
+
+
+def coefficients_sql(n: int, seed: int) -> str:
+    return f"cf AS (SELECT d, {', '.join(f"('0x' || substr(md5('{seed}-' || d || '-{j}'), 1, 8))::BIGINT % {M} AS c{j}" for j in range(4))} FROM range(1, {n + 1}) r(d))"
+
+
+def number_sql(key: str, seed: int) -> str:
+    return f"('0x' || substr(md5('{seed}-' || {key}), 1, 8))::BIGINT % {M} AS x"
+
+
 def draws_sql(rows: str, key: str, n: int, seed: int) -> str:
-    cdf = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582)
-    u = f"(('0x' || substr(md5('{seed}-' || {key} || '-' || d), 1, 8))::BIGINT + 0.5) / 4294967296.0"
-    return f"dr AS (SELECT *, {' + '.join(f'(u > {c})::INT' for c in cdf)} AS w FROM (SELECT *, {u} AS u FROM {rows}, range(1, {n + 1}) r(d)))"
+    steps = " + ".join(f"(u > {c})::INT" for c in resampling.POISSON)
+    return f"{coefficients_sql(n, seed)}, nr AS (SELECT *, {number_sql(key, seed)} FROM {rows}), dr AS (SELECT * EXCLUDE (u), {steps} AS w FROM (SELECT nr.*, d, ({cubic_sql('cf', 'nr')} + 0.5) / {M}::DOUBLE AS u FROM nr, cf))"
 
 
-@query(f"WITH rw AS (SELECT doc_id, quality AS x, toxic AS y FROM labels), {draws_sql('rw', 'doc_id', 2000, 20261019)}, s AS (SELECT d, sum(w * (1 - x) * (1 - y))::DOUBLE AS a, sum(w * (1 - x) * y)::DOUBLE AS b, sum(w * x * (1 - y))::DOUBLE AS c, sum(w * x * y)::DOUBLE AS e FROM dr GROUP BY d), k AS (SELECT (a + e) / (a + b + c + e) AS po, ((a + b) * (a + c) + (e + b) * (e + c)) / ((a + b + c + e) * (a + b + c + e)) AS pe FROM s), v AS (SELECT CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS v FROM k) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_defined FROM v")
+@query(f"WITH rw AS (SELECT doc_id, quality AS p, toxic AS y FROM labels), {draws_sql('rw', 'doc_id', 2000, 20261019)}, s AS (SELECT d, sum(w * (1 - p) * (1 - y))::DOUBLE AS a, sum(w * (1 - p) * y)::DOUBLE AS b, sum(w * p * (1 - y))::DOUBLE AS c, sum(w * p * y)::DOUBLE AS e FROM dr GROUP BY d), k AS (SELECT (a + e) / (a + b + c + e) AS po, ((a + b) * (a + c) + (e + b) * (e + c)) / ((a + b + c + e) * (a + b + c + e)) AS pe FROM s), v AS (SELECT CASE WHEN pe < 1 THEN (po - pe) / (1 - pe) END AS v FROM k) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_defined FROM v")
 def bootstrap_kappa(spark, sf):
-    return rounded(stats.bootstrap_kappa(t(spark, sf, "labels"), "doc_id", "quality", "toxic"))
+    return rounded(resampling.bootstrap_kappa(t(spark, sf, "labels"), "doc_id", "quality", "toxic"))
 
 
 @query(f"WITH rw AS (SELECT s_suppkey AS k, (s_nationkey < 12)::INT AS g, s_acctbal AS v FROM supplier), {draws_sql('rw', 'k', 2000, 42)}, s AS (SELECT d, sum(w * g * v) / nullif(sum(w * g), 0) - sum(w * (1 - g) * v) / nullif(sum(w * (1 - g)), 0) AS v FROM dr GROUP BY d) SELECT round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, count(v) AS n_defined FROM s")
 def bootstrap_difference(spark, sf):
-    out = stats.bootstrap_difference(t(spark, sf, "supplier"), "s_suppkey", F.col("s_nationkey") < 12, "s_acctbal")
+    out = resampling.bootstrap_difference(t(spark, sf, "supplier"), "s_suppkey", F.col("s_nationkey") < 12, "s_acctbal")
     return out.select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "n_defined")
 
 
 @query(f"WITH rw AS (SELECT doc_id AS k, quality - toxic AS v FROM labels), {draws_sql('rw', 'k', 10000, 42)}, s AS (SELECT d, sum(w * v) / nullif(sum(w), 0) AS v FROM dr GROUP BY d) SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(v) AS n_defined FROM s")
 def paired_bootstrap(spark, sf):
-    return rounded(stats.paired_bootstrap(t(spark, sf, "labels"), "doc_id", F.col("quality") - F.col("toxic")))
+    return rounded(resampling.paired_bootstrap(t(spark, sf, "labels"), "doc_id", F.col("quality") - F.col("toxic")))
+
+
+@query(f"WITH rw AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS v FROM customer), {draws_sql('rw', 'k', 2000, 20261019)}, m AS (SELECT segment, list_sort(list(m)) AS m FROM (SELECT segment, d, sum(w * v) / sum(w) AS m FROM dr GROUP BY segment, d HAVING sum(w) > 0) GROUP BY segment), g AS (SELECT segment, count(*) AS n, round(avg(v), 4) AS mean FROM rw GROUP BY segment) SELECT segment, n, mean, round(m[1 + floor(len(m) * 0.025)::INT], 4) AS low, round(m[ceil(len(m) * 0.975)::INT], 4) AS high FROM g JOIN m USING (segment)")
+def bootstrap_means_by_segment(spark, sf):
+    c = t(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), "c_acctbal")
+    out = resampling.bootstrap_mean(c, "c_custkey", "segment", "c_acctbal")
+    return out.select("segment", "n", *[F.round(x, 4).alias(x) for x in ("mean", "low", "high")])
 
 
 @query(f"WITH {VT}, l AS (SELECT v.run, length(item::VARCHAR) + item % 50 AS n, (label IN {HL})::INT AS h FROM vt v WHERE label <> '{J.ABSTAIN}') SELECT run, count(*) AS n, sum(h)::BIGINT AS n_flagged, round(corr(n, h), 6) AS r FROM l GROUP BY 1")
 def length_probe(spark, sf):
     v = votes(spark, sf).where(F.col("label") != J.ABSTAIN).withColumn("n", F.length(F.col("item").cast("string")) + F.col("item") % 50)
     return rounded(stats.point_biserial(v, ["run"], "n", F.col("label").isin(*J.HALLUCINATED)))
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, s_nationkey < 12 AS g, s_acctbal AS v, {number_sql('s_suppkey', 42)} FROM supplier), {coefficients_sql(2000, 42)}, o AS (SELECT count(*) FILTER (g) AS n1, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS difference FROM s),
+p AS (SELECT d AS r, v, row_number() OVER (PARTITION BY d ORDER BY {cubic_sql('cf', 's')}, s_suppkey) <= n1 AS g, difference FROM s, o, cf),
+m AS (SELECT r, difference, avg(v) FILTER (g) - avg(v) FILTER (NOT g) AS d FROM p GROUP BY 1, 2)
+SELECT round(difference, 6) AS difference, round((count(*) FILTER (abs(d) >= abs(difference) - 1e-9) + 1) / 2001, 6) AS p FROM m GROUP BY difference""")
+def permutation_test(spark, sf):
+    out = resampling.permutation_test(t(spark, sf, "supplier"), "s_suppkey", F.col("s_nationkey") < 12, "s_acctbal")
+    return out.select(r6(F.col("difference"), "difference"), r6(F.col("p"), "p"))
+
+
+# thousands of levels on either side
+@query("""WITH k AS (SELECT p_retailprice AS x, p_partkey AS y, count(*)::DOUBLE AS c FROM part GROUP BY 1, 2), n AS (SELECT sum(c) AS n FROM k),
+u AS (SELECT coalesce(sum(p.c * q.c), 0) AS up FROM k p JOIN k q ON p.x > q.x AND p.y > q.y), d AS (SELECT coalesce(sum(p.c * q.c), 0) AS down FROM k p JOIN k q ON p.x > q.x AND p.y < q.y),
+tx AS (SELECT sum(c * (c - 1) / 2) AS tx FROM (SELECT sum(c) AS c FROM k GROUP BY x)), ty AS (SELECT sum(c * (c - 1) / 2) AS ty FROM (SELECT sum(c) AS c FROM k GROUP BY y))
+SELECT n::BIGINT AS n, round((up - down) / sqrt((n * (n - 1) / 2 - tx) * (n * (n - 1) / 2 - ty)), 6) AS tau FROM n, u, d, tx, ty""")
+def kendall_tau_of_prices(spark, sf):
+    return resampling.kendall_tau(t(spark, sf, "part"), "p_retailprice", "p_partkey", strip=100).select("n", r6(F.col("tau"), "tau"))
