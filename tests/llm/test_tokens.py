@@ -1,7 +1,9 @@
+import json
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -156,3 +158,30 @@ def test_packing_keeps_large_ids_beside_a_null_id(spark):
     big = 2**53 + 1
     df = spark.createDataFrame([(big, "a b"), (big + 2, "c"), (None, "d")], "doc_id bigint, text string")
     assert {r.doc_id for r in packing.pack_documents(df, tokenizer_path(queries.WORD_BPE)).collect()} == {big, big + 2, None}
+
+
+@pytest.mark.parametrize("change", ["prefix", "normalizer", "stripping", "regex", None])
+def test_files_that_cuts_do_not_fit_are_encoded_whole(tmp_path, change):
+    from tests.llm.conftest import ODD
+    from threadweave.llm.common import text_bytes
+    from threadweave.llm.tokens import Encoder, known
+
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        file = json.load(f)
+    if change == "prefix":
+        file["pre_tokenizer"]["add_prefix_space"] = True
+    if change == "normalizer":
+        file["normalizer"] = {"type": "Lowercase"}
+    if change == "stripping":
+        file["added_tokens"][0]["lstrip"] = True
+    if change == "regex":
+        file["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "Digits", "individual_digits": True}, file["pre_tokenizer"]]}
+    path = str(tmp_path / "other.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    assert known(path) == (change is None)
+    column = pa.array([*ODD, "Plain text, it goes on.  And on 123!"])
+    ids, bounds = Encoder(path).encode(pa.array([x or "" for x in column.to_pylist()]), *text_bytes(column))
+    whole = Tokenizer.from_file(path)
+    for k, text in enumerate(column.to_pylist()):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == whole.encode(text or "", add_special_tokens=False).ids

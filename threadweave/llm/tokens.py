@@ -3,10 +3,12 @@ encoded once per worker with the tokenizers library, and the texts' ids are put
 
 Cuts lie before a run of ASCII white space and between an ASCII letter and another ASCII character that is no letter,
 but not after an apostrophe (contractions). A pre-token of either supported pattern never spans such a cut. Texts for which
-that can't be relied on (the strings of special tokens, rare white space with the byte-level pattern) are encoded whole."""
+that can't be relied on (the strings of special tokens, rare white space with the byte-level pattern) are encoded whole, and
+so are all texts if the file has another normalizer, pre-tokenizer or model than those that are known here."""
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from itertools import repeat
 
@@ -34,6 +36,26 @@ _LATIN_LOWER = "^[a-zß-öø-ÿ]+$"
 _LATIN = "^ ?[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 
 
+# The normalizers and pre-tokenizers whose cuts are known, as files state them.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+KNOWN = [
+    (None, BYTE_LEVEL),
+    (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD_PATTERN}, "behavior": "Removed", "invert": True}, BYTE_LEVEL | {"use_regex": False}]},
+    ),
+]
+
+
+def known(path: str) -> bool:
+    """Whether the file's texts can be cut into pieces."""
+    with open(path, encoding="utf-8") as f:
+        file = json.load(f)
+    plain = all(not t[k] for t in file["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+    return plain and file["model"]["type"] == "BPE" and file["model"].get("dropout") is None and (file["normalizer"], file["pre_tokenizer"]) in KNOWN
+
+
 def byte_chars() -> np.ndarray:
     """The character that stands for each byte in byte-level vocabularies: its own where that is printable in Latin-1, else one
     from 256 on, in order."""
@@ -59,6 +81,9 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
+        self.cuts = known(path)
+        if not self.cuts:
+            return
         self.lowers = self.whole.normalizer is not None
         # the same model for pieces that are one pre-token and that the normalizer leaves alone
         self.plain = Tokenizer(self.whole.model)
@@ -145,6 +170,9 @@ class Encoder:
 
     def encode(self, column: pa.Array, off: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after the other, and where each text's ids begin (one more at the end)."""
+        if not self.cuts:
+            made = [e.ids for e in self.whole.encode_batch_fast([x or "" for x in column.to_pylist()], add_special_tokens=False)]
+            return np.array([i for x in made for i in x], np.int32), np.concatenate(([0], np.cumsum([len(x) for x in made], dtype=np.int64)))
         odd = self._direct(column, data)
         at, coded = self.pieces(off, data)
         nr = self._places(coded.dictionary)
