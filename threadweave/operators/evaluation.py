@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadweave.operators.tables import running_counts
+from threadweave.operators.tables import percentiles_of, share
 
 
 def rank_metrics(items: DataFrame, query: str, rank: str, relevant: Column) -> DataFrame:
@@ -24,23 +22,9 @@ def panel_vote(votes: DataFrame, item: str, level: str) -> DataFrame:
 
 
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, p50 and p95 (linear), max_value, p95_nearest (the value of rank round(0.95 n), half to even, at least 1).
-
-    Values are found by their ranks among counts of distinct values (running_counts), so no task holds a group's values."""
-    placed = running_counts(df, by, value)
-    sizes = placed.groupBy(*by).agg(F.sum("n").alias("__size"))
-    same = reduce(lambda a, b: a & b, [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by], F.lit(True))
-    rows = placed.join(F.broadcast(sizes.withColumnsRenamed({c: f"__{c}" for c in by})), same)
-    at = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
-    size, names, parts = F.col("__size"), [], []
-    for p in (0.5, 0.95):
-        exact = (size - 1) * p
-        parts += [at(F.floor(exact)).alias(f"__lo{p}"), at(F.ceil(exact)).alias(f"__hi{p}"), F.max(exact - F.floor(exact)).alias(f"__part{p}")]
-        low, high, part = (F.col(f"`__{k}{p}`") for k in ("lo", "hi", "part"))
-        names.append((low + (high - low) * part).alias(f"p{round(100 * p)}"))
-    nearest = at(F.greatest(F.lit(1), F.bround(size * 0.95).cast("bigint")) - 1).alias("p95_nearest")
-    out = rows.groupBy(*by).agg(F.max(size).alias("n"), F.max(value).alias("max_value"), nearest, *parts)
-    return out.select(*by, "n", *names, "max_value", "p95_nearest")
+    """n, p50 and p95 (linear), max_value, p95_nearest (the value of rank round(0.95 n), half to even, at least 1)."""
+    nearest = F.greatest(F.lit(1), F.bround(F.col("__size") * 0.95).cast("bigint")) - 1
+    return percentiles_of(df, by, value, {"p50": share(0.5), "p95": share(0.95), "max_value": share(1.0), "p95_nearest": nearest})
 
 
 def outliers(df: DataFrame, by: list[str], value: str, ratio: float = 0.5) -> DataFrame:
@@ -51,7 +35,7 @@ def outliers(df: DataFrame, by: list[str], value: str, ratio: float = 0.5) -> Da
 
 def binned(df: DataFrame, value: str) -> DataFrame:
     """df with bin: zero apart, the others by quartiles of all values above zero."""
-    q = df.where(F.col(value) > 0).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("__q"))
+    q = percentiles_of(df.where(F.col(value) > 0), [], value, {f"__q{k}": share(k / 4) for k in (1, 2, 3)}).drop("n")
     v = F.col(value)
-    name = F.when(v <= 0, "zero").when(v <= F.col("__q")[0], "q1").when(v <= F.col("__q")[1], "q2").when(v <= F.col("__q")[2], "q3").otherwise("q4")
-    return df.withColumn("__j", F.lit(1)).join(F.broadcast(q.withColumn("__j", F.lit(1))), "__j").withColumn("bin", name).drop("__j", "__q")
+    name = F.when(v <= 0, "zero").when(v <= F.col("__q1"), "q1").when(v <= F.col("__q2"), "q2").when(v <= F.col("__q3"), "q3").otherwise("q4")
+    return df.join(F.broadcast(q), F.lit(True), "left").withColumn("bin", name).drop("__q1", "__q2", "__q3")

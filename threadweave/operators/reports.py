@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadweave.operators.tables import percentiles_of, same_group, share
 from threadweave.operators.judging import ABSTAIN, FACTUAL, FULLY, PARTLY, UNRESOLVED, UNSPECIFIED, judge_pairs, ratio
 
 
@@ -24,21 +25,23 @@ def tag_count(tags: Column) -> Column:
 
 def positive_percentile(df: DataFrame, col: str, p: float) -> DataFrame:
     """One row: the percentile (linear); the query fails where it isn't above 0, as nothing could be scaled by it."""
-    top = F.percentile(col, F.lit(p))
-    return df.agg(F.when(top > 0, top).otherwise(F.raise_error(F.lit(f"percentile of {col} is not above 0")).cast("double")).alias("top"))
+    top = percentiles_of(df, [], col, {"top": share(p)}).agg(F.max("top").alias("top"))
+    return top.select(F.when(F.col("top") > 0, F.col("top")).otherwise(F.raise_error(F.lit(f"percentile of {col} is not above 0")).cast("double")).alias("top"))
 
 
 def profile(df: DataFrame, by: list[str], col: str, ps: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95), above: float | None = None) -> DataFrame:
     """n, mean, percentiles and the share above a limit, by group."""
-    parts = [F.percentile(col, F.lit(p)).alias(f"p{round(100 * p)}") for p in ps]
     over = [] if above is None else [(100 * F.avg((F.col(col) > above).cast("double"))).alias("pct_above")]
-    return df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), *parts, *over)
+    means = df.groupBy(*by).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), *over)
+    names = {f"p{round(100 * p)}": share(p) for p in ps}
+    found = percentiles_of(df, by, col, names).drop("n").withColumnsRenamed({c: f"__{c}" for c in by})
+    return means.join(found if by else F.broadcast(found), same_group(by), "left").select(*by, "n", "mean", *names, *["pct_above"] * len(over))
 
 
 def metric_summary(df: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
     """by, metric, n, mean, median: a row a metric; nulls don't count."""
     long = df.select(*by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(by, metrics, "metric", "value")
-    return long.groupBy(*by, "metric").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.median("value").alias("median"))
+    return profile(long, [*by, "metric"], "value", (0.5,)).withColumnRenamed("p50", "median")
 
 
 def judge_shares(votes: DataFrame) -> DataFrame:

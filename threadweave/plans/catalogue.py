@@ -142,7 +142,9 @@ def top_tags(spark, sf):
 @query("SELECT o_orderstatus, min(o_totalprice) AS low, round(median(o_totalprice), 6) AS mid, round(quantile_cont(o_totalprice, 0.9), 6) AS p90, max(o_totalprice) AS high, round(avg(CASE WHEN o_totalprice < 100000 THEN 100.0 ELSE 0 END), 6) AS pct_low FROM orders GROUP BY 1")
 def score_summary(spark, sf):
     c = F.col("o_totalprice")
-    return t(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min(c).alias("low"), r6(F.median(c), "mid"), r6(F.percentile(c, F.lit(0.9)), "p90"), F.max(c).alias("high"), r6(F.avg(F.when(c < 100000, 100.0).otherwise(0.0)), "pct_low"))
+    ends = t(spark, sf, "orders").groupBy("o_orderstatus").agg(F.min(c).alias("low"), F.max(c).alias("high"), r6(F.avg(F.when(c < 100000, 100.0).otherwise(0.0)), "pct_low"))
+    middle = T.percentiles_of(t(spark, sf, "orders"), ["o_orderstatus"], "o_totalprice", {"mid": T.share(0.5), "p90": T.share(0.9)})
+    return ends.join(middle, "o_orderstatus").select("o_orderstatus", "low", r6(F.col("mid"), "mid"), r6(F.col("p90"), "p90"), "high", "pct_low")
 
 
 AW = "p AS (SELECT quantile_cont(c_acctbal, 0.99) AS top FROM customer), aw AS (SELECT c_custkey, least(1.0, ln(1 + greatest(c_acctbal, 0)) / ln(1 + top)) AS w FROM customer, p)"
