@@ -15,6 +15,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from threadweave.llm.common import LOWER, SPACES, spread
 
@@ -48,12 +49,11 @@ KNOWN = [
 ]
 
 
-def known(path: str) -> bool:
-    """Whether the file's texts can be cut into pieces."""
-    with open(path, encoding="utf-8") as f:
-        file = json.load(f)
-    plain = all(not t[k] for t in file["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
-    return plain and file["model"]["type"] == "BPE" and file["model"].get("dropout") is None and (file["normalizer"], file["pre_tokenizer"]) in KNOWN
+def known(whole: Tokenizer) -> bool:
+    """Whether this tokenizer's texts can be cut into pieces."""
+    stated = lambda part: None if part is None else json.loads(part.__getstate__())
+    plain = all(not (t.lstrip or t.rstrip or t.single_word or t.normalized) for t in whole.get_added_tokens_decoder().values())
+    return plain and isinstance(whole.model, models.BPE) and whole.model.dropout is None and (stated(whole.normalizer), stated(whole.pre_tokenizer)) in KNOWN
 
 
 def byte_chars() -> np.ndarray:
@@ -76,12 +76,10 @@ class Encoder:
     """Encodes columns of texts with one tokenizer file: ids as the library gives them, add_special_tokens=False."""
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
-
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.cuts = known(path)
+        self.cuts = known(self.whole)
         if not self.cuts:
             return
         self.lowers = self.whole.normalizer is not None
