@@ -73,3 +73,48 @@ def shared_substrings(texts: DataFrame, key: str, items: DataFrame, item_key: st
         distinct = distinct.join(hashed_windows(texts, key, text, n).select("h").distinct(), "h")
     only = np.sort(distinct.toArrow().column("h").to_numpy().view(np.uint64))
     return hashed_windows(texts, key, text, n, only).join(hashed_windows(items, item_key, text, n, only), ["h", "w"]).select(key, item_key).distinct()
+
+
+def pairs_share(pairs: DataFrame, a: str, b: str, n: int = 50) -> DataFrame:
+    """pairs with shares: whether the texts a and b of a row have n consecutive characters in common. Null and shorter texts have none."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in pairs.dtypes)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for x, y in zip(batch.column(a).to_pylist(), batch.column(b).to_pylist()):
+                x, y = x or "", y or ""
+                left, right = window_hashes(x, n), window_hashes(y, n)
+                met = np.flatnonzero(np.isin(left, right))
+                flags.append(any(x[k : k + n] in y for k in met.tolist()))
+            yield batch.append_column("shares", pa.array(flags, pa.bool_()))
+
+    return pairs.mapInArrow(compare, kinds + ", shares boolean")
+
+
+def audit(runs: DataFrame, items: DataFrame, excluded: DataFrame, accepted: DataFrame, expansions: DataFrame, modes: list[str], wanted: int, n: int = 50, cosine: float = 0.95) -> DataFrame:
+    """A row a condition: what its retrieval gave away, and what it cost.
+
+    runs: condition, query, latency. items: condition, query, id, text, sim (to the accepted answer). excluded: mode, query, id. accepted:
+    query, text. expansions: condition, query, slot, n_answers (in the graph), n_left (after exclusion). Columns: n; self_<mode>
+    and its pct, queries with an item that the mode excludes; substring, cosine, any_leak and their pcts, queries with an item that shares n
+    characters with the accepted answer, or is as similar as `cosine`; mean_best_sim (0 without items); n_short and n_empty (fewer
+    items than wanted, none); latency_mean, latency_p95; n_slots, n_slots_empty, n_slots_excluded (empty though there are answers)."""
+    from threadweave.operators.tables import percentiles_of, share
+
+    key = ["condition", "query"]
+    pairs = items.join(accepted.select("query", F.col("text").alias("__accepted")), "query", "left")
+    seen = pairs_share(pairs.select(*key, "id", "sim", "text", "__accepted"), "text", "__accepted", n).groupBy(*key).agg(
+        F.count("*").alias("k"), F.bool_or("shares").alias("substring"), F.coalesce(F.bool_or(F.col("sim") >= cosine), F.lit(False)).alias("cosine"), F.max("sim").alias("best")
+    )
+    hits = items.select(*key, "id").join(excluded.select("mode", "query", "id").distinct(), ["query", "id"]).groupBy(*key).agg(F.collect_set("mode").alias("hit"))
+    rows = runs.join(seen, key, "left").join(hits, key, "left")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    flags = {f"self_{m}": flag(F.array_contains("hit", m)) for m in modes} | {"substring": flag(F.col("substring")), "cosine": flag(F.col("cosine")), "any_leak": flag(F.col("substring")) | flag(F.col("cosine"))}
+    size = F.coalesce("k", F.lit(0))
+    counts = [x for name, c in flags.items() for x in (F.count_if(c).alias(name), (100 * F.avg(c.cast("double"))).alias(f"{name}_pct"))]
+    out = rows.groupBy("condition").agg(F.count("*").alias("n"), *counts, F.avg(F.coalesce("best", F.lit(0.0))).alias("mean_best_sim"), F.count_if(size < wanted).alias("n_short"), F.count_if(size == 0).alias("n_empty"), F.avg(F.coalesce("latency", F.lit(0.0))).alias("latency_mean"))
+    late = percentiles_of(runs.withColumn("latency", F.coalesce("latency", F.lit(0.0))), ["condition"], "latency", {"latency_p95": share(0.95)}).drop("n")
+    slots = expansions.groupBy("condition").agg(F.count("*").alias("n_slots"), F.count_if(F.col("n_left") == 0).alias("n_slots_empty"), F.count_if((F.col("n_left") == 0) & (F.col("n_answers") > 0)).alias("n_slots_excluded"))
+    out = out.join(late, "condition").join(slots, "condition", "left")
+    return out.fillna(0, ["n_slots", "n_slots_empty", "n_slots_excluded"])

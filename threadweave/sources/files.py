@@ -104,3 +104,13 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/threadweave-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def overwrite_parts(df: DataFrame, path: str, by: str) -> None:
+    """Writes df as a Parquet table with a folder for each value of `by`; of a table that is there, only values that df has are replaced."""
+    df.repartition(by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def read_part(df: DataFrame, path: str, by: str, value: str) -> DataFrame:
+    """The rows of one value, which are all that is read; df: any table with the columns that were written."""
+    return df.sparkSession.read.schema(df.schema).parquet(path).where(F.col(by) == value)
