@@ -7,7 +7,7 @@ from threadweave.plans import catalogue, judged, panels, reports, vectors  # noq
 from tests.conftest import SF_MID, SF_SMALL
 
 #: Queries that SQL can't express; other tests compare them with brute force.
-UNLIKE_SQL = {"ivf_neighbours"}
+UNLIKE_SQL = {"ivf_neighbours", "blinded_answers"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # Weights of the trust formulas.
-QUESTION_WEIGHTS = (0.7, 0.3)
 ANSWER_WEIGHTS = (0.5, 0.3, 0.2)
 
 
@@ -24,10 +23,6 @@ def norm_log(x: Column, top: Column) -> Column:
     return F.least(F.lit(1.0), F.log1p(F.greatest(F.coalesce(x.cast("double"), F.lit(0.0)), F.lit(0.0))) / F.log1p(top))
 
 
-def trust_question(score: Column, views: Column) -> Column:
-    return QUESTION_WEIGHTS[0] * score + QUESTION_WEIGHTS[1] * views
-
-
 def trust_answer(score: Column, accepted: Column, author: Column) -> Column:
     return ANSWER_WEIGHTS[0] * score + ANSWER_WEIGHTS[1] * accepted.cast("double") + ANSWER_WEIGHTS[2] * F.coalesce(author, F.lit(0.0))
 
@@ -84,8 +79,9 @@ def unescaped(texts: pd.Series) -> pd.Series:
 
 def html_to_text(col: Column, most: int = 4000) -> Column:
     """Closing block tags and <br> to line breaks, other tags away (their text stays), character references decoded, blanks
-    collapsed, at most one empty line in a row, cut to `most` characters with a mark. A null stays null."""
-    out = F.regexp_replace(F.regexp_replace(col, LINE_ENDS, "\n"), "<[^>]+>", "")
+    collapsed, at most one empty line in a row, cut to `most` characters with a mark. A null is an empty text."""
+    # fixed values, and their order
+    out = F.regexp_replace(F.regexp_replace(F.coalesce(col, F.lit("")), LINE_ENDS, "\n"), "<[^>]+>", "")
     out = F.regexp_replace(F.regexp_replace(unescaped(out), "[ \t]+", " "), "\n{3,}", "\n\n")
     out = F.regexp_replace(out, r"^[\s\u00A0]+|[\s\u00A0]+$", "")
     cut = F.regexp_replace(F.substring(out, 1, most), r"[\s\u00A0]+$", "")
@@ -123,7 +119,53 @@ def cited_statements(col: Column) -> Column:
 def blinded(col: Column) -> Column:
     """The text without citations and without a block of sources at its end, so that its origin can't be told."""
     out = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?is)\n+\s*\**\s*(sources|references)\s*:?\s*\**\s*:?\s*\n.*$", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, CITATION_TOKEN, ""), "[ \t]{2,}", " "))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(out, CITATION_TOKEN, ""), "[ \t]{2,}", " "), r"(?U)^\s+|\s+$", "")
+
+
+# What an answer calls its context, phrases about it by name, in order, and what stands in their place.
+MARKER = "[catatan: informasi tidak tersedia]"
+_SOURCES = (
+    r"(?:(?:the|your)\s+)?(?:retrieved|provided|given|available|supplied)\s+(?:sources?|contexts?|documents?|excerpts?|snippets|search\s+results|information|materials?)"
+    r"|the\s+(?:sources?|contexts?|excerpts?|search\s+results)(?:\s+(?:you\s+)?(?:provided|given|retrieved|supplied))?"
+)
+_OTHER_OF = r"(?!\s+of\b)"
+_LEAD = r"(?:(?:unfortunately|however|therefore|in\s+summary|that\s+said|note\s+that),?\s+|(?:since|while|as|although)\s+)?"
+_DO_NOT = r"(?:,\s*however,)?\s*(?:do|does|did)\s*(?:not|n't)\s+(?:\w+ly\s+)?(?:cover|provide|address|mention|include|contain|discuss|specify|offer|detail|describe|explain|give|confirm|answer|support|state|have)"
+_SAY = r"(?:(?:do|does)\s+)?(?:suggest|indicate|mention|state|recommend|support|show|confirm|note|provide|cover|describe|explain|highlight|discuss)(?:e?s)?"
+PHRASES = [
+    ("sources_do_not_cover", rf"\b{_LEAD}(?:{_SOURCES}){_OTHER_OF}\s*{_DO_NOT}\b", MARKER),
+    ("no_information_in_sources", rf"\bthere\s+(?:is|are)\s+no\s+(?:\w+\s+){{0,2}}(?:in|from|within)\s+(?:{_SOURCES}){_OTHER_OF}(?:\s+(?:about|on|regarding))?\b", MARKER),
+    ("not_covered_in_sources", rf"(\b(?:is|are|was|were)\s*(?:not|n't)\s+(?:\w+ly\s+)?(?:covered|mentioned|addressed|discussed|described|specified|provided|supported|confirmed))\s+(?:in|by)\s+(?:{_SOURCES}){_OTHER_OF}\b", "$1"),
+    ("attribution_prefix", rf"\b(?:according\s+to|based\s+on|as\s+(?:mentioned|noted|shown|described|stated|indicated|suggested)\s+(?:in|by)|from|per|in)\s+(?:{_SOURCES}){_OTHER_OF},?\s*", ""),
+    ("beyond_sources", rf"\s+beyond\s+(?:{_SOURCES}){_OTHER_OF}", ""),
+    ("sources_say", rf"\b(?:{_SOURCES}){_OTHER_OF}\s+(?:\w+ly\s+)?{_SAY}(?:\s+that)?:?\s*", ""),
+]
+_UNICODE = "(?iuU)"
+
+
+def phrases_replaced(col: Column) -> tuple[Column, Column]:
+    """The text without phrases about its sources, and the phrases: an array of name and phrase (as it is written), in order."""
+    named = lambda name, hits: F.transform(hits, lambda x: F.struct(F.lit(name).alias("name"), x.alias("phrase")))
+    found = []
+    for name, pattern, instead in PHRASES:
+        found.append(named(name, F.regexp_extract_all(col, F.lit(_UNICODE + pattern), F.lit(0))))
+        col = F.regexp_replace(col, _UNICODE + pattern, instead)
+    return col, F.flatten(F.array(*found))
+
+
+def tidied(col: Column) -> Column:
+    """Blanks collapsed and taken off before punctuation, stray commas gone, small letters (a-z) at a sentence's start made great."""
+    out = F.regexp_replace(F.regexp_replace(F.regexp_replace(col, "[ \t]{2,}", " "), "[ \t]+([,.;:!?])", "$1"), ",([.;:!?])", "$1")
+    parts = F.split(out, r"(?U)(?<=\s)(?=[a-z])")
+    begins = lambda i: (i == 0) | F.get(parts, i - 1).rlike(r"(?U)([.!?]\s+|\n)$")
+    great = F.transform(parts, lambda x, i: F.when(begins(i) & x.rlike("^[a-z]"), F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))).otherwise(x))
+    return F.regexp_replace(F.array_join(great, ""), r"(?U)^\s+|\s+$", "")
+
+
+def blinded_fully(col: Column) -> Column:
+    """blinded, and without phrases about sources; what has none of them isn't tidied."""
+    text, hits = phrases_replaced(blinded(col))
+    return F.when(F.size(hits) > 0, tidied(text)).otherwise(blinded(col))
 
 
 def cited_ids(col: Column) -> Column:
@@ -149,10 +191,6 @@ def question_type(title: Column, body: Column) -> Column:
     return F.when(text.rlike(DEBUGGING), "Debugging").when(F.coalesce(title, F.lit("")).rlike(HOW_TO), "How-to").otherwise("Conceptual")
 
 
-def char_shingles(col: Column, n: int) -> Column:
-    return F.when(F.length(col) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substr(col, i, F.lit(n))))
-
-
 def hash_order(seed: int, *cols: str) -> Column:
     """A fixed pseudo-random order of keys: samples by it are seeded, nested and disjoint, on any engine with MD5."""
     return F.md5(F.concat_ws("-", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))

@@ -74,13 +74,20 @@ def label_transitions(before: DataFrame, after: DataFrame, keys: list[str]) -> D
     return both.groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
+def known_label(col: str) -> Column:
+    """The label; the query fails on one that no judge may give."""
+    c = F.col(col)
+    return F.when(c.isNull() | c.isin(ABSTAIN, FACTUAL, *HALLUCINATED), c).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), c)).cast("string"))
+
+
 def panel_labels(votes: DataFrame) -> DataFrame:
     """item, panel_label, incomplete, unanimous, n_valid, n_abstain, n_hallucinated of panels of three judges.
 
     Three valid votes: ABSTAIN if two abstain, else the median severity. Two: both must abstain or both must not, and agree on
     whether there is an error; the lower severity counts. Fewer: unresolved. A vote without severity stands for 1 or 2; if
     that matters to the result, the panel's severity is unspecified, too. As medians and minima rise with each vote, the
-    least and the greatest severities tell all that could come out."""
+    least and the greatest severities tell all that could come out. A label that isn't one of the five fails."""
+    votes = votes.withColumn("label", known_label("label"))
     label = F.col("label")
     low = F.when(label.isin(PARTLY, UNSPECIFIED), 1).when(label == FULLY, 2).when(label.isNotNull(), 0)
     high = F.when(label == PARTLY, 1).when(label.isin(FULLY, UNSPECIFIED), 2).when(label.isNotNull(), 0)

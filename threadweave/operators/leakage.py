@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Distinct shingles of the smaller side that are sent to every task (8 bytes each); with more, both sides are shuffled by shingle.
+#: Distinct shingles of the smaller side that are sent to every task (8 bytes each); with more, both sides are shuffled by hash.
 SENT = 1_000_000
 
 
@@ -67,10 +67,13 @@ def shared_substrings(texts: DataFrame, key: str, items: DataFrame, item_key: st
     """Distinct (key, item_key) of texts that share n consecutive characters. Null and shorter texts share nothing.
 
     Hashes find the windows in question; those that match are compared as text. Where the items have more than `sent` distinct
-    hashes, those of both sides meet in a join first, and the ones met in both are looked at again."""
-    distinct = hashed_windows(items, item_key, text, n).select("h").distinct()
+    hashes, both sides meet in a join by hash, and the pairs that do are compared text by text."""
+    hashed = hashed_windows(items, item_key, text, n)
+    distinct = hashed.select("h").distinct()
     if distinct.limit(sent + 1).count() > sent:
-        distinct = distinct.join(hashed_windows(texts, key, text, n).select("h").distinct(), "h")
+        met = hashed_windows(texts, key, text, n).select(key, "h").join(hashed.select(item_key, "h"), "h").select(key, item_key).distinct()
+        both = met.join(texts.select(key, F.col(text).cast("string").alias("__a")), key).join(items.select(item_key, F.col(text).cast("string").alias("__b")), item_key)
+        return pairs_share(both, "__a", "__b", n).where("shares").select(key, item_key).distinct()
     only = np.sort(distinct.toArrow().column("h").to_numpy().view(np.uint64))
     return hashed_windows(texts, key, text, n, only).join(hashed_windows(items, item_key, text, n, only), ["h", "w"]).select(key, item_key).distinct()
 

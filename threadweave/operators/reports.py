@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadweave.operators.tables import percentiles_of, same_group, share
-from threadweave.operators.judging import ABSTAIN, FACTUAL, FULLY, PARTLY, UNRESOLVED, UNSPECIFIED, judge_pairs, ratio
+from threadweave.operators.judging import ABSTAIN, FACTUAL, FULLY, PARTLY, UNRESOLVED, UNSPECIFIED, judge_pairs, known_label, ratio
 
 
 def distribution(df: DataFrame, col: str, none: str = "(none)") -> DataFrame:
@@ -64,7 +64,8 @@ def pairwise_kappa(votes: DataFrame) -> DataFrame:
 
 def even_panel_labels(votes: DataFrame, upper: bool) -> DataFrame:
     """item, panel_label of panels of three judges or more, an even number too: abstentions win by majority; of two middle
-    severities the lower or the upper one counts; a missing severity that matters stays unspecified."""
+    severities the lower or the upper one counts; a missing severity that matters stays unspecified. An unknown label fails."""
+    votes = votes.withColumn("label", known_label("label"))
     label = F.col("label")
     low = F.when(label.isin(PARTLY, UNSPECIFIED), 1).when(label == FULLY, 2).when(label.isNotNull(), 0)
     high = F.when(label == PARTLY, 1).when(label.isin(FULLY, UNSPECIFIED), 2).when(label.isNotNull(), 0)

@@ -116,12 +116,15 @@ def one_hop(found: DataFrame, answers: DataFrame, excluded: DataFrame) -> DataFr
     return without_excluded(rows, excluded, "aid").select("query", "via", "aid", "weight", F.lit("1").alias("hop"))
 
 
-def two_hop(found: DataFrame, edges: DataFrame, answers: DataFrame, excluded: DataFrame, limit: int = TWO_HOP_LIMIT) -> DataFrame:
-    """Answers of the anchors' neighbours, weights multiplied, exclusion at both steps; the `limit` best over all anchors of a query."""
+def two_hop(found: DataFrame, edges: DataFrame, answers: DataFrame, excluded: DataFrame, excluded_answers: DataFrame | None = None, limit: int = TWO_HOP_LIMIT) -> DataFrame:
+    """Answers of the anchors' neighbours, weights multiplied, exclusion at both steps (of answers only if those are given); the `limit` best
+    over all anchors of a query."""
     mid = found.select("query", F.col("id").alias("src")).join(edges.select("src", F.col("dst").alias("via"), F.col("weight").alias("w")), "src").select("query", "via", "w")
     mid = without_excluded(mid, excluded, "via")
     rows = mid.join(answers.select(F.col("qid").alias("via"), "aid", "weight"), "via").select("query", "via", "aid", (F.col("w") * F.col("weight")).alias("weight"), F.lit("2").alias("hop"))
-    return first_by(without_excluded(rows, excluded, "aid"), ["query"], [F.desc("weight"), "aid", "via"], limit)
+    if excluded_answers is not None:
+        rows = without_excluded(rows, excluded_answers, "aid")
+    return first_by(rows, ["query"], [F.desc("weight"), "aid", "via"], limit)
 
 
 def fuse_path(candidates: DataFrame, trust: DataFrame, k: int = TOP_K) -> DataFrame:
@@ -171,8 +174,11 @@ def answer_level_anchors(hits: DataFrame, n: int, shallow: int = 10, deep: int =
     return first_by(rows, ["query"], [F.desc(F.round("sim", 9)), "id"], n).drop("found")
 
 
-def mode_name(dup: bool, linked: bool, near: float | None) -> str:
-    """The canonical name of an exclusion mode: thread, or dup with what comes on top; linked and near imply dup."""
+# The parts of modes' names.
+def mode_name(dup: bool, linked: bool, near: float | None, on: bool = True) -> str:
+    """The canonical name of an exclusion mode: off, thread, or dup with what comes on top; linked and near imply dup."""
+    if not on:
+        return "off"
     if not (dup or linked or near is not None):
         return "thread"
     return "dup" + "+linked" * linked + (f"+neardup{near:g}" if near is not None else "")

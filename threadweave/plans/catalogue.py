@@ -284,10 +284,7 @@ def candidates(spark, sf):
     ex = kept(excluded(spark, sf), "excluded")
     hits = kept(found(spark, sf, ex), "anchors")
     one = R.one_hop(hits, a, none)
-    mid = hits.select("query", F.col("id").alias("src")).join(both.withColumnRenamed("dst", "via").withColumnRenamed("weight", "w"), "src")
-    mid = R.without_excluded(mid, ex, "via")
-    two = mid.join(a.select(F.col("qid").alias("via"), "aid", "weight"), "via").select("query", "via", "aid", (F.col("w") * F.col("weight")).alias("weight"), F.lit("2").alias("hop"))
-    two = T.first_by(two, ["query"], [F.desc("weight"), "aid", "via"], R.TWO_HOP_LIMIT)
+    two = R.two_hop(hits, both, a, ex)
     return one.unionByName(two), a.select("aid", F.least(F.lit(1.0), F.col("score") / 100000).alias("trust"))
 
 
@@ -531,7 +528,7 @@ def grouped_and_pooled(spark, sf):
     return t(spark, sf, "orders").rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean"))
 
 
-@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '</(p|div|li|pre|blockquote|h[1-6])\s*>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
+@query(r"""WITH b AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '</(p|div|li|pre|blockquote|h[1-6])\s*>|<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS x FROM pages),
 e AS (SELECT page_id, replace(replace(replace(replace(x, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&') AS x FROM b),
 c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(x, '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^[\s\x{00A0}]+|[\s\x{00A0}]+$', '', 'g') AS x FROM e)
 SELECT page_id, length(x)::BIGINT AS n_chars, sha256(CASE WHEN length(x) > 1000 THEN regexp_replace(x[:1000], '[\s\x{00A0}]+$', '') || ' …[truncated]' ELSE x END) AS text_sha256 FROM c""")

@@ -182,3 +182,18 @@ def settled_events(spark, sf):
     results = settled.stored(judge(like), f"{path}/out", settled.RESULTS).select("event_type", F.lit(1).alias("done"), F.lit(0).alias("open"))
     rest = settled.open_failures(judge(like), f"{path}/out", ["user_id", "event_type"]).select("event_type", F.lit(0), F.lit(1))
     return results.union(rest).groupBy("event_type").agg(F.sum("done").alias("n_results"), F.sum("open").alias("n_open"))
+
+
+REMARKS = ["", "According to the retrieved sources, ", "The provided context does not cover this. ", "there is no information in the given documents about it; ", "This is not mentioned in the sources. ", "In the context of threads, ", "the search results suggest that ", "More is needed beyond the context provided. "]
+
+
+@query()
+def blinded_answers(spark, sf):
+    """Documents as answers that speak of their sources: the text that a judge gets and the phrases that went. Its patterns look ahead,
+    which DuckDB's can't; a test compares them with Python's."""
+    from threadweave.functions import scalars as S
+
+    remark = F.element_at(F.array(*[F.lit(x) for x in REMARKS]), (F.col("doc_id") % len(REMARKS) + 1).cast("int"))
+    said = t(spark, sf, "documents").select("doc_id", F.concat(remark, F.coalesce("text", F.lit(""))).alias("text"))
+    names = F.transform(S.phrases_replaced(S.blinded(F.col("text")))[1], lambda x: x["name"])
+    return said.select("doc_id", F.sha2(S.blinded_fully(F.col("text")), 256).alias("blinded_sha256"), F.array_join(names, ",").alias("phrases"))

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: str | None = None) -> DataFrame:
-    """Rows of CSV files with a header, fields with line breaks allowed; unfit rows are skipped, or kept in column `corrupt`."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, corrupt: str | None = None, lines_in_fields: bool = True) -> DataFrame:
+    """Rows of CSV files with a header; unfit rows are skipped, or kept in column `corrupt`. lines_in_fields: fields may have line breaks, so
+    that a file is one task; without it, large files are split."""
+    reader = spark.read.option("header", True).option("multiLine", lines_in_fields).option("escape", '"')
     if corrupt:
         return reader.option("columnNameOfCorruptRecord", corrupt).schema(T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])).csv(path)
     return reader.option("mode", "DROPMALFORMED").schema(schema).csv(path)
