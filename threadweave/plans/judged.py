@@ -317,7 +317,7 @@ def hard_negatives_of_common_tags(spark, sf):
     v = vectors(spark, sf)
     ids = v.select(F.col("id").alias("qid"))
     tags = tagged(spark, sf).select(F.col("q").alias("qid"), F.col("tag").cast("string").alias("tag")).union(t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"))
-    out = negatives.hard_negatives(ids, ids, tags, linked(spark, sf), v, block=64)
+    out = negatives.hard_negatives(ids, ids, tags, linked(spark, sf), v, block=64, paired=20)
     return out.select("query", "donor", r6(F.col("sim"), "sim"), "n_shared")
 
 
