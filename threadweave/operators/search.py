@@ -12,6 +12,7 @@ from threadweave.operators.tables import first_by
 
 # Caps of an ego graph.
 ANSWER_CAP, TAG_CAP, RELATED_CAP = 10, 10, 8
+AUTHOR_CAP, TAGGED_CAP, EXPANDED_CAP = 5, 15, 5
 
 
 def carries_tag(tags: Column, wanted: list[str]) -> Column:
@@ -104,3 +105,30 @@ def ego_graph(centres: DataFrame, answers: DataFrame, tagged: DataFrame, related
         edge(far, "aid", F.lit("HAS_ACCEPTED_ANSWER"), one), edge(far_tags, "tag", F.lit("TAGGED_WITH"), none),
     ]
     return reduce(lambda a, b: a.union(b), parts).distinct()
+
+
+def answer_ego_graph(centres: DataFrame, answers: DataFrame, authors: DataFrame, tagged: DataFrame, related: DataFrame) -> DataFrame:
+    """centre, src, dst, edge_type, weight: of each answer its question, its authors (AUTHOR_CAP at most, by id) and the question's own graph.
+
+    centres: aid. answers: aid, qid, accepted, weight, score. authors: aid, author, weight. tagged, related: as of ego_graph."""
+    mine = centres.select("aid").distinct().join(answers.select("aid", "qid", "accepted"), "aid")
+    kind = F.when(F.col("accepted"), "HAS_ACCEPTED_ANSWER").otherwise("HAS_ANSWER")
+    owner = mine.select(F.col("aid").alias("centre"), F.col("qid").alias("src"), F.col("aid").alias("dst"), kind.alias("edge_type"), F.when(F.col("accepted"), 1.0).alias("weight"))
+    by = first_by(mine.select("aid").join(authors.select("aid", "author", "weight"), "aid"), ["aid"], ["author"], AUTHOR_CAP)
+    by = by.select(F.col("aid").alias("centre"), F.col("aid").alias("src"), F.col("author").alias("dst"), F.lit("AUTHOR_TRUST").alias("edge_type"), "weight")
+    around = ego_graph(mine.select("qid").distinct(), answers, tagged, related)
+    around = mine.select("aid", F.col("qid").alias("centre")).join(around, "centre").select(F.col("aid").alias("centre"), "src", "dst", "edge_type", "weight")
+    # the answer's own edge stands once, without the weight of its thread
+    around = around.join(owner.select("centre", "src", "dst", "edge_type"), ["centre", "src", "dst", "edge_type"], "left_anti")
+    return owner.unionByName(by).unionByName(around).distinct()
+
+
+def tag_ego_graph(centres: DataFrame, tagged: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
+    """centre, src, dst, edge_type, weight: of each tag its best questions by score (TAGGED_CAP at most) and, of the first EXPANDED_CAP, the
+    accepted answer. centres: tag. tagged: qid, tag. questions: qid, score. answers: aid, qid, accepted."""
+    rows = centres.select("tag").distinct().join(tagged.select("qid", "tag").distinct(), "tag").join(questions.select("qid", "score"), "qid")
+    place = F.row_number().over(Window.partitionBy("tag").orderBy(F.desc("score"), "qid"))
+    best = rows.withColumn("place", place).where(F.col("place") <= TAGGED_CAP)
+    edges = best.select(F.col("tag").alias("centre"), F.col("qid").alias("src"), F.col("tag").alias("dst"), F.lit("TAGGED_WITH").alias("edge_type"), F.lit(None).cast("double").alias("weight"))
+    far = best.where(F.col("place") <= EXPANDED_CAP).join(answers.where("accepted").select("qid", "aid"), "qid")
+    return edges.unionByName(far.select(F.col("tag").alias("centre"), F.col("qid").alias("src"), F.col("aid").alias("dst"), F.lit("HAS_ACCEPTED_ANSWER").alias("edge_type"), F.lit(1.0).alias("weight"))).distinct()

@@ -13,7 +13,7 @@ from threadweave.operators import judging as J
 from threadweave.operators import retrieval as R
 from threadweave.operators import negatives, resampling, sampling, search, stats
 from threadweave.operators import graph as G
-from threadweave.plans.catalogue import A, KN, LK, QUERIES, SIM, TW, answers, found, linked, query, questions, r6, t, tagged, vectors
+from threadweave.plans.catalogue import A, KN, LK, ORACLE, QUERIES, SIM, TW, answers, found, linked, query, questions, r6, t, tagged, vectors
 
 LABELS = (J.ABSTAIN, J.FACTUAL, J.PARTLY, J.FULLY, J.UNSPECIFIED)
 LB = "[" + ", ".join(f"'{x}'" for x in LABELS) + "]"
@@ -308,6 +308,27 @@ def hard_negatives(spark, sf):
     return out.select("query", "donor", r6(F.col("sim"), "sim"), "n_shared")
 
 
+@query(f"""WITH eg AS ({ORACLE['ego_graphs']}), {A}, c AS (SELECT aid, qid, line, author, score FROM a JOIN orders ON o_orderkey = qid WHERE line = 2 AND o_orderpriority = '1-URGENT')
+SELECT aid AS centre, qid AS src, aid AS dst, 'HAS_ANSWER' AS edge_type, NULL::DOUBLE AS weight FROM c
+UNION SELECT aid, aid, author, 'AUTHOR_TRUST', round(least(1.0, score / 100000), 6) FROM c
+UNION SELECT c.aid, src, dst, edge_type, weight FROM eg JOIN c ON c.qid = eg.centre WHERE NOT (src = c.qid AND dst = c.aid AND edge_type = 'HAS_ANSWER')""")
+def answer_ego_graphs(spark, sf):
+    a = G.thread_weights(answers(spark, sf), "qid", "score").withColumn("accepted", F.col("line") == 1)
+    urgent = t(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("qid"))
+    centres = a.where("line = 2").join(urgent, "qid").select("aid")
+    related = kinds_of_links(spark, sf).select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("kind").alias("edge_type"), (1.0 / (1 + F.abs(F.col("b") - F.col("a")))).alias("weight"))
+    authors = a.select("aid", "author", F.least(F.lit(1.0), F.col("score") / 100000).alias("weight"))
+    out = search.answer_ego_graph(centres, a, authors, tagged(spark, sf).distinct().withColumnRenamed("q", "qid"), related)
+    return out.select("centre", "src", "dst", "edge_type", r6(F.col("weight"), "weight"))
+
+
+@query(f"""WITH {A}, b AS (SELECT tag, qid, row_number() OVER (PARTITION BY tag ORDER BY o_totalprice DESC, qid) AS place FROM (SELECT DISTINCT l_orderkey AS qid, l_partkey AS tag FROM lineitem) JOIN orders ON o_orderkey = qid)
+SELECT tag AS centre, qid AS src, tag AS dst, 'TAGGED_WITH' AS edge_type, NULL::DOUBLE AS weight FROM b WHERE place <= 15 UNION SELECT tag, b.qid, aid, 'HAS_ACCEPTED_ANSWER', 1.0 FROM b JOIN a ON a.qid = b.qid AND line = 1 WHERE place <= 5""")
+def tag_ego_graphs(spark, sf):
+    tags = tagged(spark, sf).withColumnRenamed("q", "qid")
+    return search.tag_ego_graph(tags.select("tag"), tags, questions(spark, sf), answers(spark, sf).withColumn("accepted", F.col("line") == 1))
+
+
 # of all others: the most that share a tag, with priorities as tags that very many carry
 @query(f"""WITH {LK}, tg AS (SELECT o_orderkey AS qid, o_orderpriority AS tag FROM orders UNION SELECT l_orderkey, l_partkey::VARCHAR FROM lineitem),
 s AS (SELECT x.vec_id AS query, y.vec_id AS donor, list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) AS sim, (SELECT count(*) FROM tg a JOIN tg b USING (tag) WHERE a.qid = x.vec_id AND b.qid = y.vec_id) AS n_shared FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id),
