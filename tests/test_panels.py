@@ -124,3 +124,17 @@ def test_batches_one_after_the_other(spark, tmp_path):
     assert read(settled.RESULTS) == [(0, 1), (1, 2), (1, 4), (2, 5)]
     assert read(settled.FAILURES) == [(0, 2), (0, 3), (2, 3), (2, 5)]
     assert read(settled.RESOLVED) == [(1, 2), (2, 5)]
+
+
+def test_reputations_and_columns(spark, tmp_path):
+    from threadweave.sources.files import missing_columns, reputations
+
+    wanted = spark.createDataFrame([(1,), (2,), (2,), (9,)], "id long")
+    parquet, csv = str(tmp_path / "users.parquet"), str(tmp_path / "users.csv")
+    get = lambda: sorted(((r.id, r.reputation) for r in reputations(spark, parquet, csv, wanted).collect()), key=str)
+    assert get() == []
+    (tmp_path / "users.csv").write_text("Id,Reputation,Name\n1,10,a\n2,x,b\nbad,3,c\n5,50,d\n")
+    assert get() == [(1, 10), (2, None)]
+    spark.createDataFrame([(1, 100, "a"), (9, 900, "b"), (7, 7, "c")], "id long, reputation long, name string").write.parquet(parquet)
+    assert get() == [(1, 100), (9, 900)]
+    assert missing_columns(wanted, ["b", "id", "a"]) == ["b", "a"]

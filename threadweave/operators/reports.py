@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadweave.operators.tables import percentiles_of, same_group, share
+from threadweave.operators.tables import first_by, percentiles_of, same_group, share
 from threadweave.operators.judging import ABSTAIN, FACTUAL, FULLY, PARTLY, UNRESOLVED, UNSPECIFIED, judge_pairs, known_label, ratio
 
 
@@ -175,7 +175,6 @@ def path_graph(paths: DataFrame) -> DataFrame:
 def evenly_probed(df: DataFrame, key: str, group: str, n: int, seed: int = 42) -> DataFrame:
     """n rows of each group in hash order."""
     from threadweave.functions.scalars import hash_order
-    from threadweave.operators.tables import first_by
 
     return first_by(df.withColumn("__h", hash_order(seed, key)), [group], ["__h", key], n).drop("__h")
 
@@ -212,3 +211,25 @@ def condition_of_file(path: Column) -> tuple[Column, Column]:
     condition = F.regexp_extract(name, r"^([A-Za-z]+)", 1)
     mode = F.regexp_extract(name, r"^[A-Za-z]+_([a-z+0-9.]+?)\.[a-z]+$", 1)
     return condition, F.when(mode == "", "thread").otherwise(mode)
+
+
+def latency_target(runs: DataFrame, answers: DataFrame, key: str, value: str, target: float, applies: Column) -> DataFrame:
+    """key, n, n_timed, fallback, value, meets: the 95th percentile of a run's latencies where all of its answers have one; else the run's
+    duration per answer, which meets nothing. meets is null where the target doesn't apply. runs: key, duration, and what `applies` needs."""
+    sizes = answers.groupBy(key).agg(F.count("*").alias("n"), F.count(value).alias("n_timed"))
+    late = percentiles_of(answers, [key], value, {"p95": share(0.95)}).drop("n")
+    rows = runs.join(sizes, key, "left").join(late, key, "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("n_timed", F.coalesce("n_timed", F.lit(0)))
+    whole = (F.col("n") > 0) & (F.col("n") == F.col("n_timed"))
+    found = F.when(whole, F.col("p95")).otherwise(ratio(F.col("duration"), F.col("n")))
+    return rows.select(key, "n", "n_timed", (~whole).alias("fallback"), found.alias("value"), F.when(whole & applies, F.col("p95") <= target).alias("meets"))
+
+
+def history_table(history: DataFrame, judged: DataFrame, group: list[str], order: str) -> DataFrame:
+    """group, place (newest first in its group, ties by id), history_id, condition, and the latest judge's record of the run's condition.
+
+    history: history_id, condition, group, order. judged: condition, order, and what is to be shown; of a condition's records the
+    newest counts, whatever run it judged; a condition that was never judged shows nulls."""
+    shown = [c for c in judged.columns if c not in ("condition", order)]
+    newest = first_by(judged.where(F.col("condition").isNotNull()), ["condition"], [F.desc(order), *shown]).select("condition", *shown)
+    place = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(order), "history_id")).cast("bigint")
+    return history.withColumn("place", place).join(newest, "condition", "left").select(*group, "place", "history_id", "condition", *shown)

@@ -69,3 +69,8 @@ def shuffled(items: Column, seed: int, key: Column) -> Column:
     """An array of texts in a seeded order of its key's own."""
     rank = lambda x: F.md5(F.concat_ws("-", F.lit(str(seed)), key.cast("string"), x))
     return F.transform(F.array_sort(F.transform(items, lambda x: F.struct(rank(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+
+
+def beyond(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """All rows but the first n of the permutation: a pool to draw donors from that no test row is in."""
+    return df.join(sample(df.select(key).distinct(), key, n, seed).select(key), key, "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadweave.operators import judging as J
-from threadweave.operators import leakage, panels
+from threadweave.operators import leakage, panels, reports, sampling
 from threadweave.operators import retrieval as R
 from threadweave.operators import verdicts as V
 from threadweave.plans.catalogue import A, EX, LK, QUERIES, answers, excluded, linked, query, scratch, t, vectors  # noqa: F401
@@ -197,3 +197,28 @@ def blinded_answers(spark, sf):
     said = t(spark, sf, "documents").select("doc_id", F.concat(remark, F.coalesce("text", F.lit(""))).alias("text"))
     names = F.transform(S.phrases_replaced(S.blinded(F.col("text")))[1], lambda x: x["name"])
     return said.select("doc_id", F.sha2(S.blinded_fully(F.col("text")), 256).alias("blinded_sha256"), F.array_join(names, ",").alias("phrases"))
+
+
+@query("WITH p AS (SELECT o_orderkey AS qid, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS place FROM orders) SELECT qid FROM p WHERE place > 384")
+def donor_pool(spark, sf):
+    return sampling.beyond(t(spark, sf, "orders").select(F.col("o_orderkey").alias("qid")), "qid", 384)
+
+
+# users as runs, their events as answers; some users' events have no time taken, one type of event is no run's
+HS = "e AS (SELECT user_id, event_type, epoch_us(ts) AS ts_us, CASE WHEN user_id % 5 <> 0 OR event_id % 3 <> 0 THEN value END AS v FROM events), r AS (SELECT user_id, count(*) * 3.0 + user_id AS duration FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {HS}, s AS (SELECT user_id, count(*) AS n, count(v) AS n_timed, quantile_cont(v, 0.95) AS p95 FROM e WHERE event_type <> 'error' GROUP BY 1), w AS (SELECT r.user_id, coalesce(n, 0) AS n, coalesce(n_timed, 0) AS n_timed, p95, duration, coalesce(n > 0 AND n = n_timed, false) AS whole FROM r LEFT JOIN s USING (user_id)) SELECT user_id, n, n_timed, NOT whole AS fallback, round(CASE WHEN whole THEN p95 WHEN n > 0 THEN duration / n END, 6) AS value, CASE WHEN whole AND user_id % 2 = 0 THEN p95 <= 15 END AS meets FROM w")
+def latency_targets(spark, sf):
+    e = t(spark, sf, "events")
+    runs = e.groupBy("user_id").agg(F.count("*").alias("n_events")).select("user_id", (F.col("n_events") * 3.0 + F.col("user_id")).alias("duration"))
+    timed = e.where("event_type <> 'error'").select("user_id", F.when((F.col("user_id") % 5 != 0) | (F.col("event_id") % 3 != 0), F.col("value")).alias("v"))
+    return rounded(reports.latency_target(runs, timed, "user_id", "v", 15.0, F.col("user_id") % 2 == 0))
+
+
+@query("WITH h AS (SELECT event_id AS history_id, user_id % 7 AS condition, event_type AS model, user_id % 3 AS n, epoch_us(ts) AS us FROM events), j AS (SELECT condition, arg_max(score, struct_pack(a := us, s := -score)) AS score FROM (SELECT user_id % 7 AS condition, epoch_us(ts) AS us, value AS score FROM events WHERE user_id % 7 <> 3 AND event_type = 'click') GROUP BY 1) SELECT model, n, row_number() OVER (PARTITION BY model, n ORDER BY us DESC, history_id) AS place, history_id, h.condition, score FROM h LEFT JOIN j ON j.condition = h.condition")
+def history_comparison(spark, sf):
+    e = t(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("condition", F.col("user_id") % 7)
+    history = e.select(F.col("event_id").alias("history_id"), "condition", F.col("event_type").alias("model"), (F.col("user_id") % 3).alias("n"), "at")
+    judged = e.where("condition <> 3 AND event_type = 'click'").select("condition", "at", F.col("value").alias("score"))
+    return reports.history_table(history, judged, ["model", "n"], "at")

@@ -115,3 +115,21 @@ def overwrite_parts(df: DataFrame, path: str, by: str) -> None:
 def read_part(df: DataFrame, path: str, by: str, value: str) -> DataFrame:
     """The rows of one value, which are all that is read; df: any table with the columns that were written."""
     return df.sparkSession.read.schema(df.schema).parquet(path).where(F.col(by) == value)
+
+
+def missing_columns(df: DataFrame, needed: list[str]) -> list[str]:
+    """Columns that a table should have and lacks, in the order asked for."""
+    return [c for c in needed if c not in df.columns]
+
+
+def reputations(spark: SparkSession, parquet: str, csv: str, wanted: DataFrame) -> DataFrame:
+    """id, reputation of the users asked for (id): from the Parquet table if it is there, else from the CSV file (columns Id and
+    Reputation), else of nobody."""
+    there = lambda path: (lambda fs, as_path: fs.exists(as_path(path)))(*file_system(wanted, path))
+    if there(parquet):
+        users = spark.read.parquet(parquet).select(F.col("id").cast("bigint").alias("id"), F.col("reputation").cast("bigint").alias("reputation"))
+    elif there(csv):
+        users = spark.read.option("header", True).csv(csv).select(F.expr("try_cast(Id AS bigint)").alias("id"), F.expr("try_cast(Reputation AS bigint)").alias("reputation"))
+    else:
+        users = spark.createDataFrame([], "id bigint, reputation bigint")
+    return users.join(wanted.select("id").distinct(), "id", "left_semi")
