@@ -44,7 +44,7 @@ def test_text_functions(spark):
     df = spark.createDataFrame([("<a><b-c>", "<p>x &lt;b&gt;</p><p>y</p>", "see [answer_id: 12] and [Answer_ID=7]", "token = \"0123456789abcdef0\" me@x.org 1.2.3.4"), ("", None, "", "")], "t string, h string, c string, s string")
     a, b = df.select(S.tags(F.col("t")).alias("t"), S.first_tag(F.col("t")).alias("f"), S.html_to_text(F.col("h")).alias("h"), S.cited_ids(F.col("c")).alias("c"), S.redacted(F.col("s")).alias("s")).collect()
     assert (a.t, a.f, a.h, a.c, a.s) == (["a", "b-c"], "a", "x <b>\ny", [12, 7], "token = *** *** ***")
-    assert (b.t, b.f, b.h, b.c) == ([], None, None, [])
+    assert (b.t, b.f, b.h, b.c) == ([], None, "", [])
     n = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(S.l2_normalised(F.col("v"))).collect()
     assert n[0][0] == pytest.approx([0.6, 0.8]) and n[1][0] == [0.0, 0.0]
 
