@@ -34,21 +34,20 @@ def tag_cooccurrence(tagged: DataFrame, item: str, tag: str, max_df: int = MAX_D
     """src, dst, jaccard, weight: each item's top_k others by Jaccard of tag sets, at least `threshold`.
 
     Sets have all tags, pairs arise from informative ones. The cap on df bounds each join key's rows, and the bound on pairs is
-    checked before the join. A row carries its item's informative tags and the size of its whole set, so the join itself sees a pair's
-    Jaccard: it is given out where it meets by its first common tag, and nothing is shuffled or counted after the join but
-    what reaches the threshold. Pairs are made once (a < b) and turned round only after the filter."""
-    sets = tagged.where(F.col(tag).isNotNull()).groupBy(item).agg(F.collect_set(tag).alias("__tags")).select(F.col(item).alias("a"), F.size("__tags").alias("n"), F.explode("__tags").alias("tag"))
+    checked before the join. A row knows the sizes of its item's set (n) and of its informative part (m), so
+    that pairs which can't reach the threshold are dropped inside the join, and nothing has to be joined after it. Pairs are
+    made once (a < b) and turned round only after the filter."""
+    sets = tagged.groupBy(item).agg(F.collect_set(tag).alias("__tags")).select(F.col(item).alias("a"), F.size("__tags").alias("n"), F.explode("__tags").alias("tag"))
     often = sets.groupBy("tag").agg(F.count("*").alias("df")).where(F.col("df") <= max_df)
-    short = kept(sets.join(often, "tag").select("a", "n", "tag", "df", F.collect_list("tag").over(Window.partitionBy("a")).alias("tags")), "informative")
+    short = kept(sets.join(often, "tag").select("a", "n", "tag", "df", F.count("*").over(Window.partitionBy("a")).alias("m")), "informative")
     bound = short.agg(F.sum(F.col("df") - 1)).first()[0] or 0
     if bound > most_pairs:
         raise ValueError(f"up to {bound} pairs; lower max_df")
-    other = short.select("tag", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("tags").alias("tb"))
-    whole = F.col("n") + F.col("nb")
-    reachable = F.least(F.size("tags"), F.size("tb")) * (1 + threshold) >= threshold * whole - 1e-9
-    met = short.join(other, "tag").where((F.col("a") < F.col("b")) & reachable).select("a", "b", "tag", whole.alias("whole"), F.array_intersect("tags", "tb").alias("common"))
-    jaccard = F.size("common") / (F.col("whole") - F.size("common"))
-    scored = met.where(F.col("tag") == F.array_min("common")).select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= threshold)
+    short = short.select("tag", "a", "n", "m")
+    other = short.select("tag", F.col("a").alias("b"), F.col("n").alias("nb"), F.col("m").alias("mb"))
+    reachable = F.least("m", "mb") * (1 + threshold) >= threshold * (F.col("n") + F.col("nb")) - 1e-9
+    common = short.join(other, "tag").where((F.col("a") < F.col("b")) & reachable).groupBy("a", "b", "n", "nb").agg(F.count("*").alias("k"))
+    scored = common.select("a", "b", (F.col("k") / (F.col("n") + F.col("nb") - F.col("k"))).alias("jaccard")).where(F.col("jaccard") >= threshold)
     both = scored.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), "jaccard"), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), "jaccard"))))
     return first_by(both, ["src"], [F.desc("jaccard"), "dst"], top_k).withColumn("weight", F.lit(weight))
 

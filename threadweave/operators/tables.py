@@ -98,7 +98,7 @@ def running_counts(df: DataFrame, by: list[str], value: str, buckets: int = 200)
     return out.select(*by, value, "n", (F.col("__above") + F.col("__inside")).alias("before"))
 
 
-def percentiles_of(df: DataFrame, by: list[str], value: str, places: dict[str, Column], buckets: int = 200) -> DataFrame:
+def percentiles_of(df: DataFrame, by: list[str], value: str, places: dict[str, Column], buckets: int = 48) -> DataFrame:
     """by, n and a percentile for each of `places`: a place counts from 0 in order of value and may lie between two (linear); it is an
     expression of the group's number of values, __size. Nulls don't count; a group without values has no row.
 

@@ -162,7 +162,7 @@ def author_trust_edges(spark, sf):
 
 @query(f"WITH {TW}, s AS (SELECT quantile_cont(score, 0.99) AS top FROM a), {AW} SELECT aid, round(0.5 * least(1.0, ln(1 + score) / ln(1 + top)) + 0.3 * (line = 1)::INT + 0.2 * coalesce(aw.w, 0), 6) AS trust, round(weight, 6) AS weight FROM w CROSS JOIN s LEFT JOIN aw ON author = c_custkey".replace("p AS (SELECT quantile", "pp AS (SELECT quantile").replace("customer, p)", "customer, pp)"))
 def answer_trust(spark, sf):
-    a = answers(spark, sf)
+    a = kept(answers(spark, sf).select("aid", "qid", "line", "score", "author"), "answers")
     rows = G.thread_weights(a, "qid", "score").join(F.broadcast(P.positive_percentile(a, "score", 0.99)), F.lit(True)).join(author_weights(spark, sf), F.col("author") == F.col("c_custkey"), "left")
     return rows.select("aid", r6(S.trust_answer(S.norm_log(F.col("score"), F.col("top")), F.col("line") == 1, F.col("w")), "trust"), r6(F.col("weight"), "weight"))
 
