@@ -3,11 +3,11 @@ import math
 import duckdb
 import pytest
 
-from threadweave.plans import catalogue, judged, panels, reports, vectors  # noqa: F401
+from threadweave.plans import catalogue, judged, panels, reports, screening, tokens, vectors  # noqa: F401
 from tests.conftest import SF_MID, SF_SMALL
 
 #: Queries that SQL can't express; other tests compare them with brute force.
-UNLIKE_SQL = {"ivf_neighbours", "blinded_answers"}
+UNLIKE_SQL = {"ivf_neighbours", "blinded_answers", "token_length_report", "documents_within_tokens", "document_chunks", "truncated_answers"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
