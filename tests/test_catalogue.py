@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from threadweave.plans import catalogue, judged, panels, reports, screening, tokens, vectors  # noqa: F401
+from threadweave.plans import catalogue, diagnosis, judged, panels, reports, screening, tokens, vectors  # noqa: F401
 from tests.conftest import SF_MID, SF_SMALL
 
 #: Queries that SQL can't express; other tests compare them with brute force.
