@@ -46,6 +46,22 @@ def test_sums_by_group(spark, monkeypatch):
     assert got == want
 
 
+def test_paired_bootstrap_draws_each_row_by_itself(spark):
+    """Keys whose numbers for the other bootstraps are equal, a null difference and a null key."""
+    keys, twins = range(40), (82326, 84844)
+    assert number(twins[0], 42) == number(twins[1], 42)
+    share = lambda k, d: (int(hashlib.md5(f"42-{k}-{d}".encode()).hexdigest()[:8], 16) + 0.5) / 2**32
+    w = np.array([[sum(share(k, d) > p for p in resampling.POISSON) for k in keys] for d in range(1, 201)])
+    v = np.array([float(k % 7) for k in keys])
+    df = spark.createDataFrame([*zip(keys, v.tolist()), (900, None), (None, 5.0)], "k long, v double").repartition(3)
+    got = resampling.paired_bootstrap(df, "k", F.col("v"), 200).first()
+    assert [got.low, got.high] == pytest.approx(np.quantile(w @ v / w.sum(axis=1), [0.025, 0.975])) and got.n_defined == 200
+    two = resampling.paired_bootstrap(spark.createDataFrame([*zip(twins, (0.0, 1.0))], "k long, v double"), "k", F.col("v"), 200).first()
+    assert (two.low, two.high) == (0.0, 1.0)
+    none = resampling.paired_bootstrap(df.limit(0), "k", F.col("v"), 20).first()
+    assert (none.low, none.high, none.n_defined) == (None, None, 0)
+
+
 def test_bootstrap_mean(spark):
     df = spark.createDataFrame([(i, "g", float(i % 10)) for i in range(300)] + [(900, "h", None), (901, None, 2.0), (902, None, 4.0)], "k long, g string, x double")
     out = {r.g: r for r in resampling.bootstrap_mean(df, "k", "g", "x", 400).collect()}
