@@ -38,3 +38,13 @@ def test_query_equals_sql(spark, duck, name):
     want = duck.sql(catalogue.ORACLE[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got.columns, got.collect()) == rows(want.columns, want.fetchall())
+
+
+def test_weights_of_answers_graphs_to_the_last_digit(spark):
+    """Prices that are halves of a millionth of the trust's scale, rounded both ways."""
+    con = duckdb.connect()
+    for t in TABLES:
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF_MID}/{t}.parquet'")
+    want = con.sql(catalogue.ORACLE["answer_ego_graphs"])
+    got = catalogue.QUERIES["answer_ego_graphs"](spark, SF_MID).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want.fetchall(), key=repr)
