@@ -103,11 +103,14 @@ def anchors(similar: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
     return first_by(left, ["query"], [F.desc("sim"), "id"], n)
 
 
-def answerable_anchors(similar: DataFrame, excluded: DataFrame, answers: DataFrame, n: int, depth: int = 400) -> DataFrame:
-    """As anchors, but of the first `depth` only those that have an answer that isn't excluded."""
-    near = first_by(without_excluded(similar, excluded, "id"), ["query"], [F.desc("sim"), "id"], depth)
-    has = without_excluded(near.join(answers.select(F.col("qid").alias("id"), "aid"), "id"), excluded, "aid")
-    return first_by(near.join(has.select("query", "id").distinct(), ["query", "id"], "left_semi"), ["query"], [F.desc("sim"), "id"], n)
+def answerable_anchors(similar: DataFrame, excluded: DataFrame, answers: DataFrame, n: int, depth: int = 400, excluded_answers: DataFrame | None = None) -> DataFrame:
+    """As anchors, but of the first `depth` only those that have an answer, one that isn't among the excluded answers (query, id) if
+    those are given: ids of questions say nothing about answers."""
+    near = first_by(without_excluded(similar, excluded, "id"), ["query"], [F.desc(F.round("sim", 9)), "id"], depth)
+    has = near.join(answers.select(F.col("qid").alias("id"), "aid"), "id")
+    if excluded_answers is not None:
+        has = without_excluded(has, excluded_answers, "aid")
+    return first_by(near.join(has.select("query", "id").distinct(), ["query", "id"], "left_semi"), ["query"], [F.desc(F.round("sim", 9)), "id"], n)
 
 
 def one_hop(found: DataFrame, answers: DataFrame, excluded: DataFrame) -> DataFrame:
