@@ -38,6 +38,15 @@ def test_blinding(spark):
     assert {h.name for r in got for h in r.hits} == {p[0] for p in S.PHRASES}
 
 
+def test_each_pattern_is_looked_for_once(spark):
+    """Not once for every later pattern, nor for every word of the text."""
+    df = spark.createDataFrame([("In the sources, " + "some words. " * 5000 + "end",)], "t string").select(S.blinded_with_hits(F.col("t")).alias("x"), S.blinded_fully(F.col("t")).alias("y"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("regexp_extract_all(") <= 2 * len(S.PHRASES) and plan.count("split(") <= 2
+    got = df.select("x.*", "y").first()
+    assert got.text == got.y == "Some words. " * 5000 + "End" and [h.name for h in got.hits] == ["attribution_prefix"]
+
+
 def test_unknown_labels_fail(spark):
     votes = spark.createDataFrame([(1, "a", "FAKTUAL"), (1, "b", "odd"), (1, "c", None)], "item long, judge string, label string")
     for f in (judging.panel_labels, lambda v: reports.even_panel_labels(v, True)):

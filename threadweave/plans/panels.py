@@ -195,8 +195,9 @@ def blinded_answers(spark, sf):
 
     remark = F.element_at(F.array(*[F.lit(x) for x in REMARKS]), (F.col("doc_id") % len(REMARKS) + 1).cast("int"))
     said = t(spark, sf, "documents").select("doc_id", F.concat(remark, F.coalesce("text", F.lit(""))).alias("text"))
-    names = F.transform(S.phrases_replaced(S.blinded(F.col("text")))[1], lambda x: x["name"])
-    return said.select("doc_id", F.sha2(S.blinded_fully(F.col("text")), 256).alias("blinded_sha256"), F.array_join(names, ",").alias("phrases"))
+    done = said.select("doc_id", S.blinded_with_hits(F.col("text")).alias("done"))
+    names = F.transform("done.hits", lambda x: x["name"])
+    return done.select("doc_id", F.sha2("done.text", 256).alias("blinded_sha256"), F.array_join(names, ",").alias("phrases"))
 
 
 @query("WITH p AS (SELECT o_orderkey AS qid, row_number() OVER (ORDER BY md5('42-' || o_orderkey), o_orderkey) AS place FROM orders) SELECT qid FROM p WHERE place > 384")
