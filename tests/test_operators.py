@@ -127,3 +127,15 @@ def test_high_level_is_filled_until_there_are_enough_answers(spark):
     answers = spark.createDataFrame([(1, 10), (2, 10), (3, 30), (4, 40)], "qid int, aid int")
     low = spark.createDataFrame([(1, 99)], "query int, aid int")
     assert [sorted(r.via for r in D.filled(scored, answers, low, 1, k).collect()) for k in (0, 2, 3, 4, 9)] == [[1], [1], [1, 2, 3], [1, 2, 3, 4], [1, 2, 3, 4]]
+
+
+def test_cut_references_and_page_texts(spark):
+    df = spark.createDataFrame([("<p>a &amp; b &amp</p>c &lt;&#233;&#xe9; &am",), (None,)], "h string")
+    got = df.select(S.html_to_text(F.col("h"), 100, S.unescaped_if_closed), S.html_to_text(F.col("h"))).collect()
+    assert [tuple(r) for r in got] == [("a & b &amp\nc <éé &am", "a & b &\nc <éé &am"), ("", "")]
+
+
+def test_signed_ranks_of_millions(spark):
+    """n (n + 1) (2 n + 1) is beyond 64 bits here."""
+    r = stats.wilcoxon(spark.range(3_000_000).select((F.col("id") % 3 - 1).alias("d")), F.col("d")).first()
+    assert r.n == 2_000_000 and r.w_plus == r.w_minus and r.z == pytest.approx(0.0, abs=1e-9)
