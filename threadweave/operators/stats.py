@@ -105,7 +105,7 @@ def wilcoxon(df: DataFrame, diff: Column) -> DataFrame:
     """Signed ranks of nonzero differences: n, w_plus, w_minus, z (normal approximation without continuity correction)."""
     d = df.select(diff.alias("d")).where("d <> 0").select(F.abs("d").alias("m"), (F.col("d") > 0).alias("up"))
     s = average_ranks(d, [], "m").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(~F.col("up"), F.col("rank"))), F.lit(0.0)).alias("w_minus"))
-    n = F.col("n")
+    n = F.col("n").cast("double")  # the cube of some millions is beyond a bigint
     return s.withColumn("z", F.when(n > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24)))
 
 
