@@ -3,6 +3,8 @@ is keyed by query, so all queries of a batch run as one plan."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -13,23 +15,38 @@ from threadweave.operators.tables import first_by
 
 # Defaults of retrieval and fusion.
 PATH_WEIGHT, OWN_WEIGHT, EXPANSION_CAP, TOP_K, TWO_HOP_LIMIT = 0.7, 0.3, 0.4, 5, 50
-#: Vectors in a block: a task meets a block of queries and a block of vectors. Cells of similarities that it fills at once.
-BLOCK, CELLS = 8192, 2 << 20
+#: Numbers in a block of vectors: a task meets a block of queries and a block of vectors. Vectors in a block at most. Cells of similarities
+#: that it fills at once.
+NUMBERS, BLOCK, CELLS = 4 << 20, 1 << 16, 2 << 20
+#: Blocks that queries are dealt into even if they would fit into fewer, if that leaves them this many each.
+SHARES, SHARE = 16, 2048
+#: More than a rounding to 9 places moves a value.
+CLOSE = 2e-9
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, threshold: float = -1.0, id_col: str = "id", vec_col: str = "v", block: int | None = None, below: float | None = None) -> DataFrame:
+    """query, id, sim: each query's k vectors of greatest cosine (all, if k is None), its own id left out, at least `threshold` and less
+    than `below`. With `below`, near-duplicates are passed over in the search itself, so that nobody has to list them."""
+    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(k).cast("bigint").alias("k"))
+    return best_of_blocks(asked, vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), threshold, block, below)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int | None, threshold: float = -1.0, id_col: str = "id", vec_col: str = "v", block: int = BLOCK) -> DataFrame:
-    """query, id, sim: each query's k vectors of greatest cosine (all, if k is None), its own id left out, at least `threshold`."""
-    asked = queries.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"), F.lit(k).cast("bigint").alias("k"))
-    return best_of_blocks(asked, vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")), threshold, block)
+def blocks_of(n: int, numbers: int, block: int | None) -> int:
+    """How many blocks n vectors of so many numbers make."""
+    return max(1, -(-n // (block or max(1, min(BLOCK, NUMBERS // max(1, numbers))))))
 
 
-def best_of_blocks(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """query, id, sim: each query's own number k of nearest vectors (a null k: all of them), k a column of the queries.
+def best_of_blocks(queries: DataFrame, vectors: DataFrame, threshold: float, block: int | None = None, below: float | None = None) -> DataFrame:
+    """query, id, sim: each query's own number k of nearest vectors (a null k: all of them), k a column of the queries. Vectors whose
+    cosine to the query, or to its column `bar` if there is one, is `below` or more are passed over.
 
     Queries and vectors are dealt into blocks by a hash of their ids, and each block of queries meets each block of vectors in
     one task, by matrix products; nothing passes through the driver. A task gives out its best k of each query, which an
-    aggregation by query merges."""
-    nq, nv = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    aggregation by query merges. Each block is copied for each block that it meets, so they are as large as a task's memory allows."""
+    (na, da), (nb, db) = (d.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first() for d in (queries, vectors))
+    nq, nv = (blocks_of(n, max(da, db), block) for n in (na, nb))
+    if block is None:
+        nq = max(nq, min(-(-SHARES // nv), -(-na // SHARE)))
     block_of = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     left = queries.withColumn("qb", block_of(nq)).withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))))
     right = vectors.withColumn("vb", block_of(nv)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -39,9 +56,10 @@ def best_of_blocks(queries: DataFrame, vectors: DataFrame, threshold: float, blo
         if len(asked) and len(held):
             vid, v = held.column("id").to_numpy(), unit(matrix(held.column("v")))
             qid, q = asked.column("id").to_numpy(), unit(matrix(asked.column("v")))
+            bar = unit(matrix(asked.column("bar"))) if "bar" in asked.column_names else q
             take = np.minimum(asked.column("k").fill_null(len(vid)).to_numpy(), len(vid))
             step = max(1, CELLS // len(vid))
-            parts = [closest(qid[a : a + step], q[a : a + step], take[a : a + step], vid, v, threshold) for a in range(0, len(qid), step)]
+            parts = [closest(qid[a : a + step], q[a : a + step], take[a : a + step], vid, v, threshold, below, bar[a : a + step]) for a in range(0, len(qid), step)]
             out = [np.concatenate(x) for x in zip(*parts)]
         return pa.table({n: pa.array(x) for n, x in zip(("query", "id", "sim"), out)})
 
@@ -57,25 +75,53 @@ def matrix(lists: pa.ChunkedArray) -> np.ndarray:
     return np.asarray(lists.combine_chunks().flatten(), np.float64).reshape(len(lists), -1)
 
 
-def closest(qid: np.ndarray, q: np.ndarray, take: np.ndarray, vid: np.ndarray, v: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def products(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.einsum("qd,vd->qv", q, v) if min(q.shape[0], v.shape[0], q.shape[1]) < 2 else q @ v.T
+
+
+def closest(qid: np.ndarray, q: np.ndarray, take: np.ndarray, vid: np.ndarray, v: np.ndarray, threshold: float, below: float | None = None, bar: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """query, id, sim of the `take` nearest of each query: by similarity, ties by id. Rounding makes ties of what is equal but for
-    the last bits. Only what reaches a row's last place is sorted."""
-    sims = np.einsum("qd,vd->qv", q, v) if min(q.shape[0], v.shape[0], q.shape[1]) < 2 else q @ v.T
+    the last bits. Only what reaches a row's last place is rounded and sorted. Vectors whose cosine to the query's `bar` is `below` or more
+    are passed over."""
+    sims = products(q, v)
+    if below is not None:
+        sims[(sims if bar is None or bar is q or np.shares_memory(bar, q) else products(bar, v)) >= below] = -np.inf
     sims[qid[:, None] == vid[None, :]] = -np.inf
-    keyed = np.round(sims, 9)
-    floor = np.full(len(qid), -np.inf)
+    floor = np.full(len(qid), threshold if threshold > -1 else -2.0)
     for k in np.unique(take):
         if 0 < k < len(vid):
             of = np.flatnonzero(take == k)
-            floor[of] = np.partition(keyed[of], len(vid) - k, axis=1)[:, len(vid) - k]
-    row, col = np.nonzero((keyed >= floor[:, None]) & (sims >= threshold) & np.isfinite(sims))
-    order = np.lexsort((vid[col], -keyed[row, col], row))
+            last = np.partition(sims if len(of) == len(qid) else sims[of], len(vid) - k, axis=1)[:, len(vid) - k]
+            floor[of] = np.maximum(floor[of], last - CLOSE)
+    row, col = np.nonzero(sims >= floor[:, None])
+    keyed = np.round(sims[row, col], 9)
+    order = np.lexsort((vid[col], -keyed, row))
     row, col = row[order], col[order]
     nth = np.arange(len(row)) - np.searchsorted(row, row)
     ok = nth < take[row]
     return qid[row[ok]], vid[col[ok]], sims[row[ok], col[ok]]
 
 
+def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query, id, sim of distinct pairs (query, id) of which both have a vector (id, v)."""
+    side = lambda name, v: vectors.where(F.col("v").isNotNull()).select(F.col("id").alias(name), F.col("v").alias(v))
+    both = pairs.select("query", "id").distinct().join(side("id", "b"), "id").join(side("query", "a"), "query").select("query", "id", "a", "b")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = (unit(matrix(pa.chunked_array([batch.column(c)]))) for c in "ab")
+            yield pa.RecordBatch.from_arrays([batch.column("query"), batch.column("id"), pa.array(np.einsum("rd,rd->r", a, b))], names=["query", "id", "sim"])
+
+    kind = dict(pairs.dtypes)
+    return both.mapInArrow(work, f"query {kind['query']}, id {kind['id']}, sim double")
+
+
+def similar_among(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
+    """query, id: those of the pairs that are similar by `threshold` or more. What is excluded for near-duplicates is looked up by this
+    for candidates alone; all near-duplicates of all queries grow with the square of the vectors."""
+    return pair_cosines(pairs, vectors).where(F.col("sim") >= threshold).select("query", "id")
+
+
 def similar_pairs(queries: DataFrame, vectors: DataFrame, threshold: float, **columns: str) -> DataFrame:
     """query, id, sim: all pairs of cosine `threshold` or more, such as near-duplicate questions."""
     return nearest(queries, vectors, None, threshold, **columns)
@@ -100,7 +146,7 @@ def without_excluded(candidates: DataFrame, excluded: DataFrame, col: str) -> Da
 def anchors(similar: DataFrame, excluded: DataFrame, n: int) -> DataFrame:
     """The n most similar of each query after exclusion, with rank."""
     left = without_excluded(similar, excluded, "id")
-    return first_by(left, ["query"], [F.desc("sim"), "id"], n)
+    return first_by(left, ["query"], [F.desc(F.round("sim", 9)), "id"], n)
 
 
 def answerable_anchors(similar: DataFrame, excluded: DataFrame, answers: DataFrame, n: int, depth: int = 400, excluded_answers: DataFrame | None = None) -> DataFrame:

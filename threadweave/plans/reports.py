@@ -13,6 +13,7 @@ from threadweave.operators import stats
 from threadweave.operators import tables as T
 from threadweave.plans.catalogue import A, KN, QUERIES, SIM, U, answers, found, query, questions, r6, sources, t, tagged, vectors
 from threadweave.plans.judged import IT, LABELS, LB, VT, judged, records, rounded, votes
+from threadweave.sources.files import kept
 
 __all__ = ["QUERIES"]
 
@@ -293,7 +294,9 @@ def linked_sensitivity(spark, sf):
     from threadweave.plans.judged import kinds_of_links
 
     v = vectors(spark, sf)
-    near, q, links, a = R.similar_pairs(v, v, 0.2), v.select(F.col("id").alias("qid")), kinds_of_links(spark, sf), answers(spark, sf)
+    q, links, a = v.select(F.col("id").alias("qid")), kept(kinds_of_links(spark, sf), "links"), answers(spark, sf)
+    # only links can be what the wider mode rules out on top
+    near = R.similar_among(links.select(F.col("a").alias("query"), F.col("b").alias("id")).union(links.select("b", "a")), v, 0.2)
     narrow, wide = (R.exclusions_of_mode(q, links, near, a, True, linked, None) for linked in (False, True))
     return P.mode_sensitivity(narrow, wide, near)
 
