@@ -51,7 +51,7 @@ def test_expansion_has_room_for_what_is_near_the_query(spark):
 
 
 #: Queries that need near-duplicates of candidates only.
-NO_PAIRS = ["leakage_safe_anchors", "anchors_without_leakage", "corpus_hits_with_text", "fused_answers", "fused_by_similarity", "fused_uniform", "fused_and_refilled", "reranked_by_alpha", "retrieval_path_graph", "dual_level_answers", "semantic_expansion", "alternative_paths", "high_level_by_weight", "high_level_filled", "selection_trace", "linked_sensitivity"]
+NO_PAIRS = ["leakage_safe_anchors", "anchors_without_leakage", "corpus_hits_with_text", "fused_answers", "fused_by_similarity", "fused_uniform", "fused_and_refilled", "reranked_by_alpha", "retrieval_path_graph", "dual_level_answers", "semantic_expansion", "alternative_paths", "high_level_by_weight", "high_level_filled", "selection_trace", "linked_sensitivity", "leakage_audit"]
 
 
 @pytest.mark.parametrize("name", NO_PAIRS)
