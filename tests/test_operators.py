@@ -139,3 +139,22 @@ def test_signed_ranks_of_millions(spark):
     """n (n + 1) (2 n + 1) is beyond 64 bits here."""
     r = stats.wilcoxon(spark.range(3_000_000).select((F.col("id") % 3 - 1).alias("d")), F.col("d")).first()
     assert r.n == 2_000_000 and r.w_plus == r.w_minus and r.z == pytest.approx(0.0, abs=1e-9)
+
+
+@pytest.mark.parametrize("threshold", [0.0, 0.3, 0.6, 1.0])
+def test_cooccurrence_of_few_and_many_tags(spark, threshold):
+    """Items of one tag up to thirty, common tags among them, against all pairs."""
+    import random
+
+    r = random.Random(4)
+    pools = [range(9), range(5, 40), range(30, 60)]
+    sets = {q: frozenset(r.sample(list(pools[q % 3]), r.choice([1, 2, 3, 4, 5, 7] if q % 3 < 2 else [2, 13, 20, 30]))) for q in range(90)}
+    sets |= {90 + k: frozenset(list(sets[3 * k + 2])[: 4 + k]) for k in range(5)}
+    df = {t: sum(t in s for s in sets.values()) for s in sets.values() for t in s}
+    good = {t for t, n in df.items() if n <= 20}
+    rows = spark.createDataFrame([(q, t) for q, s in sets.items() for t in s], "q long, tag long")
+    got = {(x.src, x.dst): x.jaccard for x in graph.tag_cooccurrence(rows, "q", "tag", max_df=20, threshold=threshold, top_k=100).collect()}
+    # informative tags make the pairs and are counted against all tags
+    k = {(p, q): len(sets[p] & sets[q] & good) for p in sets for q in sets if p != q}
+    want = {pq: n / (len(sets[pq[0]]) + len(sets[pq[1]]) - n) for pq, n in k.items() if n and n / (len(sets[pq[0]]) + len(sets[pq[1]]) - n) >= threshold}
+    assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
