@@ -158,3 +158,9 @@ def test_cooccurrence_of_few_and_many_tags(spark, threshold):
     k = {(p, q): len(sets[p] & sets[q] & good) for p in sets for q in sets if p != q}
     want = {pq: n / (len(sets[pq[0]]) + len(sets[pq[1]]) - n) for pq, n in k.items() if n and n / (len(sets[pq[0]]) + len(sets[pq[1]]) - n) >= threshold}
     assert set(got) == set(want) and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_cooccurrence_has_no_bound_of_its_own(spark):
+    import inspect
+
+    assert inspect.signature(graph.tag_cooccurrence).parameters["most_pairs"].default is None
