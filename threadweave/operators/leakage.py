@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Distinct shingles of the smaller side that are sent to every task (8 bytes each); with more, both sides are shuffled by hash.
 SENT = 1_000_000
+#: Characters of the hashes that tell which pairs of texts may share a longer run.
+GRAM = 24
 
 
 def window_hashes(text: str, n: int) -> np.ndarray:
@@ -95,19 +97,55 @@ def pairs_share(pairs: DataFrame, a: str, b: str, n: int = 50) -> DataFrame:
     return pairs.mapInArrow(compare, kinds + ", shares boolean")
 
 
-def audit(runs: DataFrame, items: DataFrame, excluded: DataFrame, accepted: DataFrame, expansions: DataFrame, modes: list[str], wanted: int, n: int = 50, cosine: float = 0.95) -> DataFrame:
+def least_hashes(text: str, n: int) -> np.ndarray:
+    """The least of each n - GRAM + 1 hashes in a row of GRAM characters, 32 bits of it: about one in w / 2 of the text's places. Texts with n
+    consecutive characters in common have one of these in common."""
+    k = min(GRAM, n)
+    least, wide, w = window_hashes(text, k) >> np.uint64(32), 1, n - k + 1
+    if len(least) < w:
+        return np.zeros(0, np.uint32)
+    while 2 * wide <= w:
+        least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+    if wide < w:
+        least = np.minimum(least[: len(least) - w + wide], least[w - wide :])
+    return np.unique(least).astype(np.uint32)
+
+
+def sharing_pairs(pairs: DataFrame, texts: DataFrame, key: str, text: str = "text", n: int = 50) -> DataFrame:
+    """Those of the distinct pairs (query, id) whose texts (key, text) have n consecutive characters in common. Texts travel only for pairs that
+    have a least hash in common."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [least_hashes(t or "", n).view(np.int32) for t in batch.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(found, pa.list_(pa.int32()))], names=["k", "f"])
+
+    asked = pairs.select("query", "id").distinct()
+    all_texts = texts.select(F.col(key).alias("k"), F.col(text).cast("string").alias("t"))
+    hashes = all_texts.mapInArrow(work, f"k {dict(all_texts.dtypes)['k']}, f array<int>").where(F.size("f") > 0)
+    side = lambda rows, name, column, new: rows.select(F.col("k").alias(name), F.col(column).alias(new))
+    likely = asked.join(side(hashes, "id", "f", "__f"), "id").join(side(hashes, "query", "f", "__g"), "query").where(F.arrays_overlap("__f", "__g")).select("query", "id")
+    both = likely.join(side(all_texts, "id", "t", "__a"), "id").join(side(all_texts, "query", "t", "__b"), "query")
+    return pairs_share(both, "__a", "__b", n).where("shares").select("query", "id")
+
+
+def audit(runs: DataFrame, items: DataFrame, excluded: DataFrame, accepted: DataFrame | None, expansions: DataFrame, modes: list[str], wanted: int, n: int = 50, cosine: float = 0.95, shared: DataFrame | None = None) -> DataFrame:
     """A row a condition: what its retrieval gave away, and what it cost.
 
     runs: condition, query, latency. items: condition, query, id, text, sim (to the accepted answer). excluded: mode, query, id. accepted:
     query, text. expansions: condition, query, slot, n_answers (in the graph), n_left (after exclusion). Columns: n; self_<mode>
     and its pct, queries with an item that the mode excludes; substring, cosine, any_leak and their pcts, queries with an item that shares n
     characters with the accepted answer, or is as similar as `cosine`; mean_best_sim (0 without items); n_short and n_empty (fewer
-    items than wanted, none); latency_mean, latency_p95; n_slots, n_slots_empty, n_slots_excluded (empty though there are answers)."""
+    items than wanted, none); latency_mean, latency_p95; n_slots, n_slots_empty, n_slots_excluded (empty though there are answers). Where
+    the pairs (query, id) that share are known already (shared), neither items nor accepted ones need their texts."""
     from threadweave.operators.tables import percentiles_of, share
 
     key = ["condition", "query"]
-    pairs = items.join(accepted.select("query", F.col("text").alias("__accepted")), "query", "left")
-    seen = pairs_share(pairs.select(*key, "id", "sim", "text", "__accepted"), "text", "__accepted", n).groupBy(*key).agg(
+    if shared is None:
+        pairs = items.join(accepted.select("query", F.col("text").alias("__accepted")), "query", "left")
+        pairs = pairs_share(pairs.select(*key, "id", "sim", "text", "__accepted"), "text", "__accepted", n)
+    else:
+        pairs = items.join(shared.select("query", "id").distinct().withColumn("shares", F.lit(True)), ["query", "id"], "left").withColumn("shares", F.col("shares").isNotNull())
+    seen = pairs.groupBy(*key).agg(
         F.count("*").alias("k"), F.bool_or("shares").alias("substring"), F.coalesce(F.bool_or(F.col("sim") >= cosine), F.lit(False)).alias("cosine"), F.max("sim").alias("best")
     )
     hits = items.select(*key, "id").join(excluded.select("mode", "query", "id").distinct(), ["query", "id"]).groupBy(*key).agg(F.collect_set("mode").alias("hit"))

@@ -148,16 +148,16 @@ def leakage_report(spark, sf):
     n = docs.agg(F.count("*").alias("n"))
     items = runs.join(F.broadcast(n), F.lit(True)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(2)))).where(((q + F.col("j") + F.col("c")) % 5 != 0) & ~((q % 17 == 0) & (F.col("c") == 1)))
     items = items.select("condition", "query", ((q * 7 + F.col("c") * 3 + F.col("j") * 11) % F.col("n")).alias("id"))
-    from threadweave.functions.scalars import cosine
-
-    items = items.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(v.select(F.col("id").alias("query"), F.col("v").alias("a")), "query", "left").join(v.select("id", F.col("v").alias("b")), "id", "left")
-    items = kept(items.select("condition", "query", "id", "text", F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), cosine(F.col("a"), F.col("b"))).alias("sim")), "retrieved")
+    # an item is a document
+    items = items.join(docs.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    items = kept(items.join(R.pair_cosines(items, v), ["query", "id"], "left").select("condition", "query", "id", "sim"), "retrieved")
     pairs = items.select("query", "id").distinct()
     thread = F.floor(F.col("id") / 4) == F.floor(q / 4)
     out = pairs.where(thread).select(F.lit("thread").alias("mode"), "query", "id").union(pairs.where(thread | (F.abs(F.col("id") - q) <= 10)).select(F.lit("wide"), "query", "id"))
     slots = runs.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(1)))).withColumn("n_answers", (q + F.col("slot")) % 3)
     slots = slots.withColumn("n_left", F.when((q + F.col("slot") + F.col("c")) % 4 == 0, 0).otherwise(F.col("n_answers")))
-    return rounded(leakage.audit(runs, items, out, docs.withColumnRenamed("doc_id", "query"), slots, ["thread", "wide"], 3, cosine=0.3))
+    shared = leakage.sharing_pairs(pairs, docs, "doc_id")
+    return rounded(leakage.audit(runs, items, out, None, slots, ["thread", "wide"], 3, cosine=0.3, shared=shared))
 
 
 @query(f"WITH {LK}, {EX}, r AS (SELECT a AS query, b AS id FROM lk WHERE b IS NOT NULL UNION SELECT b, a FROM lk WHERE b IS NOT NULL), f AS (SELECT * FROM r UNION SELECT query, query FROM r) SELECT query, 'linked' AS mode, count(DISTINCT id) AS n FROM f GROUP BY 1")
