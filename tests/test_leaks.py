@@ -80,3 +80,9 @@ def test_pairs_that_share_a_run(spark, n):
     got = leakage.sharing_pairs(spark.createDataFrame(pairs, "query long, id long"), spark.createDataFrame(list(texts.items()), "k long, text string"), "k", n=n).collect()
     runs = {k: {t[a : a + n] for a in range(len(t or "") - n + 1)} if (t := texts[k]) else set() for k in texts}
     assert {(x.query, x.id) for x in got} == {(i, j) for i, j in pairs if runs[i] & runs[j]}
+
+
+def test_nothing_is_similar_to_itself(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.1])], "id long, v array<double>")
+    pairs = spark.createDataFrame([(1, 1), (1, 2), (2, 2)], "query long, id long")
+    assert [tuple(r) for r in R.similar_among(pairs, v, 0.3).collect()] == [(1, 2)]

@@ -122,9 +122,9 @@ def pair_cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def similar_among(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """query, id: those of the pairs that are similar by `threshold` or more. What is excluded for near-duplicates is looked up by this
+    """query, id: those of the pairs, of two ids, that are similar by `threshold` or more. What is excluded for near-duplicates is looked up by this
     for candidates alone; all near-duplicates of all queries grow with the square of the vectors."""
-    return pair_cosines(pairs, vectors).where(F.col("sim") >= threshold).select("query", "id")
+    return pair_cosines(pairs.where("query <> id"), vectors).where(F.col("sim") >= threshold).select("query", "id")
 
 
 def similar_pairs(queries: DataFrame, vectors: DataFrame, threshold: float, **columns: str) -> DataFrame:
